@@ -1,0 +1,61 @@
+"""Connected components of a distributed list of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import store
+
+
+def _flat(hooks: DataFrame) -> DataFrame:
+    """Pointer jumping until every node points at a root; each step halves the depth."""
+    while True:
+        up = hooks.select(F.col("parent").alias("p_node"), F.col("node").alias("p_of")).join(
+            hooks.select(F.col("node").alias("q_node"), F.col("parent").alias("q_parent")), F.col("p_node") == F.col("q_node")
+        )
+        if up.isEmpty():
+            return hooks
+        made = store.save(
+            hooks.join(up.select(F.col("p_of").alias("node"), "q_parent"), "node", "left").select("node", F.coalesce("q_parent", "parent").alias("parent")), "hooks"
+        )
+        store.discard(hooks)
+        hooks = made
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``links(a, b)`` of long ids -> ``(node, component)`` of all nodes that are not the smallest of their component.
+
+    Each round hooks every node to its smallest smaller neighbour, flattens the hooks and contracts the links; only
+    local minima are left over, so few rounds are needed.  Every round ends in a table in the shared folder.  Null ends
+    and links of a node with itself are ignored; no links give no rows.
+    """
+    real = links.where("a is not null and b is not null and a <> b")
+    ends = real.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    edges = store.save(ends.distinct(), "links")
+    labels = None
+    while not edges.isEmpty():
+        hooks = _flat(store.save(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")), "hooks"))
+        top = hooks.select(F.col("node").alias("h_node"), F.col("parent").alias("h_parent"))
+        if labels is None:
+            labels = hooks.select("node", F.col("parent").alias("component"))
+        else:
+            labels = labels.join(top, F.col("component") == F.col("h_node"), "left").select("node", F.coalesce("h_parent", "component").alias("component"))
+            labels = labels.unionByName(hooks.select("node", F.col("parent").alias("component")))
+        labels = store.save(labels, "labels")
+        # every higher end is hooked; a lower end may be a root
+        moved = (
+            edges.join(top, F.col("hi") == F.col("h_node"))
+            .select("lo", F.col("h_parent").alias("to"))
+            .join(top, F.col("lo") == F.col("h_node"), "left")
+            .select(F.coalesce("h_parent", "lo").alias("x"), F.col("to").alias("y"))
+            .where("x <> y")
+            .select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
+            .distinct()
+        )
+        nxt = store.save(moved, "links")
+        store.discard(edges, hooks)
+        edges = nxt
+    if labels is None:
+        return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    return labels

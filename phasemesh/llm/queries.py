@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, store, token_files, tokens
+from . import minmax, packing, store, token_files, tokens
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -23,9 +23,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path(WORD_BPE), 2048)
 
 
+def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.groups(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
+    "op6_minmax_dedup": op6_minmax_dedup,
 }
 
 ORACLES: dict[str, str] = {}
