@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minmax, packing, store, token_files, tokens
+from . import covertree, minmax, packing, store, token_files, tokens
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -27,10 +27,15 @@ def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_minmax_dedup": op6_minmax_dedup,
+    "op8_cover_tree": op8_cover_tree,
 }
 
 ORACLES: dict[str, str] = {}
