@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, minmax, packing, store, token_files, tokens
-
+from . import covertree, minmax, oracles, packing, rules, store, token_files, tokens, urls
+
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -31,11 +38,22 @@ def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op9_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"]
+    return rules.apply(rules.ledger(table(spark, sf_dir, "documents"))).select(*columns)
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_minmax_dedup": op6_minmax_dedup,
     "op8_cover_tree": op8_cover_tree,
+    "op9_url_trie": op9_url_trie,
+    "op10_rule_ledger": op10_rule_ledger,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.SQL
