@@ -5,6 +5,26 @@ _COMPONENTS = """
 , lowest AS (SELECT a, min(b) m FROM walk GROUP BY a)
 """
 
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') h, strlen(coalesce(html, '')) n FROM pages)
+, t AS (SELECT page_id, n, sha1(h) d, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END m FROM p)
+SELECT page_id, CAST(n AS BIGINT) payload_bytes, d payload_digest, CASE WHEN page_id < m THEN 'revisit' ELSE 'response' END record_type,
+  CASE WHEN page_id < m THEN m END refers_to FROM t
+"""
+
+OP2 = """
+WITH s AS (SELECT source, sum(length(text)) size FROM documents GROUP BY source)
+, t AS (SELECT sum(size) a, sum(sqrt(size)) b FROM s)
+, r AS (SELECT source, a * sqrt(size) / b / size rate FROM s, t)
+, c AS (
+  SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) cum
+  FROM (SELECT source, rate, unnest(generate_series(0, 120)) k FROM r))
+, d AS (SELECT doc_id, source, (CAST('0x' || substr(md5('7:' || doc_id || ':1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 u FROM documents)
+, n AS (SELECT doc_id, d.source, count(*) n FROM d JOIN c ON c.source = d.source AND cum < u GROUP BY ALL)
+, x AS (SELECT doc_id, source, CAST(unnest(generate_series(1, n)) AS INTEGER) copy FROM n)
+SELECT doc_id, source, CAST(1 AS INTEGER) part, copy, md5('shuffle:7:' || doc_id || ':1:' || copy) shuffle_key FROM x
+"""
+
 OP6 = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] ws
@@ -68,6 +88,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 SQL = {
+    "op1_warc_zip": OP1,
+    "op2_poisson_mix": OP2,
     "op6_minmax_dedup": OP6,
     "op8_cover_tree": OP8,
     "op9_url_trie": OP9,

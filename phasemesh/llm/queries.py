@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, minmax, oracles, packing, rules, store, token_files, tokens, urls
+from . import covertree, minmax, mixing, oracles, packing, rules, store, token_files, tokens, urls, warc
 
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), store.folder(spark, "archives"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.replicate(docs, alpha=0.5, epochs=1.0, seed=7).select("doc_id", "source", "part", "copy", "shuffle_key")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     made = token_files.write(docs, store.folder(spark, "token-files"), tokens.tokenizer_path(BYTE_BPE))
@@ -48,6 +58,8 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_zip": op1_warc_zip,
+    "op2_poisson_mix": op2_poisson_mix,
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
     "op6_minmax_dedup": op6_minmax_dedup,
