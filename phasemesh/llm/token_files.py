@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from . import store, tokens
 
 BLOCK = 1024
-#: Blocks that are coded or decoded at a time (so many times BLOCK ids are in memory).
-GROUP = 2048
+#: Blocks that are decoded at a time (so many times BLOCK ids are in memory), and that are coded at a time (so few that
+#: the work stays in the processor's cache).
+GROUP, CODED = 2048, 32
+#: Runs whose counts of ids one task adds up.
+RUNS_SUMMED = 64
 MAGIC = b"PHTK1\n"
 FOOTER = struct.Struct("<QQQQQ6s")
 
@@ -85,7 +88,7 @@ class Coder:
     def __init__(self, lengths: np.ndarray):
         self.lengths = np.asarray(lengths, np.uint8)
         self.width = max(1, int(self.lengths.max(initial=0)))
-        self.codes = canonical_codes(self.lengths).astype(np.uint64)
+        self.packed = (canonical_codes(self.lengths).astype(np.int64) << 5) | self.lengths  # code and length of every id
         self._table: np.ndarray | None = None
 
     @property
@@ -104,15 +107,17 @@ class Coder:
         """Bytes, a whole number of 32-bit words, and the bit offset of each block."""
         if not len(ids):
             return b"", np.zeros(0, np.int64)
-        size = self.lengths[ids].astype(np.int64)
+        both = self.packed[ids]
+        size = both & 31
         ends = np.cumsum(size)
         at = ends - size
-        word, shift = at >> 5, (64 - size - (at & 31)).astype(np.uint64)
-        value = self.codes[ids] << shift
+        word = at >> 5
+        value = ((both >> 5) << (64 - size - (at & 31))).view(np.uint64)
         out = np.zeros(int(ends[-1] + 31 >> 5) + 1, np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        np.add.at(out, word[first], np.add.reduceat(value >> np.uint64(32), first))
-        np.add.at(out, word[first] + 1, np.add.reduceat(value & np.uint64(0xFFFFFFFF), first))
+        first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        into = word[first]  # each word once; codes of a word do not overlap, so adding sets their bits
+        out[into] += np.add.reduceat(value >> np.uint64(32), first)
+        out[into + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
         return out[: int(ends[-1] + 31 >> 5)].astype(">u4").tobytes(), at[::BLOCK].copy()
 
     def decode(self, data: bytes, starts: np.ndarray, total: int) -> np.ndarray:
@@ -151,9 +156,10 @@ def write_shard(fs, path: str, coder: Coder, docs: tuple[np.ndarray, np.ndarray,
 
         for more in ids:
             rest = np.concatenate([rest, more]) if len(rest) else more
-            while len(rest) >= GROUP * BLOCK:
-                put(rest[: GROUP * BLOCK])
-                rest = rest[GROUP * BLOCK :]
+            whole = len(rest) // (CODED * BLOCK) * CODED * BLOCK
+            for at in range(0, whole, CODED * BLOCK):
+                put(rest[at : at + CODED * BLOCK])
+            rest = rest[whole:]
         put(rest)
         starts_b = np.concatenate(starts).astype("<i8").tobytes()
         docs_b = docs[0].astype("<i8").tobytes() + docs[1].astype("u1").tobytes() + docs[2].astype("<u8").tobytes()
@@ -262,6 +268,20 @@ class _Runs:
         )
 
 
+def _sum_counts(batches):
+    """Adds up the counts of all runs of a task."""
+    import pyarrow as pa
+
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        ids, counts = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+        if len(ids):
+            total = np.pad(total, (0, max(0, int(ids.max()) + 1 - len(total))))
+            np.add.at(total, ids, counts)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
+
+
 class _Code:
     """Codes runs of ids into shards."""
 
@@ -312,13 +332,13 @@ def write(docs: DataFrame, base: str, tokenizer: str, end_id: int | None = 0, sh
         ),
         "token-runs",
     )
-    total = runs.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n"))
-    found = total.toPandas()  # at most one row for each id of the vocabulary
-    counts = np.zeros(int(found["ids"].max()) + 1 if len(found) else 0, np.int64)
-    counts[found["ids"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    n = max(1, runs.count())
+    sums = runs.select("ids", "counts").repartition(-(-n // RUNS_SUMMED)).mapInArrow(_sum_counts, "id long, n long")
+    found = sums.groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row for each id of the vocabulary
+    counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
+    counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     book = spark.sparkContext.broadcast(zlib.compress(code_lengths(counts, limit).tobytes(), 6))
     spark._jvm.System.gc()  # the sorted texts' shuffle files are no longer needed; Spark deletes them when it notices
-    n = max(1, runs.count())
     made = store.save(
         runs.select("run", "width", "n_docs", "n_tokens", "docs").repartition(n).mapInArrow(
             _Code(base, book), "shard string, n_docs long, n_tokens long, first_doc long"

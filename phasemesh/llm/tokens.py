@@ -142,39 +142,42 @@ class Encoder:
         parts = list(map(get, pieces))
         if None in parts:
             gaps, asked, tails = [], [], []
-            for i, p in enumerate(parts):
-                if p is None:
-                    piece = pieces[i]
+            word, keep = self._word, self._keep
+            for i in [i for i, p in enumerate(parts) if p is None]:
+                stem = piece = pieces[i]
+                tail = b""
+                if not piece.isalpha():
                     stem = piece.rstrip(punctuation)
-                    if stem == piece or not stem[-1:].isalpha():
-                        stem, tail = piece, b""
-                    else:
+                    if stem is not piece and stem[-1:].isalpha():
                         tail = self._tail(piece[len(stem) :])
                         if (ids := get(stem)) is not None:
                             parts[i] = ids + tail
-                            self._keep(piece, parts[i])
+                            keep(piece, parts[i])
                             continue
-                    if (ids := self._word(stem)) is not None:
-                        parts[i] = ids + tail
-                        self._keep(stem, ids)
-                        continue
+                    else:
+                        stem = piece
+                    ids = word(stem) if stem.isalpha() else None
+                else:
+                    ids = word(stem)
+                if ids is None:
                     gaps.append(i)
                     asked.append(stem)
                     tails.append(tail)
+                else:
+                    parts[i] = ids + tail if tail else ids
+                    keep(stem, ids)
             found = self._together(asked) if asked else []
             if found is None:
                 return self._ids(text).tobytes()
             for i, stem, ids, tail in zip(gaps, asked, found, tails):
                 parts[i] = ids + tail
-                self._keep(stem, ids)
+                keep(stem, ids)
         return head + b"".join(parts)
 
     def _word(self, stem: str) -> bytes | None:
         """Ids of a piece of Latin-1 letters: one word to either kind of pre-tokenizer, so the library's model alone is
-        asked, with the bytes written in its alphabet.  None for any other piece.
+        asked, with the bytes written in its alphabet.  None for other letters.
         """
-        if not stem.isalpha():
-            return None
         if self.mode == "drop":
             stem = stem.lower()
         if not stem.isascii():
