@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, minmax, mixing, oracles, packing, rules, store, token_files, tokens, urls, warc
+from . import covertree, langid, minmax, mixing, oracles, packing, quality, rules, store, token_files, tokens, urls, warc
 
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -36,6 +36,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(made)
 
 
+def op4_langid_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path(WORD_BPE), 2048)
 
@@ -44,6 +48,10 @@ def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
@@ -61,8 +69,10 @@ QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_token_files": op3_token_files,
+    "op4_langid_viterbi": op4_langid_viterbi,
     "op5_packing": op5_packing,
     "op6_minmax_dedup": op6_minmax_dedup,
+    "op7_nbsvm_quality": op7_nbsvm_quality,
     "op8_cover_tree": op8_cover_tree,
     "op9_url_trie": op9_url_trie,
     "op10_rule_ledger": op10_rule_ledger,
