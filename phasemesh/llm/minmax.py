@@ -25,8 +25,6 @@ from .shingles import MinMax, shingles
 
 #: Members of a bucket compared at a time (with as many others).
 BLOCK = 512
-#: So many ids (16 MB) may be broadcast to pick out texts; beyond it the join is left to Spark's shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 class _Signatures:
@@ -176,7 +174,7 @@ def groups(docs: DataFrame, percent: int = 85, bands: int = 32, rows: int = 8, w
     pairs = store.save(with_centre.where(near).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
 
     wanted = store.save(classes.join(members.select("rep").distinct(), "rep").select("rep", "doc_id"), "wanted")
-    texts = _texts_of(rows_in, wanted)
+    texts = store.semi(rows_in, wanted.select("doc_id"), "doc_id")
     shown = texts.mapInArrow(_Sets(width), "rep long, shingles binary").join(wanted.select("rep"), "rep", "left_semi")
     shown = store.save(shown.dropDuplicates(["rep"]), "sets")
     left, right = shown.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), shown.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
@@ -207,9 +205,3 @@ def groups(docs: DataFrame, percent: int = 85, bands: int = 32, rows: int = 8, w
     out = made.withColumn("hi", F.when(F.col("n") > 0, F.col("hi"))).join(of_class, "hi", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of these doc_ids, which are broadcast only if there are few."""
-    ids = wanted.select("doc_id")
-    return rows.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")

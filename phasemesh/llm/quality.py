@@ -167,8 +167,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Model:
 
 
 class _Score:
-    def __init__(self, model):
-        self.model = model
+    """Adds score and prediction to batches whose column ``at`` is the text."""
+
+    def __init__(self, model, at: int):
+        self.model, self.at = model, at
 
     def __call__(self, batches):
         import pyarrow as pa
@@ -177,20 +179,30 @@ class _Score:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                scores = [model.score(t) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["key", "score", "predicted"])
+                scores = [model.score(t) for t in some.column(self.at).to_pylist()]
+                added = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*some.columns, *added], names=[*(f"c{i}" for i in range(len(some.columns))), "score", "predicted"])
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """``key, score, predicted`` for each row of ``docs(key, text)``; null and empty texts are scored by the bias alone.
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with two more columns at its end, ``score`` and ``predicted``; texts that are null or empty are scored by
+    the bias alone.
 
-    Null and repeated keys keep their rows; other columns are ignored; an empty table gives no rows; if nothing could be
-    learned every text gets the share of label 1 (0.5 without labels).  Whole texts are read, nothing is shuffled.
+    All rows and columns are kept (of a name that stands twice, the first column is the text); an empty table gives no
+    rows; if nothing could be learned every text gets the share of label 1 (0.5 without labels).  Whole texts are read,
+    nothing is shuffled.
     """
     spark = docs.sparkSession
     store.bounded_batches(spark)
-    kind = dict(docs.dtypes)[key]
-    return store.only(docs, key, "text").mapInArrow(_Score(spark.sparkContext.broadcast(model)), f"`{key}` {kind}, score double, predicted int")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    fields = "".join(f"{c} {t}, " for c, t in plain.dtypes)
+    out = plain.mapInArrow(_Score(spark.sparkContext.broadcast(model), docs.columns.index("text")), fields + "score double, predicted int")
+    return out.toDF(*docs.columns, "score", "predicted")
+
+
+def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """``key, score, predicted`` for each row of ``docs(key, text)``; see :func:`annotate`."""
+    return annotate(store.only(docs, key, "text"), model).drop("text")
 
 
 def held_out(key: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 DEFAULT_DIR = "file:///tmp/checkpoints"
 #: Arrow batches are closed at this size, so that long texts do not pile up in a Python worker.
 ARROW_BYTES = 16 << 20
+#: So many ids (16 MB) may be broadcast to pick out rows; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def root(spark: SparkSession) -> str:
@@ -54,6 +56,11 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is among ``ids(key)``, a saved table: broadcast if it is small, else joined by shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def filesystem(uri: str):
     """``(pyarrow filesystem, path)`` of a URI; used on the driver and in tasks alike."""
     from pyarrow import fs
