@@ -184,7 +184,7 @@ def nuisance(signal: DataFrame, motion: DataFrame, absolute: bool = False) -> Da
 
     A session's parameters are one row of arrays and are joined to its series, so nothing is grouped in one task.
     """
-    params = [f"p{i}" for i in range(1, 7)]
+    params, columns = [f"p{i}" for i in range(1, 7)], list(signal.columns)
     packed = motion.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", *params))).alias("_m"))
     met = signal.join(packed.select("session_id", *[F.col("_m")[p].alias(f"_{p}") for p in params]), "session_id")
 
@@ -200,9 +200,9 @@ def nuisance(signal: DataFrame, motion: DataFrame, absolute: bool = False) -> Da
                     out.append(residuals(row[None, :], np.column_stack([x, np.abs(x)]) if absolute else x)[0].tolist())
                 at = b.schema.get_field_index("y")
                 b = b.set_column(at, "y", pa.array(out, pa.list_(pa.float64())))
-                yield b.select(signal.columns)
+                yield b.select(columns)
 
-    return met.select(*signal.columns, *[f"_{p}" for p in params]).mapInArrow(run, signal.schema)
+    return met.select(*columns, *[f"_{p}" for p in params]).mapInArrow(run, signal.schema)
 
 
 def spectra(signal: DataFrame, fs: float) -> DataFrame:

@@ -11,8 +11,9 @@ FIELDS = "session_id string, t long, fd double"
 STATE = "t long, " + ", ".join(f"{p} double" for p in PARAMS)
 
 
-def framewise_displacement(frames: DataFrame, radius: float = 50.0, idle_ms: int = 3_600_000) -> DataFrame:
-    """Streaming form of the batch operator: each session keeps its last frame as state, dropped after idle time.
+def framewise_displacement(frames: DataFrame, radius: float = 50.0, idle_ms: int | None = None) -> DataFrame:
+    """Streaming form of the batch operator: each session keeps its last frame as state, dropped after ``idle_ms`` if given
+    (Spark then goes on running empty batches to look for idle sessions).
 
     Frames are put in order within a micro-batch; one older than the session's last is late and left out.
     """
@@ -32,8 +33,9 @@ def framewise_displacement(frames: DataFrame, radius: float = 50.0, idle_ms: int
                 out.append((key[0], int(row[0]), d[0] + d[1] + d[2] + radius * (d[3] + d[4] + d[5])))
             last = [int(row[0]), *map(float, row[1:])]
         state.update(tuple(last))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["session_id", "t", "fd"])
 
-    return frames.groupBy("session_id").applyInPandasWithState(step, FIELDS, STATE, "append", "ProcessingTimeTimeout")
+    return frames.groupBy("session_id").applyInPandasWithState(step, FIELDS, STATE, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
