@@ -68,16 +68,19 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha
     Rows that repeat a doc_id draw alike and are each copied; null doc_ids draw as one id; a document that draws no
     copies is gone; an empty table gives no rows.  Columns named ``part``, ``copy`` or ``shuffle_key`` are replaced.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("part", "copy", "shuffle_key")
-    made = rates(store.only(docs, "doc_id", "text", "source"), weights, alpha, epochs)
+    names = [c for c in docs.columns if c not in ("part", "copy", "shuffle_key")]
+    at = {n: f"c{docs.columns.index(n)}" for n in ("doc_id", "text", "source")}
+    held = [f"c{i}" for i, c in enumerate(docs.columns) if c in names]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*held)
+    made = rates(plain.select(F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source")), weights, alpha, epochs)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    made = store.save(made.withColumn("parts", parts).select(F.col("source").alias("_source"), "parts", _cumulative(F.col("rate") / parts).alias("_cdf")), "rates")
+    made = store.save(made.withColumn("parts", parts).select("source", "parts", _cumulative(F.col("rate") / parts).alias("_cdf")), "rates")
     right = F.broadcast(made) if made.count() <= BROADCAST_SOURCES else made
-    met = docs.join(right, docs["source"].eqNullSafe(made["_source"]), "left")
-    cut = met.select(*docs.columns, "_cdf", F.explode(F.sequence(F.lit(1), F.coalesce("parts", F.lit(1)))).alias("part"))
-    u = uniform(seed, F.col("doc_id"), F.col("part"))
-    drawn = cut.select(*docs.columns, "_cdf", "part", u.alias("_u")).select(*docs.columns, "part", F.expr("size(filter(_cdf, c -> c < _u))").alias("_n"))
-    copies = drawn.where("_n > 0").select(*docs.columns, "part", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(f"shuffle:{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("part"), F.col("copy")))
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", "doc_id")
+    met = plain.join(right, plain[at["source"]].eqNullSafe(made["source"]), "left")
+    cut = met.select(*held, "_cdf", F.explode(F.sequence(F.lit(1), F.coalesce("parts", F.lit(1)))).alias("part"))
+    u = uniform(seed, F.col(at["doc_id"]), F.col("part"))
+    drawn = cut.select(*held, "_cdf", "part", u.alias("_u")).select(*held, "part", F.expr("size(filter(_cdf, c -> c < _u))").alias("_n"))
+    copies = drawn.where("_n > 0").select(*held, "part", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    name = F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("null"))
+    key = F.md5(F.concat_ws(":", F.lit(f"shuffle:{seed}"), name, F.col("part"), F.col("copy")))
+    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", at["doc_id"]).toDF(*names, "part", "copy", "shuffle_key")
