@@ -20,15 +20,16 @@ SIMILAR = 80
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those in which no language stands out."""
-    model = langid.learn(docs.select("doc_id", "text", "lang"))
-    said = langid.annotate(docs.select(*COLUMNS), model)
+    docs = store.only(docs, *COLUMNS)
+    said = langid.annotate(docs, langid.learn(docs))
     return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality model, learned from the labels, takes for bad ones."""
+    docs = store.only(docs, *COLUMNS)
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.annotate(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+    return quality.annotate(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows get a number of their own first, so that decisions on rows that repeat a doc_id stay apart.
     """
-    rows = store.save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered")
+    rows = store.save(store.only(docs, *COLUMNS).select("*", F.monotonically_increasing_id().alias("_row")), "numbered")
     said = minmax.groups(rows.select(F.col("_row").alias("doc_id"), "text"), percent=SIMILAR, bands=40, rows=6)
     named = said.join(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
     # of each group the row with the smallest doc_id (rows without one last), then the first of these rows
@@ -46,12 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that sources have shares in proportion to the square root of their sizes; shuffles all."""
-    return mixing.replicate(docs.select(*COLUMNS), alpha=0.5, epochs=1.0, seed=7).select(*COLUMNS)
+    return mixing.replicate(store.only(docs, *COLUMNS), alpha=0.5, epochs=1.0, seed=7).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all copies into sequences of at most 2048 token ids."""
-    return packing.pack(docs.select("doc_id", "text"), tokens.tokenizer_path("word_bpe_49k.json"), 2048)
+    return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), 2048)
 
 
 STAGES = [
