@@ -21,7 +21,7 @@ WORD_BITS, FORM_BITS = 17, 16
 SIZE = (1 << WORD_BITS) + 4 * (1 << FORM_BITS)
 #: The model is fitted on at most about so many labelled texts, chosen by a hash of their doc_id; they are read whole.
 LEARN_ROWS = 8_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 EPOCHS, COST, SHARPNESS = 20, 1.0, 4.0
 
 _WORDS: dict[str, int] = {}
@@ -42,6 +42,7 @@ def features(text: str | None) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int32)
+    store.claim("quality", _WORDS.clear)
     codes = list(map(_WORDS.get, words))
     if None in codes:
         if len(_WORDS) > MEMO_WORDS:

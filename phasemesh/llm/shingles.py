@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import store
+
 WIDTH = 5
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: Shingles that are permuted at a time.
 PIECE = 4096
 _WORDS: dict[bytes, int] = {}
@@ -51,6 +53,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes; the whole sequence counts as one if it is shorter; empty without words."""
     if not text:
         return np.zeros(0, np.uint64)
+    store.claim("shingles", _WORDS.clear)
     w = words(text)
     if not len(w):
         return w

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,22 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_MEMOS: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = []
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called by a task that keeps a memo in its Python worker: the memos of other operators are emptied first, so that a
+    worker that serves one stage after the other holds one memo at a time.
+    """
+    _MEMOS[name] = clear
+    if _OWNER != [name]:
+        for other, empty in _MEMOS.items():
+            if other != name:
+                empty()
+        _OWNER[:] = [name]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Close Arrow batches by bytes as well as by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
