@@ -64,7 +64,7 @@ def wrap_phase(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjust_phase(spark: SparkSession, d: str) -> DataFrame:
-    x = inputs.cells(spark, d).where("v < 8").select("session_id", "t", "v", cplx.arg().alias("phase"))
+    x = inputs.cells(spark, d).select("session_id", "t", "v", cplx.arg().alias("phase"))
     a = cs.adjust_phase(x, "phase", "v", steps=48)
     return a.groupBy("v", "step").agg(F.count("*").alias("n"), _r(F.min("adjusted"), 6).alias("low"), _r(F.max("adjusted"), 6).alias("high"))
 
@@ -202,9 +202,10 @@ def beta_maps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlay(spark: SparkSession, d: str) -> DataFrame:
-    z = _scores(spark, d).where("pc = 0")
-    both = encode.overlay(z.where("session_id = 0"), z.where("session_id = 1"), 2.0, 3.0)
-    return both.select("kind", F.round("seconds", 6).alias("seconds"), _r(F.col("re"), 7).alias("re"), _r(F.col("im"), 7).alias("im"))
+    """All courses on the group's and on the sessions' grid of time."""
+    z = _scores(spark, d)
+    both = encode.overlay(z, z, 2.0, 3.0)
+    return both.select("kind", "pc", F.round("seconds", 6).alias("seconds"), _r(F.col("re"), 7).alias("re"), _r(F.col("im"), 7).alias("im"))
 
 
 def block_offsets(spark: SparkSession, d: str) -> DataFrame:
@@ -253,10 +254,10 @@ def resample(spark: SparkSession, d: str) -> DataFrame:
 
 def session_union(spark: SparkSession, d: str) -> DataFrame:
     """Hemispheres put one above the other, sets intersected and excepted."""
-    x = inputs.cells(spark, d).where("v < 4")
-    left, right = x.where("v < 2").withColumn("hemi", F.lit("lh")), x.where("v >= 2").withColumn("hemi", F.lit("rh"))
+    x, half = inputs.cells(spark, d), inputs.VARIABLES // 2
+    left, right = x.where(F.col("v") < half).withColumn("hemi", F.lit("lh")), x.where(F.col("v") >= half).withColumn("hemi", F.lit("rh"))
     both = left.unionByName(right)
-    a, b = both.where("re > 0").select("t", "hemi"), both.where("im > 0").select("t", "hemi")
+    a, b = both.where("re > 0.2").select("t", "hemi"), both.where("im > 0.2").select("t", "hemi")
     return a.intersect(b).withColumn("kind", F.lit("both")).unionByName(a.subtract(b).withColumn("kind", F.lit("re only"))).groupBy("hemi", "kind").agg(F.count("*").alias("n"))
 
 
@@ -276,7 +277,7 @@ QUERIES = {
     "gram": (gram, f"WITH {CELLS} SELECT a.v i, b.v j, round(sum(a.re * b.re + a.im * b.im), 7) + 0.0 re, round(sum(a.re * b.im - a.im * b.re), 7) + 0.0 im FROM c a JOIN c b ON a.t = b.t GROUP BY a.v, b.v"),
     "mod_arg": (mod_arg, f"WITH {CELLS}, g AS (SELECT v, avg(re) re, avg(im) im FROM c GROUP BY v) SELECT v, round(sqrt(re * re + im * im), 8) \"mod\", round(atan2(im, re), 7) + 0.0 arg, round(sqrt(re * re + im * im), 8) mod2, CAST(0 AS DOUBLE) zero FROM g"),
     "wrap_phase": (wrap_phase, f"SELECT event_id, round(value - {_TWO_PI} * floor(value / {_TWO_PI}) - pi(), 7) + 0.0 wrapped FROM events"),
-    "adjust_phase": (adjust_phase, f"WITH {CELLS}, x AS (SELECT v, atan2(im, re) p FROM c WHERE v < 8), g AS (SELECT unnest(generate_series(0, 47)) step), k AS (SELECT v, step, p - step * ({_TWO_PI} / 48) q FROM x, g), u AS (SELECT v, step, q - {_TWO_PI} * floor(q / {_TWO_PI}) - pi() u FROM k), b AS (SELECT v, step FROM u GROUP BY v, step QUALIFY row_number() OVER (PARTITION BY v ORDER BY round(abs(avg(u)), 9), step) = 1) SELECT u.v, CAST(step AS INTEGER) step, count(*) n, round(min(u), 6) + 0.0 low, round(max(u), 6) + 0.0 high FROM u JOIN b USING (v, step) GROUP BY u.v, step"),
+    "adjust_phase": (adjust_phase, f"WITH {CELLS}, x AS (SELECT v, atan2(im, re) p FROM c), g AS (SELECT unnest(generate_series(0, 47)) step), k AS (SELECT v, step, p - step * ({_TWO_PI} / 48) q FROM x, g), u AS (SELECT v, step, q - {_TWO_PI} * floor(q / {_TWO_PI}) - pi() u FROM k), b AS (SELECT v, step FROM u GROUP BY v, step QUALIFY row_number() OVER (PARTITION BY v ORDER BY round(abs(avg(u)), 9), step) = 1) SELECT u.v, CAST(step AS INTEGER) step, count(*) n, round(min(u), 6) + 0.0 low, round(max(u), 6) + 0.0 high FROM u JOIN b USING (v, step) GROUP BY u.v, step"),
     "scatter_full": (scatter_full, "SELECT p_partkey vertex, value FROM part LEFT JOIN (SELECT l_partkey, round(avg(l_extendedprice), 7) value FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.05 GROUP BY 1) ON l_partkey = p_partkey"),
     "cortex_rows": (cortex_rows, "SELECT c_mktsegment \"label\", count(*) n, count(DISTINCT c_custkey) n_vertices FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment NOT IN ('MACHINERY', 'BUILDING') GROUP BY 1"),
     "fixed_scores": (fixed_scores, f"WITH {SCORES} SELECT t, pc, round(re, 7) + 0.0 re, round(im, 7) + 0.0 im FROM z"),
@@ -298,7 +299,7 @@ QUERIES = {
     "time_courses": (time_courses, f"WITH {SCORES} SELECT t, pc, t / CAST(2.0 AS DOUBLE) AS seconds, round(sqrt(re * re + im * im), 7) \"mod\", round(atan2(im, re), 6) + 0.0 arg FROM z"),
     "difference_maps": (difference_maps, f"WITH {CELLS}, m AS (SELECT ds % 2 s, v, avg(re) re, avg(im) im FROM c GROUP BY 1, 2), k AS (SELECT a.v, sqrt(a.re**2 + a.im**2) - sqrt(b.re**2 + b.im**2) d, atan2(a.im, a.re) - atan2(b.im, b.re) p FROM m a JOIN m b ON a.v = b.v AND a.s = 0 AND b.s = 1) SELECT v, round(sign(d) * sqrt(abs(d)), 6) + 0.0 d_mod, round(p - {_TWO_PI} * floor(p / {_TWO_PI}) - pi(), 6) + 0.0 d_arg FROM k"),
     "beta_maps": (beta_maps, f"WITH {CELLS}, m AS (SELECT v vertex, CAST(t % 2 AS INTEGER) pc, avg(re) FILTER (ds % 2 = 0) r0, avg(im) FILTER (ds % 2 = 0) i0, avg(re) FILTER (ds % 2 = 1) r1, avg(im) FILTER (ds % 2 = 1) i1 FROM c GROUP BY 1, 2) SELECT vertex, pc, round(sqrt(sqrt(r0**2 + i0**2)), 7) root_mod0, round(sqrt(sqrt(r1**2 + i1**2)), 7) root_mod1, round(sqrt(sqrt((r0 - r1)**2 + (i0 - i1)**2)), 7) root_mod_diff FROM m"),
-    "overlay": (overlay, f"WITH {SCORES} SELECT CASE ds WHEN 0 THEN 'group' ELSE 'single' END kind, round(t / CASE ds WHEN 0 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END, 6) AS seconds, round(re, 7) + 0.0 re, round(im, 7) + 0.0 im FROM z WHERE pc = 0 AND ds IN (0, 1)"),
+    "overlay": (overlay, f"WITH {SCORES} SELECT kind, pc, round(t / fs, 6) AS seconds, round(re, 7) + 0.0 re, round(im, 7) + 0.0 im FROM z, (VALUES ('group', 2.0::DOUBLE), ('single', 3.0::DOUBLE)) k(kind, fs)"),
     "block_offsets": (block_offsets, f"WITH {_SIZES} SELECT \"label\", n, CAST(coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) \"offset\" FROM s"),
     "overlapping_blocks": (overlapping_blocks, f"WITH {_SIZES}, b AS (SELECT label, n, unnest(generate_series(0, 4)) block FROM s), f AS (SELECT label, n, block, CAST(floor(greatest(n - 20, 0) * block / 4) AS BIGINT) \"first\" FROM b) SELECT \"label\", block, \"first\", CAST(least(\"first\" + 20, n) AS BIGINT) - 1 \"last\" FROM f"),
     "stratified_blocks": (stratified_blocks, f"WITH {_BLOCKS} SELECT p.user_id, p.block, event_id FROM p JOIN k ON k.user_id = p.user_id AND k.block = p.block"),
@@ -307,5 +308,5 @@ QUERIES = {
     "average_ranks": (average_ranks, f"WITH {EVENTS}, f AS (SELECT event_id, visit, floor(value) x FROM e) SELECT event_id, CAST(rank() OVER (PARTITION BY visit ORDER BY x) AS DOUBLE) + (CAST(count(*) OVER (PARTITION BY visit, x) AS DOUBLE) - 1) / 2 rk FROM f"),
     "mirror_pad": (mirror_pad, "WITH x AS (SELECT vec_id t, CAST(embedding[1:32] AS DOUBLE[]) y FROM embeddings), p AS (SELECT t, list_concat(list_concat(list_reverse(y[2:5]), y), list_reverse(y[28:31])) a, list_concat(list_concat(list_reverse(y[1:4]), y), list_reverse(y[29:32])) b FROM x) SELECT t, CAST(len(a) AS BIGINT) n, " + ", ".join(f"round({c}[{i + 1}], 8) {c}{i}" for c in "ab" for i in (0, 3, 36, 39)) + " FROM p"),
     "resample": (resample, "WITH x AS (SELECT vec_id t, CAST(embedding[1:32] AS DOUBLE[]) y, unnest(generate_series(0, 47)) k FROM embeddings), p AS (SELECT t, k, y, k * (2.0::DOUBLE / 3.0::DOUBLE) x FROM x) SELECT t, k, round(CASE WHEN x = floor(x) THEN y[CAST(floor(x) AS INTEGER) + 1] ELSE y[CAST(floor(x) AS INTEGER) + 1] + (y[CAST(floor(x) AS INTEGER) + 2] - y[CAST(floor(x) AS INTEGER) + 1]) * (x - floor(x)) END, 8) + 0.0 y FROM p"),
-    "session_union": (session_union, f"WITH {CELLS}, h AS (SELECT t, CASE WHEN v < 2 THEN 'lh' ELSE 'rh' END hemi, re, im FROM c WHERE v < 4), a AS (SELECT DISTINCT t, hemi FROM h WHERE re > 0), b AS (SELECT DISTINCT t, hemi FROM h WHERE im > 0), i AS (SELECT * FROM a INTERSECT SELECT * FROM b) SELECT hemi, kind, count(*) n FROM (SELECT hemi, 'both' kind FROM i UNION ALL SELECT hemi, 're only' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) GROUP BY hemi, kind"),
+    "session_union": (session_union, f"WITH {CELLS}, h AS (SELECT t, CASE WHEN v < 16 THEN 'lh' ELSE 'rh' END hemi, re, im FROM c), a AS (SELECT DISTINCT t, hemi FROM h WHERE re > 0.2), b AS (SELECT DISTINCT t, hemi FROM h WHERE im > 0.2), i AS (SELECT * FROM a INTERSECT SELECT * FROM b) SELECT hemi, kind, count(*) n FROM (SELECT hemi, 'both' kind FROM i UNION ALL SELECT hemi, 're only' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) GROUP BY hemi, kind"),
 }

@@ -56,9 +56,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def faces(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b"), (F.col("l_suppkey") + 2_000_000).alias("c"), "l_quantity", "l_shipdate"
-    )
+    """Triangles of an order, a part and a supplier, with the quantity."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b"), (F.col("l_suppkey") + 2_000_000).alias("c"), "l_quantity")
 
 
 #: The same in DuckDB, as common table expressions.
@@ -71,5 +70,5 @@ CELLS = """c AS (SELECT label ds, vec_id t, CAST(p AS INTEGER) v, CAST(embedding
 WEIGHTS = """w AS (SELECT CAST(v AS INTEGER) v, CAST(pc AS INTEGER) pc, cos(CAST(v * (pc + 1) AS DOUBLE)) / 6 wr, sin(CAST(v + 2 * pc AS DOUBLE)) / 6 wi
   FROM (SELECT unnest(generate_series(0, 31)) v) a, (SELECT unnest(generate_series(0, 2)) pc) b)"""
 EVENTS = """e AS (SELECT event_id, user_id, ts, event_type, value, CAST(user_id % 2 AS BIGINT) g, CASE WHEN day(ts) <= 15 THEN 'V1' ELSE 'V2' END visit FROM events)"""
-FACES = """f AS (SELECT l_orderkey a, l_partkey + 1000000 b, l_suppkey + 2000000 c, l_quantity, l_shipdate FROM lineitem)"""
+FACES = """f AS (SELECT l_orderkey a, l_partkey + 1000000 b, l_suppkey + 2000000 c, l_quantity FROM lineitem)"""
 SCORES = CELLS + ", " + WEIGHTS + ", z AS (SELECT ds, t, pc, sum(re * wr - im * wi) re, sum(re * wi + im * wr) im FROM c JOIN w USING (v) GROUP BY ds, t, pc)"

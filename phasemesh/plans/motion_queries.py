@@ -64,20 +64,22 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     return motion.first_rows(e, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
-def voxel_fd(spark: SparkSession, d: str) -> DataFrame:
-    m = inputs.motion(spark, d).where("session_id < 5")
+def _voxels(spark, d) -> DataFrame:
+    m = inputs.motion(spark, d)
     grid = m.select("session_id").distinct()
     for a in "ijk":
         grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(2))))
     return motion.voxel_displacement(grid, m, AFFINE)
 
 
-def voxel_fd_query(spark: SparkSession, d: str) -> DataFrame:
-    return voxel_fd(spark, d).select(F.col("session_id").alias("subj"), "i", "j", "k", "t", F.round("fd", 7).alias("fd"))
+def voxel_fd(spark: SparkSession, d: str) -> DataFrame:
+    """Every frame of every supplier at every voxel of a small grid, summed up by voxel."""
+    fd = _voxels(spark, d).groupBy(F.col("session_id").alias("subj"), "i", "j", "k")
+    return fd.agg(F.count("*").alias("n"), F.round(F.avg("fd"), 7).alias("mean_fd"), F.round(F.max("fd"), 7).alias("max_fd"))
 
 
 def roi_mean(spark: SparkSession, d: str) -> DataFrame:
-    fd = voxel_fd(spark, d)
+    fd = _voxels(spark, d)
     mask = fd.select("i", "j", "k").distinct().withColumn("mask", F.when((F.col("i") + F.col("j") + F.col("k")) % 2 == 0, 1.0).otherwise(0.0))
     whole = motion.region_mean(fd).withColumnRenamed("mean_fd", "whole")
     part = motion.region_mean(fd, mask).withColumnRenamed("mean_fd", "region")
@@ -140,7 +142,7 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("n_name").agg(F.count("*").alias("n_sessions"), F.count("n_regionkey").alias("n_known"))
 
 
-_GRID = RP + """, r AS (SELECT s, t, cos(p4) ca, sin(p4) sa, cos(p5) cb, sin(p5) sb, cos(p6) cg, sin(p6) sg, p1, p2, p3 FROM rp WHERE s < 5)
+_GRID = RP + """, r AS (SELECT s, t, cos(p4) ca, sin(p4) sa, cos(p5) cb, sin(p5) sb, cos(p6) cg, sin(p6) sg, p1, p2, p3 FROM rp)
 , m AS (SELECT s, t, p1, p2, p3, cg*cb r11, cg*sb*sa-sg*ca r12, cg*sb*ca+sg*sa r13, sg*cb r21, sg*sb*sa+cg*ca r22, sg*sb*ca-cg*sa r23, -sb r31, cb*sa r32, cb*ca r33 FROM r)
 , g AS (SELECT CAST(i AS INTEGER) i, CAST(j AS INTEGER) j, CAST(k AS INTEGER) k, 3.0*i-3 x, 3.0*j-3 y, 3.0*k-3 z FROM (SELECT unnest(generate_series(0,2)) i), (SELECT unnest(generate_series(0,2)) j), (SELECT unnest(generate_series(0,2)) k))
 , q AS (SELECT s, i, j, k, t, r11*(x-p1)+r21*(y-p2)+r31*(z-p3) a, r12*(x-p1)+r22*(y-p2)+r32*(z-p3) b, r13*(x-p1)+r23*(y-p2)+r33*(z-p3) c FROM m, g)
@@ -161,7 +163,7 @@ QUERIES = {
     "subject_visit_grid": (subject_visit_grid, f"WITH {EVENTS}, m AS (SELECT user_id id, CAST(substr(visit, 2, 1) AS INTEGER) visit, avg(value) m FROM e GROUP BY ALL) SELECT g.id, g.visit, round(m, 9) m FROM (SELECT DISTINCT user_id id, CAST(v AS INTEGER) visit FROM e, (SELECT unnest([1, 2, 3]) v)) g LEFT JOIN m ON m.id = g.id AND m.visit = g.visit"),
     "motion_table": (motion_table, f"WITH {EVENTS}, k AS (SELECT user_id, avg(value) FILTER (visit = 'V1') a, avg(value) FILTER (visit = 'V2') b, count(*) FILTER (visit = 'V1') + 1 la, count(*) FILTER (visit = 'V2') + 1 lb FROM e GROUP BY user_id HAVING a IS NOT NULL AND b IS NOT NULL) SELECT user_id, round(a, 9) \"meanFD_V1\", round(b, 9) \"meanFD_V2\", la \"length_V1\", lb \"length_V2\", (a + b) / 2 > (SELECT quantile_cont((a + b) / 2, 0.95) FROM k) is_out FROM k"),
     "dedupe_first": (dedupe_first, f"WITH {EVENTS} SELECT user_id, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
-    "voxel_fd": (voxel_fd_query, f"WITH {_GRID} SELECT s subj, i, j, k, t, round(fd, 7) fd FROM v"),
+    "voxel_fd": (voxel_fd, f"WITH {_GRID} SELECT s subj, i, j, k, count(*) n, round(avg(fd), 7) mean_fd, round(max(fd), 7) max_fd FROM v GROUP BY s, i, j, k"),
     "roi_mean": (roi_mean, f"WITH {_GRID} SELECT s subj, t, round(avg(fd), 7) whole, round(avg(fd) FILTER ((i + j + k) % 2 = 0), 7) region FROM v GROUP BY s, t"),
     "fd_hist": (fd_hist, f"WITH {FD}, x AS (SELECT round(fd, 6) fd FROM fd WHERE fd IS NOT NULL), a AS (SELECT CAST(floor(fd / 10) AS BIGINT) bin, count(*) n_left FROM x GROUP BY 1), b AS (SELECT CAST(ceil(fd / 10) - 1 AS BIGINT) bin, count(*) n_right FROM x GROUP BY 1) SELECT coalesce(a.bin, b.bin) bin, n_left, n_right FROM a FULL JOIN b ON a.bin = b.bin"),
     "test_retest": (test_retest, f"WITH {_PIVOT}, k AS (SELECT user_id % 2 g, v1, v2 FROM p WHERE v1 IS NOT NULL AND v2 IS NOT NULL) SELECT coalesce(CAST(g AS VARCHAR), 'all') g, round(corr(v1, v2), 7) rho, round(corr(v1, v2), 3) rho3, count(*) n FROM k GROUP BY GROUPING SETS ((), (k.g))"),

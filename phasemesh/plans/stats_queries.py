@@ -80,45 +80,44 @@ def perm_p_paired(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("event_type").alias("vertex"), _r(F.col("diff"), 9).alias("diff"), F.round("p", 6).alias("p"))
 
 
-def _faces(spark, d) -> DataFrame:
-    return inputs.faces(spark, d).where("l_quantity > 49.5 and a % 7 = 0")
-
-
 def neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.neighbours(_faces(spark, d))
+    """Directed edges of the whole mesh, counted by their start."""
+    return mesh.neighbours(inputs.faces(spark, d)).groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.max("dst").alias("most"))
 
 
 def neighbor_lists(spark: SparkSession, d: str) -> DataFrame:
-    n = mesh.neighbour_lists(mesh.neighbours(_faces(spark, d)))
-    return n.select("vertex", F.size("neighbours").cast("long").alias("n"), F.get("neighbours", F.lit(0)).alias("least"), F.array_join("neighbours", ",").alias("all"))
+    n = mesh.neighbour_lists(mesh.neighbours(inputs.faces(spark, d)))
+    return n.select("vertex", F.size("neighbours").cast("long").alias("n"), F.md5(F.array_join("neighbours", ",")).alias("digest"))
 
 
-def _significant(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = mesh.neighbours(_faces(spark, d))
-    v = e.select(F.col("src").alias("vertex")).distinct().where("vertex % 5 <> 0")
-    return v, e
+def _z(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each vertex's mean quantity against that of all, in standard errors; and all edges."""
+    f = inputs.faces(spark, d)
+    values = f.select(F.explode(F.array("a", "b", "c")).alias("vertex"), "l_quantity")
+    total = f.agg(F.avg("l_quantity").alias("mu"), F.stddev_samp("l_quantity").alias("sd"))
+    z = values.groupBy("vertex").agg(F.avg("l_quantity").alias("m"), F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
+    return z.select("vertex", F.round((F.col("m") - F.col("mu")) / (F.col("sd") / F.sqrt(F.col("n").cast("double"))), 6).alias("z")), mesh.neighbours(f)
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.components(*_significant(spark, d))
+    z, e = _z(spark, d)
+    return mesh.components(z.where("z > 1.96"), e)
 
 
 def max_cluster_null(spark: SparkSession, d: str) -> DataFrame:
-    """Largest cluster by simulation: vertices are kept by a rule that changes with the simulation."""
-    v, e = _significant(spark, d)
-    sims = v.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(9)))).where("(vertex * 31 + sim * 17) % 10 < 7")
+    """Largest cluster by simulation, the signs of all vertices' statistics being flipped at random."""
+    z, e = _z(spark, d)
+    flipped = z.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("z", F.when(F.floor((F.col("vertex") * 31 + F.col("sim") * 17) / 7) % 2 == 0, F.col("z")).otherwise(-F.col("z")))
+    sims = flipped.where("z > 1.96").select("vertex", "sim")
     edges = e.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    found = mesh.clusters(sims, edges, "sim", least=2)
-    null = mesh.largest_by_sim(found, sims)
-    lim = mesh.limit(null)
-    return null.crossJoin(F.broadcast(lim)).select(F.col("sim").cast("long").alias("sim"), "max_size", F.col("limit").alias("limit95"))  # one row
+    null = mesh.largest_by_sim(mesh.clusters(sims, edges, "sim", least=2), sims)
+    return null.crossJoin(F.broadcast(mesh.limit(null))).select(F.col("sim").cast("long").alias("sim"), "max_size", F.col("limit").alias("limit95"))  # one row
 
 
 def cluster_report(spark: SparkSession, d: str) -> DataFrame:
-    v, e = _significant(spark, d)
-    found = mesh.clusters(v, e, least=2).withColumn("hemi", F.when(F.col("component") % 2 == 0, "lh").otherwise("rh"))
-    null = found.select(F.col("component").alias("sim"), F.col("size").alias("max_size"))
-    r = mesh.report(found, null, "hemi")
+    z, e = _z(spark, d)
+    found = mesh.clusters(z.where("z > 1.96"), e, least=2).withColumn("hemi", F.when(F.col("component") % 2 == 0, "lh").otherwise("rh"))
+    r = mesh.report(found, found.select(F.col("size").alias("max_size")), "hemi")
     return r.select("hemi", "n_clusters", F.get("sizes", F.lit(0)).alias("largest"), _r(F.col("limit"), 6).alias("limit95"), "n_over")
 
 
@@ -133,10 +132,8 @@ def ols_resid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _series(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Sixty-four frames by supplier: three series and the six parameters."""
-    m = inputs.motion(spark, d).where("t <= 64").withColumn("t", (F.col("t") - 1).cast("int")).withColumn("session_id", F.col("session_id").cast("string"))
-    full = m.groupBy("session_id").agg(F.count("*").alias("n")).where("n = 64").select("session_id")
-    m = m.join(full, "session_id", "left_semi")
+    """All frames by supplier: three series and the six parameters."""
+    m = inputs.motion(spark, d).withColumn("t", (F.col("t") - 1).cast("int")).withColumn("session_id", F.col("session_id").cast("string"))
     li = m.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", "p1", "p2", "p3"))).alias("a"))
     y = li.select("session_id", F.lit("lh").alias("hemi"), F.posexplode(F.array(F.transform("a", lambda x: x["p1"] + F.sin(x["t"].cast("double"))), F.transform("a", lambda x: x["p2"] * 2), F.transform("a", lambda x: x["p3"] - x["t"] / 10))).alias("vertex", "y"))
     return y, m
@@ -226,10 +223,11 @@ def magnitude_experiment(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIRS = EVENTS + ", p AS (SELECT event_type vertex, user_id, floor(avg(value) FILTER (visit = 'V1')) v1, floor(avg(value) FILTER (visit = 'V2')) v2 FROM e GROUP BY ALL HAVING v1 IS NOT NULL AND v2 IS NOT NULL)"
-_MESH = FACES + """, t AS (SELECT a, b, c FROM f WHERE l_quantity > 49.5 AND a % 7 = 0)
-, n AS (SELECT DISTINCT src, dst FROM (SELECT a src, b dst FROM t UNION ALL SELECT b, a FROM t UNION ALL SELECT a, c FROM t UNION ALL SELECT c, a FROM t UNION ALL SELECT b, c FROM t UNION ALL SELECT c, b FROM t))"""
-_COMP = _MESH + """, i AS (SELECT src, dst FROM n WHERE src % 5 <> 0 AND dst % 5 <> 0)
-, q(v, c) AS (SELECT DISTINCT src, src FROM n WHERE src % 5 <> 0 UNION SELECT i.dst, q.c FROM q JOIN i ON i.src = q.v), o AS (SELECT v vertex, min(c) component FROM q GROUP BY v)"""
+_MESH = FACES + """, n AS (SELECT DISTINCT src, dst FROM (SELECT a src, b dst FROM f UNION ALL SELECT b, a FROM f UNION ALL SELECT a, c FROM f UNION ALL SELECT c, a FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT c, b FROM f))"""
+_Z = _MESH + """, g AS (SELECT avg(l_quantity) mu, stddev_samp(l_quantity) sd FROM f)
+, s AS (SELECT v, round((avg(l_quantity) - any_value(mu)) / (any_value(sd) / sqrt(count(*))), 6) z FROM (SELECT unnest([a, b, c]) v, l_quantity FROM f), g GROUP BY v)"""
+_COMP = _Z + """, k AS (SELECT v FROM s WHERE z > 1.96), i AS (SELECT src, dst FROM n JOIN k x ON x.v = src JOIN k y ON y.v = dst)
+, q(v, c) AS (SELECT v, v FROM k UNION SELECT i.dst, q.c FROM q JOIN i ON i.src = q.v), o AS (SELECT v vertex, min(c) component FROM q GROUP BY v)"""
 
 
 def _perm(subject: str, label: str, sims: int, kind: str) -> str:
@@ -254,11 +252,11 @@ QUERIES = {
     "permuted_labels": (permuted_labels, "WITH " + EVENTS + _perm("user_id", "g", 3, "") + " SELECT sim, subject, g FROM k"),
     "perm_p": (perm_p, "WITH " + EVENTS + _perm("user_id", "g", 99, "") + _PVALUE),
     "perm_p_paired": (perm_p_paired, "WITH " + EVENTS + _perm("user_id * 2 + CASE WHEN visit = 'V2' THEN 1 ELSE 0 END", "CASE WHEN visit = 'V2' THEN 1 ELSE 0 END", 49, "") + _PVALUE),
-    "neighbors": (neighbors, f"WITH {_MESH} SELECT src, dst FROM n"),
-    "neighbor_lists": (neighbor_lists, f"WITH {_MESH} SELECT src vertex, count(*) n, min(dst) least, string_agg(dst, ',' ORDER BY dst) \"all\" FROM n GROUP BY src"),
+    "neighbors": (neighbors, f"WITH {_MESH} SELECT src, count(*) n, min(dst) least, max(dst) most FROM n GROUP BY src"),
+    "neighbor_lists": (neighbor_lists, f"WITH {_MESH} SELECT src vertex, count(*) n, md5(string_agg(dst, ',' ORDER BY dst)) digest FROM n GROUP BY src"),
     "components": (components, f"WITH RECURSIVE {_COMP} SELECT * FROM o"),
-    "max_cluster_null": (max_cluster_null, f"WITH RECURSIVE {_MESH}, z AS (SELECT unnest(generate_series(0, 9)) sim), v AS (SELECT DISTINCT sim, src v FROM n, z WHERE src % 5 <> 0 AND (src * 31 + sim * 17) % 10 < 7), i AS (SELECT a.sim, src, dst FROM n JOIN v a ON a.v = src JOIN v b ON b.v = dst AND a.sim = b.sim), q(sim, v, c) AS (SELECT sim, v, v FROM v UNION SELECT q.sim, i.dst, q.c FROM q JOIN i ON i.src = q.v AND i.sim = q.sim), o AS (SELECT sim, v, min(c) c FROM q GROUP BY sim, v), s AS (SELECT sim, count(*) m FROM o GROUP BY sim, c HAVING count(*) >= 2), x AS (SELECT z.sim, coalesce(max(m), 0) max_size FROM (SELECT DISTINCT sim FROM v) z LEFT JOIN s ON s.sim = z.sim GROUP BY z.sim) SELECT sim, max_size, (SELECT quantile_cont(CAST(max_size AS DOUBLE), 0.95) FROM x) limit95 FROM x"),
-    "cluster_report": (cluster_report, f"WITH RECURSIVE {_COMP}, s AS (SELECT component, count(*) m FROM o GROUP BY component HAVING count(*) >= 2), l AS (SELECT quantile_cont(CAST(m AS DOUBLE), 0.95) q FROM s) SELECT CASE WHEN component % 2 = 0 THEN 'lh' ELSE 'rh' END hemi, count(*) n_clusters, max(m) largest, round(any_value(q), 6) limit95, count(*) FILTER (m > q) n_over FROM s, l GROUP BY 1"),
+    "max_cluster_null": (max_cluster_null, f"WITH RECURSIVE {_Z}, p AS (SELECT unnest(generate_series(0, 9)) sim), v AS (SELECT sim, v FROM s, p WHERE CASE WHEN CAST(floor((v * 31 + sim * 17) / 7) AS BIGINT) % 2 = 0 THEN z ELSE -z END > 1.96), i AS (SELECT a.sim, src, dst FROM n JOIN v a ON a.v = src JOIN v b ON b.v = dst AND a.sim = b.sim), q(sim, v, c) AS (SELECT sim, v, v FROM v UNION SELECT q.sim, i.dst, q.c FROM q JOIN i ON i.src = q.v AND i.sim = q.sim), o AS (SELECT sim, v, min(c) c FROM q GROUP BY sim, v), h AS (SELECT sim, count(*) m FROM o GROUP BY sim, c HAVING count(*) >= 2), x AS (SELECT y.sim, coalesce(max(m), 0) max_size FROM (SELECT DISTINCT sim FROM v) y LEFT JOIN h ON h.sim = y.sim GROUP BY y.sim) SELECT sim, max_size, (SELECT quantile_cont(CAST(max_size AS DOUBLE), 0.95) FROM x) limit95 FROM x"),
+    "cluster_report": (cluster_report, f"WITH RECURSIVE {_COMP}, u AS (SELECT component, count(*) m FROM o GROUP BY component HAVING count(*) >= 2), l AS (SELECT quantile_cont(CAST(m AS DOUBLE), 0.95) q FROM u) SELECT CASE WHEN component % 2 = 0 THEN 'lh' ELSE 'rh' END hemi, count(*) n_clusters, max(m) largest, round(any_value(q), 6) limit95, count(*) FILTER (m > q) n_over FROM u, l GROUP BY 1"),
     "ols_resid": (ols_resid, f"WITH {EVENTS}, x AS (SELECT event_id, user_id, value, CAST(event_id % 97 AS DOUBLE) x FROM e), s AS (SELECT user_id, regr_slope(value, x) b, regr_intercept(value, x) a FROM x GROUP BY user_id) SELECT event_id, round(value - a - b * x, 6) + 0.0 resid FROM x JOIN s USING (user_id)"),
     "nuisance_resid": (nuisance_resid, None),
     "psd_norm": (psd_norm, None),
