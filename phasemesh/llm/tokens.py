@@ -12,14 +12,18 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from operator import attrgetter
 from string import punctuation
 
+from . import store
+
 #: Pieces that a worker keeps at most (half of them go when it is full), the longest piece kept, and the size of the
 #: table that tells a piece's second appearance, from which on it is kept.
 MEMO_PIECES, MEMO_CHARS, SEEN = 400_000, 64, 1 << 22
 #: Stands between pieces that are encoded together under a tokenizer that drops spaces; digits are words of their own.
 SEPARATOR = "0"
 
+_ID = attrgetter("id")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -32,6 +36,7 @@ def tokenizer_path(name: str) -> str:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a tokenizer file; made once."""
+    store.claim("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -89,7 +94,9 @@ class Encoder:
         self.tokenize, self.lead = self.tokenizer.model.tokenize, "\u0120" if self.mode == "lead" else ""
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level BPE
         self.alphabet = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+        self.bare: dict[str, bytes] = {}  # pieces without a space before them
         self.seen = bytearray(SEEN)
+        self.newline = self._ids("\n").tobytes()
         if self.mode == "lead":
             vocab = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
@@ -137,44 +144,85 @@ class Encoder:
             first = pieces.pop(0)
             if not first or _spacy(first[-1]):
                 return self._ids(text).tobytes()
-            head = self._ids(first).tobytes()
+            head = self._piece(first, self.bare, "")
         get = self.memo.get
         parts = list(map(get, pieces))
         if None in parts:
             gaps, asked, tails = [], [], []
-            word, keep = self._word, self._keep
+            seen, memo, word, lead = self.seen, self.memo, self._word, self.lead
             for i in [i for i, p in enumerate(parts) if p is None]:
                 stem = piece = pieces[i]
-                tail = b""
-                if not piece.isalpha():
+                tail = ids = None
+                if piece.isalpha():
+                    ids = word(piece, lead)
+                elif "\n" in piece:
+                    ids = self._lines(piece)
+                    if ids is not None:
+                        parts[i] = ids
+                        continue
+                else:
                     stem = piece.rstrip(punctuation)
                     if stem is not piece and stem[-1:].isalpha():
                         tail = self._tail(piece[len(stem) :])
-                        if (ids := get(stem)) is not None:
-                            parts[i] = ids + tail
-                            keep(piece, parts[i])
-                            continue
+                        ids = get(stem)
+                        if ids is not None:
+                            stem, ids, tail = piece, ids + tail, None
+                        elif stem.isalpha():
+                            ids = word(stem, lead)
                     else:
                         stem = piece
-                    ids = word(stem) if stem.isalpha() else None
-                else:
-                    ids = word(stem)
                 if ids is None:
                     gaps.append(i)
                     asked.append(stem)
-                    tails.append(tail)
+                    tails.append(tail or b"")
+                    continue
+                parts[i] = ids + tail if tail else ids
+                slot = hash(stem) & (SEEN - 1)  # as in _keep, which is too slow to call here
+                if not seen[slot]:
+                    seen[slot] = 1
+                elif len(memo) < MEMO_PIECES and len(stem) <= MEMO_CHARS:
+                    memo[stem] = ids
                 else:
-                    parts[i] = ids + tail if tail else ids
-                    keep(stem, ids)
+                    self._keep(stem, ids, memo)
             found = self._together(asked) if asked else []
             if found is None:
                 return self._ids(text).tobytes()
             for i, stem, ids, tail in zip(gaps, asked, found, tails):
                 parts[i] = ids + tail
-                keep(stem, ids)
+                self._keep(stem, ids, self.memo)
         return head + b"".join(parts)
 
-    def _word(self, stem: str) -> bytes | None:
+    def _lines(self, piece: str) -> bytes | None:
+        """Ids of a piece with line ends between other characters: each line end is a word of its own (or dropped), and
+        what follows begins without a space.  None where white space stands next to a line end.
+        """
+        lines = piece.split("\n")
+        if self.mode == "drop":
+            return b"".join([self._piece(x, self.memo, "") for x in lines])
+        if not all(x and not _spacy(x[0]) and not _spacy(x[-1]) for x in lines):
+            return None
+        return self.newline.join([self._piece(lines[0], self.memo, self.lead), *(self._piece(x, self.bare, "") for x in lines[1:])])
+
+    def _piece(self, piece: str, memo: dict[str, bytes], lead: str) -> bytes:
+        """Ids of one piece that stands after a space (``lead``) or at the beginning of a line or text."""
+        ids = memo.get(piece)
+        if ids is None:
+            stem = piece.rstrip(punctuation)
+            tail = b""
+            if stem[-1:].isalpha():
+                tail = self._tail(piece[len(stem) :]) if len(stem) < len(piece) else b""
+            else:
+                stem = piece
+            ids = memo.get(stem)
+            if ids is None:
+                ids = self._word(stem, lead) if stem.isalpha() else None
+                if ids is None:
+                    ids = self._ids(f" {stem}" if lead else stem).tobytes()
+            ids += tail
+            self._keep(piece, ids, memo)
+        return ids
+
+    def _word(self, stem: str, lead: str) -> bytes | None:
         """Ids of a piece of Latin-1 letters: one word to either kind of pre-tokenizer, so the library's model alone is
         asked, with the bytes written in its alphabet.  None for other letters.
         """
@@ -186,7 +234,7 @@ class Encoder:
             except UnicodeEncodeError:
                 return None
             stem = stem.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.tokenize(self.lead + stem)]).tobytes()
+        return array("I", map(_ID, self.tokenize(lead + stem))).tobytes()
 
     def _tail(self, marks: str) -> bytes:
         """Ids of punctuation that ends a piece after a letter: both kinds of pre-tokenizer always cut there."""
@@ -197,12 +245,12 @@ class Encoder:
                 self.tails[marks] = ids
         return ids
 
-    def _keep(self, piece: str, ids: bytes) -> None:
+    def _keep(self, piece: str, ids: bytes, memo: dict[str, bytes]) -> None:
         slot = hash(piece) & (SEEN - 1)
         if not self.seen[slot]:
             self.seen[slot] = 1
         elif len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_PIECES:
-                for old in list(self.memo)[: MEMO_PIECES // 2]:
-                    del self.memo[old]
-            self.memo[piece] = ids
+            if len(memo) >= MEMO_PIECES:
+                for old in list(memo)[: MEMO_PIECES // 2]:
+                    del memo[old]
+            memo[piece] = ids
