@@ -195,6 +195,16 @@ def difference_maps(spark: SparkSession, d: str) -> DataFrame:
     return m.select("v", _r(F.col("d_mod"), 6).alias("d_mod"), _r(F.col("d_arg"), 6).alias("d_arg"))
 
 
+def experiment_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Moduli of one set of sessions less those of another, coloured over a range that is symmetric about zero."""
+    means = inputs.cells(spark, d).groupBy(F.col("session_id") % 2, "v").agg(F.avg("re").alias("re"), F.avg("im").alias("im")).toDF("side", "v", "re", "im")
+    m = means.select("side", "v", cplx.mod().alias("m"))
+    diff = m.where("side = 0").select("v", F.col("m").alias("a")).join(m.where("side = 1").select("v", F.col("m").alias("b")), "v").select("v", (F.col("a") - F.col("b")).alias("d"))
+    ends = encode.symmetric_range(diff, "d")
+    met = diff.crossJoin(F.broadcast(ends))  # one row
+    return met.select("v", _r(F.col("d"), 9).alias("d"), F.bround(254 * (F.col("d") - F.col("low")) / (F.col("high") - F.col("low")) + 1).cast("int").alias("colour"))
+
+
 def beta_maps(spark: SparkSession, d: str) -> DataFrame:
     betas = inputs.cells(spark, d).select("session_id", F.col("v").alias("vertex"), (F.col("t") % 2).cast("int").alias("pc"), "re", "im", (F.col("session_id") % 2).alias("g"))
     m = encode.beta_maps(betas, "g")
@@ -298,6 +308,7 @@ QUERIES = {
     "pval_color": (pval_color, "SELECT event_id, CASE WHEN value / 200 < 0.001 THEN 4 WHEN value / 200 < 0.01 THEN 3 WHEN value / 200 < 0.05 THEN 2 WHEN value / 200 < 0.1 THEN 1 ELSE 0 END \"class\", CASE WHEN event_id % 11 = 0 THEN 'gray33' WHEN value / 200 < 0.001 THEN 'darkred' WHEN value / 200 < 0.01 THEN 'red' WHEN value / 200 < 0.05 THEN 'orange' WHEN value / 200 < 0.1 THEN 'yellow' ELSE 'white' END colour FROM events"),
     "time_courses": (time_courses, f"WITH {SCORES} SELECT t, pc, t / CAST(2.0 AS DOUBLE) AS seconds, round(sqrt(re * re + im * im), 7) \"mod\", round(atan2(im, re), 6) + 0.0 arg FROM z"),
     "difference_maps": (difference_maps, f"WITH {CELLS}, m AS (SELECT ds % 2 s, v, avg(re) re, avg(im) im FROM c GROUP BY 1, 2), k AS (SELECT a.v, sqrt(a.re**2 + a.im**2) - sqrt(b.re**2 + b.im**2) d, atan2(a.im, a.re) - atan2(b.im, b.re) p FROM m a JOIN m b ON a.v = b.v AND a.s = 0 AND b.s = 1) SELECT v, round(sign(d) * sqrt(abs(d)), 6) + 0.0 d_mod, round(p - {_TWO_PI} * floor(p / {_TWO_PI}) - pi(), 6) + 0.0 d_arg FROM k"),
+    "experiment_difference": (experiment_difference, f"WITH {CELLS}, m AS (SELECT ds % 2 s, v, avg(re) re, avg(im) im FROM c GROUP BY 1, 2), k AS (SELECT a.v, sqrt(a.re**2 + a.im**2) - sqrt(b.re**2 + b.im**2) d FROM m a JOIN m b ON a.v = b.v AND a.s = 0 AND b.s = 1), t AS (SELECT max(abs(d)) x FROM k) SELECT v, round(d, 9) + 0.0 d, CAST(round_even(254 * (d + x) / (2 * x) + 1, 0) AS INTEGER) colour FROM k, t"),
     "beta_maps": (beta_maps, f"WITH {CELLS}, m AS (SELECT v vertex, CAST(t % 2 AS INTEGER) pc, avg(re) FILTER (ds % 2 = 0) r0, avg(im) FILTER (ds % 2 = 0) i0, avg(re) FILTER (ds % 2 = 1) r1, avg(im) FILTER (ds % 2 = 1) i1 FROM c GROUP BY 1, 2) SELECT vertex, pc, round(sqrt(sqrt(r0**2 + i0**2)), 7) root_mod0, round(sqrt(sqrt(r1**2 + i1**2)), 7) root_mod1, round(sqrt(sqrt((r0 - r1)**2 + (i0 - i1)**2)), 7) root_mod_diff FROM m"),
     "overlay": (overlay, f"WITH {SCORES} SELECT kind, pc, round(t / fs, 6) AS seconds, round(re, 7) + 0.0 re, round(im, 7) + 0.0 im FROM z, (VALUES ('group', 2.0::DOUBLE), ('single', 3.0::DOUBLE)) k(kind, fs)"),
     "block_offsets": (block_offsets, f"WITH {_SIZES} SELECT \"label\", n, CAST(coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) \"offset\" FROM s"),

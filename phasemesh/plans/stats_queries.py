@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linalg, mesh, signal, stats
+from ..operators import evar, linalg, mesh, signal, simulate, stats
 from . import inputs
 from .inputs import EVENTS, FACES
 
@@ -222,6 +222,12 @@ def magnitude_experiment(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "factor double, r2 double")
 
 
+def solver_simulation(spark: SparkSession, d: str) -> DataFrame:
+    """Share of components that a solver finds again, over simulated matrices."""
+    m = simulate.agreement(spark, simulate.by_pimvr, 3, 400, 12, [6.0, 4.0, 3.0])
+    return evar.share_over(m, "mcc", [0.95, 0.975], "pc")
+
+
 _PAIRS = EVENTS + ", p AS (SELECT event_type vertex, user_id, floor(avg(value) FILTER (visit = 'V1')) v1, floor(avg(value) FILTER (visit = 'V2')) v2 FROM e GROUP BY ALL HAVING v1 IS NOT NULL AND v2 IS NOT NULL)"
 _MESH = FACES + """, n AS (SELECT DISTINCT src, dst FROM (SELECT a src, b dst FROM f UNION ALL SELECT b, a FROM f UNION ALL SELECT a, c FROM f UNION ALL SELECT c, a FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT c, b FROM f))"""
 _Z = _MESH + """, g AS (SELECT avg(l_quantity) mu, stddev_samp(l_quantity) sd FROM f)
@@ -270,4 +276,5 @@ QUERIES = {
     "cpca_oja": (cpca_oja, None),
     "cpca_restarts": (cpca_restarts, None),
     "magnitude_experiment": (magnitude_experiment, None),
+    "solver_simulation": (solver_simulation, None),
 }

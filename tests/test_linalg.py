@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from phasemesh.operators import complex_stats as cs
-from phasemesh.operators import linalg
+from phasemesh.operators import linalg, simulate
 from phasemesh.sources import synthetic
 
 
@@ -107,3 +107,16 @@ def test_too_many_variables(spark, monkeypatch, planted):
     monkeypatch.setattr(linalg, "EXACT_VARIABLES", 4)
     with pytest.raises(ValueError):
         linalg.exact(planted[0], 2)
+
+
+def test_real_demonstrations():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 8)) * np.array([5, 3, 1, 1, 1, 1, 1, 1.0])
+    w = simulate.real_oja(x, 2, linalg.log_linear(0.05, 0.001, len(x)))
+    assert abs(w[0, 0]) > 0.95 and abs(w[1, 1]) > 0.95
+    assert abs(simulate.shamir(x[:1500], 2, 0.005)[0]) > 0.98
+
+
+def test_simulation(spark):
+    rows = simulate.agreement(spark, simulate.by_oja, 2, 300, 8, [6.0, 3.0]).collect()
+    assert len(rows) == 4 and all(r.mcc > 0.8 for r in rows)
