@@ -73,17 +73,18 @@ WITH t AS (
 , l AS (
   SELECT doc_id, count(*) n, count(*) - count(DISTINCT line) d FROM (SELECT doc_id, unnest(string_split(x, chr(10))) line FROM t)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+, st AS (SELECT doc_id, count(*) n FROM (SELECT doc_id, ws, unnest(generate_series(2, len(ws))) i FROM t WHERE len(ws) > 1) WHERE ws[i] = ws[i - 1] GROUP BY doc_id)
 , m AS (
   SELECT t.doc_id, CAST(len(ws) AS BIGINT) n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) word_chars,
     CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) n_lines,
-    CAST(coalesce(l.d, 0) AS BIGINT) n_dup_lines, CAST(coalesce(q.n, 0) AS BIGINT) n_repeat_words,
+    CAST(coalesce(l.d, 0) AS BIGINT) n_dup_lines, CAST(coalesce(q.n, 0) AS BIGINT) n_repeat_words, coalesce(st.n, 0) n_stutter,
     length(regexp_replace(x, '[^A-Za-z]+', '', 'g')) n_letters, length(regexp_replace(x, '[^A-Z]+', '', 'g')) n_upper
-  FROM t LEFT JOIN q USING (doc_id) LEFT JOIN l USING (doc_id))
+  FROM t LEFT JOIN q USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN st USING (doc_id))
 , f AS (
   SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
-    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END)
-    + (CASE WHEN 2 * n_upper > n_letters THEN 64 ELSE 0 END) AS INTEGER) failed FROM m)
+    + (CASE WHEN 2 * n_upper > n_letters THEN 64 ELSE 0 END) + (CASE WHEN 10 * n_stutter > 3 * n_words THEN 128 ELSE 0 END) AS INTEGER) failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 base_failed, failed = 0 kept, failed FROM f
 """
 

@@ -33,10 +33,11 @@ RULES = (
     Rule("few_words", 0, "n_words < 20"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", 2, "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", 3, "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", 3, "2 * n_dup_lines > n_lines"),
     Rule("short_words", 4, "n_words > 0 and word_chars < 2 * n_words"),
     Rule("long_words", 5, "word_chars > 15 * n_words"),
     Rule("upper_case", 6, "2 * n_upper > n_letters"),
+    Rule("stutter", 7, "10 * n_stutter > 3 * n_words"),
 )
 BASE = ("few_words", "repeated_windows")
 
@@ -85,8 +86,8 @@ def ledger(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per row: ``doc_id``, measurements and ``failed`` (a bit for each failed rule).
 
     Measurements: n_words, word_chars (code points in words), n_symbols, n_lines (lines with a word), n_dup_lines
-    (such lines equal to an earlier one), n_repeat_words (words in 8-word windows found twice or more), n_letters
-    (A-Z and a-z) and n_upper (A-Z).  A null or empty text has none of anything and fails ``few_words``; null and
+    (such lines equal to an earlier one), n_repeat_words (words in 8-word windows found twice or more), n_stutter (words
+    equal to the word before), n_letters (A-Z and a-z) and n_upper (A-Z).  A null or empty text has none of anything and fails ``few_words``; null and
     repeated doc_ids keep their rows; other columns are ignored; an empty table gives no rows.  Texts are never moved;
     a very long text is measured by one task.
     """
@@ -106,7 +107,8 @@ def ledger(docs: DataFrame) -> DataFrame:
         long(F.length(F.regexp_replace("text", "[^A-Za-z]+", ""))).alias("n_letters"),
         long(F.length(F.regexp_replace("text", "[^A-Z]+", ""))).alias("n_upper"),
     )
-    made = made.select("*", _repeat_words(F.col("words"), F.size("words")).alias("n_repeat_words")).drop("words")
+    stutter = F.filter("words", lambda w, i: F.get(F.col("words"), i - 1) == w)
+    made = made.select("*", long(F.size(stutter)).alias("n_stutter"), _repeat_words(F.col("words"), F.size("words")).alias("n_repeat_words")).drop("words")
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES]
     failed = bits[0]
     for b in bits[1:]:
