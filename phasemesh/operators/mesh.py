@@ -36,17 +36,16 @@ def components(vertices: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
     v = vertices.select(*keys, "vertex").distinct()
     inside = edges.join(v.withColumnRenamed("vertex", "src"), [*keys, "src"], "left_semi").join(v.withColumnRenamed("vertex", "dst"), [*keys, "dst"], "left_semi")
     inside = _cut(inside.select(*keys, "src", "dst"))
-    label = _cut(v.withColumn("component", F.col("vertex")))
+    label = v.withColumn("component", F.col("vertex"))
     while True:
         of = label.select(*keys, F.col("vertex").alias("dst"), F.col("component").alias("c"))
         least = inside.join(of, [*keys, "dst"]).groupBy(*keys, F.col("src").alias("vertex")).agg(F.min("c").alias("c"))
         moved = label.join(least, [*keys, "vertex"], "left").select(*keys, "vertex", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
         moved = _cut(moved)
+        if moved.where("component <> old").isEmpty():
+            return moved.select(*keys, "vertex", "component")
         up = moved.select(*keys, F.col("vertex").alias("component"), F.col("component").alias("top"))
-        jumped = _cut(moved.join(up, [*keys, "component"]).select(*keys, "vertex", "old", F.col("top").alias("component")))
-        if jumped.where("component <> old").isEmpty():
-            return jumped.select(*keys, "vertex", "component")
-        label = jumped.drop("old")
+        label = moved.join(up, [*keys, "component"]).select(*keys, "vertex", F.col("top").alias("component"))
 
 
 def clusters(significant: DataFrame, edges: DataFrame, *by: str, least: int = 1) -> DataFrame:

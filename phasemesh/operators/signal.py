@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 # --- kernels ----------------------------------------------------------------------------------------------------------
 
 
+def basis(regressors: np.ndarray) -> np.ndarray:
+    """Orthonormal basis of the span of a constant and the regressors (frames x regressors)."""
+    x = np.column_stack([np.ones(len(regressors)), regressors])
+    q, r = np.linalg.qr(x)
+    if np.all(np.abs(np.diag(r)) > 1e-10 * max(1e-300, np.abs(r).max())):
+        return q
+    u, s, _ = np.linalg.svd(x, full_matrices=False)  # dependent regressors
+    return u[:, s > 1e-10 * s.max()]
+
+
 def residuals(y: np.ndarray, regressors: np.ndarray) -> np.ndarray:
-    """Rows of ``y`` less their least-squares fit on a constant and the regressors (frames x regressors)."""
-    q, r = np.linalg.qr(np.column_stack([np.ones(y.shape[1]), regressors]))
-    keep = np.abs(np.diag(r)) > 1e-10 * max(1e-300, np.abs(r).max())
-    if not keep.all():  # dependent regressors: an orthogonal basis of their span
-        u, s, _ = np.linalg.svd(np.column_stack([np.ones(y.shape[1]), regressors]), full_matrices=False)
-        q = u[:, s > 1e-10 * s.max()]
+    """Rows of ``y`` less their least-squares fit on a constant and the regressors."""
+    q = basis(regressors)
     return y - (y @ q) @ q.T
 
 
@@ -119,17 +125,40 @@ def _padded(y: np.ndarray, n: int, edge: bool) -> np.ndarray:
     return np.concatenate([y[:, 1 : n + 1][:, ::-1], y, y[:, -n - 1 : -1][:, ::-1]], 1)
 
 
-def band_pass(y: np.ndarray, fs: float, fs_dec: float = 0.5, passband=(0.005, 0.1), stopband=(0.001, 0.14), ripple: float = 3.0, loss: float = 20.0) -> np.ndarray:
-    """Zero-phase Butterworth band-pass on a coarser grid, put back on the first one.  Frequencies in Hz."""
+def band_pass_rows(rows: list[np.ndarray], fs: float, fs_dec: float = 0.5, passband=(0.005, 0.1), stopband=(0.001, 0.14), ripple: float = 3.0, loss: float = 20.0) -> list[np.ndarray]:
+    """Zero-phase Butterworth band-pass on a coarser grid, put back on the first one.  Frequencies in Hz.
+
+    Rows of any lengths are filtered side by side: a filter only looks back, so what stands after a row's end does not
+    matter, and the way back runs over rows turned about their own ends.
+    """
     nyquist = fs_dec / 2
     order, edges = band_order(tuple(p / nyquist for p in passband), tuple(s / nyquist for s in stopband), ripple, loss)
     sections = butter_band(order, edges)
-    coarse = resample(y, fs, fs_dec, max(2, int(math.ceil(y.shape[1] * fs_dec / fs))))
-    pad = min(int(round(7 / passband[0] * fs_dec / 7)), coarse.shape[1] - 1)
-    wide = _padded(coarse, pad, edge=False)
-    twice = filter_rows(sections, filter_rows(sections, wide)[:, ::-1])[:, ::-1]
-    used = (wide.shape[1] - coarse.shape[1]) // 2
-    return resample(twice[:, used : used + coarse.shape[1]], fs_dec, fs, y.shape[1])
+    wide, used = [], []
+    for y in rows:
+        coarse = resample(y[None, :], fs, fs_dec, max(2, int(math.ceil(len(y) * fs_dec / fs))))
+        w = _padded(coarse, min(int(round(fs_dec / passband[0])), coarse.shape[1] - 1), edge=False)
+        wide.append(w[0])
+        used.append((w.shape[1] - coarse.shape[1]) // 2)
+    sizes = [len(w) for w in wide]
+    matrix = np.zeros((len(rows), max(sizes, default=0)))
+
+    def turned(parts: list[np.ndarray]) -> np.ndarray:
+        for i, w in enumerate(parts):
+            matrix[i, : len(w)], matrix[i, len(w) :] = w[::-1], w[0]
+        return matrix
+
+    once = filter_rows(sections, turned([w[::-1] for w in wide]))
+    twice = filter_rows(sections, turned([once[i, :n] for i, n in enumerate(sizes)]))
+    out = []
+    for i, (y, n, u) in enumerate(zip(rows, sizes, used)):
+        out.append(resample(twice[i, :n][::-1][None, u : n - u], fs_dec, fs, len(y))[0])
+    return out
+
+
+def band_pass(y: np.ndarray, fs: float, **design) -> np.ndarray:
+    """The same for the rows of a matrix."""
+    return np.array(band_pass_rows(list(y), fs, **design))
 
 
 def analytic(y: np.ndarray, fs: float, seconds: float = 10.0) -> np.ndarray:
@@ -164,15 +193,15 @@ def _by_length(rows: list[np.ndarray], kernel: Callable[[np.ndarray], np.ndarray
     return out
 
 
-def _map(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``y`` replaced by the kernel of it."""
+def _map(df: DataFrame, kernel: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """``y`` replaced by the kernel of a batch's rows."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                y = _by_length(_lists(b, "y"), kernel)
+                y = kernel(_lists(b, "y"))
                 at = b.schema.get_field_index("y")
                 yield b.set_column(at, "y", pa.array([v.tolist() for v in y], pa.list_(pa.float64())))
 
@@ -193,11 +222,15 @@ def nuisance(signal: DataFrame, motion: DataFrame, absolute: bool = False) -> Da
 
         for b in batches:
             if b.num_rows:
-                y, out = _lists(b, "y"), []
+                y, out, known = _lists(b, "y"), [], {}
                 regs = [_lists(b, f"_{p}") for p in params]
+                names = b.column(b.schema.get_field_index("session_id")).to_pylist()
                 for i, row in enumerate(y):
-                    x = np.column_stack([r[i] for r in regs])
-                    out.append(residuals(row[None, :], np.column_stack([x, np.abs(x)]) if absolute else x)[0].tolist())
+                    if names[i] not in known:  # one basis for all of a session's series in the batch
+                        x = np.column_stack([r[i] for r in regs])
+                        known[names[i]] = basis(np.column_stack([x, np.abs(x)]) if absolute else x)
+                    q = known[names[i]]
+                    out.append((row - q @ (q.T @ row)).tolist())
                 at = b.schema.get_field_index("y")
                 b = b.set_column(at, "y", pa.array(out, pa.list_(pa.float64())))
                 yield b.select(columns)
@@ -241,11 +274,11 @@ def normalise(signal: DataFrame, fs: float) -> DataFrame:
 
 
 def band_passed(signal: DataFrame, fs: float, **design) -> DataFrame:
-    return _map(signal, lambda y: band_pass(y, fs, **design))
+    return _map(signal, lambda rows: band_pass_rows(rows, fs, **design))
 
 
 def resampled(signal: DataFrame, fs: float, fs_new: float) -> DataFrame:
-    return _map(signal, lambda y: resample(y, fs, fs_new))
+    return _map(signal, lambda rows: _by_length(rows, lambda y: resample(y, fs, fs_new)))
 
 
 def analytic_signal(signal: DataFrame, fs: float) -> DataFrame:
