@@ -17,7 +17,7 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return store.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

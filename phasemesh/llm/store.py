@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 DEFAULT_DIR = "file:///tmp/checkpoints"
 #: Arrow batches are closed at this size, so that long texts do not pile up in a Python worker.
 ARROW_BYTES = 16 << 20
+#: Input bytes for each core under which a table counts as small.
+SMALL_BYTES = 16 << 20
 #: So many ids (16 MB) may be broadcast to pick out rows; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -73,6 +75,15 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores (a file may be one row group, which one task reads) dealt out
+    anew; any other table as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES and len(df.inputFiles()) < cores else df
+
+
 def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose ``key`` is among ``ids(key)``, a saved table: broadcast if it is small, else joined by shuffle."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
