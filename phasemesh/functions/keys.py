@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Form of a session's folder name (fixed value of the data): group, subject, date, time, visit.
+SESSION_NAME = r"^ESO_[CP]\d{5}_\d{8}_\d{4}_\d$"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -13,7 +17,7 @@ def _c(x) -> Column:
 def session_fields(name) -> dict[str, Column]:
     """Fields of a session's folder name: group letter, subject and visit by position; null if it has another form."""
     name = _c(name)
-    good = name.rlike(r"^ESO_[CP]\d{5}_\d{8}_\d{4}_\d$")
+    good = name.rlike(SESSION_NAME)
     return {
         "grp": F.when(good, F.lower(F.substring(name, 5, 1))),
         "subject_id": F.when(good, F.substring(name, 5, 6)),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cplx
 
+#: Labels of the medial wall (fixed values of the atlas).
+MEDIAL_WALL = ("unknown", "corpuscallosum")
+
 
 def explode_obs(obs: DataFrame) -> DataFrame:
     """``(session_id, t, re[], im[])`` -> ``(session_id, t, v, re, im)``."""
@@ -45,7 +48,7 @@ def scatter_full(values: DataFrame, dimension: DataFrame, key: str) -> DataFrame
     return dimension.select(key).join(values, key, "left")
 
 
-def cortex(atlas: DataFrame, outside: tuple[str, ...] = ("unknown", "corpuscallosum")) -> DataFrame:
+def cortex(atlas: DataFrame, outside: tuple[str, ...] = MEDIAL_WALL) -> DataFrame:
     """Vertices outside the medial wall."""
     return atlas.where(~F.col("label").isin(*outside))
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 
+#: Radius in millimetres on which rotations are measured (fixed value of Power's definition).
+RADIUS = 50.0
 PARAMS = ("p1", "p2", "p3", "p4", "p5", "p6")  # three translations, three rotations
 
 
-def framewise_displacement(motion: DataFrame, radius: float = 50.0) -> DataFrame:
+def framewise_displacement(motion: DataFrame, radius: float = RADIUS) -> DataFrame:
     """``session_id, t, fd``: sum of absolute changes of the parameters, rotations as arcs on a sphere of ``radius``.
 
     The first frame of a session has none.  One window over the session's order; nothing else is shuffled.

@@ -12,6 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Band-pass design in Hz and dB, and the grid it works on (fixed values, for results that can be compared).
+PASSBAND, STOPBAND, RIPPLE, LOSS, GRID_HZ = (0.005, 0.1), (0.001, 0.14), 3.0, 20.0, 0.5
+#: Spans of the spectrum's smoothing kernel, share tapered at either end, and the band of the norm (fixed values).
+SPANS, TAPER, NORM_HZ = (3, 5), 0.1, 0.15
+
 # --- kernels ----------------------------------------------------------------------------------------------------------
 
 
@@ -41,7 +46,7 @@ def daniell(spans: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def periodogram(y: np.ndarray, fs: float, spans: tuple[int, ...] = (3, 5), taper: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def periodogram(y: np.ndarray, fs: float, spans: tuple[int, ...] = SPANS, taper: float = TAPER) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed one-sided periodogram of the rows, demeaned and cosine-tapered at both ends; frequencies over 0."""
     n = y.shape[1]
     x = y - y.mean(1, keepdims=True)
@@ -125,7 +130,7 @@ def _padded(y: np.ndarray, n: int, edge: bool) -> np.ndarray:
     return np.concatenate([y[:, 1 : n + 1][:, ::-1], y, y[:, -n - 1 : -1][:, ::-1]], 1)
 
 
-def band_pass_rows(rows: list[np.ndarray], fs: float, fs_dec: float = 0.5, passband=(0.005, 0.1), stopband=(0.001, 0.14), ripple: float = 3.0, loss: float = 20.0) -> list[np.ndarray]:
+def band_pass_rows(rows: list[np.ndarray], fs: float, fs_dec: float = GRID_HZ, passband=PASSBAND, stopband=STOPBAND, ripple: float = RIPPLE, loss: float = LOSS) -> list[np.ndarray]:
     """Zero-phase Butterworth band-pass on a coarser grid, put back on the first one.  Frequencies in Hz.
 
     Rows of any lengths are filtered side by side: a filter only looks back, so what stands after a row's end does not
@@ -263,7 +268,7 @@ def spectra(signal: DataFrame, fs: float) -> DataFrame:
     return sums.groupBy("session_id", "k", "freq").agg((F.sum("sum") / F.sum("n")).alias("psd"))
 
 
-def spectral_norm(signal: DataFrame, fs: float, low: float = 0.0, high: float = 0.15) -> DataFrame:
+def spectral_norm(signal: DataFrame, fs: float, low: float = 0.0, high: float = NORM_HZ) -> DataFrame:
     """``session_id, norm``: root of the power between two frequencies, one number for all series of a session."""
     return spectra(signal, fs).where((F.col("freq") > low) & (F.col("freq") <= high)).groupBy("session_id").agg(F.sqrt(F.sum("psd")).alias("norm"))
 
