@@ -72,6 +72,12 @@ def region_mean(values: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     return values.groupBy("session_id", "t").agg(F.avg("fd").alias("mean_fd"))
 
 
+def region_means(values: DataFrame, mask: DataFrame) -> DataFrame:
+    """Means over all voxels (``whole``) and over those with ``mask > 0`` (``region``) in one pass over the values."""
+    met = values.join(mask.select("i", "j", "k", "mask"), ["i", "j", "k"], "left")
+    return met.groupBy("session_id", "t").agg(F.avg("fd").alias("whole"), F.avg(F.when(F.col("mask") > 0, F.col("fd"))).alias("region"))
+
+
 def brain_mask(volume: DataFrame) -> DataFrame:
     """Voxels whose mean over time is over 0."""
     total = F.aggregate("y", F.lit(0.0), lambda a, x: a + x)

@@ -64,12 +64,16 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     return motion.first_rows(e, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
+def _grid(df: DataFrame) -> DataFrame:
+    for a in "ijk":
+        df = df.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return df
+
+
 def _voxels(spark, d) -> DataFrame:
     m = inputs.motion(spark, d)
-    grid = m.select("session_id").distinct()
-    for a in "ijk":
-        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(2))))
-    return motion.voxel_displacement(grid, m, AFFINE)
+    sessions = inputs.table(spark, d, "supplier").select(F.col("s_suppkey").alias("session_id"))
+    return motion.voxel_displacement(_grid(sessions), m, AFFINE)
 
 
 def voxel_fd(spark: SparkSession, d: str) -> DataFrame:
@@ -79,11 +83,10 @@ def voxel_fd(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roi_mean(spark: SparkSession, d: str) -> DataFrame:
-    fd = _voxels(spark, d)
-    mask = fd.select("i", "j", "k").distinct().withColumn("mask", F.when((F.col("i") + F.col("j") + F.col("k")) % 2 == 0, 1.0).otherwise(0.0))
-    whole = motion.region_mean(fd).withColumnRenamed("mean_fd", "whole")
-    part = motion.region_mean(fd, mask).withColumnRenamed("mean_fd", "region")
-    return whole.join(part, ["session_id", "t"]).select(F.col("session_id").alias("subj"), "t", F.round("whole", 7).alias("whole"), F.round("region", 7).alias("region"))
+    odd = (F.col("i") + F.col("j") + F.col("k")) % 2
+    mask = _grid(spark.range(1)).select("i", "j", "k", F.when(odd == 0, 1.0).otherwise(0.0).alias("mask"))
+    m = motion.region_means(_voxels(spark, d), mask)
+    return m.select(F.col("session_id").alias("subj"), "t", F.round("whole", 7).alias("whole"), F.round("region", 7).alias("region"))
 
 
 def fd_hist(spark: SparkSession, d: str) -> DataFrame:

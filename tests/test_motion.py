@@ -42,6 +42,8 @@ def test_region_mean_with_mask(spark):
     mask = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 0, 0.0)], "i int, j int, k int, mask double")
     assert motion.region_mean(v).first().mean_fd == 2.0
     assert motion.region_mean(v, mask).first().mean_fd == 1.0
+    both = motion.region_means(v, mask).first()
+    assert (both.whole, both.region) == (2.0, 1.0)
 
 
 def test_duplicate_pivot_key_fails(spark):
