@@ -21,7 +21,7 @@ WORD_BITS, FORM_BITS = 17, 16
 SIZE = (1 << WORD_BITS) + 4 * (1 << FORM_BITS)
 #: The model is fitted on at most about so many labelled texts, chosen by a hash of their doc_id; they are read whole.
 LEARN_ROWS = 8_000
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 EPOCHS, COST, SHARPNESS = 20, 1.0, 4.0
 
 _WORDS: dict[str, int] = {}

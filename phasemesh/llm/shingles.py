@@ -8,7 +8,7 @@ import xxhash
 from . import store
 
 WIDTH = 5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Shingles that are permuted at a time.
 PIECE = 4096
 _WORDS: dict[bytes, int] = {}

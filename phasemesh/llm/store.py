@@ -48,6 +48,19 @@ def claim(name: str, clear: Callable[[], None]) -> None:
             if other != name:
                 empty()
         _OWNER[:] = [name]
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory of this process to the system, where its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def bounded_batches(spark: SparkSession) -> None:
