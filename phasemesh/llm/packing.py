@@ -104,6 +104,32 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], width: int = W
     return kept[:width]
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> Plan:
+    """Best-fit decreasing on the histogram: pieces of a size go to the fullest bins that have room, bins alike together."""
+    rooms: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
+    for s in sorted(counts, reverse=True):
+        n = counts[s]
+        while n:
+            room = min((r for r in rooms if r >= s), default=None)
+            if room is None:
+                per = min(capacity // s, n)
+                times, items = n // per, ((s, per),)
+                n -= times * per
+                left = capacity - per * s
+            else:
+                have, items = rooms[room].pop()
+                times = min(n, have)
+                if have > times:
+                    rooms[room].append((have - times, items))
+                if not rooms[room]:
+                    del rooms[room]
+                n -= times
+                items = (*items[:-1], (s, items[-1][1] + 1)) if items[-1][0] == s else (*items, (s, 1))
+                left = room - s
+            rooms.setdefault(left, []).append((times, items))
+    return [bins for group in rooms.values() for bins in group]
+
+
 def plan(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
     """Bins as (how many alike, ((size, pieces of it), ...)).  ``counts``: pieces by size, all of 1 to ``capacity``."""
     counts = {int(s): int(c) for s, c in counts.items() if c}
@@ -112,8 +138,10 @@ def plan(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError("sizes must be from 1 to the capacity")
     total, least = sum(s * c for s, c in counts.items()), lower_bound(counts, capacity)
-    best: Plan | None = None
-    best_bins, left = 0, steps
+    best, left = best_fit(counts, capacity), steps
+    best_bins = sum(t for t, _ in best)
+    if best_bins == least:
+        return best
     path: list[tuple[int, tuple[tuple[int, int], ...], int]] = []
     sizes = sorted(counts, reverse=True)
 
@@ -141,7 +169,7 @@ def plan(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
         times = min(counts[s] // n for s, n in items)
         lost = times * (capacity - sum(filling))
         left -= 1
-        if best is not None and (left < 0 or waste + lost > (best_bins - 1) * capacity - total):
+        if left < 0 or waste + lost > (best_bins - 1) * capacity - total:
             if left < 0:
                 break
             continue
@@ -157,32 +185,7 @@ def plan(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
         if best_bins == least:
             break
         stack.append([])
-    return best or []
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> int:
-    """Bins of plain best-fit decreasing on the histogram, for comparison."""
-    open_bins: dict[int, int] = {}
-    used = 0
-    for s in sorted(counts, reverse=True):
-        n = counts[s]
-        while n:
-            room = min((r for r, c in open_bins.items() if c and r >= s), default=None)
-            if room is None:
-                per = capacity // s
-                full, n = n // per, n % per
-                used += full
-                open_bins[capacity - per * s] = open_bins.get(capacity - per * s, 0) + full
-                if n:
-                    used += 1
-                    open_bins[capacity - n * s] = open_bins.get(capacity - n * s, 0) + 1
-                    n = 0
-            else:
-                k = min(n, open_bins[room])
-                open_bins[room] -= k
-                open_bins[room - s] = open_bins.get(room - s, 0) + k
-                n -= k
-    return used
+    return best
 
 
 class Places:
