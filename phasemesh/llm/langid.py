@@ -4,6 +4,9 @@ Each word gets a log-likelihood under every language from hashed character n-gra
 script of its letters leaves only the languages written in that script.  A text's words are then labelled by the best
 path through languages, where every change of language costs a penalty; so short foreign passages become spans of their
 own and single odd words do not.  The text's language is the one with most letters.
+
+A word is what stands between white space; one of more than ``LONGEST`` letters, as scripts without spaces have them, is
+cut into pieces that are scored and labelled as words of their own, so that every letter is read.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ BUCKETS, ORDERS = 1 << 16, (1, 2, 3, 4)
 LEARN_ROWS, LANGUAGES = 6_000, 64
 PENALTY, SMOOTHING, FOREIGN = 12.0, 0.5, 60.0
 MEMO_WORDS, LONGEST = 150_000, 64
-#: Words labelled together.
-BATCH_WORDS = 1_000_000
+#: Words labelled together, and letters whose n-grams are held at once.
+BATCH_WORDS, LOT_LETTERS = 1_000_000, 400_000
 
 #: Code point ranges of scripts (fixed values, from the Unicode blocks).
 SCRIPTS = (
@@ -56,6 +59,28 @@ def _letters(word: str) -> str:
     return "".join([c if c.isalpha() else " " for c in word]).strip().lower()
 
 
+def pieces(letters: str) -> list[str]:
+    """A word's letters, cut if they are more than LONGEST: where the script changes, and after every LONGEST letters."""
+    if len(letters) <= LONGEST:
+        return [letters]
+    script = script_of(np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), "<u4"))
+    known = np.maximum.accumulate(np.where(script >= 0, np.arange(len(script)), 0))  # letters of other scripts stay with those before them
+    edges = [0, *(np.flatnonzero(np.diff(script[known])) + 1).tolist(), len(letters)]
+    return [letters[k : min(k + LONGEST, b)] for a, b in zip(edges, edges[1:]) for k in range(a, b, LONGEST)]
+
+
+def _lots(words: list[str], letters: int):
+    """Slices of words with about so many letters each."""
+    held = first = 0
+    for i, w in enumerate(words):
+        held += len(w)
+        if held >= letters:
+            yield slice(first, i + 1)
+            held, first = 0, i + 1
+    if first < len(words):
+        yield slice(first, len(words))
+
+
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of words of letters: the word's number, the order's number and the bucket of each.
 
@@ -116,15 +141,13 @@ class _Count:
                         words[w] = words.get(w, 0) + 1
                 for lang, words in by.items():
                     total = totals.setdefault(lang, np.zeros(len(ORDERS) * BUCKETS + len(SCRIPTS), np.int64))
-                    kept = [(x[:LONGEST], n) for w, n in words.items() if (x := _letters(w))]
-                    if not kept:
-                        continue
-                    count = np.array([n for _, n in kept])
-                    word, order, bucket = ngrams([w.replace(" ", "") for w, _ in kept])
-                    total[: len(ORDERS) * BUCKETS] += np.bincount(order * BUCKETS + bucket, count[word], len(ORDERS) * BUCKETS).astype(np.int64)
-                    cp = np.frombuffer("".join(w.replace(" ", "") for w, _ in kept).encode("utf-32-le", "surrogatepass"), "<u4")
-                    script = script_of(cp)
-                    total[len(ORDERS) * BUCKETS :] += np.bincount(script[script >= 0], minlength=len(SCRIPTS))
+                    kept = [(p, n) for w, n in words.items() if (x := _letters(w)) for p in pieces(x.replace(" ", ""))]
+                    for lot in _lots([w for w, _ in kept], LOT_LETTERS):
+                        plain, count = [w for w, _ in kept[lot]], np.array([n for _, n in kept[lot]])
+                        word, order, bucket = ngrams(plain)
+                        total[: len(ORDERS) * BUCKETS] += np.bincount(order * BUCKETS + bucket, count[word], len(ORDERS) * BUCKETS).astype(np.int64)
+                        script = script_of(np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4"))
+                        total[len(ORDERS) * BUCKETS :] += np.bincount(script[script >= 0], minlength=len(SCRIPTS))
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["lang", "slot", "n"])
@@ -166,61 +189,79 @@ class Labeller:
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, int] = {}  # the row of a word, or -1 - k for the k-th of the runs
+        self.runs: list[tuple[int, int]] = []  # the first row and the number of pieces of words that are cut
         n = len(self.model.languages)
         self.scores, self.letters = np.zeros((1024, n), np.float32), np.zeros(1024, np.int32)
         self.used = 1  # row 0: words without letters
 
     def _add(self, words: list[str]) -> None:
-        """Scores of new words.  Letters count up to LONGEST for a word's score, all for its weight."""
-        bare = [_letters(w) for w in words]
-        real = [(w, b) for w, b in zip(words, bare) if b]
-        for w, b in zip(words, bare):
-            if not b:
+        """Scores of new words, piece by piece."""
+        plain: list[str] = []
+        for w in words:
+            bare = _letters(w)
+            if not bare:
                 self.memo[w] = 0
-        if not real:
-            return
-        n = len(real)
-        while self.used + n > len(self.letters):
+                continue
+            cut = pieces(bare.replace(" ", ""))
+            if len(cut) == 1:
+                self.memo[w] = self.used + len(plain)
+            else:
+                self.memo[w] = -1 - len(self.runs)
+                self.runs.append((self.used + len(plain), len(cut)))
+            plain += cut
+        while self.used + len(plain) > len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        plain = [b.replace(" ", "") for _, b in real]
-        short = [b[:LONGEST] for b in plain]
-        word, order, bucket = ngrams(short)
+        for lot in _lots(plain, LOT_LETTERS):
+            some = plain[lot]
+            rows = slice(self.used, self.used + len(some))
+            self.scores[rows], self.letters[rows] = self._score(some), [len(p) for p in some]
+            self.used += len(some)
+
+    def _score(self, plain: list[str]) -> np.ndarray:
+        n = len(plain)
+        word, order, bucket = ngrams(plain)
         values = self.model.logp[order, bucket]
         score = np.stack([np.bincount(word, values[:, k], n) for k in range(values.shape[1])], 1) / len(ORDERS)
-        cp = np.frombuffer("".join(short).encode("utf-32-le", "surrogatepass"), "<u4")
-        owner = np.repeat(np.arange(n), [len(s) for s in short])
+        cp = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4")
+        owner = np.repeat(np.arange(n), [len(s) for s in plain])
         script = script_of(cp)
         seen = np.bincount(owner[script >= 0] * len(SCRIPTS) + script[script >= 0], minlength=n * len(SCRIPTS)).reshape(n, -1)
         main = np.where(seen.any(1), seen.argmax(1), -1)
         allowed = self.model.scripts.T[main]
         allowed[(main < 0) | ~allowed.any(1)] = True
-        score -= np.where(allowed, 0.0, FOREIGN)
-        rows = slice(self.used, self.used + n)
-        self.scores[rows], self.letters[rows] = score, [len(b) for b in plain]
-        for i, (w, _) in enumerate(real):
-            self.memo[w] = self.used + i
-        self.used += n
-
-    def rows(self, text: str | None) -> list[int]:
-        """The score row of every word between white space."""
+        return score - np.where(allowed, 0.0, FOREIGN)
+
+    def rows(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """For every word with letters between white space, or each piece of one that is cut: its score row, and the
+        word's number.
+        """
         words = (text or "").split() if self.model.languages else []
         found = list(map(self.memo.get, words))
         if None in found:
             self._add(list(dict.fromkeys(w for w, f in zip(words, found) if f is None)))
             found = list(map(self.memo.__getitem__, words))
-        return found
-
-    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the places of its words with letters, and their languages by number."""
+        row = np.array(found, np.int32)
+        place = np.flatnonzero(row)
+        row = row[place]
+        cut = np.flatnonzero(row < 0)
+        if len(cut):
+            first, size = row.copy(), np.ones(len(row), np.int64)
+            first[cut], size[cut] = np.array([self.runs[-1 - k] for k in row[cut].tolist()]).T
+            row = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            place = np.repeat(place, size)
+        return row, place
+
+    def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its words with letters (one of more than LONGEST stands once for each of its pieces): their
+        places, their languages by number, and how many letters they have.
+        """
         if self.used > MEMO_WORDS:
             self.reset()
-        rows = [np.array(self.rows(t), np.int32) for t in texts]
-        places = [np.flatnonzero(r) for r in rows]
-        labels = viterbi([r[p] for r, p in zip(rows, places)], self.scores, self.model.penalty)
-        self.last_rows = rows
-        return list(zip(places, labels))
+        found = [self.rows(t) for t in texts]
+        labels = viterbi([r for r, _ in found], self.scores, self.model.penalty)
+        return [(p, said, self.letters[r]) for (r, p), said in zip(found, labels)]
 
 
 def viterbi(sequences: list[np.ndarray], scores: np.ndarray, penalty: float) -> list[np.ndarray]:
@@ -310,9 +351,8 @@ class _Predict:
             done = 0
             for texts, _ in _batches(batch, self.at):
                 found, score = [], []
-                marked = labeller.label(texts)
-                for row, (places, labels) in zip(labeller.last_rows, marked):
-                    weight = np.bincount(labels, labeller.letters[row[places]], n) if n and len(places) else None
+                for places, labels, letters in labeller.label(texts):
+                    weight = np.bincount(labels, letters, n) if n and len(places) else None
                     if weight is None or not weight.sum():
                         found.append("und")
                         score.append(0.0)
@@ -339,7 +379,7 @@ class _Spans:
                 key, lang, first, last = [], [], [], []
                 if not model.languages:
                     continue
-                for i, (places, labels) in zip(rows, labeller.label(texts)):
+                for i, (places, labels, _) in zip(rows, labeller.label(texts)):
                     if len(places):
                         cuts = np.flatnonzero(np.diff(labels)) + 1
                         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(labels)]):
@@ -371,7 +411,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 
 def spans(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """``key, lang, first_word, last_word``: the spans of one language; words are numbered between white space from 0."""
+    """``key, lang, first_word, last_word``: the spans of one language; words are numbered between white space from 0.
+
+    A word of more than LONGEST letters in which the language changes ends one span and begins the next.
+    """
     spark = docs.sparkSession
     store.bounded_batches(spark)
     kind = dict(docs.dtypes)[key]

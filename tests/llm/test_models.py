@@ -48,6 +48,22 @@ def test_spans(spark, docs, model):
     assert spans == [("en", 0, n - 1), ("de", n + 1, n + m), ("ru", n + m + 1, n + m + k)]
 
 
+def test_every_letter_of_text_without_spaces_is_read(spark, docs, model):
+    rng = np.random.default_rng(3)
+    glued = {lang: "".join(rng.permutation(text.split() * 200)) for lang, text in (("en", EN), ("de", DE), ("ru", RU))}
+    texts = [EN.replace(" ", "")[:64] + glued[k] for k in ("de", "ru")] + [glued["de"] + " " + EN, glued["ru"][:3000] + glued["en"]]
+    rows = langid.predict(docs(*texts), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows] == ["de", "ru", "de", "en"]
+    assert rows[1].score == pytest.approx(1 - 64 / len(texts[1]), abs=1e-9)  # cut where the script changes
+    assert rows[3].score == pytest.approx(1 - 3000 / len(texts[3]), abs=0.02)
+    spans = [(r.lang, r.first_word, r.last_word) for r in langid.spans(docs(f"{EN} {glued['ru']}{glued['en']} {EN}"), model).collect()]
+    n = len(EN.split())
+    assert spans == [("en", 0, n - 1), ("ru", n, n), ("en", n, 2 * n)]
+    assert [len(p) for p in langid.pieces("a" * 130 + "\u0431" * 3 + "\u13a0" + "a")] == [64, 64, 2, 4, 1]
+    learned = langid.learn(spark.createDataFrame([(0, "a" * 64 + glued["ru"], "x"), (1, "a" * 64 + glued["de"], "y")], "doc_id long, text string, lang string"))
+    assert [r.lang_pred for r in langid.predict(docs(RU, DE), learned).orderBy("doc_id").collect()] == ["x", "y"]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     scores = rng.standard_normal((9, 3)).astype(np.float32) * 2
