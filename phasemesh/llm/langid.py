@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from . import store
 
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3, 4)
-#: At most about so many labelled texts are learned from, chosen by a hash of their doc_id, and so many languages.
-LEARN_ROWS, LANGUAGES = 6_000, 64
+#: At most about so many labelled texts are learned from, chosen by a hash of their doc_id.
+LEARN_ROWS = 6_000
 PENALTY, SMOOTHING, FOREIGN = 12.0, 0.5, 60.0
 MEMO_WORDS, LONGEST = 150_000, 64
 #: Words labelled together, and letters whose n-grams are held at once.
 BATCH_WORDS, LOT_LETTERS = 1_000_000, 400_000
+#: Up to so many languages have a dense table, and their counts are held at once; with more, what is held together by
+#: language (memo, batches, lots) shrinks in proportion.
+DENSE = 64
 
 #: Code point ranges of scripts (fixed values, from the Unicode blocks).
 SCRIPTS = (
@@ -113,16 +116,51 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_w), np.concatenate(out_o), np.concatenate(out_b)
 
 
+def share(n: int, languages: int) -> int:
+    """``n``, made smaller in proportion where there are more languages than DENSE."""
+    return max(1, n * DENSE // max(languages, DENSE))
+
+
 @dataclass
 class Model:
-    """``logp[order, bucket, language]``, and which scripts each language is written in."""
+    """Log-likelihoods of n-grams, and which scripts each language is written in.
+
+    ``base[order, language]`` is that of an n-gram never heard; ``gain`` is what one heard has more, for the languages
+    ``which`` of slot ``order * BUCKETS + bucket`` at ``start[slot]`` to ``start[slot + 1]``.  Its size is that of what
+    was heard, for any number of languages.
+    """
 
     languages: list[str]
-    logp: np.ndarray
+    base: np.ndarray
+    start: np.ndarray
+    which: np.ndarray
+    gain: np.ndarray
     scripts: np.ndarray
     penalty: float = PENALTY
     key: str = field(default="")
 
+    def dense(self) -> np.ndarray | None:
+        """``[order, bucket, language]``, if there are at most DENSE languages."""
+        n = len(self.languages)
+        if not 0 < n <= DENSE:
+            return None
+        table = np.repeat(self.base.astype(np.float32)[:, None, :], BUCKETS, 1)
+        slot = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        table.reshape(-1, n)[slot, self.which] += self.gain
+        return table
+
+    def score(self, word: np.ndarray, order: np.ndarray, bucket: np.ndarray, words: int, dense: np.ndarray | None) -> np.ndarray:
+        """Sums of log-likelihoods ``[word, language]`` of the n-grams."""
+        n = len(self.languages)
+        if dense is not None:
+            values = dense[order, bucket]
+            return np.stack([np.bincount(word, values[:, k], words) for k in range(n)], 1)
+        slot = order * BUCKETS + bucket
+        size = self.start[slot + 1] - self.start[slot]
+        at = np.repeat(self.start[slot] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        heard = np.bincount(np.repeat(word, size) * n + self.which[at], self.gain[at], words * n).reshape(words, n)
+        return np.bincount(word * len(ORDERS) + order, minlength=words * len(ORDERS)).reshape(words, -1) @ self.base + heard
+
 
 class _Count:
     """Counts of n-grams and of scripts' letters by language."""
@@ -131,6 +169,13 @@ class _Count:
         import pyarrow as pa
 
         totals: dict[str, np.ndarray] = {}
+
+        def drain():
+            for lang, total in totals.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["lang", "slot", "n"])
+            totals.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
@@ -140,6 +185,8 @@ class _Count:
                     for w in (text or "").split():
                         words[w] = words.get(w, 0) + 1
                 for lang, words in by.items():
+                    if lang not in totals and len(totals) == DENSE:
+                        yield from drain()
                     total = totals.setdefault(lang, np.zeros(len(ORDERS) * BUCKETS + len(SCRIPTS), np.int64))
                     kept = [(p, n) for w, n in words.items() if (x := _letters(w)) for p in pieces(x.replace(" ", ""))]
                     for lot in _lots([w for w, _ in kept], LOT_LETTERS):
@@ -148,37 +195,36 @@ class _Count:
                         total[: len(ORDERS) * BUCKETS] += np.bincount(order * BUCKETS + bucket, count[word], len(ORDERS) * BUCKETS).astype(np.int64)
                         script = script_of(np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4"))
                         total[len(ORDERS) * BUCKETS :] += np.bincount(script[script >= 0], minlength=len(SCRIPTS))
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["lang", "slot", "n"])
+        yield from drain()
 
 
 def learn(docs: DataFrame, rows: int = LEARN_ROWS, penalty: float = PENALTY) -> Model:
     """A model from ``docs(doc_id, text, lang)``; rows without text or language are left out.
 
-    About ``rows`` texts are used, those whose doc_id has the lowest hash, whole; and the ``LANGUAGES`` languages with most
-    of them.  What reaches the driver is one number for each language and n-gram bucket at most.
+    About ``rows`` texts are used, those whose doc_id has the lowest hash, whole, and every language that they hold.  What
+    reaches the driver is one number for each language and n-gram bucket heard.
     """
     total = docs.where("lang is not null").count()  # without a look at the texts
     known = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    share = 1.0 if total <= rows else rows / total
-    known = known.where(F.pmod("h", F.lit(1_000_003)) < int(share * 1_000_003) + 1)
+    part = 1.0 if total <= rows else rows / total
+    known = known.where(F.pmod("h", F.lit(1_000_003)) < int(part * 1_000_003) + 1)
     counts = known.select("text", "lang").mapInArrow(_Count(), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
     size = len(ORDERS) * BUCKETS
-    heard = found[found["slot"] < size].groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable")
-    languages = sorted(heard.index[:LANGUAGES].tolist())
-    table = np.zeros((len(languages), size + len(SCRIPTS)))
-    where = {x: i for i, x in enumerate(languages)}
-    found = found[found["lang"].isin(languages)]
-    table[found["lang"].map(where).to_numpy(np.int64), found["slot"].to_numpy(np.int64)] = found["n"].to_numpy()
-    grams = table[:, :size].reshape(len(languages), len(ORDERS), BUCKETS) + SMOOTHING
-    logp = np.log(grams / grams.sum(2, keepdims=True)).transpose(1, 2, 0).astype(np.float32).copy()
-    letters = table[:, size:]
+    languages = sorted(found.loc[found["slot"] < size, "lang"].unique().tolist())
+    found = found.assign(lang=found["lang"].map({x: i for i, x in enumerate(languages)}).astype(np.int64)).sort_values(["slot", "lang"])
+    lang, slot, n = (found[c].to_numpy(np.int64) for c in ("lang", "slot", "n"))
+    grams = slot < size
+    heard = np.bincount(slot[grams] // BUCKETS * len(languages) + lang[grams], n[grams], len(ORDERS) * len(languages)).reshape(len(ORDERS), len(languages))
+    base = np.log(SMOOTHING / (heard + SMOOTHING * BUCKETS))
+    gain = np.log1p(n[grams] / SMOOTHING).astype(np.float32)
+    start = np.searchsorted(slot[grams], np.arange(size + 1))
+    letters = np.zeros((len(languages), len(SCRIPTS)))
+    letters[lang[~grams], slot[~grams] - size] = n[~grams]
     scripts = letters >= np.maximum(1, 0.01 * letters.sum(1, keepdims=True))
     import uuid
 
-    return Model(languages, logp, scripts, penalty, uuid.uuid4().hex)
+    return Model(languages, base, start, lang[grams].astype(np.int32), gain, scripts, penalty, uuid.uuid4().hex)
 
 
 class Labeller:
@@ -186,6 +232,7 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model = model
+        self.dense = model.dense()
         self.reset()
 
     def reset(self) -> None:
@@ -213,7 +260,7 @@ class Labeller:
         while self.used + len(plain) > len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        for lot in _lots(plain, LOT_LETTERS):
+        for lot in _lots(plain, share(LOT_LETTERS, len(self.model.languages))):
             some = plain[lot]
             rows = slice(self.used, self.used + len(some))
             self.scores[rows], self.letters[rows] = self._score(some), [len(p) for p in some]
@@ -222,8 +269,7 @@ class Labeller:
     def _score(self, plain: list[str]) -> np.ndarray:
         n = len(plain)
         word, order, bucket = ngrams(plain)
-        values = self.model.logp[order, bucket]
-        score = np.stack([np.bincount(word, values[:, k], n) for k in range(values.shape[1])], 1) / len(ORDERS)
+        score = self.model.score(word, order, bucket, n, self.dense) / len(ORDERS)
         cp = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4")
         owner = np.repeat(np.arange(n), [len(s) for s in plain])
         script = script_of(cp)
@@ -257,7 +303,7 @@ class Labeller:
         """For each text its words with letters (one of more than LONGEST stands once for each of its pieces): their
         places, their languages by number, and how many letters they have.
         """
-        if self.used > MEMO_WORDS:
+        if self.used > share(MEMO_WORDS, len(self.model.languages)):
             self.reset()
         found = [self.rows(t) for t in texts]
         labels = viterbi([r for r, _ in found], self.scores, self.model.penalty)
@@ -271,17 +317,18 @@ def viterbi(sequences: list[np.ndarray], scores: np.ndarray, penalty: float) ->
     """
     size = np.array([len(s) for s in sequences], np.int64)
     total, n = int(size.sum()), scores.shape[1]
+    kind = np.min_scalar_type(-max(n, 1))  # the smallest signed type that holds all labels
     if not total or not n:
-        return [np.zeros(len(s), np.int8) for s in sequences]
+        return [np.zeros(len(s), kind) for s in sequences]
     order = np.argsort(-size, kind="stable")
     start = (np.cumsum(size) - size)[order]
     flat = np.concatenate(sequences)
     longest = int(size.max())
     active = np.searchsorted(-size[order], -np.arange(longest), "left")  # sequences longer than t
-    back = np.empty((total, n), np.int8)
-    own = np.arange(n, dtype=np.int8)
+    back = np.empty((total, n), kind)
+    own = np.arange(n, dtype=kind)
     score = scores[flat[start[: active[0]]]].astype(np.float64)
-    final = np.empty(len(sequences), np.int8)
+    final = np.empty(len(sequences), kind)
     for t in range(1, longest):
         k = active[t]
         if k < len(score):
@@ -294,8 +341,8 @@ def viterbi(sequences: list[np.ndarray], scores: np.ndarray, penalty: float) ->
         back[at] = np.where(stay, own, best[:, None])
         score = np.where(stay, score, top) + scores[flat[at]]
     final[: len(score)] = score.argmax(1)
-    out = np.empty(total, np.int8)
-    state = np.empty(len(sequences), np.int8)
+    out = np.empty(total, kind)
+    state = np.empty(len(sequences), kind)
     known = 0
     for t in range(longest - 1, -1, -1):
         k = active[t]
@@ -321,7 +368,7 @@ def _labeller(model: Model) -> Labeller:
     return _LABELLERS[model.key]
 
 
-def _batches(batch, at: int):
+def _batches(batch, at: int, languages: int):
     """Texts in lots of bounded size."""
     texts, rows, held = [], [], 0
     for i, text in enumerate(batch.column(at)):
@@ -329,7 +376,7 @@ def _batches(batch, at: int):
         texts.append(text)
         rows.append(i)
         held += len(text or "") // 5
-        if held > BATCH_WORDS:
+        if held > share(BATCH_WORDS, languages):
             yield texts, rows
             texts, rows, held = [], [], 0
     if texts:
@@ -349,7 +396,7 @@ class _Predict:
         labeller, n = _labeller(model), len(model.languages)
         for batch in batches:
             done = 0
-            for texts, _ in _batches(batch, self.at):
+            for texts, _ in _batches(batch, self.at, n):
                 found, score = [], []
                 for places, labels, letters in labeller.label(texts):
                     weight = np.bincount(labels, letters, n) if n and len(places) else None
@@ -375,7 +422,7 @@ class _Spans:
         model = self.model.value
         labeller = _labeller(model)
         for batch in batches:
-            for texts, rows in _batches(batch, 1):
+            for texts, rows in _batches(batch, 1, len(model.languages)):
                 key, lang, first, last = [], [], [], []
                 if not model.languages:
                     continue

@@ -64,6 +64,21 @@ def test_every_letter_of_text_without_spaces_is_read(spark, docs, model):
     assert [r.lang_pred for r in langid.predict(docs(RU, DE), learned).orderBy("doc_id").collect()] == ["x", "y"]
 
 
+def test_every_language_learned_can_be_named(spark, docs, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for _ in range(150)]
+    rows = [(i, " ".join(w * (1 + i % 3)), f"l{i:03}") for i, w in enumerate(words)]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned.languages == [r[2] for r in rows]
+    texts = [" ".join(rng.permutation(w)) for w in words]
+    found = langid.predict(docs(*texts), learned).orderBy("doc_id").collect()
+    assert [(r.lang_pred, r.score) for r in found] == [(r[2], 1.0) for r in rows]
+    plain = [w for some in words for w in some]
+    sparse = langid.Labeller(learned)._score(plain)
+    monkeypatch.setattr(langid, "DENSE", 200)
+    assert np.allclose(langid.Labeller(learned)._score(plain), sparse, atol=1e-4)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     scores = rng.standard_normal((9, 3)).astype(np.float32) * 2
