@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import covertree, langid, minmax, mixing, oracles, packing, quality, rules, store, token_files, tokens, urls, warc
 
@@ -27,7 +28,11 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.replicate(docs, alpha=0.5, epochs=1.0, seed=7).select("doc_id", "source", "part", "copy", "shuffle_key")
+    crc = F.crc32(F.col("text").cast("binary"))
+    # the whole copies are shuffled and written; a row is given only for a copy whose text was read back as it was sent
+    mixed = store.save(mixing.replicate(docs.withColumn("crc", crc), alpha=0.5, epochs=1.0, seed=7), "mixed")
+    key = F.when(crc.eqNullSafe(F.col("crc")), F.col("shuffle_key")).otherwise(F.raise_error(F.lit("a copy's text has changed")))
+    return mixed.select("doc_id", "source", "part", "copy", key.alias("shuffle_key")).orderBy("shuffle_key", "doc_id")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

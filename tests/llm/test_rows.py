@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from phasemesh.llm import mixing, rules, urls, warc
+from phasemesh.llm import mixing, queries, rules, store, urls, warc
 
 # --- archives ---------------------------------------------------------------------------------------------------------
 
@@ -121,6 +121,17 @@ def test_large_rates_are_split(spark):
     assert len({(r.doc_id, r.part, r.copy) for r in rows}) == len(rows)
 
 
+def test_the_mixing_query_shuffles_whole_documents(spark, tiny, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "root", lambda spark: f"file://{tmp_path}")
+    rows = queries.op2_poisson_mix(spark, tiny).collect()
+    (made,) = tmp_path.glob("mixed-*")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    files = [spark.read.parquet(str(p)).collect() for p in sorted(made.glob("*.parquet"))]
+    held = [r for f in files for r in f]
+    assert [(r.doc_id, r.source, r.part, r.copy, r.shuffle_key) for r in held] == [tuple(r) for r in rows]  # in shuffled order
+    assert all(r.text == texts[r.doc_id] for r in held) and any(r.text for r in held)
+
+
 def test_mixing_odd_rows(spark, docs):
     d = docs("a b c", None, "", "long " * 9000, "a b c", ids=[0, 1, None, 3, 0])
     rows = mixing.replicate(d, alpha=1.0, epochs=3.0, seed=2).collect()
