@@ -4,13 +4,18 @@ Only the lengths of the pieces matter for how few sequences hold them, and there
 the search runs on the histogram of lengths: it takes the largest piece left, enumerates the undominated fillings of
 the room beside it, applies the chosen filling as often as the histogram allows, and goes on.  Branches are cut when
 the room wasted so far exceeds what a better solution than the incumbent may waste; the incumbent is at first the
-best-fit packing.  The plan (a few thousand rows at most, whatever the input) then gives each piece its sequence by its
+best-fit packing.  A first search tries a few fillings beside each largest piece; if it meets no lower bound, a second
+one goes through all undominated fillings, applied once as well as often, and so ends with a proof unless its steps run
+out.  The plan (a few thousand rows at most, whatever the input) then gives each piece its sequence by its
 rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import store, tokens
 
-#: Fillings tried beside a largest piece, and steps the search takes in all before the incumbent stands.
+#: Fillings tried beside a largest piece by the first search, and steps each search takes before the incumbent stands.
 WIDTH, STEPS = 6, 60_000
 
 Plan = list[tuple[int, tuple[tuple[int, int], ...]]]
@@ -104,6 +109,53 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], width: int = W
     return kept[:width]
 
 
+def sums(room: int, sizes: list[int], have: list[int]) -> Iterator[tuple[int, ...] | None]:
+    """Every choice of pieces with just the sum ``room``, larger ones first; None for each step between.  ``sizes``:
+    descending, ``have``: pieces of each.
+    """
+    below = [-s for s in sizes]
+    rest = list(accumulate([s * n for s, n in zip(reversed(sizes), reversed(have))]))[::-1]
+    chosen: list[int] = []
+    used = [0] * len(sizes)
+    k, left = 0, room
+    while True:
+        if not left:
+            yield tuple(sizes[j] for j in chosen)
+            k = len(sizes)
+        yield None
+        k = max(k, bisect_left(below, -left))
+        if k < len(sizes) and used[k] == have[k]:
+            k += 1
+        if k < len(sizes) and rest[k] >= left:
+            chosen.append(k)
+            used[k] += 1
+            left -= sizes[k]
+        elif chosen:
+            k = chosen.pop()
+            used[k] -= 1
+            left += sizes[k]
+            k += 1
+        else:
+            return
+
+
+def all_fillings(room: int, sizes: list[int], have: list[int], spare: Callable[[], int]) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of ``room`` that wastes at most ``spare()``, fullest first; None for each step between."""
+    kept: list[tuple[int, ...]] = []
+    at = dict(zip(sizes, range(len(sizes))))
+    lost = 0
+    while lost <= min(room, spare()):
+        for f in sums(room - lost, sizes, have):
+            if f is None:
+                yield None
+            elif any(have[at[s]] > f.count(s) for s in sizes[bisect_left(sizes, -lost, key=lambda s: -s) :]):
+                continue  # another piece fits
+            elif not any(_dominates(k, f) for k in kept if len(f) <= 12):
+                kept.append(f)
+                yield f
+        lost += 1
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing on the histogram: pieces of a size go to the fullest bins that have room, bins alike together."""
     rooms: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
@@ -132,30 +184,56 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
 
 def plan(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
     """Bins as (how many alike, ((size, pieces of it), ...)).  ``counts``: pieces by size, all of 1 to ``capacity``."""
+    return search(counts, capacity, steps)[0]
+
+
+def search(counts: dict[int, int], capacity: int, steps: int = STEPS) -> tuple[Plan, bool]:
+    """A plan, and whether it is proved that none has fewer bins; else the steps ran out."""
     counts = {int(s): int(c) for s, c in counts.items() if c}
     if not counts:
-        return []
+        return [], True
     if min(counts) < 1 or max(counts) > capacity:
         raise ValueError("sizes must be from 1 to the capacity")
-    total, least = sum(s * c for s, c in counts.items()), lower_bound(counts, capacity)
-    best, left = best_fit(counts, capacity), steps
+    least, best = lower_bound(counts, capacity), best_fit(counts, capacity)
+    for whole in (False, True):
+        if sum(t for t, _ in best) == least:
+            return best, True
+        best, ended = _branch(dict(counts), capacity, best, least, steps, whole)
+    return best, ended or sum(t for t, _ in best) == least
+
+
+def _branch(counts: dict[int, int], capacity: int, best: Plan, least: int, steps: int, whole: bool) -> tuple[Plan, bool]:
+    """The best plan found from the incumbent ``best``, and whether all branches were seen.  ``whole``: with every
+    undominated filling, applied as often as the histogram allows and also once; else with few, as often as it allows.
+    """
+    total, left = sum(s * c for s, c in counts.items()), steps
     best_bins = sum(t for t, _ in best)
-    if best_bins == least:
-        return best
     path: list[tuple[int, tuple[tuple[int, int], ...], int]] = []
     sizes = sorted(counts, reverse=True)
+    waste = 0
 
-    def choices() -> list[tuple[int, ...]]:
+    def choices() -> Iterator[tuple[tuple[int, ...], int] | None]:
         top = sizes[0]
         counts[top] -= 1
-        found = fillings(capacity - top, [s for s in sizes if counts[s]], counts)
+        at_hand = [s for s in sizes if counts[s]]
+        if whole:
+            found = all_fillings(capacity - top, at_hand, [counts[s] for s in at_hand], lambda: (best_bins - 1) * capacity - total - waste)
+        else:
+            found = iter(fillings(capacity - top, at_hand, counts))
         counts[top] += 1
-        return [(top, *f) for f in found]
+        for f in found:
+            if f is None:
+                yield None
+                continue
+            most = min(counts[s] // n for s, n in Counter((top, *f)).items())
+            yield (top, *f), most
+            if whole and most > 1:
+                yield (top, *f), 1
 
     stack = [choices()]
-    waste = 0
     while stack:
-        if not stack[-1]:
+        choice = next(stack[-1], ())
+        if choice == ():
             stack.pop()
             if path:
                 times, items, lost = path.pop()
@@ -164,14 +242,15 @@ def plan(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
                     counts[s] += times * n
                 sizes = sorted((s for s in counts if counts[s]), reverse=True)
             continue
-        filling = stack[-1].pop(0)
+        left -= 1
+        if left < 0:
+            return best, False
+        if choice is None:
+            continue
+        filling, times = choice
         items = tuple((s, filling.count(s)) for s in dict.fromkeys(filling))
-        times = min(counts[s] // n for s, n in items)
         lost = times * (capacity - sum(filling))
-        left -= 1
-        if left < 0 or waste + lost > (best_bins - 1) * capacity - total:
-            if left < 0:
-                break
+        if waste + lost > (best_bins - 1) * capacity - total:
             continue
         for s, n in items:
             counts[s] -= times * n
@@ -183,9 +262,9 @@ def plan(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
             continue
         best, best_bins = [(t, i) for t, i, _ in path], sum(t for t, _, _ in path)
         if best_bins == least:
-            break
-        stack.append([])
-    return best
+            return best, True
+        stack.append(iter(()))
+    return best, True
 
 
 class Places:

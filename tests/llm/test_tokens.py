@@ -144,6 +144,17 @@ def test_plan_finds_the_optimum_of_small_cases():
         assert sum(t for t, _ in packing.plan(dict(zip(*np.unique(items, return_counts=True))), 20)) == least
 
 
+def test_plan_goes_through_all_fillings():
+    for capacity, counts, least in (
+        (30, {14: 4, 4: 1, 12: 3, 8: 4, 11: 4, 13: 2}, 7),
+        (100, {48: 4, 12: 4, 23: 3, 21: 4, 29: 1, 35: 2}, 5),
+        (60, {13: 4, 20: 1, 29: 4, 21: 4, 8: 3, 26: 3, 22: 3, 18: 2}, 8),
+    ):
+        made, proved = packing.search(counts, capacity)
+        assert proved and sum(t for t, _ in made) == sum(t for t, _ in packing.plan(counts, capacity)) == least
+    assert not packing.search({14: 4, 4: 1, 12: 3, 8: 4, 11: 4, 13: 2}, 30, 5)[1]
+
+
 def test_plan_edges():
     assert packing.plan({}, 10) == []
     with pytest.raises(ValueError):
