@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from . import store
 
-WORD_BITS, FORM_BITS = 17, 16
-SIZE = (1 << WORD_BITS) + 4 * (1 << FORM_BITS)
+WORD_BITS, FORM_BITS, PAIR_BITS = 17, 16, 17
+PAIRS = (1 << WORD_BITS) + 4 * (1 << FORM_BITS)
+SIZE = PAIRS + (1 << PAIR_BITS)
 #: The model is fitted on at most about so many labelled texts, chosen by a hash of their doc_id; they are read whole.
 LEARN_ROWS = 8_000
 MEMO_WORDS = 150_000
@@ -65,6 +66,9 @@ def features(text: str | None) -> np.ndarray:
             break
         run = (run[: len(form) - n] * np.uint32(0x01000193)) ^ form[n:]
         parts.append(((run * np.uint32(0xC2B2AE35)) >> np.uint32(32 - FORM_BITS)) + np.uint32((1 << WORD_BITS) + n * (1 << FORM_BITS)))
+    pair = (word[:-1] * np.uint32(0x85EBCA6B)) ^ word[1:]
+    pair ^= pair >> np.uint32(15)
+    parts.append(((pair * np.uint32(0xC2B2AE35)) >> np.uint32(32 - PAIR_BITS)) + np.uint32(PAIRS))
     at = np.concatenate(parts).astype(np.int64)
     places = np.arange(len(at), dtype=np.int32)
     _SEEN[at] = places  # of equal features the last writer stays

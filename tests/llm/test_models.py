@@ -113,6 +113,15 @@ def test_features_are_distinct_and_see_form():
     assert set(quality.features("a b c")) != set(quality.features("a b c!!"))
 
 
+def test_features_see_word_pairs():
+    one, other = (quality.features(x) for x in ("red cat big dog", "red dog big cat"))
+    differ = set(one.tolist()) ^ set(other.tolist())
+    assert len(differ) == 6 and min(differ) >= quality.PAIRS
+    rows = [quality.features(x) for x in ("red cat big dog", "red dog big cat") for _ in range(5)]
+    m = quality.fit(rows, np.repeat([1, 0], 5))
+    assert m.score("red cat big dog") > 0.6 and m.score("red dog big cat") < 0.4
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(2)
     rows = [np.unique(rng.integers(0, 30, 12) + 15 * y).astype(np.int32) for y in (0, 1) for _ in range(40)]
