@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, delete_result
+from . import graph, stats
+
 
 def neighbours(faces: DataFrame, *by: str) -> DataFrame:
     """Distinct directed edges ``src, dst`` of triangles ``a, b, c``."""
@@ -18,34 +19,21 @@ def neighbour_lists(edges: DataFrame, *by: str) -> DataFrame:
     return edges.groupBy(*by, F.col("src").alias("vertex")).agg(F.sort_array(F.collect_set("dst")).alias("neighbours"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared checkpoint folder (its own default only where none is set)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/mesh-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(vertices: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
-    """``vertex, component``: the smallest vertex reachable over edges between given vertices (separately for each ``by``).
-
-    Labels move to the least of the neighbours' and then jump to that label's own label, so few rounds are needed.
+    """``by..., vertex, component``: the smallest vertex reachable over edges between given vertices, separately for each
+    ``by``.  Edges need not have all columns of ``by``: one mesh serves all simulations.
     """
     keys = list(by)
-    v = vertices.select(*keys, "vertex").distinct()
-    inside = edges.join(v.withColumnRenamed("vertex", "src"), [*keys, "src"], "left_semi").join(v.withColumnRenamed("vertex", "dst"), [*keys, "dst"], "left_semi")
-    inside = _cut(inside.select(*keys, "src", "dst"))
-    label = v.withColumn("component", F.col("vertex"))
-    while True:
-        of = label.select(*keys, F.col("vertex").alias("dst"), F.col("component").alias("c"))
-        least = inside.join(of, [*keys, "dst"]).groupBy(*keys, F.col("src").alias("vertex")).agg(F.min("c").alias("c"))
-        moved = label.join(least, [*keys, "vertex"], "left").select(*keys, "vertex", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        moved = _cut(moved)
-        if moved.where("component <> old").isEmpty():
-            return moved.select(*keys, "vertex", "component")
-        up = moved.select(*keys, F.col("vertex").alias("component"), F.col("component").alias("top"))
-        label = moved.join(up, [*keys, "component"]).select(*keys, "vertex", F.col("top").alias("component"))
+    shared = [k for k in keys if k in edges.columns]
+    with Scratch(vertices.sparkSession, "mesh") as tmp:
+        v = tmp.save(vertices.select(*keys, "vertex").distinct(), "vertices")
+        met = edges.select(*shared, "src", "dst").join(v.withColumnRenamed("vertex", "src"), [*shared, "src"])
+        inside = met.join(v.withColumnRenamed("vertex", "dst"), [*keys, "dst"], "left_semi")
+        found = graph.components(inside.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")), *keys)
+        labels = v.join(found.withColumnRenamed("node", "vertex"), [*keys, "vertex"], "left")
+        out = tmp.result(labels.select(*keys, "vertex", F.coalesce("component", "vertex").alias("component")))
+        delete_result(found)
+        return out
 
 
 def clusters(significant: DataFrame, edges: DataFrame, *by: str, least: int = 1) -> DataFrame:
@@ -59,6 +47,22 @@ def largest_by_sim(found: DataFrame, sims: DataFrame) -> DataFrame:
     return sims.select("sim").distinct().join(top, "sim", "left").select("sim", F.coalesce("m", F.lit(0)).cast("long").alias("max_size"))
 
 
+def cluster_test(x: DataFrame, edges: DataFrame, subjects: DataFrame, sims: int = 1000, alpha: float = 0.005, least: int = 5, hemi: tuple[str, ...] = (), seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Cluster-size inference: ``(observed, null)``.
+
+    The labels of ``subjects(subject, g)`` are shuffled ``sims`` times; each time the rank sums of all vertices of
+    ``x(hemi..., vertex, subject, value)`` are tested at ``alpha`` and the significant ones joined into clusters over
+    ``edges(hemi..., src, dst)``.  ``observed(hemi..., component, size)`` holds the clusters of at least ``least`` vertices
+    under the labels as they are, ``null(sim, max_size)`` the largest cluster of any size and hemisphere of each shuffle, 0
+    where there is none.
+    """
+    labels = stats.permuted_labels(subjects, sims, seed=seed)
+    found = components(stats.significant(x, labels, alpha, *hemi, "vertex"), edges, "sim", *hemi)
+    sizes = found.groupBy("sim", *hemi, "component").agg(F.count("*").alias("size"))
+    drawn = x.sparkSession.range(1, sims + 1).select(F.col("id").cast("int").alias("sim"))
+    return sizes.where((F.col("sim") == 0) & (F.col("size") >= least)).drop("sim"), largest_by_sim(sizes.where("sim > 0"), drawn)
+
+
 def limit(null: DataFrame, level: float = 0.95) -> DataFrame:
     """The interpolated quantile of the null distribution, as one row."""
     return null.agg(F.percentile("max_size", F.lit(float(level))).alias("limit"))

@@ -5,16 +5,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from .ordered import average_rank
+from .ordered import average_rank, hash_order
+
+#: Labels (subjects x simulations) that are broadcast as one matrix, and keys whose sums meet it at a time.
+MATRIX_CELLS, KEYS = 20_000_000, 512
 
 
 def rank_sum(x: DataFrame, *by: str, p: bool = True) -> DataFrame:
-    """Rank-sum statistic W of group 0, group sizes and (unless ``p`` is false) the two-sided p."""
-    ranked = x.where(F.col("value").isNotNull()).withColumn("_rk", average_rank("value", *by))
+    """Rank-sum statistic W of group 0, group sizes and (unless ``p`` is false) the two-sided p.
+
+    Rows without a value or with a label other than 0 and 1 take no part.
+    """
+    ranked = x.where(F.col("value").isNotNull() & F.col("g").isin(0, 1)).withColumn("_rk", average_rank("value", *by))
     tied = ranked.withColumn("_t", F.count("*").over(Window.partitionBy(*by, "value")).cast("double"))
     n0 = F.count_if(F.col("g") == 0).cast("double")
     out = tied.groupBy(*by).agg(
@@ -29,13 +37,23 @@ def rank_sum(x: DataFrame, *by: str, p: bool = True) -> DataFrame:
 
 
 def signed_rank(pairs: DataFrame, *by: str, p: bool = True) -> DataFrame:
-    """Signed-rank statistic V of ``v1 - v2``; zero differences are left out."""
-    d = pairs.withColumn("_d", F.col("v1") - F.col("v2")).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    ranked = d.withColumn("_rk", average_rank("_a", *by)).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "_a")).cast("double"))
-    out = ranked.groupBy(*by).agg(F.sum(F.when(F.col("_d") > 0, F.col("_rk")).otherwise(0.0)).alias("v"), F.count("*").alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"))
+    """Signed-rank statistic V of ``v1 - v2``; pairs with a null are left out, and zero differences but for their number.
+
+    p is exact for fewer than 50 differences without ties and zeros, else normal with continuity correction.
+    """
+    d = pairs.withColumn("_d", F.col("v1") - F.col("v2")).where("_d is not null").withColumn("_a", F.abs("_d"))
+    nil = F.col("_d") == 0  # sorts before all others: ranks of the others are lowered by the number of zeros
+    here = Window.partitionBy(*by)
+    ranked = d.withColumn("_z", F.count_if(nil).over(here)).withColumn("_rk", average_rank("_a", *by) - F.col("_z")).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "_a")).cast("double"))
+    out = ranked.groupBy(*by).agg(
+        F.sum(F.when(F.col("_d") > 0, F.col("_rk")).otherwise(0.0)).alias("v"),
+        F.count_if(~nil).alias("n"),
+        F.sum(F.when(~nil, F.col("_t") * F.col("_t") - 1).otherwise(0.0)).alias("ties"),
+        F.count_if(nil).alias("zeros"),
+    )
     if not p:
         return out
-    return out.withColumn("p", special.signed_rank_p(F.col("v"), F.col("n"), F.col("ties")))
+    return out.withColumn("p", special.signed_rank_p(F.col("v"), F.col("n"), F.col("ties"), F.col("zeros")))
 
 
 def welch(x: DataFrame, *by: str, p: bool = True) -> DataFrame:
@@ -71,25 +89,96 @@ def contrasts(sessions: DataFrame, table: list[tuple[str, str, str]]) -> DataFra
     return out
 
 
-def permuted_labels(subjects: DataFrame, sims: int, key: str = "subject", label: str = "g") -> DataFrame:
+def permuted_labels(subjects: DataFrame, sims: int, key: str = "subject", label: str = "g", seed: int = 0) -> DataFrame:
     """``sim, subject, g``: labels shuffled among subjects, one label to a subject; sim 0 is as it was.
 
-    The shuffle is a congruential order of numeric subjects, the same in any engine.
+    Each simulation orders the subjects by a hash of its own, and the labels in that order go to the subjects in the order
+    of their keys, so every simulation is a shuffle independent of the others, the same in any engine.  Keys of any type;
+    rows with a null key or label are left out; a subject with several labels counts with the smallest.  One simulation's
+    subjects, a cohort, are one group.
     """
-    place = Window.orderBy("k")
-    known = subjects.select(F.col(key).alias("k"), F.col(label).alias("g")).distinct().withColumn("pos", F.row_number().over(place))
-    sims_df = known.select("k", F.explode(F.sequence(F.lit(0), F.lit(sims))).alias("sim"))
-    order = F.when(F.col("sim") == 0, F.lit(0)).otherwise((F.col("k") * 7919 + F.col("sim") * 104729) % 100003)
-    moved = sims_df.withColumn("pos", F.row_number().over(Window.partitionBy("sim").orderBy(order, "k")))
-    return moved.join(known.select("pos", "g"), "pos").select("sim", F.col("k").alias(key), F.col("g").alias(label))
+    known = subjects.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("g"))
+    drawn = known.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims))))
+    order = F.when(F.col("sim") == 0, F.lit("")).otherwise(hash_order(seed, F.col("sim"), F.col("k")))
+    orders = drawn.groupBy("sim").agg(
+        F.sort_array(F.collect_list("k")).alias("k"), F.sort_array(F.collect_list(F.struct(order.alias("h"), "k", "g"))).alias("s")
+    )
+    dealt = orders.select("sim", F.explode(F.arrays_zip("k", F.col("s.g").alias("g"))).alias("x"))
+    return dealt.select("sim", F.col("x.k").alias(key), F.col("x.g").alias(label))
+
+
+def _matrix(labels: DataFrame, key: str):
+    """``(subjects as a table of k and its column ix, labels [sim, column])``, or None where that is over MATRIX_CELLS."""
+    wide = labels.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(F.struct("sim", "g"))).alias("a"))
+    wide = wide.select("k", F.transform("a", lambda x: x["g"].cast("tinyint")).alias("g")).persist()
+    try:
+        cells = wide.agg(F.sum(F.size("g"))).first()[0] or 0
+        if not 0 < cells <= MATRIX_CELLS:
+            return None
+        found = wide.toArrow()
+    finally:
+        wide.unpersist()
+    rows = found.num_rows
+    index = found.select(["k"]).append_column("ix", pa.array(np.arange(rows, dtype=np.int32)))
+    return labels.sparkSession.createDataFrame(index), found.column("g").combine_chunks().flatten().to_numpy().reshape(rows, -1).T.astype(np.float64)
+
+
+def _per_subject(cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and the list's values of one batch of lists of structs (ix, s, n)."""
+    flat = cells.flatten()
+    row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+    ix, s, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    return np.stack([row, ix]), s.astype(np.float64), n.astype(np.float64)
+
+
+class _Kernel:
+    """Sums by subject of some keys at a time, as matrices over subjects, against all labels at once."""
+
+    def __init__(self, labels):
+        self.labels = labels
+
+    def groups(self, cells):
+        """Slices of a batch with the sums of values and of counts: both in all, and of group 1 [key, sim]."""
+        one = self.labels.value.T == 1
+        one = one.astype(np.float64)
+        for at in range(0, len(cells), KEYS):
+            some = cells.slice(at, KEYS)
+            (row, ix), s, n = _per_subject(some)
+            sums, counts = np.zeros((2, len(some), len(one)))
+            sums[row, ix], counts[row, ix] = s, n
+            yield at, len(some), sums.sum(1, keepdims=True), counts.sum(1, keepdims=True), sums @ one, counts @ one
+
+
+class _Differences(_Kernel):
+    def __call__(self, batches):
+        for batch in batches:
+            for at, size, sums, counts, s1, n1 in self.groups(batch.column(batch.num_columns - 1)):
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    d = (sums - s1) / (counts - n1) - s1 / n1
+                hits = (np.abs(d[:, 1:]) >= np.abs(d[:, :1]) - 1e-12).sum(1)
+                seen = [pa.array(d[:, 0], from_pandas=True), pa.array((hits + 1) / d.shape[1])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, size).columns[:-1], *seen], names=[*batch.schema.names[:-1], "diff", "p"])
 
 
 def permutation_p(x: DataFrame, labels: DataFrame, *by: str, key: str = "subject") -> DataFrame:
     """Observed difference of group means and the share of relabelled differences at least as large, the observed one
-    counted: ``(1 + hits) / (sims + 1)``.  Values are summed by subject before they meet the permutations.
+    counted: ``(1 + hits) / (sims + 1)``.
+
+    Values are summed by subject first.  The labels meet them as one matrix, [simulation, subject], that is broadcast
+    after its size is checked; beyond MATRIX_CELLS they meet by a join.  Rows of subjects without labels are left out.
     """
     sums = x.groupBy(*by, key).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
-    met = sums.join(labels, key)
+    made = _matrix(labels, key)
+    if made is None:
+        return _joined_p(sums.join(labels, key), *by)
+    index, matrix = made
+    cells = sums.join(F.broadcast(index), F.col(key) == F.col("k")).groupBy(*by).agg(F.collect_list(F.struct("ix", F.coalesce("s", F.lit(0.0)).alias("s"), "n")).alias("_c"))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in cells.dtypes[:-1])
+    return cells.mapInArrow(_Differences(x.sparkSession.sparkContext.broadcast(matrix)), f"{kinds}, diff double, p double")
+
+
+def _joined_p(met: DataFrame, *by: str) -> DataFrame:
+    """The same from sums joined with labels by subject."""
 
     def avg(g: int) -> Column:
         return F.sum(F.when(F.col("g") == g, F.col("s"))) / F.sum(F.when(F.col("g") == g, F.col("n")))
@@ -99,3 +188,37 @@ def permutation_p(x: DataFrame, labels: DataFrame, *by: str, key: str = "subject
     seen = d.withColumn("obs", F.max(F.when(F.col("sim") == 0, F.col("d"))).over(w)).withColumn("diff", F.max(F.when(F.col("sim") == 0, F.col("signed"))).over(w))
     hits = F.count_if((F.col("sim") > 0) & (F.col("d") >= F.col("obs") - 1e-12))
     return seen.groupBy(*by).agg(F.first("diff").alias("diff"), ((hits + 1).cast("double") / F.count("*")).alias("p"))
+
+
+class _Significant(_Kernel):
+    def __init__(self, labels, alpha: float):
+        super().__init__(labels)
+        self.alpha = alpha
+
+    def __call__(self, batches):
+        for batch in batches:
+            ties = batch.column(batch.num_columns - 2).to_numpy()
+            for at, size, ranks, counts, r1, n1 in self.groups(batch.column(batch.num_columns - 1)):
+                n0 = counts - n1
+                w = ranks - r1 - n0 * (n0 + 1) / 2
+                key, sim = np.nonzero(special.rank_sum_below(w, n0, n1, np.broadcast_to(ties[at : at + size, None], w.shape), self.alpha))
+                found = [c.take(pa.array(at + key)) for c in batch.columns[:-2]]
+                yield pa.RecordBatch.from_arrays([*found, pa.array(sim, pa.int32())], names=[*batch.schema.names[:-2], "sim"])
+
+
+def significant(x: DataFrame, labels: DataFrame, alpha: float, *by: str, key: str = "subject") -> DataFrame:
+    """``by..., sim``: where the two-sided rank-sum test of group 0 against group 1 gives p < alpha under each relabelling.
+
+    Ranks do not depend on labels, so they are taken once and summed by subject; each relabelling then picks its sums, as
+    in :func:`permutation_p`.  A label matrix over MATRIX_CELLS is refused: run the simulations in parts.
+    """
+    made = _matrix(labels, key)
+    if made is None:
+        raise ValueError("no labels, or more than MATRIX_CELLS of them: run the simulations in parts")
+    index, matrix = made
+    known = x.where(F.col("value").isNotNull()).join(F.broadcast(index), F.col(key) == F.col("k"))
+    ranked = known.withColumn("_rk", average_rank("value", *by)).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "value")).cast("double"))
+    sums = ranked.groupBy(*by, "ix").agg(F.sum("_rk").alias("s"), F.count("*").alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("t"))
+    cells = sums.groupBy(*by).agg(F.sum("t").alias("_ties"), F.collect_list(F.struct("ix", "s", "n")).alias("_c"))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in cells.dtypes[:-2])
+    return cells.mapInArrow(_Significant(x.sparkSession.sparkContext.broadcast(matrix), alpha), f"{kinds}, sim int")

@@ -60,6 +60,25 @@ def faces(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b"), (F.col("l_suppkey") + 2_000_000).alias("c"), "l_quantity")
 
 
+#: What group 1 has more than group 0 at some vertices of :func:`surface`.
+PLANTED = "0.06 * g * CAST(CASE WHEN vertex < 24 AND vertex % 8 BETWEEN 2 AND 4 THEN 1 WHEN vertex >= 40 AND vertex % 8 BETWEEN 5 AND 6 THEN -1 ELSE 0 END AS DOUBLE)"
+
+
+def surface(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Values of sessions at the 64 vertices of two hemispheres (``hemi, vertex, subject, g, value``: one component of an
+    embedding each, several embeddings to a subject, named by text), and the triangles of two grids of 4 x 8 vertices.
+    Embeddings do not differ between labels, so a difference is planted at 9 vertices of one grid and 6 of the other.
+    """
+    e = table(spark, d, "embeddings").where("label is not null")
+    hemi = F.when(F.col("vertex") < 32, "lh").otherwise("rh")
+    x = e.select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("vertex", "value"))
+    x = x.select(hemi.alias("hemi"), "vertex", F.concat(F.lit("s"), "label", F.lit(":"), F.col("vec_id") % 7).alias("subject"), (F.col("label") % 2).cast("int").alias("g"), "value")
+    x = x.withColumn("value", F.col("value") + F.expr(PLANTED))
+    v = spark.range(64).select(F.col("id").cast("int").alias("vertex")).where("vertex % 8 < 7 and vertex % 32 < 24")
+    two = F.array(F.expr("struct(vertex AS a, vertex + 1 AS b, vertex + 8 AS c)"), F.expr("struct(vertex + 1 AS a, vertex + 9 AS b, vertex + 8 AS c)"))
+    return x, v.select(hemi.alias("hemi"), F.explode(two).alias("f")).select("hemi", "f.a", "f.b", "f.c")
+
+
 #: The same in DuckDB, as common table expressions.
 RP = """rp AS (SELECT l_suppkey s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) t,
   l_quantity p1, l_extendedprice / 1000 p2, CAST(l_linenumber AS DOUBLE) p3, l_discount p4, l_tax p5, l_discount * l_tax p6 FROM lineitem)"""
@@ -71,4 +90,9 @@ WEIGHTS = """w AS (SELECT CAST(v AS INTEGER) v, CAST(pc AS INTEGER) pc, cos(CAST
   FROM (SELECT unnest(generate_series(0, 31)) v) a, (SELECT unnest(generate_series(0, 2)) pc) b)"""
 EVENTS = """e AS (SELECT event_id, user_id, ts, event_type, value, CAST(user_id % 2 AS BIGINT) g, CASE WHEN day(ts) <= 15 THEN 'V1' ELSE 'V2' END visit FROM events)"""
 FACES = """f AS (SELECT l_orderkey a, l_partkey + 1000000 b, l_suppkey + 2000000 c, l_quantity FROM lineitem)"""
+SURFACE = f"""x AS (SELECT subject, g, vertex, val + {PLANTED} val FROM (SELECT 's' || label || ':' || (vec_id % 7) subject, CAST(label % 2 AS INTEGER) g, CAST(p AS INTEGER) vertex, CAST(embedding[p + 1] AS DOUBLE) val
+  FROM (SELECT vec_id, label, embedding, unnest(generate_series(0, 63)) p FROM embeddings WHERE label IS NOT NULL)))
+, v AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) v)
+, h AS (SELECT v src, v + 1 dst FROM v WHERE v % 8 < 7 UNION SELECT v, v + 8 FROM v WHERE v % 32 < 24 UNION SELECT v + 1, v + 8 FROM v WHERE v % 8 < 7 AND v % 32 < 24)
+, n AS (SELECT src, dst FROM h UNION SELECT dst, src FROM h)"""
 SCORES = CELLS + ", " + WEIGHTS + ", z AS (SELECT ds, t, pc, sum(re * wr - im * wi) re, sum(re * wi + im * wr) im FROM c JOIN w USING (v) GROUP BY ds, t, pc)"

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import evar, linalg, mesh, signal, simulate, stats
 from . import inputs
-from .inputs import EVENTS, FACES
+from .inputs import EVENTS, FACES, SURFACE
+
+
+#: Shuffles of the permutation tests and of the cluster test, its level and least cluster (fixed values, the survey's).
+SHUFFLES, CLUSTER_SHUFFLES, ALPHA, LEAST = 999, 1000, 0.005, 5
 
 
 def _r(c, n: int):
@@ -67,7 +71,7 @@ def permuted_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def perm_p(spark: SparkSession, d: str) -> DataFrame:
     x = _values(spark, d)
-    labels = stats.permuted_labels(x.select("subject", "g"), 99)
+    labels = stats.permuted_labels(x.select("subject", "g"), SHUFFLES)
     p = stats.permutation_p(x.drop("g"), labels, "vertex")
     return p.select("vertex", _r(F.col("diff"), 9).alias("diff"), F.round("p", 6).alias("p"))
 
@@ -75,7 +79,7 @@ def perm_p(spark: SparkSession, d: str) -> DataFrame:
 def perm_p_paired(spark: SparkSession, d: str) -> DataFrame:
     """Labels shuffled among sessions (a session is a subject's visit), regardless of subjects."""
     e = inputs.events(spark, d).select("event_type", (F.col("user_id") * 2 + F.when(F.col("visit") == "V2", 1).otherwise(0)).alias("subject"), F.when(F.col("visit") == "V2", 1).otherwise(0).cast("long").alias("g"), F.floor("value").cast("double").alias("value"))
-    labels = stats.permuted_labels(e.select("subject", "g"), 49)
+    labels = stats.permuted_labels(e.select("subject", "g"), SHUFFLES)
     p = stats.permutation_p(e.drop("g"), labels, "event_type")
     return p.select(F.col("event_type").alias("vertex"), _r(F.col("diff"), 9).alias("diff"), F.round("p", 6).alias("p"))
 
@@ -104,20 +108,20 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return mesh.components(z.where("z > 1.96"), e)
 
 
+def _cluster_test(spark, d) -> tuple[DataFrame, DataFrame]:
+    x, faces = inputs.surface(spark, d)
+    return mesh.cluster_test(x, mesh.neighbours(faces, "hemi"), x.select("subject", "g"), CLUSTER_SHUFFLES, ALPHA, LEAST, ("hemi",))
+
+
 def max_cluster_null(spark: SparkSession, d: str) -> DataFrame:
-    """Largest cluster by simulation, the signs of all vertices' statistics being flipped at random."""
-    z, e = _z(spark, d)
-    flipped = z.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("z", F.when(F.floor((F.col("vertex") * 31 + F.col("sim") * 17) / 7) % 2 == 0, F.col("z")).otherwise(-F.col("z")))
-    sims = flipped.where("z > 1.96").select("vertex", "sim")
-    edges = e.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    null = mesh.largest_by_sim(mesh.clusters(sims, edges, "sim", least=2), sims)
-    return null.crossJoin(F.broadcast(mesh.limit(null))).select(F.col("sim").cast("long").alias("sim"), "max_size", F.col("limit").alias("limit95"))  # one row
+    """Largest cluster of vertices with different rank sums by shuffle of the subjects' labels, and its 95 % quantile."""
+    null = _cluster_test(spark, d)[1]
+    return null.crossJoin(F.broadcast(mesh.limit(null))).select("sim", "max_size", F.col("limit").alias("limit95"))  # one row
 
 
 def cluster_report(spark: SparkSession, d: str) -> DataFrame:
-    z, e = _z(spark, d)
-    found = mesh.clusters(z.where("z > 1.96"), e, least=2).withColumn("hemi", F.when(F.col("component") % 2 == 0, "lh").otherwise("rh"))
-    r = mesh.report(found, found.select(F.col("size").alias("max_size")), "hemi")
+    """The clusters under the labels as they are, by hemisphere, against the limit of the shuffles."""
+    r = mesh.report(*_cluster_test(spark, d), "hemi")
     return r.select("hemi", "n_clusters", F.get("sizes", F.lit(0)).alias("largest"), _r(F.col("limit"), 6).alias("limit95"), "n_over")
 
 
@@ -236,14 +240,46 @@ _COMP = _Z + """, k AS (SELECT v FROM s WHERE z > 1.96), i AS (SELECT src, dst F
 , q(v, c) AS (SELECT v, v FROM k UNION SELECT i.dst, q.c FROM q JOIN i ON i.src = q.v), o AS (SELECT v vertex, min(c) component FROM q GROUP BY v)"""
 
 
-def _perm(subject: str, label: str, sims: int, kind: str) -> str:
-    return f""", x AS (SELECT event_type vertex, {subject} subject, {label} g, floor(value) val FROM e)
-, u AS (SELECT subject, any_value(g) g, row_number() OVER (ORDER BY subject) pos FROM x GROUP BY subject)
-, l AS (SELECT sim, subject, row_number() OVER (PARTITION BY sim ORDER BY CASE WHEN sim = 0 THEN 0 ELSE (subject * 7919 + sim * 104729) % 100003 END, subject) pos FROM u, (SELECT CAST(unnest(generate_series(0, {sims})) AS INTEGER) sim))
-, k AS (SELECT sim, l.subject, u.g FROM l JOIN u ON u.pos = l.pos){kind}"""
-
-
-_PVALUE = """, m AS (SELECT vertex, sim, avg(val) FILTER (k.g = 0) - avg(val) FILTER (k.g = 1) d FROM x JOIN k ON k.subject = x.subject GROUP BY vertex, sim)
+def _perm(subject: str, label: str, sims: int) -> str:
+    """Labels by simulation, ``k(sim, subject, g)``, each shuffled in the order of a hash."""
+    return _values_of(subject, label) + _LABELS.format(sims=sims)
+
+
+def _values_of(subject: str, label: str) -> str:
+    return f"""
+, x AS (SELECT event_type vertex, {subject} subject, {label} g, floor(value) val FROM e)"""
+
+
+_LABELS = """
+, u AS (SELECT subject, min(g) g, row_number() OVER (ORDER BY subject) pos FROM x GROUP BY subject)
+, l AS (
+  SELECT sim, g, row_number() OVER (PARTITION BY sim ORDER BY CASE WHEN sim = 0 THEN '' ELSE md5('0:' || sim || ':' || subject) END, subject) pos
+  FROM u, (SELECT CAST(unnest(generate_series(0, {sims})) AS INTEGER) sim))
+, k AS (SELECT sim, u.subject, l.g FROM l JOIN u ON u.pos = l.pos)"""
+
+#: Rank sums by vertex and simulation, the significant vertices, their clusters and the largest of each simulation.
+_CLUSTERS = SURFACE + _LABELS.format(sims=CLUSTER_SHUFFLES) + """
+, r AS (
+  SELECT vertex, subject,
+    CAST(rank() OVER (PARTITION BY vertex ORDER BY val) AS DOUBLE) + (CAST(count(*) OVER (PARTITION BY vertex, val) AS DOUBLE) - 1) / 2 rk,
+    CAST(count(*) OVER (PARTITION BY vertex, val) AS DOUBLE) t
+  FROM x)
+, b AS (SELECT vertex, subject, sum(rk) s, CAST(count(*) AS DOUBLE) n, sum(t * t - 1) ties FROM r GROUP BY vertex, subject)
+, w AS (
+  SELECT vertex, sim, sum(CASE WHEN g = 0 THEN s ELSE 0 END) s, sum(CASE WHEN g = 0 THEN n ELSE 0 END) n0, sum(CASE WHEN g = 1 THEN n ELSE 0 END) n1, sum(ties) ties
+  FROM b JOIN k USING (subject) GROUP BY vertex, sim)
+, a AS (
+  SELECT vertex, sim FROM w
+  WHERE abs(abs(s - n0 * (n0 + 1) / 2 - n0 * n1 / 2) - 0.5) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1)))) > 2.807033768343811)
+, i AS (SELECT p.sim, src, dst FROM n JOIN a p ON p.vertex = src JOIN a q ON q.vertex = dst AND q.sim = p.sim)
+, q(sim, v, c) AS (SELECT sim, vertex, vertex FROM a UNION SELECT q.sim, i.dst, q.c FROM q JOIN i ON i.src = q.v AND i.sim = q.sim)
+, o AS (SELECT sim, v, min(c) c FROM q GROUP BY sim, v)
+, z AS (SELECT sim, c, count(*) m FROM o GROUP BY sim, c)
+, y AS (SELECT k.sim, coalesce(max(m), 0) max_size FROM (SELECT DISTINCT sim FROM k WHERE sim > 0) k LEFT JOIN z ON z.sim = k.sim GROUP BY k.sim)
+, lim AS (SELECT quantile_cont(CAST(max_size AS DOUBLE), 0.95) limit95 FROM y)"""
+
+_PVALUE = """
+, m AS (SELECT vertex, sim, avg(val) FILTER (k.g = 0) - avg(val) FILTER (k.g = 1) d FROM x JOIN k ON k.subject = x.subject GROUP BY vertex, sim)
 , o AS (SELECT vertex, d FROM m WHERE sim = 0)
 SELECT m.vertex, round(any_value(o.d), 9) + 0.0 diff, round(CAST(count(*) FILTER (sim > 0 AND abs(m.d) >= abs(o.d) - 1e-12) + 1 AS DOUBLE) / count(*), 6) p FROM m JOIN o ON o.vertex = m.vertex GROUP BY m.vertex"""
 
@@ -255,14 +291,22 @@ QUERIES = {
     "paired_t": (paired_t, f"WITH {_PAIRS} SELECT vertex, round(avg(v1 - v2) / (stddev_samp(v1 - v2) / sqrt(count(*))), 7) + 0.0 t, CAST(count(*) - 1 AS DOUBLE) df FROM p GROUP BY vertex"),
     "t_tests": (t_tests, None),
     "contrast_means": (contrast_means, f"WITH {EVENTS}, k AS (" + " UNION ALL ".join(f"SELECT '{n}' contrast, CASE WHEN {a} THEN 0 WHEN {b} THEN 1 END side, value FROM e" for n, a, b in CONTRASTS) + ") SELECT contrast, round(avg(value) FILTER (side = 0) - avg(value) FILTER (side = 1), 9) + 0.0 diff, count(*) n FROM k WHERE side IS NOT NULL GROUP BY contrast"),
-    "permuted_labels": (permuted_labels, "WITH " + EVENTS + _perm("user_id", "g", 3, "") + " SELECT sim, subject, g FROM k"),
-    "perm_p": (perm_p, "WITH " + EVENTS + _perm("user_id", "g", 99, "") + _PVALUE),
-    "perm_p_paired": (perm_p_paired, "WITH " + EVENTS + _perm("user_id * 2 + CASE WHEN visit = 'V2' THEN 1 ELSE 0 END", "CASE WHEN visit = 'V2' THEN 1 ELSE 0 END", 49, "") + _PVALUE),
+    "permuted_labels": (permuted_labels, "WITH " + EVENTS + _perm("user_id", "g", 3) + " SELECT sim, subject, g FROM k"),
+    "perm_p": (perm_p, "WITH " + EVENTS + _perm("user_id", "g", SHUFFLES) + _PVALUE),
+    "perm_p_paired": (
+        perm_p_paired,
+        "WITH " + EVENTS + _perm("user_id * 2 + CASE WHEN visit = 'V2' THEN 1 ELSE 0 END", "CASE WHEN visit = 'V2' THEN 1 ELSE 0 END", SHUFFLES) + _PVALUE,
+    ),
     "neighbors": (neighbors, f"WITH {_MESH} SELECT src, count(*) n, min(dst) least, max(dst) most FROM n GROUP BY src"),
     "neighbor_lists": (neighbor_lists, f"WITH {_MESH} SELECT src vertex, count(*) n, md5(string_agg(dst, ',' ORDER BY dst)) digest FROM n GROUP BY src"),
     "components": (components, f"WITH RECURSIVE {_COMP} SELECT * FROM o"),
-    "max_cluster_null": (max_cluster_null, f"WITH RECURSIVE {_Z}, p AS (SELECT unnest(generate_series(0, 9)) sim), v AS (SELECT sim, v FROM s, p WHERE CASE WHEN CAST(floor((v * 31 + sim * 17) / 7) AS BIGINT) % 2 = 0 THEN z ELSE -z END > 1.96), i AS (SELECT a.sim, src, dst FROM n JOIN v a ON a.v = src JOIN v b ON b.v = dst AND a.sim = b.sim), q(sim, v, c) AS (SELECT sim, v, v FROM v UNION SELECT q.sim, i.dst, q.c FROM q JOIN i ON i.src = q.v AND i.sim = q.sim), o AS (SELECT sim, v, min(c) c FROM q GROUP BY sim, v), h AS (SELECT sim, count(*) m FROM o GROUP BY sim, c HAVING count(*) >= 2), x AS (SELECT y.sim, coalesce(max(m), 0) max_size FROM (SELECT DISTINCT sim FROM v) y LEFT JOIN h ON h.sim = y.sim GROUP BY y.sim) SELECT sim, max_size, (SELECT quantile_cont(CAST(max_size AS DOUBLE), 0.95) FROM x) limit95 FROM x"),
-    "cluster_report": (cluster_report, f"WITH RECURSIVE {_COMP}, u AS (SELECT component, count(*) m FROM o GROUP BY component HAVING count(*) >= 2), l AS (SELECT quantile_cont(CAST(m AS DOUBLE), 0.95) q FROM u) SELECT CASE WHEN component % 2 = 0 THEN 'lh' ELSE 'rh' END hemi, count(*) n_clusters, max(m) largest, round(any_value(q), 6) limit95, count(*) FILTER (m > q) n_over FROM u, l GROUP BY 1"),
+    "max_cluster_null": (max_cluster_null, f"WITH RECURSIVE {_CLUSTERS} SELECT sim, max_size, limit95 FROM y, lim"),
+    "cluster_report": (
+        cluster_report,
+        f"""WITH RECURSIVE {_CLUSTERS}
+SELECT CASE WHEN c < 32 THEN 'lh' ELSE 'rh' END hemi, count(*) n_clusters, max(m) largest, round(any_value(limit95), 6) + 0.0 limit95, count(*) FILTER (m > limit95) n_over
+FROM z, lim WHERE sim = 0 AND m >= {LEAST} GROUP BY 1""",
+    ),
     "ols_resid": (ols_resid, f"WITH {EVENTS}, x AS (SELECT event_id, user_id, value, CAST(event_id % 97 AS DOUBLE) x FROM e), s AS (SELECT user_id, regr_slope(value, x) b, regr_intercept(value, x) a FROM x GROUP BY user_id) SELECT event_id, round(value - a - b * x, 6) + 0.0 resid FROM x JOIN s USING (user_id)"),
     "nuisance_resid": (nuisance_resid, None),
     "psd_norm": (psd_norm, None),

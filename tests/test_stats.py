@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from phasemesh.functions import special
-from phasemesh.operators import encode, evar, mesh, ordered, stats
+from phasemesh import scratch
+from phasemesh.operators import encode, evar, graph, mesh, ordered, stats
 
 
 def test_t_distribution():
@@ -17,6 +18,24 @@ def test_t_distribution():
     assert special.t_two_sided(1.0, 1) == pytest.approx(0.5)
 
 
+def test_erfc():
+    x = np.concatenate([np.linspace(-6, 6, 997), [0.0, 2.5, 10.0, 30.0]])
+    assert np.allclose(special.erfc(x), [math.erfc(v) for v in x], rtol=1e-12, atol=1e-300)
+    assert math.isnan(special.erfc(math.nan))
+
+
+def test_signed_rank_is_exact_for_few_differences():
+    for n in (1, 3, 6):
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs) if s) for signs in itertools.product((0, 1), repeat=n)]
+        for v in range(n * (n + 1) // 2 + 1):
+            tail = min(sum(x <= v for x in sums), sum(x >= v for x in sums)) / len(sums)
+            assert special.signed_rank_two_sided(v, n)[0] == pytest.approx(min(1.0, 2 * tail))
+    for ties, zeros in ((6.0, 0), (0.0, 1)):  # then the normal distribution is taken
+        z = (abs(5 - 3 * 4 / 4) - 0.5) / math.sqrt(3 * 4 * 7 / 24 - ties / 48)
+        assert special.signed_rank_two_sided(5.0, 3, ties, zeros)[0] == pytest.approx(math.erfc(z / math.sqrt(2)))
+    assert special.rank_sum_two_sided([3.0, math.nan], [3, 3], [3, 3])[0] == pytest.approx(0.7)
+
+
 @pytest.mark.parametrize("m,n", [(2, 3), (4, 4), (1, 5)])
 def test_rank_sum_counts(m, n):
     want = np.zeros(m * n + 1)
@@ -29,11 +48,16 @@ def test_rank_sum(spark):
     x = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0), (0, 1, 3.0), (0, 1, 4.0), (0, 1, 5.0)], "vertex int, g int, value double")
     r = stats.rank_sum(x, "vertex").first()
     assert (r.w, r.p) == (0.0, pytest.approx(0.2))
+    more = x.union(spark.createDataFrame([(0, None, 2.5), (0, 7, 0.5), (0, 1, None)], "vertex int, g int, value double"))
+    assert stats.rank_sum(more, "vertex").first() == r
 
 
 def test_signed_rank_and_paired_t(spark):
     p = spark.createDataFrame([(0, 3.0, 1.0), (0, 5.0, 2.0), (0, 1.0, 2.0), (0, 4.0, 4.0)], "vertex int, v1 double, v2 double")
-    assert stats.signed_rank(p, "vertex").first().v == 5.0
+    r = stats.signed_rank(p, "vertex").first()
+    assert (r.v, r.n, r.ties, r.zeros) == (5.0, 3, 0.0, 1)
+    r = stats.signed_rank(p.where("v1 <> v2").union(spark.createDataFrame([(0, None, 1.0)], p.schema)), "vertex").first()
+    assert (r.v, r.n, r.zeros, r.p) == (5.0, 3, 0, pytest.approx(0.5))
     d = np.array([2.0, 3.0, -1.0, 0.0])
     assert stats.paired_t(p, "vertex").first().t == pytest.approx(d.mean() / (d.std(ddof=1) / 2))
 
@@ -47,6 +71,111 @@ def test_permutation_keeps_subjects_together(spark):
     assert all(r.g == r.subject % 2 for r in labels if r.sim == 0)
 
 
+def test_every_shuffle_is_another(spark):
+    subjects = spark.createDataFrame([(f"s{i}", i % 2) for i in range(150)], "subject string, g int")
+    rows = stats.permuted_labels(subjects, 999).collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.sim, {})[r.subject] = r.g
+    assert len(by) == 1000 and len({tuple(sorted(v.items())) for v in by.values()}) == 1000
+    assert all(sum(v.values()) == 75 for v in by.values())
+    means = np.array([[by[s][f"s{i}"] for i in range(150)] for s in range(1, 1000)]).mean(0)
+    assert abs(means - 0.5).max() < 0.08  # each subject gets either label about as often: 5 standard errors
+    other = {(r.sim, r.subject): r.g for r in stats.permuted_labels(subjects, 3, seed=1).collect()}
+    assert any(other[2, f"s{i}"] != by[2][f"s{i}"] for i in range(150))
+
+
+def test_odd_subjects(spark):
+    odd = spark.createDataFrame([("a", 1), ("a", 0), (None, 1), ("b", None), ("c", 1)], "subject string, g int")
+    assert {(r.subject, r.g) for r in stats.permuted_labels(odd, 2).where("sim = 0").collect()} == {("a", 0), ("c", 1)}
+    assert stats.permuted_labels(odd.limit(0), 2).count() == 0
+
+
+@pytest.fixture(scope="module")
+def noise(spark):
+    """400 vertices without any effect, 40 subjects of one to three sessions."""
+    rng = np.random.default_rng(3)
+    rows = [(v, f"p{s}", s % 2, float(x)) for s in range(40) for k in range(s % 3 + 1) for v, x in enumerate(rng.normal(size=400))]
+    return spark.createDataFrame(rows, "vertex int, subject string, g int, value double").cache()
+
+
+def test_matrix_and_join_give_the_same_p(noise, monkeypatch):
+    x = noise.where("vertex < 20 and not (vertex = 3 and subject = 'p4')")
+    labels = stats.permuted_labels(noise.select("subject", "g"), 50)
+    fast = {r.vertex: (r.diff, r.p) for r in stats.permutation_p(x, labels, "vertex").collect()}
+    monkeypatch.setattr(stats, "MATRIX_CELLS", 10)
+    slow = {r.vertex: (r.diff, r.p) for r in stats.permutation_p(x, labels, "vertex").collect()}
+    assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in slow)
+    with pytest.raises(ValueError):
+        stats.significant(x, labels, 0.05, "vertex")
+
+
+def test_p_is_uniform_without_effect(noise):
+    p = np.array([r.p for r in stats.permutation_p(noise, stats.permuted_labels(noise.select("subject", "g"), 199), "vertex").collect()])
+    for level in (0.05, 0.25, 0.5, 0.75):
+        assert abs((p <= level).mean() - level) < 4 * math.sqrt(level * (1 - level) / len(p))
+
+
+def test_significant_equals_a_test_of_each_relabelling(spark, noise):
+    labels = stats.permuted_labels(noise.select("subject", "g"), 4)
+    got = {(r.vertex, r.sim) for r in stats.significant(noise, labels, 0.05, "vertex").collect()}
+    each = noise.drop("g").join(labels, "subject")
+    want = {(r.vertex, r.sim) for r in stats.rank_sum(each, "vertex", "sim").where("p < 0.05").collect()}
+    assert got == want and 0.01 < len(got) / 2000 < 0.12
+    few = noise.where("subject in ('p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p7', 'p8')")  # exact distributions
+    got = {(r.vertex, r.sim) for r in stats.significant(few, labels, 0.1, "vertex").collect()}
+    assert got == {(r.vertex, r.sim) for r in stats.rank_sum(few.drop("g").join(labels, "subject"), "vertex", "sim").where("p < 0.1").collect()}
+
+
+def test_cluster_test(spark, noise):
+    faces = spark.createDataFrame([(h, 20 * r + c + 200 * i, 20 * r + c + 1 + 200 * i, 20 * (r + 1) + c + 200 * i) for i, h in enumerate(("lh", "rh")) for r in range(9) for c in range(19)], "hemi string, a int, b int, c int")
+    planted = F.when((F.col("g") == 1) & (F.col("vertex") % 20 < 4) & (F.col("vertex") < 80), 2.5).otherwise(0.0)
+    x = noise.withColumn("hemi", F.when(F.col("vertex") < 200, "lh").otherwise("rh")).withColumn("value", F.col("value") + planted)
+    observed, null = mesh.cluster_test(x, mesh.neighbours(faces, "hemi"), x.select("subject", "g"), 60, 0.005, 5, ("hemi",))
+    seen, sizes = observed.collect(), [r.max_size for r in null.orderBy("sim").collect()]
+    assert [(r.hemi, r.size >= 14) for r in seen] == [("lh", True)]
+    assert len(sizes) == 60 and min(sizes) == 0  # simulations without a cluster count
+    report = mesh.report(observed, null, "hemi").collect()
+    assert [(r.hemi, r.n_clusters, r.n_over) for r in report] == [("lh", 1, 1)]
+
+
+@pytest.mark.parametrize("local", [1_000_000, 3, 0])
+def test_components_of_groups(spark, local):
+    rng = np.random.default_rng(1)
+    rows = [(h, int(a), int(b)) for h in "xy" for a, b in rng.integers(0, 60, (45, 2))] + [("x", None, 1), (None, 1, 2), ("x", 1, 1)]
+    got = {(r.h, r.node): r.component for r in graph.components(spark.createDataFrame(rows, "h string, a long, b long"), "h", local=local).collect()}
+    want: dict = {}
+    for h in "xy":
+        root = {v: v for v in range(60)}
+        for _ in range(60):
+            for k, a, b in rows:
+                if k == h and a is not None:
+                    root[a] = root[b] = min(root[a], root[b])
+        want |= {(h, v): r for v, r in root.items() if r != v}
+    assert got == want
+    assert graph.components(spark.createDataFrame([], "a string, b string"), local=local).count() == 0
+    assert graph.components(spark.createDataFrame([("b", "c"), ("a", "c")], "a string, b string")).orderBy("node").collect() == [("b", "a"), ("c", "a")]
+
+
+def test_scratch_is_left_clean(spark, tmp_path, monkeypatch):
+    class Elsewhere:  # a session on a cluster, without a shared folder
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Elsewhere.conf)
+
+    with pytest.raises(ValueError):
+        scratch.root(Elsewhere)
+    monkeypatch.setattr(scratch, "root", lambda spark: f"file://{tmp_path}")
+    links = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = graph.components(links, local=100)
+    assert found.count() == 2000 and ["result" in p.name for p in tmp_path.iterdir()] == [True]
+    scratch.delete_result(found)
+    assert not list(tmp_path.iterdir())
+
+
 def ring(n=12):
     return [("lh", i, (i + 1) % n, n + i) for i in range(n)] + [("lh", n + i, n + (i + 1) % n, (i + 1) % n) for i in range(n)]
 
