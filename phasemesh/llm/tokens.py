@@ -23,6 +23,10 @@ MEMO_PIECES, MEMO_CHARS, SEEN = 400_000, 64, 1 << 22
 #: Stands between pieces that are encoded together under a tokenizer that drops spaces; digits are words of their own.
 SEPARATOR = "0"
 
+#: Letters that no normalizer here turns into anything but one letter; punctuation after them is always cut off.  (Others
+#: are not safe: a capital I with a dot becomes a small i and a mark, which stays with the punctuation.)
+LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha())
+
 _ID = attrgetter("id")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -162,7 +166,7 @@ class Encoder:
                         continue
                 else:
                     stem = piece.rstrip(punctuation)
-                    if stem is not piece and stem[-1:].isalpha():
+                    if stem is not piece and stem[-1:] in LETTERS:
                         tail = self._tail(piece[len(stem) :])
                         ids = get(stem)
                         if ids is not None:
@@ -209,7 +213,7 @@ class Encoder:
         if ids is None:
             stem = piece.rstrip(punctuation)
             tail = b""
-            if stem[-1:].isalpha():
+            if stem[-1:] in LETTERS:
                 tail = self._tail(piece[len(stem) :]) if len(stem) < len(piece) else b""
             else:
                 stem = piece
@@ -237,7 +241,7 @@ class Encoder:
         return array("I", map(_ID, self.tokenize(lead + stem))).tobytes()
 
     def _tail(self, marks: str) -> bytes:
-        """Ids of punctuation that ends a piece after a letter: both kinds of pre-tokenizer always cut there."""
+        """Ids of punctuation that ends a piece after one of LETTERS: both kinds of pre-tokenizer always cut there."""
         ids = self.tails.get(marks)
         if ids is None:
             ids = self._ids(marks).tobytes()

@@ -36,6 +36,20 @@ def test_memo_changes_nothing_in_random_texts(text):
         assert np.frombuffer(a(text), "<u4").tolist() == a.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_that_change_before_every_punctuation_mark():
+    """Letters that normalizers turn into several characters, combining marks and ligatures, before each mark."""
+    import random
+    from string import punctuation
+
+    letters = [*"İıſßẞŉΐΣςǅﬁﬂΩÅKaZé9", "i\u0307", "e\u0301", "\u0345", "\u0307", "ﷺ", "ก", "한", "日", "½", "🙂"]
+    rng = random.Random(4)
+    texts = ["ALİ.", "VELİ, ALİ!", "DENİZLİ'", "ALİ."] + [f"x{a}{m}{rng.choice(['', m])} {a}{m}y" for a in letters for m in punctuation]
+    texts += ["".join(rng.choice([*letters, *punctuation, " ", "\n", "st"]) for _ in range(12)) for _ in range(3000)]
+    for path in (BYTE, WORD):
+        memo, plain = tokens.Encoder(path), tokens.Encoder(path, memo=False)
+        assert [t for t in texts * 2 if memo(t) != plain(t)] == []
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_PIECES", 10)
     e = tokens.Encoder(BYTE)
