@@ -66,6 +66,10 @@ class Scratch:
         return self
 
     def __exit__(self, *error) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete all tables of this run."""
         delete(self.spark, self.path)
         self._at.clear()
 
