@@ -90,12 +90,10 @@ class MinMax:
             out[1] = np.maximum(out[1], top) if at else top
         return out.reshape(-1)
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """One 64-bit key for each band; the band's number is part of it."""
+    def keys(self, hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """One 64-bit key for each band, whose number is part of it, and the lowest byte of every value."""
         both = self.signature(hashes).astype(np.uint64).reshape(self.bands, self.rows)
         key = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
         for r in range(self.rows):
             key = mix(key ^ both[:, r]) + np.uint64(r)
-        return key.view(np.int64)
-
-
+        return key.view(np.int64), both.astype(np.uint8).tobytes()
