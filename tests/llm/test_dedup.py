@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phasemesh.llm import covertree, minmax, shingles
-from phasemesh.llm.components import components
+from phasemesh.operators.graph import components
 
 UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -76,8 +76,10 @@ def test_groups_equal_brute_force(spark, docs):
     assert minmax.groups(docs("a").limit(0)).count() == 0
 
 
-def test_large_buckets_are_compared_in_blocks(spark, docs, monkeypatch):
+@pytest.mark.parametrize("size", [1, 3000, 1 << 25])
+def test_large_buckets_are_compared_in_blocks(spark, docs, monkeypatch, size):
     monkeypatch.setattr(minmax, "BLOCK", 8)
+    monkeypatch.setattr(minmax, "BLOCK_BYTES", size)
     texts = corpus(1, 2, 60)
     got = minmax.groups(docs(*texts), 85).collect()
     assert sorted(map(tuple, got), key=str) == brute_force(list(range(len(texts))), texts, 85)
@@ -96,6 +98,37 @@ def test_signature_estimates_similarity():
         shingles.MinMax(3, 4)
 
 
+def test_no_similar_pair_is_ruled_out_by_signatures():
+    rng = np.random.default_rng(6)
+    lowest = {}
+    for percent, bands, rows in ((85, 32, 8), (80, 40, 6)):
+        h = shingles.MinMax(bands, rows)
+        for n in (7, 40, 1000):
+            for _ in range(300):
+                a = shingles.mix(rng.integers(1, 2**63, n).astype(np.uint64))
+                cut = next(k for k in range(n, 0, -1) if 100 * k < percent * (2 * n - k)) + 1  # the fewest shared
+                b = np.concatenate([a[:cut], shingles.mix(rng.integers(1, 2**63, n - cut).astype(np.uint64))])
+                x, y = (np.frombuffer(h.keys(s)[1], np.uint8) for s in (a, b))
+                lowest[percent] = min(lowest.get(percent, 999), (x == y).sum() - minmax.least_agreement(len(x), percent))
+    assert all(v > 0 for v in lowest.values()), lowest
+
+
+def test_pairs_meet_once_and_in_either_order():
+    rng = np.random.default_rng(7)
+    bands = rng.integers(0, 3, (40, 4))
+    low = np.tile(rng.integers(0, 256, 32).astype(np.uint8), (40, 1))
+    side = {"rep": np.arange(40), "comp": np.arange(40) // 2, "n": np.full(40, 10), "apart": np.ones(40, np.int64), "bands": bands, "low": low}
+    seen = []
+    for band in range(4):
+        for key in range(3):
+            here = bands[:, band] == key
+            part = {k: v[here] for k, v in side.items()}
+            i, j = minmax._Suspects(85, 1 << 20).pairs(part, part, band)
+            seen += list(zip(part["rep"][i].tolist(), part["rep"][j].tolist()))
+    want = [(a, b) for a in range(40) for b in range(a) if a // 2 != b // 2 and (bands[a] == bands[b]).any()]
+    assert sorted(seen) == sorted((b, a) for a, b in want)
+
+
 def test_overlaps():
     rng = np.random.default_rng(3)
     left, right = ([np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes] for sizes in ((5, 30, 0), (10, 0, 50, 3)))
@@ -151,8 +184,8 @@ def test_vectors_equal_brute_force(spark):
         if rows[k][0] is not None:
             least[p] = min(least.get(p, rows[k][0]), rows[k][0])
     want = sorted(((r[0], n[k], least.get(part[k]), r[0] is not None and r[0] == least.get(part[k])) for k, r in enumerate(rows)), key=str)
-    for block in (1024, 16):
-        got = sorted(map(tuple, covertree.near_duplicates(df, 0.93, block).collect()), key=str)
+    for sizes in ((1024, 8, 1024), (16, 8, 4), (16, 2, 1024), (4, 2, 3)):  # one bundle, then pivots
+        got = sorted(map(tuple, covertree.near_duplicates(df, 0.93, *sizes).collect()), key=str)
         assert got == want
     assert covertree.near_duplicates(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
