@@ -12,23 +12,25 @@ each; an empty table gives no shards and an empty result.  Other columns are ign
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from . import store, tokens
 
 BLOCK = 1024
 #: Blocks that are decoded at a time (so many times BLOCK ids are in memory), and that are coded at a time (so few that
 #: the work stays in the processor's cache).
 GROUP, CODED = 2048, 32
-#: Runs whose counts of ids one task adds up.
-RUNS_SUMMED = 64
+#: Tasks whose counts of ids one task adds up.
+TASKS_SUMMED = 64
 MAGIC = b"PHTK1\n"
 FOOTER = struct.Struct("<QQQQQ6s")
 
@@ -141,8 +143,8 @@ class Coder:
 # --- shards -----------------------------------------------------------------------------------------------------------
 
 
-def write_shard(fs, path: str, coder: Coder, docs: tuple[np.ndarray, np.ndarray, np.ndarray], ids: Iterator[np.ndarray]) -> None:
-    """``docs``: doc_ids, null flags, lengths; ``ids``: the ids in order, in pieces of any size."""
+def write_shard(fs, path: str, coder: Coder, docs: tuple[Sequence, Sequence, Sequence], ids: Iterator[np.ndarray]) -> None:
+    """``ids``: the ids in order, in pieces of any size; ``docs``: doc_ids, null flags, lengths, read once all ids are."""
     with fs.open_output_stream(path) as f:
         f.write(MAGIC)
         bits, starts, rest = 0, [], np.zeros(0, np.uint32)
@@ -162,10 +164,10 @@ def write_shard(fs, path: str, coder: Coder, docs: tuple[np.ndarray, np.ndarray,
             rest = rest[whole:]
         put(rest)
         starts_b = np.concatenate(starts).astype("<i8").tobytes()
-        docs_b = docs[0].astype("<i8").tobytes() + docs[1].astype("u1").tobytes() + docs[2].astype("<u8").tobytes()
+        docs_b = b"".join(np.asarray(d, t).tobytes() for d, t in zip(docs, ("<i8", "u1", "<u8")))
         book = zlib.compress(coder.lengths.tobytes(), 6)
         f.write(starts_b + docs_b + book)
-        f.write(FOOTER.pack(bits // 8, len(starts_b) // 8, len(docs[0]), len(book), int(docs[2].sum()), MAGIC))
+        f.write(FOOTER.pack(bits // 8, len(starts_b) // 8, len(docs[0]), len(book), int(sum(docs[2])), MAGIC))
 
 
 class Shard:
@@ -216,140 +218,119 @@ class Shard:
 # --- operators --------------------------------------------------------------------------------------------------------
 
 
-class _Runs:
-    """Ids of one task's documents in the order of the sorted partition, uncoded, with the counts of ids."""
+class _Encode:
+    """Documents as ids of two or four bytes, and at the end of each task one row with the counts of its ids."""
 
-    def __init__(self, base: str, tokenizer: str, end_id: int | None):
-        self.base, self.tokenizer, self.end_id = base, tokenizer, end_id
+    def __init__(self, tokenizer: str, end_id: int | None):
+        self.tokenizer, self.end_id = tokenizer, end_id
 
     def __call__(self, batches):
         import pyarrow as pa
 
         encode = tokens.encoder(self.tokenizer)
         end = b"" if self.end_id is None else np.array([self.end_id], "<u4").tobytes()
-        small = encode.tokenizer.get_vocab_size() <= 1 << 16
-        fs, folder = store.filesystem(self.base)
-        name, out = f"run-{uuid.uuid4().hex}", None
-        docs: list = []
-        lengths: list[int] = []
+        small = max(encode.tokenizer.get_vocab_size(), self.end_id or 0) < 1 << 16
         counts = np.zeros(0, np.int64)
+        none = pa.nulls(256, pa.list_(pa.int64()))
+        names = ["doc_id", "ids", "used", "counts"]
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 piece = batch.slice(part, 256)
                 coded = [encode(t) + end for t in piece.column(1).to_pylist()]
-                docs += piece.column(0).to_pylist()
-                lengths += [len(c) // 4 for c in coded]
                 ids = np.frombuffer(b"".join(coded), "<u4")
                 if len(ids):
                     more = np.bincount(ids)
                     if len(more) > len(counts):
                         counts = np.pad(counts, (0, len(more) - len(counts)))
                     counts[: len(more)] += more
-                if out is None:
-                    fs.create_dir(folder, recursive=True)
-                    out = fs.open_output_stream(f"{folder}/{name}")
-                out.write(ids.astype("<u2").tobytes() if small and ids.max(initial=0) < 1 << 16 else ids.tobytes())
-        if out is None:
-            return
-        out.close()
+                kept = [np.frombuffer(c, "<u4").astype("<u2").tobytes() for c in coded] if small else coded
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(kept, pa.binary()), none[: len(kept)], none[: len(kept)]], names=names)
         used = np.flatnonzero(counts)
-        null = np.array([d is None for d in docs])
-        data = np.array([d or 0 for d in docs], "<i8").tobytes() + null.astype("u1").tobytes() + np.array(lengths, "<u8").tobytes()
-        yield pa.RecordBatch.from_pydict(
-            {
-                "run": [f"{self.base}/{name}"],
-                "width": pa.array([2 if small else 4], pa.int32()),
-                "n_docs": [len(docs)],
-                "n_tokens": [sum(lengths)],
-                "docs": pa.array([data], pa.binary()),
-                "ids": pa.array([used.tolist()], pa.list_(pa.int64())),
-                "counts": pa.array([counts[used].tolist()], pa.list_(pa.int64())),
-            }
-        )
+        if len(used):
+            lists = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (used, counts[used])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([b"\2" if small else b"\4"], pa.binary()), *lists], names=names)
 
 
 def _sum_counts(batches):
-    """Adds up the counts of all runs of a task."""
+    """Adds up the counts of all tasks that one task is given, and tells how wide the ids are."""
     import pyarrow as pa
 
-    total = np.zeros(0, np.int64)
+    total, width = np.zeros(0, np.int64), 0
     for batch in batches:
         ids, counts = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
         if len(ids):
+            width = batch.column(2)[0].as_py()[0]
             total = np.pad(total, (0, max(0, int(ids.max()) + 1 - len(total))))
             np.add.at(total, ids, counts)
     used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
+    yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64()), "width": pa.array(np.full(len(used), width, np.int32))})
 
 
 class _Code:
-    """Codes runs of ids into shards."""
+    """Codes one sorted partition into a shard as its documents come."""
 
-    def __init__(self, base: str, lengths):
-        self.base, self.lengths = base, lengths
+    def __init__(self, base: str, lengths, width: int):
+        self.base, self.lengths, self.width = base, lengths, width
 
     def __call__(self, batches):
         import pyarrow as pa
 
+        rows = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
+        head = next(rows, None)
+        if head is None:
+            return
+        docs: tuple[list[int], list[bool], list[int]] = ([], [], [])
+
+        def pieces() -> Iterator[np.ndarray]:
+            for some in itertools.chain([head], rows):
+                coded = some.column(2).to_pylist()
+                known = some.column(0)
+                docs[0].extend(known.fill_null(0).to_pylist())
+                docs[1].extend(known.is_null().to_pylist())
+                docs[2].extend([len(c) // self.width for c in coded])
+                yield np.frombuffer(b"".join(coded), f"<u{self.width}").astype(np.uint32)
+
         fs, folder = store.filesystem(self.base)
-        for batch in batches:
-            for run in batch.to_pylist():
-                fs.create_dir(folder, recursive=True)
-                n = run["n_docs"]
-                docs = (np.frombuffer(run["docs"], "<i8", n), np.frombuffer(run["docs"], "u1", n, 8 * n), np.frombuffer(run["docs"], "<u8", n, 9 * n))
-                name, kind = f"shard-{uuid.uuid4().hex}.ids", f"<u{run['width']}"
-                coder = Coder(np.frombuffer(zlib.decompress(self.lengths.value), np.uint8))
-                source, place = store.filesystem(run["run"])
-                with source.open_input_file(place) as f:
-                    step = GROUP * BLOCK * run["width"]
-                    write_shard(fs, f"{folder}/{name}", coder, docs, (np.frombuffer(d, kind).astype(np.uint32) for d in iter(lambda f=f, step=step: f.read(step), b"")))
-                known = docs[0][docs[1] == 0]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": [f"{self.base}/{name}"],
-                        "n_docs": [n],
-                        "n_tokens": [run["n_tokens"]],
-                        "first_doc": pa.array([int(known[0]) if len(known) and not docs[1][0] else None], pa.int64()),
-                    }
-                )
+        fs.create_dir(folder, recursive=True)
+        name = f"shard-{uuid.uuid4().hex}.ids"
+        write_shard(fs, f"{folder}/{name}", Coder(np.frombuffer(zlib.decompress(self.lengths.value), np.uint8)), docs, pieces())
+        yield pa.RecordBatch.from_pydict(
+            {
+                "shard": [f"{self.base}/{name}"],
+                "n_docs": [len(docs[0])],
+                "n_tokens": [sum(docs[2])],
+                "first_doc": head.column(0).slice(0, 1),
+                "first_row": head.column(1).slice(0, 1),
+            }
+        )
 
 
 def write(docs: DataFrame, base: str, tokenizer: str, end_id: int | None = 0, shards: int | None = None, limit: int | None = None) -> DataFrame:
     """Write ``docs(doc_id, text)`` as token-id files below ``base``; returns the manifest of shards.
 
-    The texts are range-partitioned and sorted by doc_id and encoded once, into uncoded runs that also count the ids;
-    the counts, one row for each id of the vocabulary, make the code; then the runs are coded.  Files of failed attempts
-    are in no manifest and so never read.
+    The texts are encoded once, where they are, and the ids, mostly two bytes each, are kept as a table together with
+    their counts; the counts, one row for each id of the vocabulary, make the code.  Then the ids are range-partitioned
+    and sorted by doc_id (rows of one doc_id, or of none, may fill many partitions) and each partition is coded into a
+    shard as it comes.  Files of failed attempts are in no manifest and so never read.
     """
     spark = docs.sparkSession
     store.bounded_batches(spark)
     rows = store.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    rows = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
-    runs = store.save(
-        rows.sortWithinPartitions("doc_id").mapInArrow(
-            _Runs(f"{base}-runs", tokenizer, end_id),
-            "run string, width int, n_docs long, n_tokens long, docs binary, ids array<long>, counts array<long>",
-        ),
-        "token-runs",
-    )
-    n = max(1, runs.count())
-    sums = runs.select("ids", "counts").repartition(-(-n // RUNS_SUMMED)).mapInArrow(_sum_counts, "id long, n long")
-    found = sums.groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most one row for each id of the vocabulary
-    counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
-    counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    book = spark.sparkContext.broadcast(zlib.compress(code_lengths(counts, limit).tobytes(), 6))
-    spark._jvm.System.gc()  # the sorted texts' shuffle files are no longer needed; Spark deletes them when it notices
-    made = store.save(
-        runs.select("run", "width", "n_docs", "n_tokens", "docs").repartition(n).mapInArrow(
-            _Code(base, book), "shard string, n_docs long, n_tokens long, first_doc long"
-        ),
-        "token-shards",
-    )
-    store.discard(runs)
-    fs, where = store.filesystem(f"{base}-runs")
-    if fs.get_file_info(where).type.name == "Directory":
-        fs.delete_dir(where)
-    return made
+    with Scratch(spark, "token-files") as tmp:
+        made = rows.mapInArrow(_Encode(tokenizer, end_id), "doc_id long, ids binary, used array<long>, counts array<long>")
+        made = tmp.save(made.withColumn("row", F.monotonically_increasing_id()), "ids")
+        told = made.where("counts is not null").select("used", "counts", "ids")
+        sums = told.repartition(-(-max(1, told.count()) // TASKS_SUMMED)).mapInArrow(_sum_counts, "id long, n long, width int")
+        found = sums.groupBy("id").agg(F.sum("n").alias("n"), F.max("width").alias("width")).toPandas()  # at most one row for each id of the vocabulary
+        counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
+        counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+        book = spark.sparkContext.broadcast(zlib.compress(code_lengths(counts, limit).tobytes(), 6))
+        ids = made.where("counts is null").select("doc_id", "row", "ids")
+        ids = ids.repartitionByRange(shards, "doc_id", "row") if shards else ids.repartitionByRange("doc_id", "row")
+        coded = ids.sortWithinPartitions("doc_id", "row").mapInArrow(
+            _Code(base, book, int(found["width"].max()) if len(found) else 4), "shard string, n_docs long, n_tokens long, first_doc long, first_row long"
+        )
+        return tmp.result(coded)
 
 
 class _Read:
@@ -390,7 +371,7 @@ class _ReadIds:
 
 def _placed(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """One row per shard with the number of ids before it; as many rows as shards."""
-    rows = sorted(manifest.select("shard", "n_tokens", "n_docs", "first_doc").collect(), key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0))
+    rows = sorted(manifest.select("shard", "n_tokens", "first_doc", "first_row").collect(), key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0, r["first_row"]))
     starts = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])]).astype(int).tolist()
     placed = spark.createDataFrame([(r["shard"], s) for r, s in zip(rows, starts)], "shard string, start long")
     return placed.repartition(max(1, len(rows)))
