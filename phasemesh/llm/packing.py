@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from . import store, tokens
 
 #: Fillings tried beside a largest piece by the first search, and steps each search takes before the incumbent stands.
@@ -347,13 +348,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | No
     spark = docs.sparkSession
     store.bounded_batches(spark)
     rows = store.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    made = store.save(
-        rows.mapInArrow(_Pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"), "pieces"
-    )
-    parts = made.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    places = spark.sparkContext.broadcast(Places(solve(counts, capacity)))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = made.join(parts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(_Assign(places), SCHEMA)
+    with Scratch(spark, "packing") as tmp:
+        made = tmp.save(
+            rows.mapInArrow(_Pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"), "pieces"
+        )
+        parts = made.groupBy("length", "part").agg(F.count("*").alias("n"))
+        counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+        places = spark.sparkContext.broadcast(Places(solve(counts, capacity)))
+        before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        ranked = made.join(parts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+        return tmp.result(ranked.mapInArrow(_Assign(places), SCHEMA))
