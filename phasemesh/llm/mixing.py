@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from ..scratch import Scratch, delete_result
 
 #: Rates above this are drawn as sums of independent parts, so that no table of the distribution grows.
 PART = 32.0
@@ -28,19 +28,22 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
     ``alpha``.  Sizes are code points of texts; the budget is ``epochs`` times all of them.  Null is a source of its
     own; a source without text gets rate 0.
     """
+    spark = docs.sparkSession
     sizes = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("size"))
     if weights is None:
         share = F.pow("size", F.lit(float(alpha)))
     else:
         if any(w < 0 for w in weights.values()):
             raise ValueError("weights must not be negative")
-        asked = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "w_source string, w double")
+        asked = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "w_source string, w double")
         sizes = sizes.join(asked, F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
         share = F.coalesce("w", F.lit(0.0))
-    shared = store.save(sizes.select("source", "size", F.when(F.col("size") > 0, share).otherwise(0.0).alias("share")), "sources")
-    total = shared.agg(F.sum("size").alias("all_size"), F.sum("share").alias("all_share"))
-    rate = F.when((F.col("size") > 0) & (F.col("all_share") > 0), F.lit(float(epochs)) * F.col("all_size") * F.col("share") / F.col("all_share") / F.col("size")).otherwise(0.0)
-    return shared.join(F.broadcast(total)).select("source", rate.alias("rate"))  # one row
+    with Scratch(spark, "rates") as tmp:
+        shared = tmp.save(sizes.select("source", "size", F.when(F.col("size") > 0, share).otherwise(0.0).alias("share")), "sources")
+        total = shared.agg(F.sum("size").alias("all_size"), F.sum("share").alias("all_share"))
+        rate = F.lit(float(epochs)) * F.col("all_size") * F.col("share") / F.col("all_share") / F.col("size")
+        rate = F.when((F.col("size") > 0) & (F.col("all_share") > 0), rate).otherwise(0.0)
+        return tmp.result(shared.join(F.broadcast(total)).select("source", rate.alias("rate")))  # one row
 
 
 def uniform(*parts) -> Column:
@@ -74,9 +77,13 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*held)
     made = rates(plain.select(F.col(at["text"]).alias("text"), F.col(at["source"]).alias("source")), weights, alpha, epochs)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
-    made = store.save(made.withColumn("parts", parts).select("source", "parts", _cumulative(F.col("rate") / parts).alias("_cdf")), "rates")
-    right = F.broadcast(made) if made.count() <= BROADCAST_SOURCES else made
-    met = plain.join(right, plain[at["source"]].eqNullSafe(made["source"]), "left")
+    drawn_from = made.withColumn("parts", parts).select("source", "parts", _cumulative(F.col("rate") / parts).alias("_cdf"))
+    if made.count() <= BROADCAST_SOURCES:
+        right = F.broadcast(docs.sparkSession.createDataFrame(drawn_from.collect(), drawn_from.schema))
+        delete_result(made)
+    else:  # the table of rates stays, as the copies' plan reads it
+        right = drawn_from
+    met = plain.join(right, plain[at["source"]].eqNullSafe(right["source"]), "left")
     cut = met.select(*held, "_cdf", F.explode(F.sequence(F.lit(1), F.coalesce("parts", F.lit(1)))).alias("part"))
     u = uniform(seed, F.col(at["doc_id"]), F.col("part"))
     drawn = cut.select(*held, "_cdf", "part", u.alias("_u")).select(*held, "part", F.expr("size(filter(_cdf, c -> c < _u))").alias("_n"))
