@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from . import store
 
 WORD_BITS, FORM_BITS, PAIR_BITS = 17, 16, 17
@@ -22,6 +23,8 @@ PAIRS = (1 << WORD_BITS) + 4 * (1 << FORM_BITS)
 SIZE = PAIRS + (1 << PAIR_BITS)
 #: The model is fitted on at most about so many labelled texts, chosen by a hash of their doc_id; they are read whole.
 LEARN_ROWS = 8_000
+#: Bytes of their features that the driver takes; of longer texts fewer are used, again by the hash.
+LEARN_BYTES = 400 << 20
 MEMO_WORDS = 150_000
 EPOCHS, COST, SHARPNESS = 20, 1.0, 4.0
 
@@ -156,18 +159,23 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Model:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``.
 
     Labels other than 0 and 1, and null doc_ids, are left out; a doc_id with both labels is left out too.  About
-    ``rows`` labelled doc_ids with the lowest hashes are used, so their broadcast and what reaches the driver are bounded.
+    ``rows`` labelled doc_ids with the lowest hashes are used, one text each, and fewer if their features have more than
+    LEARN_BYTES, so their broadcast and what reaches the driver are bounded.
     """
     store.bounded_batches(docs.sparkSession)
     known = store.only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
     known = known.agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
-    known = store.save(known, "labels")
-    total = known.count()
-    share = 1.0 if total <= rows else rows / total
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    texts = store.only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    found = texts.mapInArrow(_collect_features, f"doc_id {dict(docs.dtypes)['doc_id']}, features binary").join(F.broadcast(chosen), "doc_id").toPandas()
-    found = found.sort_values(["doc_id", "features"])
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    with Scratch(docs.sparkSession, "quality") as tmp:
+        known = tmp.save(known, "labels")
+        total = known.count()
+        bound = int((1.0 if total <= rows else rows / total) * 1_000_003) + 1
+        chosen = known.where(hashed < bound)
+        texts = store.only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+        seen = texts.mapInArrow(_collect_features, f"doc_id {dict(docs.dtypes)['doc_id']}, features binary").groupBy("doc_id").agg(F.min("features").alias("features"))
+        seen = tmp.save(seen.join(F.broadcast(chosen), "doc_id"), "features")
+        held = seen.agg(F.sum(F.length("features"))).first()[0] or 0
+        found = seen.where(hashed < bound * min(1.0, LEARN_BYTES / max(held, 1))).toPandas().sort_values("doc_id")
     return fit([np.frombuffer(f, "<i4") for f in found["features"]], found["quality"].to_numpy(np.int64))
 
 
