@@ -85,7 +85,10 @@ WITH t AS (
     + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END)
     + (CASE WHEN 2 * n_upper > n_letters THEN 64 ELSE 0 END) + (CASE WHEN 10 * n_stutter > 3 * n_words THEN 128 ELSE 0 END) AS INTEGER) failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 base_failed, failed = 0 kept, failed FROM f
+, a(mask, alone) AS (VALUES (1, 'few_words'), (2, 'repeated_windows'), (4, 'symbols'), (8, 'duplicate_lines'), (16, 'short_words'), (32, 'long_words'), (64, 'upper_case'), (128, 'stutter'))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 base_failed, failed = 0 kept, failed,
+  'default' policy, CAST(1 AS INTEGER) policy_version, alone, CASE WHEN alone IS NOT NULL THEN count(*) OVER (PARTITION BY failed) END alone_docs
+FROM f LEFT JOIN a ON mask = failed
 """
 
 SQL = {

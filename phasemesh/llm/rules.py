@@ -117,10 +117,21 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def apply(entries: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Ledger rows with ``base_failed`` and ``kept`` under a policy; the base rules always count."""
+    """Ledger rows with ``base_failed`` and ``kept`` under a policy, its name and version, and ``alone``: the rule of the
+    policy that is the only one to drop the row, else null.  The base rules always count.
+    """
     base = Policy("base", 1, BASE).mask
+    here = F.col("failed").bitwiseAND(F.lit(policy.mask | base))
+    alone = F.lit(None).cast("string")
+    for r in RULES:
+        alone = F.when(here == 1 << r.bit, F.lit(r.name)).otherwise(alone)
     return entries.select(
-        "*", (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), (F.col("failed").bitwiseAND(F.lit(policy.mask | base)) == 0).alias("kept")
+        "*",
+        (F.col("failed").bitwiseAND(F.lit(base)) != 0).alias("base_failed"),
+        (here == 0).alias("kept"),
+        F.lit(policy.name).alias("policy"),
+        F.lit(policy.version).alias("policy_version"),
+        alone.alias("alone"),
     )
 
 
