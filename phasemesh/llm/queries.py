@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, delete_result
 from . import covertree, langid, minmax, mixing, oracles, packing, quality, rules, store, token_files, tokens, urls, warc
 
 URL_RULES = [
@@ -22,23 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = warc.write(table(spark, sf_dir, "pages"), store.folder(spark, "archives"))
-    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with Scratch(spark, "op1") as tmp:
+        archives = warc.write(table(spark, sf_dir, "pages"), tmp.place("archives"))
+        found = tmp.result(warc.read(archives, tmp=tmp).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+        delete_result(archives)
+        return found
 
 
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     crc = F.crc32(F.col("text").cast("binary"))
     # the whole copies are shuffled and written; a row is given only for a copy whose text was read back as it was sent
-    mixed = store.save(mixing.replicate(docs.withColumn("crc", crc), alpha=0.5, epochs=1.0, seed=7), "mixed")
+    mixed = Scratch(spark, "mixed").result(mixing.replicate(docs.withColumn("crc", crc), alpha=0.5, epochs=1.0, seed=7))
     key = F.when(crc.eqNullSafe(F.col("crc")), F.col("shuffle_key")).otherwise(F.raise_error(F.lit("a copy's text has changed")))
     return mixed.select("doc_id", "source", "part", "copy", key.alias("shuffle_key")).orderBy("shuffle_key", "doc_id")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    made = token_files.write(docs, store.folder(spark, "token-files"), tokens.tokenizer_path(BYTE_BPE))
-    return token_files.read_digests(made)
+    with Scratch(spark, "op3") as tmp:
+        made = token_files.write(table(spark, sf_dir, "documents"), tmp.place("token-files"), tokens.tokenizer_path(BYTE_BPE))
+        found = tmp.result(token_files.read_digests(made))
+        delete_result(made)
+        return found
 
 
 def op4_langid_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +72,13 @@ def op9_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed"]
-    return rules.apply(rules.ledger(table(spark, sf_dir, "documents"))).select(*columns)
+    """Every text's measurements and verdict, and for texts that one rule alone drops this rule and how many it does so."""
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy", "policy_version", "alone"]
+    with Scratch(spark, "op10") as tmp:
+        entries = tmp.save(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+        lost = rules.ablations(entries).where("without is not null").select(F.col("without").alias("alone"), F.col("dropped_by_it_alone").alias("alone_docs"))
+        judged = rules.apply(entries).select(*columns).join(F.broadcast(lost), "alone", "left")  # one row for each rule
+        return tmp.result(judged.select(*columns, "alone_docs"))
 
 
 QUERIES = {

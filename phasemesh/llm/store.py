@@ -1,19 +1,18 @@
-"""Shared scratch storage: lineage cuts, binary shards and small helpers used by the operators.
+"""Small helpers used by the operators: bounded batches, memos, ids, columns and files.
 
-Everything that one task writes and another reads lies under ``spark.checkpoint.dir``.  That setting is read from
-the session; only where it is unset (local tests) does a default take its place.
+Tables and binary shards that one task writes and another reads lie in the shared folder, see :mod:`phasemesh.scratch`.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_DIR = "file:///tmp/checkpoints"
+from ..scratch import Scratch
+
 #: Arrow batches are closed at this size, so that long texts do not pile up in a Python worker.
 ARROW_BYTES = 16 << 20
 #: Input bytes for each core under which a table counts as small.
@@ -22,18 +21,6 @@ SMALL_BYTES = 16 << 20
 BROADCAST_IDS = 2_000_000
 
 
-def root(spark: SparkSession) -> str:
-    """The shared folder of this session as a URI."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = (found or DEFAULT_DIR).rstrip("/")
-    return path if "://" in path else f"file://{path}"
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new, empty place below the shared folder."""
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _MEMOS: dict[str, Callable[[], None]] = {}
 _OWNER: list[str] = []
 
@@ -68,24 +55,9 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables written by :func:`save` that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def scratch(tmp: Scratch | None, spark: SparkSession, name: str) -> Scratch:
+    """The caller's scratch folder, or one that is left behind for a plan that reads it later."""
+    return tmp or Scratch(spark, name)
 
 
 def spread(df: DataFrame) -> DataFrame:

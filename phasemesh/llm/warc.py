@@ -1,9 +1,10 @@
 """WARC records in ZIP-packaged archives: written by tasks, found by central directory and index, read by range.
 
-An archive is a ZIP file with stored members: ``archive/data.warc.gz`` (one gzip member for each record) and
-``indexes/index.cdxj`` (one line for each record with its offset and length).  The reader parses the end record, the
-ZIP64 records where there are any, and the central directory; locates the two members; splits the index into ranges of
-bounded size; and reads and unzips only those ranges.  Nothing is extracted to disk.
+An archive is a ZIP file with stored members: WARC files below ``archive/`` (one gzip member for each record) and indexes
+below ``indexes/`` (one line for each record with its file, offset and length).  The reader parses the end record, the
+ZIP64 records where there are any, and the central directory; locates these members; splits the index into ranges of
+bounded size; and reads and unzips only those ranges.  A WARC file that no index names is read from its beginning, a
+record at a time.  Nothing is extracted to disk.
 """
 
 from __future__ import annotations
@@ -22,11 +23,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from . import store
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Where members of these kinds lie, and how their names end (fixed values of the format).
+DATA_IN, DATA_ENDS, INDEX_IN, INDEX_ENDS = "archive/", (".warc.gz", ".warc"), "indexes/", (".cdxj", ".cdxj.gz", ".cdx.gz")
 #: Bytes of compressed records that one range holds (more if a single record does).
 RANGE_BYTES = 4 << 20
+#: Bytes that are read at a time where there is no index, and payload bytes after which a batch is closed.
+STEP, HELD = 1 << 20, 16 << 20
 #: So many digests of repeated payloads may be broadcast; more are joined by shuffle.
 BROADCAST_DIGESTS = 500_000
 LEVEL = 3
@@ -93,6 +99,11 @@ def stored_at(read, member: Member) -> int:
     """Where a stored member's bytes begin."""
     if member.method != 0:
         raise ValueError(f"{member.name} is compressed by ZIP, so ranges of it cannot be read")
+    return packed_at(read, member)
+
+
+def packed_at(read, member: Member) -> int:
+    """Where a member's bytes begin, be they stored or compressed."""
     head = read(30, member.header)
     if head[:4] != b"PK\x03\x04":
         raise ValueError(f"{member.name} has no local header")
@@ -125,31 +136,48 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> dict:
-    """The fields of one record, digest and length of the whole payload included."""
+def _digest(said: str | None) -> str | None:
+    """A SHA-1 digest, written in base 32 or hexadecimal, as lower-case hexadecimal; None for others."""
+    kind, _, value = (said or "").strip().partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if re.fullmatch("[0-9a-fA-F]{40}", value) else base64.b32decode(value.upper()).hex()
+
+
+def parse(data: bytes, payload: bool = True) -> dict:
+    """The fields of one record, digest and length of the whole payload included; the payload itself if asked for.
+
+    A record of HTTP has the message's body as payload, any other its whole block.  A digest that the record states is
+    checked if it is SHA-1, unless the payload is left out (as in revisits); without one a revisit's digest is null.
+    """
     end = data.index(b"\r\n\r\n")
     lines = data[:end].decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    block = data[end + 4 : end + 4 + int(fields["content-length"])]
-    http, _, body = block.partition(b"\r\n\r\n")
-    kind = fields["warc-type"]
-    said = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    block = memoryview(data)[end + 4 : end + 4 + int(fields["content-length"])]
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        cut = data.find(b"\r\n\r\n", end + 4, end + 4 + len(block))
+        cut = len(block) if cut < 0 else cut - end
+        http, body = bytes(block[:cut]), block[cut:]
+    else:
+        http, body = b"", block
+    kind, said = fields["warc-type"], _digest(fields.get("warc-payload-digest"))
     if kind == "revisit":
-        length, digest, payload = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1]), said, None
+        stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        length, digest, body = int(stated[1]) if stated else None, said, None
     else:
-        length, digest, payload = len(body), hashlib.sha1(body).hexdigest(), body
-        if digest != said:
-            raise ValueError(f"the payload of {fields['warc-record-id']} is damaged")
+        length, digest = len(body), hashlib.sha1(body).hexdigest()
+        if said is not None and digest != said:
+            raise ValueError(f"the payload of {fields.get('warc-record-id')} is damaged")
     return {
-        "page_id": _page(fields["warc-record-id"]),
+        "page_id": _page(fields.get("warc-record-id")),
         "url": fields.get("warc-target-uri"),
         "payload_bytes": length,
         "payload_digest": digest,
         "record_type": kind,
         "refers_to": _page(fields.get("warc-refers-to")),
-        "payload": payload,
+        "payload": bytes(body) if payload and body is not None else None,
     }
 
 
@@ -203,11 +231,66 @@ def write(pages: DataFrame, base: str, least: int = 1000) -> DataFrame:
     rows = store.only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keyed = rows.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"))
     repeated = keyed.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n"))
-    repeated = store.save(repeated.where("n > 1").drop("n"), "digests")
-    right = F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated
     refers = F.when(F.coalesce(F.col("page_id") < F.col("chosen"), F.col("chosen").isNotNull()), F.col("chosen"))
-    marked = keyed.join(right, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    return store.save(marked.mapInArrow(_Write(base), "archive string, records long, bytes long"), "archives")
+    with Scratch(spark, "warc") as tmp:
+        repeated = tmp.save(repeated.where("n > 1").drop("n"), "digests")
+        right = F.broadcast(repeated) if repeated.count() <= BROADCAST_DIGESTS else repeated
+        marked = keyed.join(right, ["digest", "size"], "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+        return tmp.result(marked.mapInArrow(_Write(base), "archive string, records long, bytes long"))
+
+
+def _lines(read, member: Member) -> Iterator[bytes]:
+    """The lines of an index, stored or compressed, unzipped where its name says so; a step of it is in memory at a time."""
+    at = packed_at(read, member)
+    end, rest = at + member.packed, b""
+    inflate = {0: None, 8: zlib.decompressobj(-15)}[member.method]
+    unzip = zlib.decompressobj(31) if member.name.endswith(".gz") else None
+    while at < end:
+        data = read(min(STEP, end - at), at)
+        at += len(data)
+        data = inflate.decompress(data) if inflate else data
+        while unzip and data:
+            rest += unzip.decompress(data)
+            data = unzip.unused_data
+            if unzip.eof:  # the next gzip member of the same file
+                unzip = zlib.decompressobj(31)
+        *whole, rest = (rest + data).split(b"\n")
+        yield from whole
+    yield rest
+
+
+def spans(read, size: int) -> Iterator[tuple[int, list[int]]]:
+    """Ranges of one archive: where each begins and the lengths of its records; a single negative length stands for a
+    WARC file without an index, of so many bytes.
+    """
+    parts = members(read, size)
+    data = {m.name: m for m in parts if m.name.startswith(DATA_IN) and m.name.endswith(DATA_ENDS)}
+    found: dict[str, list[tuple[int, int]]] = {}
+    for index in parts:
+        if index.name.startswith(INDEX_IN) and index.name.endswith(INDEX_ENDS):
+            for line in _lines(read, index):
+                at = line.find(b"{")
+                if at >= 0:
+                    said = json.loads(line[at:].decode("utf-8", "surrogatepass"))
+                    if "offset" in said and "length" in said:  # others, as of headers, tell of no record
+                        only = next(iter(data)).removeprefix(DATA_IN) if len(data) == 1 else ""
+                        found.setdefault(said.get("filename", only).removeprefix(DATA_IN), []).append((int(said["offset"]), int(said["length"])))
+    if missing := found.keys() - {name.removeprefix(DATA_IN) for name in data}:
+        raise ValueError(f"an index names {sorted(missing)[0]!r}, which is not in the archive")
+    for name, member in data.items():
+        base, group = stored_at(read, member), []
+        known = found.get(name.removeprefix(DATA_IN))
+        if known is None:
+            if not name.endswith(".gz"):
+                raise ValueError(f"{name} is not zipped by record and no index names it")
+            yield base, [-member.size]
+            continue
+        for at, length in sorted(set(known)):
+            if group and (at + length - group[0][0] > RANGE_BYTES or at != sum(group[-1])):
+                yield base + group[0][0], [n for _, n in group]
+                group = []
+            group.append((at, length))
+        yield base + group[0][0], [n for _, n in group]
 
 
 def _ranges(batches) -> Iterator:
@@ -218,25 +301,36 @@ def _ranges(batches) -> Iterator:
         for path in batch.column(0).to_pylist():
             fs, place = store.filesystem(path)
             with fs.open_input_file(place) as f:
-                parts = {m.name: m for m in members(f.read_at, f.size())}
-                base = stored_at(f.read_at, parts[DATA])
-                lines = f.read_at(parts[INDEX].size, stored_at(f.read_at, parts[INDEX])).decode("utf-8", "surrogatepass").split("\n")
-            spans = sorted((x["offset"], x["length"]) for x in (json.loads(line.split(" ", 2)[2]) for line in lines if line))
-            group: list[tuple[int, int]] = []
-            out = []
-            for at, length in spans:
-                if group and at + length - group[0][0] > RANGE_BYTES:
-                    out.append(group)
-                    group = []
-                group.append((at, length))
-            if group:
-                out.append(group)
+                out = list(spans(f.read_at, f.size()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(out), pa.string()), pa.array([base + g[0][0] for g in out], pa.int64()), pa.array([[n for _, n in g] for g in out], pa.list_(pa.int64()))],
+                [pa.array([path] * len(out), pa.string()), pa.array([at for at, _ in out], pa.int64()), pa.array([n for _, n in out], pa.list_(pa.int64()))],
                 names=["archive", "start", "lengths"],
             )
 
 
+def _unzipped(read, start: int, lengths: list[int]) -> Iterator[bytes]:
+    """The records of a range, one at a time."""
+    if lengths[0] >= 0:
+        data, at = read(sum(lengths), start), 0
+        for n in lengths:
+            some = data[at : at + n]
+            yield zlib.decompress(some, 31) if some[:2] == b"\x1f\x8b" else some
+            at += n
+        return
+    at, end, rest, unzip, out = start, start - lengths[0], b"", zlib.decompressobj(31), []
+    while at < end or rest:
+        if not rest:
+            rest = read(min(STEP, end - at), at)
+            at += len(rest)
+        out.append(unzip.decompress(rest))
+        rest = unzip.unused_data
+        if unzip.eof:
+            yield b"".join(out)
+            unzip, out = zlib.decompressobj(31), []
+    if any(out):
+        raise ValueError("the last record is not whole")
+
+
 class _Records:
     def __init__(self, payload: bool):
         self.payload = payload
@@ -246,23 +340,35 @@ class _Records:
 
         kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
         kinds |= {"payload": pa.binary()} if self.payload else {}
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in kinds.items()], names=list(kinds))
+
         for batch in batches:
             for row in batch.to_pylist():
                 fs, place = store.filesystem(row["archive"])
+                found, held = [], 0
                 with fs.open_input_file(place) as f:
-                    data = f.read_at(sum(row["lengths"]), row["start"])
-                found, at = [], 0
-                for n in row["lengths"]:
-                    found.append(parse(zlib.decompress(data[at : at + n], 31)))
-                    at += n
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in kinds.items()], names=list(kinds))
+                    for data in _unzipped(f.read_at, row["start"], row["lengths"]):
+                        found.append(parse(data, self.payload))
+                        held += len(found[-1]["payload"] or b"")
+                        if held > HELD or len(found) == 10_000:
+                            yield rows(found)
+                            found, held = [], 0
+                yield rows(found)
 
 
-def read(archives: DataFrame, payload: bool = False) -> DataFrame:
+def read(archives: DataFrame, payload: bool = False, tmp: Scratch | None = None) -> DataFrame:
     """The records of ``archives(archive)``: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if
     asked for, the payload (null for revisits).  Digests of responses are computed anew and checked.
+
+    Archives of others are read too: any WARC files and indexes in their places, records of any type, without digests or
+    with others; a page_id is told from record ids that :func:`write` gave, else null.  An archive that lists a record
+    nobody can find raises.  The table of ranges goes to ``tmp``; without one it stays in the shared folder, as the
+    returned plan reads it.
     """
+    tmp = store.scratch(tmp, archives.sparkSession, "warc-ranges")
     places = archives.select("archive")
-    ranges = store.save(places.repartition(max(1, places.count())).mapInArrow(_ranges, "archive string, start long, lengths array<long>"), "ranges")
+    ranges = tmp.save(places.repartition(max(1, places.count())).mapInArrow(_ranges, "archive string, start long, lengths array<long>"), "ranges")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
     return ranges.repartition(max(1, min(ranges.count(), 10_000))).mapInArrow(_Records(payload), schema)

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import corpus_pipeline as pipeline
+from phasemesh import scratch
 from phasemesh.llm import langid, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,8 +51,10 @@ def test_near_duplicates_keep_one_of_each_group(spark, docs, tiny):
     assert sorted(((r.doc_id, (r.text or "")[:2].lower()) for r in rows), key=str) == [(1, ""), (2, ""), (4, "w0"), (7, "x0")]
 
 
-def test_run(spark, tiny):
+def test_run(spark, tiny, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "root", lambda spark: f"file://{tmp_path}")
     rows = pipeline.run(spark, tiny).collect()
+    assert [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["packing", "result"]]
     ends: dict = {}
     for r in rows:
         ends.setdefault(r.sequence_id, []).append((r.offset, r.length))

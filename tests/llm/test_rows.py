@@ -1,7 +1,9 @@
 """Archives, mixing, URL lists and the rule ledger."""
 
+import gzip
 import hashlib
 import io
+import json
 import math
 import re
 import struct
@@ -14,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from phasemesh import scratch
 from phasemesh.llm import mixing, queries, rules, store, urls, warc
 
 # --- archives ---------------------------------------------------------------------------------------------------------
@@ -81,6 +84,71 @@ def test_small_ranges(spark, tmp_path, monkeypatch):
     assert sorted(r.payload_bytes for r in warc.read(archives).collect()) == sorted(len(f"{k} " * k) for k in range(60))
 
 
+def test_payloads_over_a_range(spark, tmp_path):
+    """Payloads larger than a range, that pack well and badly."""
+    rng = np.random.default_rng(0)
+    noise = rng.integers(97, 123, warc.RANGE_BYTES + 999).astype(np.uint8).tobytes().decode()
+    rows = [(1, "u", "a"), (2, "u", noise), (3, "u", "0" * 40_000_000), (4, "u", "b")]
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(archives).collect()}
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+def http(body):
+    return b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+
+
+def foreign(kind, block, *lines, form="application/http;msgtype=response"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", *lines, f"Content-Type: {form}", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Several WARC files, indexes of other names and forms, records of all kinds, with other digests or none."""
+    hexa = hashlib.sha1(b"two").hexdigest()
+    files = {
+        "archive/one.warc.gz": [foreign("warcinfo", b"software: x", form="application/warc-fields"), foreign("response", http(b"one"))],
+        "archive/two.warc.gz": [foreign("response", http(b"two"), f"WARC-Payload-Digest: sha1:{hexa.upper()}"), foreign("response", http(b"2b"), "WARC-Payload-Digest: sha256:00"), foreign("revisit", http(b""))],
+        "archive/three.warc.gz": [foreign("resource", b"three\r\n\r\nrest", form="text/plain"), foreign("request", b"GET / HTTP/1.1\r\n\r\n", form="application/http;msgtype=request")],
+        "archive/plain.warc": [foreign("response", http(b"plain"))],
+    }
+    path = tmp_path / "x.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        index = {"a.cdxj": [], "b.cdxj.gz": [], "c.cdxj": []}
+        for name, records in files.items():
+            packed = [r if name.endswith(".warc") else gzip.compress(r) for r in records]
+            z.writestr(name, b"".join(packed))
+            at = 0
+            for p in packed:
+                line = json.dumps({"offset": str(at), "length": str(len(p)), "filename": name.removeprefix("archive/" if "two" in name else "")})
+                if name != "archive/three.warc.gz":  # no index names it
+                    index["a.cdxj" if "one" in name else "b.cdxj.gz" if "two" in name else "c.cdxj"].append(f"org,x)/ 2020 {line}")
+                at += len(p)
+        z.writestr("indexes/a.cdxj", "!meta {}\n" + "\n".join(reversed(index["a.cdxj"])))
+        z.writestr("indexes/b.cdxj.gz", gzip.compress("\n".join(index["b.cdxj.gz"]).encode()) + gzip.compress(b"\n"))
+        z.writestr("indexes/c.cdxj", "\n".join(index["c.cdxj"]) + "\n", zipfile.ZIP_DEFLATED)
+    archives = spark.createDataFrame([(f"file://{path}",)], "archive string")
+    got = sorted((r.record_type, r.payload_bytes, bytes(r.payload) if r.payload is not None else None, r.payload_digest) for r in warc.read(archives, payload=True).collect())
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    want = [("response", len(b), b, sha(b)) for b in (b"one", b"two", b"2b", b"plain")]
+    want += [("revisit", None, None, None), ("warcinfo", 11, b"software: x", sha(b"software: x")), ("resource", 13, b"three\r\n\r\nrest", sha(b"three\r\n\r\nrest")), ("request", 0, b"", sha(b""))]
+    assert got == sorted(want)
+    lost = tmp_path / "lost.wacz"
+    with zipfile.ZipFile(lost, "w") as z:
+        z.writestr("indexes/a.cdxj", '! {"offset": 0, "length": 3, "filename": "gone.warc.gz"}')
+    with pytest.raises(ValueError):
+        list(warc.spans(reader(lost.read_bytes()), lost.stat().st_size))
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_digests_broadcast_and_joined(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", limit)
+    df = spark.createDataFrame([(k, "u", "x" * (2000 + k % 5)) for k in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.read(warc.write(df, f"file://{tmp_path}/w")).collect()}
+    assert got == {k: None if k >= 35 else 35 + k % 5 for k in range(40)}
+
+
 def test_damage_is_noticed():
     data = warc.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
     assert warc.parse(data)["payload"] == b"payload"
@@ -122,7 +190,7 @@ def test_large_rates_are_split(spark):
 
 
 def test_the_mixing_query_shuffles_whole_documents(spark, tiny, tmp_path, monkeypatch):
-    monkeypatch.setattr(store, "root", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(scratch, "root", lambda spark: f"file://{tmp_path}")
     rows = queries.op2_poisson_mix(spark, tiny).collect()
     (made,) = tmp_path.glob("mixed-*")
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
@@ -132,6 +200,20 @@ def test_the_mixing_query_shuffles_whole_documents(spark, tiny, tmp_path, monkey
     assert all(r.text == texts[r.doc_id] for r in held) and any(r.text for r in held)
 
 
+def test_sources_broadcast_and_joined(spark, docs, monkeypatch):
+    d = docs("a b c", None, "", "long " * 900, "a b c", ids=[0, 1, None, 3, 0])
+    want = [tuple(r) for r in mixing.replicate(d, epochs=4.0, seed=2).collect()]
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert [tuple(r) for r in mixing.replicate(d, epochs=4.0, seed=2).collect()] == want and len(want) > 3
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_rows_are_picked_out_by_either_join(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(store, "BROADCAST_IDS", limit)
+    d = docs("a", "b", "c", "d", ids=[1, 2, 2, None], extra=False)
+    assert sorted(r.text for r in store.semi(d.select("doc_id", "text"), spark.createDataFrame([(2,), (5,)], "doc_id long"), "doc_id").collect()) == ["b", "c"]
+
+
 def test_mixing_odd_rows(spark, docs):
     d = docs("a b c", None, "", "long " * 9000, "a b c", ids=[0, 1, None, 3, 0])
     rows = mixing.replicate(d, alpha=1.0, epochs=3.0, seed=2).collect()
@@ -181,13 +263,25 @@ def test_join_equals_trie(spark, monkeypatch):
     got = urls.judge(df, RULES)
     assert sorted(tuple(r) for r in got.collect() if r.page_id is not None) == want
     monkeypatch.setattr(urls, "MAX_TRIE_CHARS", 3)
-    assert sorted(map(tuple, urls.judge(df, RULES).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+    for hot in (1_000_000, 2):  # suffixes of two URLs and more are spread over many keys
+        monkeypatch.setattr(urls, "HOT", hot)
+        assert sorted(map(tuple, urls.judge(df, RULES).collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
     assert urls.judge(df.limit(0), RULES).count() == 0
     for bad in ([("a", "", "maybe")], [("", "/", "block")]):
         with pytest.raises(ValueError):
             urls.Trie(bad)
 
 
+def test_many_rules_of_one_host():
+    """A look takes as many steps for 100,000 paths of one host as for ten."""
+    trie = urls.Trie([("h.com", f"/{k:05d}", "block") for k in range(100_000)] + [("h.com", "/1234", "allow"), ("h.com", "/0", "allow")])
+    assert trie.find("h.com", "/12345/x") == ("h.com/12345", "block")
+    assert trie.find("a.h.com", "/1234x") == ("h.com/1234", "allow") and trie.find("h.com", "/0x") == ("h.com/0", "allow")
+    assert trie.find("h.com", "/x") is None
+    node = trie.top[0]["com"][0]["h"][1][1][""]
+    assert list(node[2]) == [5, 4, 1]  # the lengths that are looked up
+
+
 # --- rules ------------------------------------------------------------------------------------------------------------
 
 
@@ -210,7 +304,8 @@ def test_measurements(spark, docs):
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
     for r in rows:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert r.kept == (r.failed == 0)
+        assert r.kept == (r.failed == 0) and (r.policy, r.policy_version) == ("default", 1)
+        assert r.alone == next((x.name for x in rules.RULES if r.failed == 1 << x.bit), None)
     assert rules.ledger(docs("a").limit(0)).count() == 0
 
 
@@ -228,6 +323,8 @@ def test_policies_and_ablations(spark, docs):
     failed = [r.failed for r in entries.collect()]
     table = {(r.policy, r.without): (r.kept_docs, r.dropped_by_it_alone) for r in rules.ablations(entries, (rules.DEFAULT, lenient)).collect()}
     bits = {r.name: 1 << r.bit for r in rules.RULES}
+    for r in rules.apply(entries, lenient).collect():  # the base rules count under any policy
+        assert r.kept == (r.failed & 67 == 0) and r.alone == {1: "few_words", 2: "repeated_windows", 64: "upper_case"}.get(r.failed & 67)
     for p in (rules.DEFAULT, lenient):
         for without in (None, *p.rules):
             mask = p.mask & ~bits.get(without, 0)
@@ -246,3 +343,14 @@ def test_queries_equal_sql(same_as_sql):
 
     for name, sql in queries.ORACLES.items():
         same_as_sql(queries.QUERIES[name], sql)
+
+
+# --- what is left behind ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_a_query_leaves_nothing_but_its_result(name, spark, tiny, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "root", lambda spark: f"file://{tmp_path}")
+    assert queries.QUERIES[name](spark, tiny).count() > 0
+    left = [p.name for p in tmp_path.iterdir()]
+    assert len(left) <= 1 and all("-result-" in n for n in left)
