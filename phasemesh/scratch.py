@@ -37,9 +37,9 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def save(df: DataFrame, path: str) -> DataFrame:
+def save(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to ``path`` and read it back."""
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,10 +76,10 @@ class Scratch:
     def place(self, name: str) -> str:
         return f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """``df`` as a table of this run."""
         path = self.place(name)
-        out = save(df, path)
+        out = save(df, path, compression)
         self._at[id(out)] = (out, path)
         return out
 
