@@ -140,8 +140,10 @@ class _Suspects:
                 for k in range(x["low"].shape[1]):
                     same += x["low"][:, k, None] == b["low"][None, :, k]
                 i, j = np.nonzero(good & (same >= least))
-                first = (x["bands"][i] == b["bands"][j]).argmax(1) == band
-                found.append((at + i[first], j[first]))
+                for k in range(band):  # pairs that met in an earlier band go
+                    later = x["bands"][i, k] != b["bands"][j, k]
+                    i, j = i[later], j[later]
+                found.append((at + i, j))
         return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
     def __call__(self, table):
