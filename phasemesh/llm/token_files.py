@@ -318,7 +318,7 @@ def write(docs: DataFrame, base: str, tokenizer: str, end_id: int | None = 0, sh
     rows = store.only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     with Scratch(spark, "token-files") as tmp:
         made = rows.mapInArrow(_Encode(tokenizer, end_id), "doc_id long, ids binary, used array<long>, counts array<long>")
-        made = tmp.save(made.withColumn("row", F.monotonically_increasing_id()), "ids")
+        made = tmp.save(made.withColumn("row", F.monotonically_increasing_id()), "ids", compression="zstd")
         told = made.where("counts is not null").select("used", "counts", "ids")
         sums = told.repartition(-(-max(1, told.count()) // TASKS_SUMMED)).mapInArrow(_sum_counts, "id long, n long, width int")
         found = sums.groupBy("id").agg(F.sum("n").alias("n"), F.max("width").alias("width")).toPandas()  # at most one row for each id of the vocabulary
