@@ -194,7 +194,8 @@ class _Count:
                         word, order, bucket = ngrams(plain)
                         total[: len(ORDERS) * BUCKETS] += np.bincount(order * BUCKETS + bucket, count[word], len(ORDERS) * BUCKETS).astype(np.int64)
                         script = script_of(np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4"))
-                        total[len(ORDERS) * BUCKETS :] += np.bincount(script[script >= 0], minlength=len(SCRIPTS))
+                        times = np.repeat(count, [len(w) for w in plain])
+                        total[len(ORDERS) * BUCKETS :] += np.bincount(script[script >= 0], times[script >= 0], len(SCRIPTS)).astype(np.int64)
         yield from drain()
 
 

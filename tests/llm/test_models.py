@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from phasemesh.llm import langid, quality
 
+import plain
+
 EN = "the house and the garden are with this old man who was there for them when they went home"
 DE = "der mann und die frau sind mit dem kind nicht in das haus gegangen weil es schon spät für sie war"
 RU = "это было давно и мы пошли домой потому что там никого не было"
@@ -98,6 +100,42 @@ def test_nothing_to_learn_from(spark, docs):
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)] * 2
 
 
+def test_languages_equal_a_plain_version(spark, tiny):
+    """Word scores, script narrowing, paths and document scores on whole texts of a table with odd ones."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect() if r.text is None or len(r.text) < 6000]
+    rows += [(9001, "\u4e2d\u6587" * 90 + "abc" * 40, "zh"), (9002, f"{RU} {EN} \u4e2d\u6587 12 x!y", None), (9003, RU * 3, "ru"), (9004, "\u65e5\u672c" * 70, None), (9005, "\u0130 " * 9, None), (9006, EN.replace(" ", ""), None), (9007, None, "en"), (9008, "\u0e01" * 70 + RU, None)]
+    model = plain.Languages([(t, x) for i, t, x in rows if not plain.held_out(i, 5, 0)])
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) > 100
+    for i, text, _ in rows:
+        lang, score = model.say(text)
+        assert got[i] == (plain.held_out(i, 5, 0), lang, pytest.approx(score)), (i, text)
+
+
+def test_quality_equals_a_plain_version(spark, tiny):
+    """Features, class ratios, the descent and scores of whole texts."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect() if r.text is None or len(r.text) < 6000}
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if r.doc_id in rows and not plain.held_out(r.doc_id, 3, 1))
+    model = plain.Quality([(rows[i], y) for i, y in known])
+    docs = spark.createDataFrame([*rows.items(), known[0][:1] + (rows[known[0][0]],)], "doc_id long, text string")  # one doc_id twice
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in quality.classify(docs, labels).collect()}
+    assert len(got) == len(rows) > 100 and len(known) > 30
+    for i, text in rows.items():
+        score = model.score(text)
+        assert got[i] == (plain.held_out(i, 3, 1), pytest.approx(score, abs=1e-9), int(score >= 0.5))
+
+
+def test_bytes_that_the_driver_takes_are_bounded(spark, tiny, monkeypatch):
+    d, labels = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet")
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: taken.append(sum(4 * len(r) for r in rows)))
+    quality.learn(d, labels)
+    monkeypatch.setattr(quality, "LEARN_BYTES", taken[0] // 3)
+    quality.learn(d, labels)
+    assert 0 < taken[1] < taken[0] / 2
+
+
 def test_language_of_held_out_texts(spark, tiny):
     d = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
