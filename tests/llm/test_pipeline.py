@@ -1,12 +1,18 @@
 """The pipeline's stages on hostile rows and on the smallest tables."""
 
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
+import plain
 import pytest
+from test_dedup import brute_force
+from test_rows import poisson, uniform
 
 import corpus_pipeline as pipeline
 from phasemesh import scratch
-from phasemesh.llm import langid, quality
+from phasemesh.llm import langid, packing, quality, tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 STAGES = dict(pipeline.STAGES)
@@ -67,3 +73,29 @@ def test_run(spark, tiny, tmp_path, monkeypatch):
     again = pipeline.run(spark, tiny)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(tuple(r[k] for k in key) for r in rows) == sorted(tuple(r) for r in again.select(*key).collect())
+
+
+def test_run_equals_a_plain_version(spark, tiny):
+    """All stages in loops over Python values, on the whole of a small table; places in sequences are checked above."""
+    docs = sorted((r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect())
+    model = plain.Languages([(t, x) for _, t, x, _ in docs])
+    docs = [d for d in docs for lang, score in [model.say(d[1])] if lang != "und" and score >= pipeline.LEAST_SHARE]
+    texts = {d[0]: d[1] for d in docs}
+    labels = sorted((r.doc_id, r.quality) for r in spark.read.parquet(f"{tiny}/labels.parquet").collect() if r.doc_id in texts)
+    model = plain.Quality([(texts[i], y) for i, y in labels])
+    docs = [d for d in docs if model.score(d[1]) >= 0.5]
+    kept = {i for i, _, _, first in brute_force([d[0] for d in docs], [d[1] for d in docs], pipeline.SIMILAR) if first}
+    docs = [d for d in docs if d[0] in kept]
+    size = Counter()
+    for _, text, _, source in docs:
+        size[source] += len(text)
+    share = sum(np.sqrt(n) for n in size.values())
+    rate = {x: sum(size.values()) * np.sqrt(n) / share / n for x, n in size.items()}
+    encode, want = tokens.Encoder(tokens.tokenizer_path("word_bpe_49k.json"), memo=False), Counter()
+    for i, text, _, source in docs:
+        ids = encode(text) + b"\0" * 4
+        for k in range(0, len(ids), 8192):
+            want[i, k // 8192, k // 4, len(ids[k : k + 8192]) // 4, zlib.crc32(ids[k : k + 8192])] += poisson(uniform(7, i), rate[source])
+    rows = pipeline.run(spark, tiny).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == +want
+    assert len(rows) > 100 and len({r.sequence_id for r in rows}) == packing.lower_bound(Counter(r.length for r in rows), 2048)

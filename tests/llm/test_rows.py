@@ -169,14 +169,17 @@ def poisson(u, rate):
     return k
 
 
+def uniform(seed, doc_id):
+    return (int(hashlib.md5(f"{seed}:{doc_id}:1".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+
+
 def test_draws_equal_inversion(spark):
     df = spark.createDataFrame([(k, "x" * 10, "a" if k % 4 else "b") for k in range(400)], "doc_id long, text string, source string")
     weights = {"a": 1.0, "b": 9.0}
     rate = {"a": 4000 * 0.1 / 3000, "b": 4000 * 0.9 / 1000}
     got = Counter(r.doc_id for r in mixing.replicate(df, weights, seed=3).collect())
     for k in range(400):
-        u = (int(hashlib.md5(f"3:{k}:1".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
-        assert got.get(k, 0) == poisson(u, rate["a" if k % 4 else "b"])
+        assert got.get(k, 0) == poisson(uniform(3, k), rate["a" if k % 4 else "b"])
     rates = {r.source: r.rate for r in mixing.rates(df, weights).collect()}
     assert rates == pytest.approx(rate)
 

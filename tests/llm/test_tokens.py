@@ -169,6 +169,28 @@ def test_plan_goes_through_all_fillings():
     assert not packing.search({14: 4, 4: 1, 12: 3, 8: 4, 11: 4, 13: 2}, 30, 5)[1]
 
 
+def test_plan_finds_the_optimum_of_random_cases():
+    """Against the fewest bins over all subsets of 9 to 11 pieces."""
+
+    def fewest(items, capacity):
+        best = [(99, 0)] * (1 << len(items))  # bins and what the last one holds, for each subset
+        best[0] = (0, capacity)
+        for m, (bins, held) in enumerate(best):
+            for i, x in enumerate(items):
+                if not m >> i & 1:
+                    best[m | 1 << i] = min(best[m | 1 << i], (bins, held + x) if held + x <= capacity else (bins + 1, x))
+        return best[-1][0]
+
+    rng = np.random.default_rng(8)
+    cases = [([11, 16, 31, 33, 36, 37, 39, 41, 42, 51, 56], 100)]
+    for _ in range(1000):
+        capacity = int(rng.choice([30, 60, 100, 2048]))
+        cases.append((rng.integers(max(1, capacity // int(rng.integers(6, 12))), int(capacity * rng.choice([0.5, 0.6, 0.7])), int(rng.integers(9, 12))).tolist(), capacity))
+    for items, capacity in cases:
+        made, proved = packing.search(dict(zip(*np.unique(items, return_counts=True))), capacity)
+        assert proved and sum(t for t, _ in made) == fewest(items, capacity), (items, capacity)
+
+
 def test_plan_edges():
     assert packing.plan({}, 10) == []
     with pytest.raises(ValueError):
