@@ -12,8 +12,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: Band-pass design in Hz and dB, and the grid it works on (fixed values, for results that can be compared).
 PASSBAND, STOPBAND, RIPPLE, LOSS, GRID_HZ = (0.005, 0.1), (0.001, 0.14), 3.0, 20.0, 0.5
+#: Samples mirrored at either end before the band-pass, for each Hz of the sampling rate (fixed value).
+PAD = 7
 #: Spans of the spectrum's smoothing kernel, share tapered at either end, and the band of the norm (fixed values).
 SPANS, TAPER, NORM_HZ = (3, 5), 0.1, 0.15
 
@@ -46,8 +50,25 @@ def daniell(spans: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+def fast_length(n: int) -> int:
+    """The least number from ``n`` on without prime factors over 5."""
+    while True:
+        rest = n
+        for f in (2, 3, 5):
+            while rest % f == 0 and rest:
+                rest //= f
+        if rest <= 1:
+            return n
+        n += 1
+
+
 def periodogram(y: np.ndarray, fs: float, spans: tuple[int, ...] = SPANS, taper: float = TAPER) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed one-sided periodogram of the rows, demeaned and cosine-tapered at both ends; frequencies over 0."""
+    """Smoothed one-sided periodogram of the rows, demeaned, cosine-tapered at both ends and padded with zeros to a fast
+    length, without its value at 0.
+
+    The frequencies that go with it are spaced evenly from 0 to ``fs / 2``: a little off those of the transform, as
+    results are compared with ones on this grid.
+    """
     n = y.shape[1]
     x = y - y.mean(1, keepdims=True)
     m = int(math.floor(n * taper))
@@ -55,15 +76,22 @@ def periodogram(y: np.ndarray, fs: float, spans: tuple[int, ...] = SPANS, taper:
     if m:
         edge = 0.5 * (1 - np.cos(np.pi * (np.arange(1, 2 * m, 2)) / (2 * m)))
         w[:m], w[n - m :] = edge, edge[::-1]
-    power = np.abs(np.fft.fft(x * w, axis=1)) ** 2 / (n * fs)
+    wide = fast_length(n)
+    power = np.abs(np.fft.fft(x * w, wide, axis=1)) ** 2 / (n * fs)
     kernel = daniell(spans)
     power[:, 0] = 0.5 * (power[:, 1] + power[:, -1])
     half = len(kernel) // 2
     wrapped = np.concatenate([power[:, -half:], power, power[:, :half]], 1)
-    smooth = sum(k * wrapped[:, i : i + n] for i, k in enumerate(kernel))
-    top = n // 2
+    smooth = sum(k * wrapped[:, i : i + wide] for i, k in enumerate(kernel))
+    top = wide // 2
     lost = 5 / 8 * taper * 2  # share of power that the taper takes
-    return np.arange(1, top + 1) * fs / n, smooth[:, 1 : top + 1] / (1 - lost)
+    return np.linspace(0, fs / 2, top), smooth[:, 1 : top + 1] / (1 - lost)
+
+
+def band_power(y: np.ndarray, fs: float, low: float | None = None, high: float = NORM_HZ) -> np.ndarray:
+    """Sum of each row's periodogram over frequencies up to ``high`` (and over ``low``, if there is one)."""
+    freq, psd = periodogram(y, fs)
+    return psd[:, (freq <= high) & (True if low is None else freq > low)].sum(1)
 
 
 def band_order(passband: tuple[float, float], stopband: tuple[float, float], ripple: float, loss: float) -> tuple[int, tuple[float, float]]:
@@ -130,19 +158,23 @@ def _padded(y: np.ndarray, n: int, edge: bool) -> np.ndarray:
     return np.concatenate([y[:, 1 : n + 1][:, ::-1], y, y[:, -n - 1 : -1][:, ::-1]], 1)
 
 
-def band_pass_rows(rows: list[np.ndarray], fs: float, fs_dec: float = GRID_HZ, passband=PASSBAND, stopband=STOPBAND, ripple: float = RIPPLE, loss: float = LOSS) -> list[np.ndarray]:
-    """Zero-phase Butterworth band-pass on a coarser grid, put back on the first one.  Frequencies in Hz.
+def band_pass_rows(rows: list[np.ndarray], fs: float, fs_dec: float = GRID_HZ, passband=PASSBAND, stopband=STOPBAND, ripple: float = RIPPLE, loss: float = LOSS, pad: float = PAD) -> list[np.ndarray]:
+    """Zero-phase Butterworth band-pass on a coarser grid, put back on the first one.  Frequencies in Hz; ``pad * fs``
+    samples of the coarser grid are mirrored at either end.
 
     Rows of any lengths are filtered side by side: a filter only looks back, so what stands after a row's end does not
-    matter, and the way back runs over rows turned about their own ends.
+    matter, and the way back runs over rows turned about their own ends.  Rows of less than two values stay as they are.
     """
+    if any(len(y) < 2 for y in rows):
+        done = iter(band_pass_rows([y for y in rows if len(y) > 1], fs, fs_dec, passband, stopband, ripple, loss, pad))
+        return [next(done) if len(y) > 1 else y for y in rows]
     nyquist = fs_dec / 2
     order, edges = band_order(tuple(p / nyquist for p in passband), tuple(s / nyquist for s in stopband), ripple, loss)
     sections = butter_band(order, edges)
     wide, used = [], []
     for y in rows:
         coarse = resample(y[None, :], fs, fs_dec, max(2, int(math.ceil(len(y) * fs_dec / fs))))
-        w = _padded(coarse, min(int(round(fs_dec / passband[0])), coarse.shape[1] - 1), edge=False)
+        w = _padded(coarse, min(int(pad * fs), coarse.shape[1] - 1), edge=False)
         wide.append(w[0])
         used.append((w.shape[1] - coarse.shape[1]) // 2)
     sizes = [len(w) for w in wide]
@@ -182,13 +214,37 @@ def analytic(y: np.ndarray, fs: float, seconds: float = 10.0) -> np.ndarray:
 # --- operators --------------------------------------------------------------------------------------------------------
 
 
-def _lists(batch, name: str) -> list[np.ndarray]:
+def _lists(batch, name: str) -> list[np.ndarray | None]:
+    """A list column as arrays; None for a list that is null or holds a null."""
     col = batch.column(batch.schema.get_field_index(name))
-    return [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in col]
+    values = col.flatten()
+    flat, none = values.to_numpy(zero_copy_only=False), values.is_null().to_numpy(zero_copy_only=False)
+    size = np.array([v or 0 for v in col.value_lengths().to_pylist()], np.int64)
+    starts = np.cumsum(size) - size
+    return [flat[a : a + n].astype(np.float64) if known and not none[a : a + n].any() else None for a, n, known in zip(starts, size, col.is_valid().to_pylist())]
+
+
+def _column(rows: list[np.ndarray | None]):
+    """Arrays as a list column; None as null."""
+    import pyarrow as pa
+
+    missing = np.array([r is None for r in rows], bool)
+    held = [np.zeros(0) if r is None else r for r in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in held])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held) if held else np.zeros(0)), mask=pa.array(missing))
+
+
+def _known(rows: list[np.ndarray | None], kernel: Callable[[list[np.ndarray]], list]) -> list:
+    """The kernel on the rows that are known; None for the others."""
+    out: list = [None] * len(rows)
+    at = [i for i, r in enumerate(rows) if r is not None]
+    for i, r in zip(at, kernel([rows[i] for i in at])):
+        out[i] = r
+    return out
 
 
 def _by_length(rows: list[np.ndarray], kernel: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
-    """The kernel on matrices of rows of equal length."""
+    """The kernel on matrices of rows of equal length; rows of less than two values stay as they are."""
     out: list = [None] * len(rows)
     lengths = np.array([len(r) for r in rows])
     for n in np.unique(lengths):
@@ -198,82 +254,100 @@ def _by_length(rows: list[np.ndarray], kernel: Callable[[np.ndarray], np.ndarray
     return out
 
 
+def _slices(batches, rows: int = 1024):
+    """Batches of bounded numbers of rows, none of them empty."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _map(df: DataFrame, kernel: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
-    """``y`` replaced by the kernel of a batch's rows."""
+    """``y`` replaced by the kernel of a batch's rows; a series that is null or holds a null comes back null."""
 
     def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                y = kernel(_lists(b, "y"))
-                at = b.schema.get_field_index("y")
-                yield b.set_column(at, "y", pa.array([v.tolist() for v in y], pa.list_(pa.float64())))
+        for b in _slices(batches):
+            at = b.schema.get_field_index("y")
+            yield b.set_column(at, "y", _column(_known(_lists(b, "y"), kernel)))
 
     return df.mapInArrow(run, df.schema)
 
 
+MOTION = [f"p{i}" for i in range(1, 7)]
+
+
+def _with_motion(signal: DataFrame, motion: DataFrame) -> DataFrame:
+    """Every series with its session's motion parameters as arrays in order of frames."""
+    packed = motion.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", *MOTION))).alias("_m"))
+    return signal.join(packed.select("session_id", *[F.col("_m")[p].alias(f"_{p}") for p in MOTION]), "session_id").select(*signal.columns, *[f"_{p}" for p in MOTION])
+
+
+def _residuals(b, absolute: bool) -> list[np.ndarray | None]:
+    """Residuals of a batch's series on their sessions' parameters; None where either holds a null."""
+    out, known = [], {}
+    regs = [_lists(b, f"_{p}") for p in MOTION]
+    names = b.column(b.schema.get_field_index("session_id")).to_pylist()
+    for i, row in enumerate(_lists(b, "y")):
+        if row is None or any(r[i] is None for r in regs):
+            out.append(None)
+            continue
+        if names[i] not in known:  # one basis for all of a session's series in the batch
+            x = np.column_stack([r[i] for r in regs])
+            known[names[i]] = basis(np.column_stack([x, np.abs(x)]) if absolute else x)
+        q = known[names[i]]
+        out.append(row - q @ (q.T @ row))
+    return out
+
+
 def nuisance(signal: DataFrame, motion: DataFrame, absolute: bool = False) -> DataFrame:
     """Residuals of every series on its session's motion parameters (and, if asked for, their absolute values).
 
-    A session's parameters are one row of arrays and are joined to its series, so nothing is grouped in one task.
+    A session's parameters are one row of arrays and are joined to its series, so nothing is grouped in one task.  A
+    series with nulls, or of a session whose parameters hold one, comes back null.
     """
-    params, columns = [f"p{i}" for i in range(1, 7)], list(signal.columns)
-    packed = motion.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", *params))).alias("_m"))
-    met = signal.join(packed.select("session_id", *[F.col("_m")[p].alias(f"_{p}") for p in params]), "session_id")
+    columns = list(signal.columns)
 
     def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                y, out, known = _lists(b, "y"), [], {}
-                regs = [_lists(b, f"_{p}") for p in params]
-                names = b.column(b.schema.get_field_index("session_id")).to_pylist()
-                for i, row in enumerate(y):
-                    if names[i] not in known:  # one basis for all of a session's series in the batch
-                        x = np.column_stack([r[i] for r in regs])
-                        known[names[i]] = basis(np.column_stack([x, np.abs(x)]) if absolute else x)
-                    q = known[names[i]]
-                    out.append((row - q @ (q.T @ row)).tolist())
-                at = b.schema.get_field_index("y")
-                b = b.set_column(at, "y", pa.array(out, pa.list_(pa.float64())))
-                yield b.select(columns)
+        for b in _slices(batches):
+            yield b.set_column(b.schema.get_field_index("y"), "y", _column(_residuals(b, absolute))).select(columns)
 
-    return met.select(*columns, *[f"_{p}" for p in params]).mapInArrow(run, signal.schema)
+    return _with_motion(signal, motion).mapInArrow(run, signal.schema)
 
 
 def spectra(signal: DataFrame, fs: float) -> DataFrame:
-    """``session_id, k, freq, psd``: mean smoothed periodogram over all series of a session."""
+    """``session_id, k, freq, psd``: mean smoothed periodogram over all series of a session, which are of one length.
+
+    Series with nulls or of less than nine frames are left out.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if b.num_rows:
-                s = b.column(0).to_pylist()
-                total: dict = {}
-                for i, row in enumerate(_lists(b, "y")):
-                    if len(row) > 8:
-                        p = periodogram(row[None, :], fs)[1][0]
-                        have = total.setdefault((s[i], len(row)), [0, 0.0])
-                        have[0] += 1
-                        have[1] = have[1] + p
-                for (name, n), (count, p) in total.items():
-                    m = len(p)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * m, b.schema.field(0).type), pa.array(np.arange(m)), pa.array(np.arange(1, m + 1) * fs / n), pa.array(p), pa.array([count] * m, pa.int64())], names=["session_id", "k", "freq", "sum", "n"])
+        for b in _slices(batches):
+            s = b.column(0).to_pylist()
+            total: dict = {}
+            for i, row in enumerate(_lists(b, "y")):
+                if row is not None and len(row) > 8:
+                    have = total.setdefault((s[i], len(row)), [0, 0.0, None])
+                    have[2], psd = periodogram(row[None, :], fs)
+                    have[0] += 1
+                    have[1] = have[1] + psd[0]
+            for (name, _), (count, p, freq) in total.items():
+                m = len(p)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * m, b.schema.field(0).type), pa.array(np.arange(m)), pa.array(freq), pa.array(p), pa.array([count] * m, pa.int64())], names=["session_id", "k", "freq", "sum", "n"])
 
     kind = dict(signal.dtypes)["session_id"]
     sums = signal.select("session_id", "y").mapInArrow(run, f"session_id {kind}, k long, freq double, sum double, n long")
     return sums.groupBy("session_id", "k", "freq").agg((F.sum("sum") / F.sum("n")).alias("psd"))
 
 
-def spectral_norm(signal: DataFrame, fs: float, low: float = 0.0, high: float = NORM_HZ) -> DataFrame:
-    """``session_id, norm``: root of the power between two frequencies, one number for all series of a session."""
-    return spectra(signal, fs).where((F.col("freq") > low) & (F.col("freq") <= high)).groupBy("session_id").agg(F.sqrt(F.sum("psd")).alias("norm"))
+def spectral_norm(signal: DataFrame, fs: float, low: float | None = None, high: float = NORM_HZ) -> DataFrame:
+    """``session_id, norm``: root of the power up to a frequency (and over another), one number for a session's series."""
+    psd = spectra(signal, fs).where(F.col("freq") <= high)
+    return (psd if low is None else psd.where(F.col("freq") > low)).groupBy("session_id").agg(F.sqrt(F.sum("psd")).alias("norm"))
 
 
 def normalise(signal: DataFrame, fs: float) -> DataFrame:
+    """Series divided by their session's spectral norm.  The input is evaluated twice; :func:`preprocess` does not."""
     norm = spectral_norm(signal, fs)
     return signal.join(norm, "session_id").withColumn("y", F.transform("y", lambda v: v / F.col("norm"))).select(*signal.columns)
 
@@ -286,32 +360,112 @@ def resampled(signal: DataFrame, fs: float, fs_new: float) -> DataFrame:
     return _map(signal, lambda rows: _by_length(rows, lambda y: resample(y, fs, fs_new)))
 
 
+def _complex(rows: list[np.ndarray | None], fs: float) -> list:
+    """Real and imaginary parts of the analytic signal as two list columns."""
+    z = _known(rows, lambda some: _by_length(some, lambda y: analytic(y, fs)))
+    return [_column([None if v is None else part(v) for v in z]) for part in (np.real, np.imag)]
+
+
 def analytic_signal(signal: DataFrame, fs: float) -> DataFrame:
-    """The series as ``re[]``, ``im[]`` in place of ``y[]``."""
+    """The series as ``re[]``, ``im[]`` in place of ``y[]``; null where the series is null or holds a null."""
+    import pyarrow as pa
+
     keys = [c for c in signal.columns if c != "y"]
 
     def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                z = _by_length(_lists(b, "y"), lambda y: analytic(y, fs))
-                cols = [b.column(b.schema.get_field_index(k)) for k in keys]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([part(v).tolist() for v in z], pa.list_(pa.float64())) for part in (np.real, np.imag))], names=[*keys, "re", "im"])
+        for b in _slices(batches):
+            cols = [b.column(b.schema.get_field_index(k)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*cols, *_complex(_lists(b, "y"), fs)], names=[*keys, "re", "im"])
 
     fields = "".join(f"{k} {t}, " for k, t in signal.dtypes if k != "y")
     return signal.select(*keys, "y").mapInArrow(run, fields + "re array<double>, im array<double>")
 
 
-def preprocess(signal: DataFrame, motion: DataFrame, vertices: DataFrame, fs: float, fs_up: float, absolute: bool = False) -> DataFrame:
-    """The whole chain: valid vertices, nuisance regression, spectral norm, up-sampling, band-pass, analytic signal."""
-    kept = signal.join(vertices.select("hemi", "vertex"), ["hemi", "vertex"], "left_semi").select(*signal.columns)
-    clean = normalise(nuisance(kept, motion, absolute), fs)
-    return analytic_signal(band_passed(resampled(clean, fs, fs_up), fs_up), fs_up)
+def prepared(signal: DataFrame, motion: DataFrame, vertices: DataFrame, fs: float, fs_up: float, absolute: bool = False) -> DataFrame:
+    """Valid vertices, nuisance regression, up-sampling, band-pass and analytic signal in one pass: ``session_id, hemi,
+    vertex, re[], im[]``, not yet divided by the session's norm, and ``power``, each series' share in it.
+
+    All steps after the norm are linear, so it can be divided out at the end: its square is the mean of ``power`` over the
+    session's series.
+    """
+    import pyarrow as pa
+
+    kept = signal.join(vertices.select("hemi", "vertex"), ["hemi", "vertex"], "left_semi").select("session_id", "hemi", "vertex", "y")
+
+    def power(rows: list[np.ndarray]) -> list[float | None]:
+        found = _by_length(rows, lambda y: band_power(y, fs) if y.shape[1] > 8 else y[:, 0])
+        return [float(p) if len(r) > 8 else None for r, p in zip(rows, found)]
+
+    def run(batches):
+        for b in _slices(batches):
+            clean = _residuals(b, absolute)
+            up = _known(clean, lambda rows: _by_length(rows, lambda y: resample(y, fs, fs_up)))
+            smooth = _known(up, lambda rows: band_pass_rows(rows, fs_up))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_complex(smooth, fs_up), pa.array(_known(clean, power), pa.float64())], names=["session_id", "hemi", "vertex", "re", "im", "power"])
+
+    kinds = ", ".join(f"{k} {t}" for k, t in kept.dtypes[:3])
+    return _with_motion(kept, motion).mapInArrow(run, f"{kinds}, re array<double>, im array<double>, power double")
+
+
+def preprocess(signal: DataFrame, motion: DataFrame, vertices: DataFrame, fs: float, fs_up: float, absolute: bool = False, tmp: Scratch | None = None) -> DataFrame:
+    """The whole chain by series: ``session_id, hemi, vertex, re[], im[]``.
+
+    The series are written once and read for the norm and for the result; the table goes to ``tmp``, without which it
+    stays in the shared folder.  For frames rather than series use :func:`preprocess_obs`, which writes nothing.
+    """
+    made = (tmp or Scratch(signal.sparkSession, "preprocess")).save(prepared(signal, motion, vertices, fs, fs_up, absolute), "series")
+    norm = made.groupBy("session_id").agg(F.sqrt(F.avg("power")).alias("norm"))
+    scaled = [F.transform(part, lambda v: v / F.col("norm")).alias(part) for part in ("re", "im")]
+    return made.join(norm, "session_id").select("session_id", "hemi", "vertex", *scaled)
+
+
+#: Vertices that are turned from series to frames together.
+TURNED = 512
+
+
+def _turn(table):
+    """A block of vertices of one session and hemisphere as one row for each frame; the block's power goes with each."""
+    import pyarrow as pa
+
+    vertex = table.column("vertex").to_numpy()
+    rows = [table.slice(int(i), 1) for i in np.argsort(vertex, kind="stable")]
+    parts = [[r.column(c)[0].values.to_numpy(zero_copy_only=False) for r in rows] for c in ("re", "im")]
+    frames = max(len(r) for r in parts[0])
+    if min(len(r) for r in parts[0]) == frames:
+        columns = [_column(list(np.array(p).T)) for p in parts]
+    else:
+        columns = [_column([np.array([r[t] for r in p if t < len(r)]) for t in range(frames)]) for p in parts]
+    power = table.column("power").drop_null().to_numpy()
+    same = [table.column(c).take(pa.array(np.zeros(frames, np.int64))) for c in ("session_id", "hemi", "block")]
+    return pa.table(
+        [same[0], pa.array(np.arange(frames, dtype=np.int32)), *same[1:], *columns, pa.array(np.full(frames, power.sum())), pa.array(np.full(frames, len(power)))],
+        names=["session_id", "t", "hemi", "block", "re", "im", "power", "n"],
+    )
+
+
+def _frames(series: DataFrame, scaled: bool) -> DataFrame:
+    kinds = dict(series.dtypes)
+    known = series.where("re is not null and im is not null and size(re) > 0").withColumn("block", F.expr(f"cast(floor(vertex / {TURNED}) as long)"))
+    schema = f"session_id {kinds['session_id']}, t int, hemi {kinds['hemi']}, block long, re array<double>, im array<double>, power double, n long"
+    turned = known.groupBy("session_id", "hemi", "block").applyInArrow(lambda table: _turn(table), schema)
+    rows = turned.groupBy("session_id", "t").agg(F.sort_array(F.collect_list(F.struct("hemi", "block", "re", "im"))).alias("a"), F.sqrt(F.sum("power") / F.sum("n")).alias("norm"))
+    flat = rows.select("session_id", "t", "norm", *[F.flatten(F.col("a")[part]).alias(part) for part in ("re", "im")])
+    if scaled:
+        flat = flat.select("session_id", "t", *[F.transform(part, lambda v: v / F.col("norm")).alias(part) for part in ("re", "im")])
+    return flat.select("session_id", "t", "re", "im")
 
 
 def to_obs(analytic_rows: DataFrame) -> DataFrame:
-    """Series by vertex -> rows by frame ``(session_id, t, re[], im[])``, variables ordered by hemisphere and vertex."""
-    long = analytic_rows.select("session_id", "hemi", "vertex", F.posexplode(F.arrays_zip("re", "im")).alias("t", "z"))
-    rows = long.groupBy("session_id", "t").agg(F.sort_array(F.collect_list(F.struct("hemi", "vertex", "z"))).alias("a"))
-    return rows.select("session_id", "t", F.transform("a", lambda x: x["z"]["re"]).alias("re"), F.transform("a", lambda x: x["z"]["im"]).alias("im"))
+    """Series by vertex -> rows by frame ``(session_id, t, re[], im[])``, variables ordered by hemisphere and vertex.
+
+    Blocks of vertices are turned first, so a frame is put together from a few arrays, not from single cells.  Null
+    series are left out.
+    """
+    return _frames(analytic_rows.withColumn("power", F.lit(None).cast("double")), False)
+
+
+def preprocess_obs(signal: DataFrame, motion: DataFrame, vertices: DataFrame, fs: float, fs_up: float, absolute: bool = False) -> DataFrame:
+    """The whole chain by frame, ``(session_id, t, re[], im[])``: one pass over the series, then two shuffles that turn
+    them; every frame gets the power of all of its session's blocks, so the norm needs no pass of its own.
+    """
+    return _frames(prepared(signal, motion, vertices, fs, fs_up, absolute), True)

@@ -165,7 +165,7 @@ def analytic_signal(spark: SparkSession, d: str) -> DataFrame:
 def preprocess(spark: SparkSession, d: str) -> DataFrame:
     y, m = _series(spark, d)
     valid = spark.createDataFrame([("lh", 0), ("lh", 2)], "hemi string, vertex int")
-    obs = signal.to_obs(signal.preprocess(y, m, valid, 0.5, 1.0, absolute=True))
+    obs = signal.preprocess_obs(y, m, valid, 0.5, 1.0, absolute=True)
     return obs.select("session_id", "t", F.col("re")[0].alias("re0"), F.col("im")[0].alias("im0"), F.size("re").alias("n"))
 
 

@@ -63,9 +63,67 @@ def test_operators(spark):
     f, p = signal.periodogram(np.array([r[3] for r in y]), FS)
     assert norm == pytest.approx(np.sqrt(p.mean(0)[f <= 0.15].sum()))
     valid = spark.createDataFrame([("lh", 0), ("lh", 2)], "hemi string, vertex int")
-    obs = signal.to_obs(signal.preprocess(sig, mot, valid, FS, 1.0, absolute=True))
-    first = obs.orderBy("t").first()
-    assert obs.count() == 240 and len(first.re) == 2
+    steps = signal.normalise(signal.nuisance(sig.where("vertex <> 1"), mot, True), FS)
+    steps = signal.analytic_signal(signal.band_passed(signal.resampled(steps, FS, 1.0), 1.0), 1.0)
+    want = {r.vertex: np.array(r.re) + 1j * np.array(r.im) for r in steps.collect()}
+    got = {r.vertex: np.array(r.re) + 1j * np.array(r.im) for r in signal.preprocess(sig, mot, valid, FS, 1.0, absolute=True).collect()}
+    assert got.keys() == want.keys() == {0, 2} and all(np.allclose(got[v], want[v]) for v in want)
+    for obs in (signal.preprocess_obs(sig, mot, valid, FS, 1.0, absolute=True), signal.to_obs(steps)):
+        rows = obs.orderBy("t").collect()
+        assert [r.t for r in rows] == list(range(240))
+        assert np.allclose([np.array(r.re) + 1j * np.array(r.im) for r in rows], np.column_stack([want[0], want[2]]))
+
+
+def test_frames_of_many_vertices_and_hemispheres(spark, monkeypatch):
+    monkeypatch.setattr(signal, "TURNED", 4)
+    rng = np.random.default_rng(5)
+    rows = [(s, h, v, *rng.standard_normal((2, 7 if s == "a" or v % 2 else 5)).tolist()) for s in "ab" for h in ("rh", "lh") for v in rng.permutation(11).tolist()]
+    obs = signal.to_obs(spark.createDataFrame(rows + [("a", "lh", 99, None, None)], "session_id string, hemi string, vertex int, re array<double>, im array<double>"))
+    got = {(r.session_id, r.t): (r.re, r.im) for r in obs.collect()}
+    for s in "ab":
+        for t in range(7):
+            here = [r for r in sorted(rows, key=lambda r: r[1:3]) if r[0] == s and t < len(r[3])]
+            assert got[s, t] == ([r[3][t] for r in here], [r[4][t] for r in here])
+
+
+def test_series_with_nulls_come_back_null(spark):
+    good = [float(x) for x in np.sin(np.arange(40))]
+    rows = [("s", "lh", 0, good), ("s", "lh", 1, None), ("s", "lh", 2, [None, *good[1:]]), ("s", "lh", 3, [1.0]), ("s", "lh", 4, [])]
+    sig = spark.createDataFrame(rows, "session_id string, hemi string, vertex int, y array<double>")
+    for made in (signal.band_passed(sig, FS), signal.resampled(sig, FS, 1.0)):
+        got = {r.vertex: r.y for r in made.collect()}
+        assert got[1] is None and got[2] is None and len(got[0]) >= 40 and got[4] == []
+    z = {r.vertex: (r.re, r.im) for r in signal.analytic_signal(sig, FS).collect()}
+    assert z[1] == z[2] == (None, None) and np.allclose(z[0][0], good)
+    assert signal.spectral_norm(sig, FS).count() == 1
+    assert signal.band_passed(sig.limit(0), FS).count() == 0
+    mot = spark.createDataFrame([("s", t, *np.random.default_rng(t).standard_normal(6).tolist()) for t in range(40)], "session_id string, t int, p1 double, p2 double, p3 double, p4 double, p5 double, p6 double")
+    clean = {r.vertex: r.y for r in signal.nuisance(sig.where("vertex < 3"), mot).collect()}
+    assert clean[1] is None and clean[2] is None and abs(sum(clean[0])) < 1e-9
+    valid = spark.createDataFrame([("lh", v) for v in range(3)], "hemi string, vertex int")
+    frames = signal.preprocess_obs(sig.where("vertex < 3"), mot, valid, FS, FS).collect()
+    assert len(frames) == 40 and all(len(r.re) == 1 for r in frames)
+
+
+def test_periodogram_of_a_hand_made_series():
+    assert [signal.fast_length(n) for n in (1, 7, 11, 97, 600, 601)] == [1, 8, 12, 100, 600, 625]
+    y = np.random.default_rng(2).standard_normal((2, 97))
+    freq, psd = signal.periodogram(y, 1.0, (3,), 0.0)
+    x = np.concatenate([y - y.mean(1, keepdims=True), np.zeros((2, 3))], 1)
+    raw = np.array([[abs(sum(v * np.exp(-2j * np.pi * k * t / 100) for t, v in enumerate(r))) ** 2 / 97 for k in range(100)] for r in x])
+    raw[:, 0] = (raw[:, 1] + raw[:, -1]) / 2
+    want = [[(r[(k - 1) % 100] + 2 * r[k] + r[(k + 1) % 100]) / 4 for k in range(1, 51)] for r in raw]
+    assert np.allclose(psd, want) and np.allclose(freq, [0.5 * k / 49 for k in range(50)])
+    assert np.allclose(signal.band_power(y, 1.0, 0.1), signal.periodogram(y, 1.0)[1][:, (freq > 0.1) & (freq <= 0.15)].sum(1))
+
+
+def test_ends_are_mirrored_by_the_rate():
+    y = np.random.default_rng(1).standard_normal(60)
+    order, edges = signal.band_order((0.02, 0.4), (0.004, 0.56), 3, 20)
+    wide = np.concatenate([y[1:8][::-1], y, y[-8:-1][::-1]])
+    once = signal.filter_rows(signal.butter_band(order, edges), wide[None, :])
+    twice = signal.filter_rows(signal.butter_band(order, edges), once[:, ::-1])[:, ::-1]
+    assert np.allclose(signal.band_pass(y[None, :], 1.0, fs_dec=1.0, passband=(0.01, 0.2), stopband=(0.002, 0.28))[0], twice[0, 7:-7])
 
 
 def test_padding_and_resampling(spark):
