@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cplx
+from . import linalg
 
+#: Numbers of loadings that are broadcast.
+LOADINGS = 2_000_000
 #: Labels of the medial wall (fixed values of the atlas).
 MEDIAL_WALL = ("unknown", "corpuscallosum")
 
@@ -80,11 +84,38 @@ def gram(x: DataFrame) -> DataFrame:
 
 
 def fixed_scores(x: DataFrame, w: DataFrame, *keep: str) -> DataFrame:
-    """Scores ``sum over v of x_v w_v`` (no conjugate) for loadings ``(v, pc, wr, wi)``, by a broadcastable join."""
+    """Scores ``sum over v of x_v w_v`` (no conjugate) of cells for loadings ``(v, pc, wr, wi)``, by a join; for rows of
+    arrays use :func:`row_scores`, which moves nothing.
+    """
     zr, zi = cplx.mul(("re", "im"), ("wr", "wi"))
     return x.join(w, "v").groupBy("session_id", "t", *keep, "pc").agg(F.sum(zr).alias("re"), F.sum(zi).alias("im"))
 
 
+def row_scores(obs: DataFrame, w: DataFrame) -> DataFrame:
+    """The same of rows ``(session_id, t, re[], im[])``: the loadings, one number for each variable and component, are
+    broadcast if there are at most LOADINGS, else the cells are joined.  Variables without loadings count as 0.
+    """
+    rows = w.limit(LOADINGS + 1).collect()
+    if len(rows) > LOADINGS:
+        return fixed_scores(explode_obs(obs), w)
+    matrix = np.zeros((1 + max((r["v"] for r in rows), default=-1), 1 + max((r["pc"] for r in rows), default=-1)), np.complex128)
+    for r in rows:
+        matrix[r["v"], r["pc"]] = complex(r["wr"], r["wi"])
+    return linalg.scores(obs, matrix)
+
+
+def explained_by(x: DataFrame, w: DataFrame, *by: str, standardize: str = "raw") -> DataFrame:
+    """``by..., pc, r2``: shares of the variance of cells that loadings explain.
+
+    ``standardize``: ``raw`` scores the cells as they are; ``fit`` centres and scales them first by all of them, as the
+    matrix is on which loadings are fitted.
+    """
+    if standardize not in ("raw", "fit"):
+        raise ValueError(f"cells are taken raw or as for a fit, not {standardize!r}")
+    x = center_scale(x) if standardize == "fit" else x
+    return explained(fixed_scores(x, w), x, *by)
+
+
 def explained(scores: DataFrame, x: DataFrame, *by: str) -> DataFrame:
     """Variance of scores over the total variance of variables, for each group and component."""
     top = scores.groupBy(*by, "pc").agg(cplx.variance().alias("score_var"))
@@ -119,11 +150,20 @@ def complex_correlation(pairs: DataFrame, *by: str) -> DataFrame:
 
 def adjust_phase(x: DataFrame, phase: str, *by: str, steps: int = 360) -> DataFrame:
     """Offset of each group, on a grid of a turn, that makes the mean of wrapped phases smallest in absolute value, and
-    the phases less it.  Ties go to the smallest offset.  The rows meet the grid (``steps`` rows) once.
+    the phases less it.  Ties go to the smallest offset.
+
+    The sum of phases wrapped at an offset is their sum less the offsets, plus a turn for each phase below the offset: so
+    the rows are counted by bin of the grid, and only the counts (``steps`` at most a group) meet the grid.
     """
     two_pi = 6.283185307179586
-    grid = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
-    costs = x.select(*by, phase, grid.alias("step")).withColumn("offset", F.col("step") * (two_pi / steps))
-    costs = costs.groupBy(*by, "step").agg(F.round(F.abs(F.avg(cplx.wrap(F.col(phase) - F.col("offset")))), 9).alias("cost"))
-    best = costs.groupBy(*by).agg(F.min_by("step", F.struct("cost", "step")).alias("step"))
+    turn = F.pmod(F.col(phase), F.lit(two_pi))
+    near = F.floor(turn / (two_pi / steps)).cast("int")  # rounding may be off by one; the grid's own offsets decide
+    up, down = (near + 1) * (two_pi / steps) <= turn, near * (two_pi / steps) > turn
+    bins = x.where(F.col(phase).isNotNull()).groupBy(*by, F.when(up, near + 1).when(down, near - 1).otherwise(near).alias("bin"))
+    bins = bins.agg(F.count("*").alias("n"), F.sum(turn).alias("sum"))
+    told = bins.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+    grid = told.select(*by, "bins", "n", "sum", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    below = F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b["bin"] < F.col("step"), b["n"]).otherwise(F.lit(0)))
+    mean = (F.col("sum") + below * two_pi) / F.col("n") - F.col("step") * (two_pi / steps) - two_pi / 2
+    best = grid.select(*by, "step", F.round(F.abs(mean), 9).alias("cost")).groupBy(*by).agg(F.min_by("step", F.struct("cost", "step")).alias("step"))
     return x.join(best, list(by)).withColumn("adjusted", cplx.wrap(F.col(phase) - F.col("step") * (two_pi / steps)))

@@ -19,11 +19,56 @@ EXACT_VARIABLES = 4000
 
 
 def _rows(batch) -> np.ndarray:
-    """Complex matrix of a batch with columns re[], im[]."""
-    n = batch.num_rows
-    re = batch.column(batch.schema.get_field_index("re")).flatten().to_numpy(zero_copy_only=False)
-    im = batch.column(batch.schema.get_field_index("im")).flatten().to_numpy(zero_copy_only=False)
-    return (re + 1j * im).reshape(n, -1)
+    """Complex matrix of a batch with columns re[], im[]; rows of unequal lengths, or with nulls, raise."""
+    parts = []
+    for name in ("re", "im"):
+        column = batch.column(batch.schema.get_field_index(name))
+        values = column.flatten()
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        if column.null_count or values.null_count or (sizes != sizes[0]).any():
+            raise ValueError(f"a matrix has rows of one length without nulls; {name} does not")
+        parts.append(values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+    if parts[0].shape != parts[1].shape:
+        raise ValueError("real and imaginary parts are of unequal length")
+    return parts[0] + 1j * parts[1]
+
+
+class _Moments:
+    """Sums and sums of squared moduli of a task's rows and of their scores, with the number of rows."""
+
+    def __init__(self, weights):
+        self.weights = weights
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        w = self.weights.value
+        total, squares, n = None, None, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = _rows(batch)
+                x = np.concatenate([x, x @ w], 1)
+                total = x.sum(0) if total is None else total + x.sum(0)
+                two = (x.real**2 + x.imag**2).sum(0)
+                squares = two if squares is None else squares + two
+                n += len(x)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(total))), pa.array(total.real.copy()), pa.array(total.imag.copy()), pa.array(squares), pa.array(np.full(len(total), n))],
+                names=["v", "re", "im", "sq", "n"],
+            )
+
+
+def moments(x: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Means and variances of all variables and then of the scores on ``w``, and the number of rows, in one Arrow pass;
+    what is shuffled is one row for each variable and task.
+    """
+    sent = x.sparkSession.sparkContext.broadcast(np.asarray(w, np.complex128))
+    made = x.select("re", "im").mapInArrow(_Moments(sent), "v long, re double, im double, sq double, n long")
+    sums = made.groupBy("v").agg(*[F.sum(c).alias(c) for c in ("re", "im", "sq", "n")]).toPandas().sort_values("v")
+    n = int(sums["n"].iloc[0]) if len(sums) else 0
+    total = sums["re"].to_numpy() + 1j * sums["im"].to_numpy()
+    return total / max(n, 1), (sums["sq"].to_numpy() - np.abs(total) ** 2 / max(n, 1)) / max(n - 1, 1), n
 
 
 class _Pass:
@@ -74,8 +119,8 @@ class _Score:
         w = self.weights.value
         for batch in batches:
             if batch.num_rows:
-                x = _rows(batch)
-                z = (x.conj() if self.conj else x) @ w
+                x = _rows(batch)[:, : len(w)]
+                z = (x.conj() if self.conj else x) @ w[: x.shape[1]]
                 k = z.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(np.repeat(np.arange(len(z)), k))), batch.column(1).take(pa.array(np.repeat(np.arange(len(z)), k))), pa.array(np.tile(np.arange(k, dtype=np.int32), len(z))), pa.array(z.real.reshape(-1)), pa.array(z.imag.reshape(-1))],
@@ -84,7 +129,9 @@ class _Score:
 
 
 def scores(x: DataFrame, w: np.ndarray, conj: bool = False) -> DataFrame:
-    """``session_id, t, pc, re, im``: rows times loadings; with ``conj`` the rows are conjugated first."""
+    """``session_id, t, pc, re, im``: rows times loadings; with ``conj`` the rows are conjugated first.  What either has
+    more variables than the other counts as 0.
+    """
     kinds = dict(x.dtypes)
     sent = x.sparkSession.sparkContext.broadcast(np.asarray(w, np.complex128))
     return x.select("session_id", "t", "re", "im").mapInArrow(_Score(sent, conj), f"session_id {kinds['session_id']}, t {kinds['t']}, pc int, re double, im double")
@@ -273,8 +320,8 @@ def pimvr(
             part = _batch(blocked, blocks, take, rng)
             mean = None
             if center_batches:
-                got = part.select(F.posexplode(F.arrays_zip("re", "im")).alias("v", "z")).groupBy("v").agg(F.avg("z.re").alias("r"), F.avg("z.im").alias("i")).orderBy("v").toPandas()
-                mean = got["r"].to_numpy() + 1j * got["i"].to_numpy()
+                mean = moments(part, np.zeros((len(w), 0)))[0]
+                mean = mean if len(mean) else None
             g, m = gram_times(part, w - anchor @ alpha, mean)
             if not m:
                 continue
@@ -331,12 +378,10 @@ def restarts(x: DataFrame, solve: Callable[[int], Fit], runs: int) -> list[tuple
 
 
 def explained(x: DataFrame, w: np.ndarray) -> np.ndarray:
-    """Share of the total variance of centred variables that each component explains."""
-    z = scores(x, w).groupBy("pc").agg((F.var_samp("re") + F.var_samp("im")).alias("v")).toPandas()
-    total = x.select(F.posexplode(F.arrays_zip("re", "im")).alias("v", "z")).groupBy("v").agg((F.var_samp("z.re") + F.var_samp("z.im")).alias("s")).agg(F.sum("s")).first()[0]
-    out = np.zeros(w.shape[1])
-    out[z["pc"].to_numpy()] = z["v"].to_numpy() / total
-    return out
+    """Share of the total variance of centred variables that each component explains; one pass over the rows."""
+    p = len(w)
+    var = moments(x, w)[1]
+    return var[p:] / var[:p].sum() if len(var) else np.zeros(w.shape[1])
 
 
 def scale_sessions(x: DataFrame, factors: dict[str, float]) -> DataFrame:

@@ -56,7 +56,7 @@ def cluster_test(x: DataFrame, edges: DataFrame, subjects: DataFrame, sims: int
     under the labels as they are, ``null(sim, max_size)`` the largest cluster of any size and hemisphere of each shuffle, 0
     where there is none.
     """
-    labels = stats.permuted_labels(subjects, sims, seed=seed)
+    labels = stats.shuffles(subjects, sims, seed=seed)
     found = components(stats.significant(x, labels, alpha, *hemi, "vertex"), edges, "sim", *hemi)
     sizes = found.groupBy("sim", *hemi, "component").agg(F.count("*").alias("size"))
     drawn = x.sparkSession.range(1, sims + 1).select(F.col("id").cast("int").alias("sim"))

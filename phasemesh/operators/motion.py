@@ -11,6 +11,8 @@ from ..functions import keys
 
 #: Radius in millimetres on which rotations are measured (fixed value of Power's definition).
 RADIUS = 50.0
+#: Voxels of a session that meet its frames in one task.
+SPREAD = 4096
 PARAMS = ("p1", "p2", "p3", "p4", "p5", "p6")  # three translations, three rotations
 
 
@@ -44,7 +46,9 @@ def voxel_displacement(voxels: DataFrame, motion: DataFrame, affine: Sequence[fl
 
     ``affine``: 16 numbers by rows, from voxel indices to millimetres.  A frame's inverse transform is the transposed
     rotation of (point - translation).  The previous frame's parameters are put beside each frame's before the join, so
-    there is a window over frames only, not over voxels times frames; voxels meet frames of their own session.
+    there is a window over frames only, not over voxels times frames; voxels meet frames of their own session.  Where a
+    session has more than SPREAD voxels (they are counted first), its frames are copied for each SPREAD of them, so that
+    it is not one task.
     """
     order = Window.partitionBy("session_id").orderBy("t")
     frames = motion.select("session_id", "t", *[F.col(p).alias(f"n{i}") for i, p in enumerate(PARAMS)], *[F.lag(p).over(order).alias(f"o{i}") for i, p in enumerate(PARAMS)])
@@ -60,7 +64,13 @@ def voxel_displacement(voxels: DataFrame, motion: DataFrame, affine: Sequence[fl
         terms = [F.col(f"{w}r{r}{axis}") * (F.col(f"c{r}") - F.col(f"{w}{r}")) for r in range(3)]
         return terms[0] + terms[1] + terms[2]
 
-    met = points.join(turned, "session_id")
+    salts = voxels.groupBy("session_id").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("_salts"))
+    if (salts.agg(F.max("_salts")).first()[0] or 0) > 1:
+        points = points.join(salts, "session_id").withColumn("_salt", F.expr("cast(pmod(hash(i, j, k), _salts) as int)"))
+        turned = turned.join(salts, "session_id").withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)")))
+        met = points.drop("_salts").join(turned.drop("_salts"), ["session_id", "_salt"])
+    else:
+        met = points.join(turned, "session_id")
     squares = [F.pow(place("n", a) - place("o", a), F.lit(2.0)) for a in range(3)]
     return met.select("session_id", "i", "j", "k", "t", F.coalesce(F.sqrt(squares[0] + squares[1] + squares[2]), F.lit(0.0)).alias("fd"))
 

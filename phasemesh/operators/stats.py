@@ -97,30 +97,40 @@ def permuted_labels(subjects: DataFrame, sims: int, key: str = "subject", label:
     rows with a null key or label are left out; a subject with several labels counts with the smallest.  One simulation's
     subjects, a cohort, are one group.
     """
+    dealt = shuffles(subjects, sims, key, label, seed).select("sim", F.explode(F.arrays_zip("keys", "labels")).alias("x"))
+    return dealt.select("sim", F.col("x.keys").alias(key), F.col("x.labels").alias(label))
+
+
+def shuffles(subjects: DataFrame, sims: int, key: str = "subject", label: str = "g", seed: int = 0) -> DataFrame:
+    """The same with one row for each simulation: ``sim, keys[], labels[]``, the subjects in the same order in each."""
     known = subjects.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("g"))
-    drawn = known.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims))))
-    order = F.when(F.col("sim") == 0, F.lit("")).otherwise(hash_order(seed, F.col("sim"), F.col("k")))
-    orders = drawn.groupBy("sim").agg(
-        F.sort_array(F.collect_list("k")).alias("k"), F.sort_array(F.collect_list(F.struct(order.alias("h"), "k", "g"))).alias("s")
-    )
-    dealt = orders.select("sim", F.explode(F.arrays_zip("k", F.col("s.g").alias("g"))).alias("x"))
-    return dealt.select("sim", F.col("x.k").alias(key), F.col("x.g").alias(label))
+    cohort = known.agg(F.sort_array(F.collect_list(F.struct("k", "g"))).alias("s")).where(F.size("s") > 0)
+    drawn = subjects.sparkSession.range(sims + 1).select(F.col("id").cast("int").alias("sim")).crossJoin(F.broadcast(cohort))  # one row
+    order = F.when(F.col("sim") == 0, F.lit(""))
+    mixed = F.sort_array(F.transform("s", lambda x: F.struct(order.otherwise(hash_order(seed, F.col("sim"), x["k"])).alias("h"), x["k"].alias("k"), x["g"].alias("g"))))
+    return drawn.select("sim", F.col("s.k").alias("keys"), mixed["g"].alias("labels"))
 
 
 def _matrix(labels: DataFrame, key: str):
-    """``(subjects as a table of k and its column ix, labels [sim, column])``, or None where that is over MATRIX_CELLS."""
-    wide = labels.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(F.struct("sim", "g"))).alias("a"))
-    wide = wide.select("k", F.transform("a", lambda x: x["g"].cast("tinyint")).alias("g")).persist()
+    """``(subjects as a table of k and its column ix, labels [sim, column])``, or None where that is over MATRIX_CELLS.
+
+    ``labels``: as of :func:`shuffles` or :func:`permuted_labels`.
+    """
+    if "keys" in labels.columns:
+        known = labels.select("sim", "keys", F.transform("labels", lambda g: g.cast("tinyint")).alias("labels")).persist()
+    else:
+        whole = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("g").cast("tinyint").alias("g"))))
+        known = labels.groupBy("sim").agg(whole.alias("s")).select("sim", F.col("s.k").alias("keys"), F.col("s.g").alias("labels")).persist()
     try:
-        cells = wide.agg(F.sum(F.size("g"))).first()[0] or 0
+        cells = known.agg(F.sum(F.size("labels"))).first()[0] or 0
         if not 0 < cells <= MATRIX_CELLS:
             return None
-        found = wide.toArrow()
+        keys = known.where("sim = 0").select("keys").toArrow().column("keys").combine_chunks().flatten()
+        found = known.select("sim", "labels").toArrow().sort_by("sim").column("labels").combine_chunks()
     finally:
-        wide.unpersist()
-    rows = found.num_rows
-    index = found.select(["k"]).append_column("ix", pa.array(np.arange(rows, dtype=np.int32)))
-    return labels.sparkSession.createDataFrame(index), found.column("g").combine_chunks().flatten().to_numpy().reshape(rows, -1).T.astype(np.float64)
+        known.unpersist()
+    index = pa.table({"k": keys, "ix": pa.array(np.arange(len(keys), dtype=np.int32))})
+    return labels.sparkSession.createDataFrame(index), found.flatten().to_numpy().reshape(len(found), -1)
 
 
 def _per_subject(cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,6 +180,8 @@ def permutation_p(x: DataFrame, labels: DataFrame, *by: str, key: str = "subject
     sums = x.groupBy(*by, key).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
     made = _matrix(labels, key)
     if made is None:
+        if "keys" in labels.columns:
+            labels = labels.select("sim", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("sim", F.col("x.keys").alias(key), F.col("x.labels").alias("g"))
         return _joined_p(sums.join(labels, key), *by)
     index, matrix = made
     cells = sums.join(F.broadcast(index), F.col(key) == F.col("k")).groupBy(*by).agg(F.collect_list(F.struct("ix", F.coalesce("s", F.lit(0.0)).alias("s"), "n")).alias("_c"))

@@ -9,7 +9,7 @@ from ..functions import cplx
 from ..operators import complex_stats as cs
 from ..operators import encode, evar, ordered
 from . import inputs
-from .inputs import CELLS, EVENTS, SCORES
+from .inputs import CELLS, EVENTS, SCORES, WEIGHTS
 
 
 def _r(c, n: int):
@@ -82,7 +82,8 @@ def cortex_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark, d) -> DataFrame:
-    return cs.fixed_scores(inputs.cells(spark, d), inputs.weights(spark))
+    z = cs.row_scores(inputs.obs(spark, d), inputs.weights(spark))
+    return z.withColumn("session_id", F.col("session_id").cast("int"))
 
 
 def fixed_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +99,12 @@ def individual_ev(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("session_id").alias("ds"), "pc", _r(F.col("r2"), 8).alias("r2"))
 
 
+def fit_ev(spark: SparkSession, d: str) -> DataFrame:
+    """Shares explained by session in cells centred and scaled as for a fit."""
+    e = cs.explained_by(inputs.cells(spark, d), inputs.weights(spark), "session_id", standardize="fit")
+    return e.select(F.col("session_id").alias("ds"), "pc", _r(F.col("r2"), 8).alias("r2"))
+
+
 def slice_ev(spark: SparkSession, d: str) -> DataFrame:
     """Temporal loadings cut by session, brought to unit length, and the variance of the maps they give."""
     x = inputs.cells(spark, d)
@@ -292,6 +299,17 @@ QUERIES = {
     "cortex_rows": (cortex_rows, "SELECT c_mktsegment \"label\", count(*) n, count(DISTINCT c_custkey) n_vertices FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment NOT IN ('MACHINERY', 'BUILDING') GROUP BY 1"),
     "fixed_scores": (fixed_scores, f"WITH {SCORES} SELECT t, pc, round(re, 7) + 0.0 re, round(im, 7) + 0.0 im FROM z"),
     "group_ev": (group_ev, f"WITH {SCORES}, s AS (SELECT sum(q) q FROM (SELECT var_samp(re) + var_samp(im) q FROM c GROUP BY v)) SELECT pc, round((var_samp(re) + var_samp(im)) / (SELECT q FROM s), 8) r2 FROM z GROUP BY pc"),
+    "fit_ev": (
+        fit_ev,
+        f"""WITH {CELLS}, {WEIGHTS}
+, m AS (SELECT v, avg(re) mr, avg(im) mi, var_samp(re) + var_samp(im) q FROM c GROUP BY v)
+, x AS (
+  SELECT ds, t, v, (re - mr) / CASE WHEN q > 1e-9 THEN sqrt(q) ELSE 1 END re, (im - mi) / CASE WHEN q > 1e-9 THEN sqrt(q) ELSE 1 END im
+  FROM c JOIN m USING (v))
+, z AS (SELECT ds, t, pc, sum(re * wr - im * wi) re, sum(re * wi + im * wr) im FROM x JOIN w USING (v) GROUP BY ds, t, pc)
+, s AS (SELECT ds, sum(q) q FROM (SELECT ds, var_samp(re) + var_samp(im) q FROM x GROUP BY ds, v) GROUP BY ds)
+SELECT z.ds, pc, round((var_samp(re) + var_samp(im)) / any_value(q), 8) r2 FROM z JOIN s ON s.ds = z.ds GROUP BY z.ds, pc""",
+    ),
     "individual_ev": (individual_ev, f"WITH {SCORES}, s AS (SELECT ds, sum(q) q FROM (SELECT ds, var_samp(re) + var_samp(im) q FROM c GROUP BY ds, v) GROUP BY ds) SELECT z.ds, pc, round((var_samp(re) + var_samp(im)) / any_value(q), 8) r2 FROM z JOIN s ON s.ds = z.ds GROUP BY z.ds, pc"),
     "slice_ev": (slice_ev, f"WITH {CELLS}, r AS (SELECT ds, t, pc, cos(CAST(t * (pc + 1) AS DOUBLE)) wr, sin(CAST(t + pc AS DOUBLE)) wi FROM (SELECT DISTINCT ds, t FROM c), (SELECT CAST(unnest([0, 1]) AS INTEGER) pc)), n AS (SELECT *, sqrt(sum(wr * wr + wi * wi) OVER (PARTITION BY ds, pc)) q FROM r), m AS (SELECT c.ds, pc, v, sum(re * wr / q - im * wi / q) re, sum(re * wi / q + im * wr / q) im FROM c JOIN n ON n.ds = c.ds AND n.t = c.t GROUP BY ALL), s AS (SELECT ds, sum(k) k FROM (SELECT ds, t, var_samp(re) + var_samp(im) k FROM c GROUP BY ds, t) GROUP BY ds) SELECT m.ds, pc, round((var_samp(re) + var_samp(im)) / any_value(k), 8) r2 FROM m JOIN s ON s.ds = m.ds GROUP BY m.ds, pc"),
     "posthoc_slope": (posthoc_slope, f"WITH {SCORES}, j AS (SELECT v, pc, c.re yr, c.im yi, z.re zr, z.im zi FROM c JOIN z ON z.t = c.t), m AS (SELECT *, avg(yr) OVER w a, avg(yi) OVER w b, avg(zr) OVER w p, avg(zi) OVER w q FROM j WINDOW w AS (PARTITION BY v, pc)) SELECT v, pc, round(sum((zr-p)*(yr-a)+(zi-q)*(yi-b)) / sum((zr-p)**2+(zi-q)**2), 6) + 0.0 re, round(sum((zr-p)*(yi-b)-(zi-q)*(yr-a)) / sum((zr-p)**2+(zi-q)**2), 6) + 0.0 im FROM m GROUP BY v, pc"),

@@ -71,7 +71,7 @@ def permuted_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def perm_p(spark: SparkSession, d: str) -> DataFrame:
     x = _values(spark, d)
-    labels = stats.permuted_labels(x.select("subject", "g"), SHUFFLES)
+    labels = stats.shuffles(x.select("subject", "g"), SHUFFLES)
     p = stats.permutation_p(x.drop("g"), labels, "vertex")
     return p.select("vertex", _r(F.col("diff"), 9).alias("diff"), F.round("p", 6).alias("p"))
 
@@ -79,7 +79,7 @@ def perm_p(spark: SparkSession, d: str) -> DataFrame:
 def perm_p_paired(spark: SparkSession, d: str) -> DataFrame:
     """Labels shuffled among sessions (a session is a subject's visit), regardless of subjects."""
     e = inputs.events(spark, d).select("event_type", (F.col("user_id") * 2 + F.when(F.col("visit") == "V2", 1).otherwise(0)).alias("subject"), F.when(F.col("visit") == "V2", 1).otherwise(0).cast("long").alias("g"), F.floor("value").cast("double").alias("value"))
-    labels = stats.permuted_labels(e.select("subject", "g"), SHUFFLES)
+    labels = stats.shuffles(e.select("subject", "g"), SHUFFLES)
     p = stats.permutation_p(e.drop("g"), labels, "event_type")
     return p.select(F.col("event_type").alias("vertex"), _r(F.col("diff"), 9).alias("diff"), F.round("p", 6).alias("p"))
 

@@ -105,6 +105,11 @@ def test_matrix_and_join_give_the_same_p(noise, monkeypatch):
     fast = {r.vertex: (r.diff, r.p) for r in stats.permutation_p(x, labels, "vertex").collect()}
     monkeypatch.setattr(stats, "MATRIX_CELLS", 10)
     slow = {r.vertex: (r.diff, r.p) for r in stats.permutation_p(x, labels, "vertex").collect()}
+    one_row_each = stats.shuffles(noise.select("subject", "g"), 50)
+    assert {r.vertex: (r.diff, r.p) for r in stats.permutation_p(x, one_row_each, "vertex").collect()} == slow
+    monkeypatch.setattr(stats, "MATRIX_CELLS", 100_000)
+    assert {r.vertex: (r.diff, r.p) for r in stats.permutation_p(x, one_row_each, "vertex").collect()} == fast
+    monkeypatch.setattr(stats, "MATRIX_CELLS", 10)
     assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in slow)
     with pytest.raises(ValueError):
         stats.significant(x, labels, 0.05, "vertex")
