@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: ``exact`` makes a matrix of variables x variables on the driver; more variables need another solver.
@@ -338,12 +338,35 @@ def pimvr(
     return fit
 
 
-def heavy_ball_beta(x: DataFrame, w: np.ndarray) -> float:
-    """Momentum from the Rayleigh quotient of the least wanted direction: its square over four."""
-    g, n = gram_times(x, np.linalg.qr(w)[0])
-    q = np.linalg.qr(w)[0]
-    values = np.linalg.eigvalsh((q.conj().T @ g + (q.conj().T @ g).conj().T) / (2 * n))
-    return float(values.min() ** 2 / 4)
+def rayleigh(x: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Mean squared modulus of the rows' scores on each direction, brought to unit length; one pass."""
+    g, n = gram_times(x, w)
+    return np.real((w.conj() * g).sum(0)) / (np.abs(w) ** 2).sum(0) / max(n, 1)
+
+
+def heavy_ball(x: DataFrame, w: np.ndarray, iterations: int, every: int = 10, factors: Sequence[float] = (2 / 3, 0.99, 1.01, 1.5), blocks: int = 10, take: int = 5, seed: int = 0) -> Fit:
+    """Power iteration that looks for its momentum: runs side by side with ``factors`` times a centre, at first the squared
+    sum of Rayleigh quotients of the start over four; every so many iterations the run with the largest sum of quotients
+    gives the next centre.  All runs share each pass, as columns of one matrix; the best one is returned, and ``trace``
+    tells the centres.
+    """
+    blocked = with_blocks(x, blocks, seed).persist()
+    rng, k = np.random.default_rng(seed), w.shape[1]
+    centre = float(rayleigh(x, w).sum() ** 2 / 4)
+    runs = [(w, np.zeros_like(w)) for _ in factors]
+    fit = Fit(w, [{"iteration": 0, "beta": centre}])
+    for i in range(1, iterations + 1):
+        g, n = gram_times(_batch(blocked, blocks, take, rng), np.hstack([now for now, _ in runs]))
+        if n:
+            scaled = [_stacked(g[:, j * k : (j + 1) * k] / n - f * centre * old, now) for j, (f, (now, old)) in enumerate(zip(factors, runs))]
+            runs = [made or run for made, run in zip(scaled, runs)]  # a run whose basis became singular stays where it was
+        if i % every == 0 or i == iterations:
+            best = int(np.argmax(rayleigh(x, np.hstack([np.linalg.qr(now)[0] for now, _ in runs])).reshape(len(runs), k).sum(1)))
+            fit.w, centre = runs[best][0], factors[best] * centre
+            fit.trace.append({"iteration": i, "beta": centre})
+    blocked.unpersist()
+    fit.w = fix_phase(_rotate(x, np.linalg.qr(fit.w)[0]))
+    return fit
 
 
 def oja(x: DataFrame, w: np.ndarray, iterations: int, rate: float | Sequence[float], blocks: int = 10, take: int = 1, seed: int = 0) -> Fit:
@@ -368,6 +391,74 @@ def dual_directions(m: np.ndarray, k: int) -> np.ndarray:
     return fix_phase(w / np.linalg.norm(w, axis=0))
 
 
+class _Project:
+    """Sums ``X^H u`` over a task's rows, whose places in ``u`` are in column ``i``."""
+
+    def __init__(self, u):
+        self.u = u
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = _rows(batch).conj().T @ self.u.value[batch.column(batch.schema.get_field_index("i")).to_numpy()]
+                total = part if total is None else total + part
+        if total is not None:
+            p, k = total.shape
+            columns = [np.repeat(np.arange(p), k), np.tile(np.arange(k), p), total.real.reshape(-1).copy(), total.imag.reshape(-1).copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["v", "pc", "re", "im"])
+
+
+def _partial_gram(n: int):
+    """The product of all rows with each other over one range of variables."""
+
+    def run(table):
+        import pyarrow as pa
+
+        x = np.zeros((n, len(table.column("re")[0])), np.complex128)
+        for batch in table.to_batches():
+            if batch.num_rows:
+                x[batch.column(batch.schema.get_field_index("i")).to_numpy()] = _rows(batch)
+        return pa.table({"group": table.column("group").slice(0, 1), "sum": pa.array([(x @ x.conj().T).tobytes()], pa.binary())})
+
+    return run
+
+
+def _add_grams(table):
+    import pyarrow as pa
+
+    total = sum(np.frombuffer(v.as_py(), np.complex128) for v in table.column("sum"))
+    return pa.table({"group": table.column("group").slice(0, 1), "sum": pa.array([total.tobytes()], pa.binary())})
+
+
+def dual(x: DataFrame, k: int, width: int = 4096) -> np.ndarray:
+    """Principal directions of few rows of very many variables, through the product of rows with rows.
+
+    The variables are cut into ranges of ``width``, each range gives a partial product, and these are added in groups; what
+    reaches the driver is rows x rows and variables x components numbers.  ``exact``'s limit holds for the rows.
+    """
+    known = x.select("re", "im", F.row_number().over(Window.orderBy(F.xxhash64("session_id", "t"), "session_id", "t")).alias("i"))
+    n = x.count()
+    if n > EXACT_VARIABLES:
+        raise ValueError(f"dual() is for up to {EXACT_VARIABLES} rows, not {n}; use randomised()")
+    if not n:
+        raise ValueError("the matrix has no rows")
+    known = known.withColumn("i", F.col("i") - 1).persist()
+    cut = known.withColumn("group", F.explode(F.expr(f"sequence(0, (size(re) - 1) div {width})")))
+    cut = cut.select("group", "i", *[F.slice(c, F.col("group") * width + 1, F.lit(width)).alias(c) for c in ("re", "im")])
+    parts = cut.groupBy("group").applyInArrow(_partial_gram(n), "group long, sum binary")
+    few = parts.withColumn("group", F.col("group") % 8).groupBy("group").applyInArrow(_add_grams, "group long, sum binary").collect()
+    values, vectors = np.linalg.eigh(sum(np.frombuffer(bytes(r["sum"]), np.complex128) for r in few).reshape(n, n))
+    u = x.sparkSession.sparkContext.broadcast(vectors[:, np.argsort(-values)[:k]])
+    sums = known.select("i", "re", "im").mapInArrow(_Project(u), "v long, pc long, re double, im double").groupBy("v", "pc").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
+    known.unpersist()
+    w = np.zeros((int(sums["v"].max()) + 1, min(k, n)), np.complex128)
+    w[sums["v"].to_numpy(), sums["pc"].to_numpy()] = sums["re"].to_numpy() + 1j * sums["im"].to_numpy()
+    return fix_phase(w / np.linalg.norm(w, axis=0))
+
+
 def restarts(x: DataFrame, solve: Callable[[int], Fit], runs: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Fits from several starts: (run, loadings, explained share), best total first."""
     out = []

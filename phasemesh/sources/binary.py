@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,8 @@ from .text import SESSION
 
 #: NIfTI-1 data type codes (fixed values of the format).
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
+#: Valid vertices that are broadcast to a decoder.
+MASKED = 5_000_000
 #: Magic numbers of surface files (fixed value of the format).
 TRIANGLES = 0xFFFFFE
 
@@ -116,62 +118,110 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return found.select(F.regexp_extract("path", SESSION, 1).alias("session_id"), hemi.alias("hemi"), "content")
 
 
-def _decode(files: DataFrame, rows: Callable[[bytes], Iterator[tuple]], fields: str, names: list[str]) -> DataFrame:
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            for s, h, c in zip(b["session_id"], b["hemi"], b["content"]):
-                out = pd.DataFrame(list(rows(bytes(c))), columns=names)
-                out.insert(0, "hemi", h)
-                out.insert(0, "session_id", s)
-                yield out
+#: Rows of a decoded file that one Arrow batch holds.
+SLICE = 16_384
 
-    return files.mapInPandas(run, f"session_id string, hemi string, {fields}")
 
+def _decode(files: DataFrame, columns: Callable[[bytes, str | None], dict[str, np.ndarray]], fields: str) -> DataFrame:
+    """Each file as rows of Arrow columns made from numpy arrays; a matrix is a column of lists."""
 
-def read_surface_signal(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
-    """``session_id, hemi, vertex, y[]``: one row for each vertex, its last dimension being time."""
+    def run(batches):
+        import pyarrow as pa
 
-    def rows(data: bytes):
+        for b in batches:
+            for s, h, c in zip(*(b.column(i) for i in range(3))):
+                made = columns(c.as_py(), h.as_py())
+                n = len(next(iter(made.values())))
+                for at in range(0, n, SLICE):
+                    part = {k: v[at : at + SLICE] for k, v in made.items()}
+                    m = min(SLICE, n - at)
+                    out = [pa.array([s.as_py()] * m, pa.string()), pa.array([h.as_py()] * m, pa.string())]
+                    for v in part.values():
+                        flat = np.ascontiguousarray(v).reshape(-1)
+                        out.append(pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * v.shape[1]), pa.array(flat)) if v.ndim == 2 else pa.array(flat.tolist() if v.dtype == object else flat))
+                    yield pa.RecordBatch.from_arrays(out, names=["session_id", "hemi", *part])
+
+    return files.select("session_id", "hemi", "content").mapInArrow(run, f"session_id string, hemi string, {fields}")
+
+
+def read_surface_signal(spark: SparkSession, path: str, pattern: str = "*.nii*", vertices: DataFrame | None = None) -> DataFrame:
+    """``session_id, hemi, vertex, y[]``: one row for each vertex, its last dimension being time.
+
+    ``vertices(hemi, vertex)``: only these are made into rows.  They are broadcast to the decoder, a surface's worth of
+    numbers; more than MASKED are joined after it instead.
+    """
+    rows = vertices.select("hemi", "vertex").distinct().limit(MASKED + 1).collect() if vertices is not None else []
+    if len(rows) > MASKED:
+        return read_surface_signal(spark, path, pattern).join(vertices.select("hemi", "vertex"), ["hemi", "vertex"], "left_semi").select("session_id", "hemi", "vertex", "y")
+    sent = None
+    if vertices is not None:
+        sent = spark.sparkContext.broadcast({h: np.sort(np.array([r["vertex"] for r in rows if r["hemi"] == h], np.int64)) for h in {r["hemi"] for r in rows}})
+
+    def columns(data: bytes, hemi: str | None) -> dict[str, np.ndarray]:
         values, _ = parse_nifti(data)
         flat = values.reshape(-1, values.shape[-1], order="F")
-        return ((i, y.tolist()) for i, y in enumerate(flat))
+        at = np.arange(len(flat))
+        if sent is not None:
+            at = sent.value.get(hemi, at[:0])
+            at = at[(at >= 0) & (at < len(flat))]
+        return {"vertex": at.astype(np.int32), "y": flat[at]}
 
-    return _decode(_files(spark, path, pattern), rows, "vertex int, y array<double>", ["vertex", "y"])
+    return _decode(_files(spark, path, pattern), columns, "vertex int, y array<double>")
 
 
 def read_volume(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
     """``session_id, i, j, k, y[], affine[]`` of 4-D images."""
 
-    def rows(data: bytes):
+    def columns(data: bytes, _) -> dict[str, np.ndarray]:
         values, affine = parse_nifti(data)
         if values.ndim == 3:
             values = values[..., None]
-        a = affine.reshape(-1).tolist()
-        return ((i, j, k, values[i, j, k].tolist(), a) for i, j, k in np.ndindex(values.shape[:3]))
+        place = np.indices(values.shape[:3], np.int32).reshape(3, -1)
+        y = values.reshape(-1, values.shape[3])
+        return {"i": place[0], "j": place[1], "k": place[2], "y": y, "affine": np.broadcast_to(affine.reshape(1, -1), (len(y), 16))}
 
-    return _decode(_files(spark, path, pattern), rows, "i int, j int, k int, y array<double>, affine array<double>", ["i", "j", "k", "y", "affine"]).drop("hemi")
+    return _decode(_files(spark, path, pattern), columns, "i int, j int, k int, y array<double>, affine array<double>").drop("hemi")
 
 
 def read_annotation(spark: SparkSession, path: str, pattern: str = "*.annot") -> DataFrame:
     """``hemi, vertex, label``; a code without a name is ``unknown``."""
 
-    def rows(data: bytes):
+    def columns(data: bytes, _) -> dict[str, np.ndarray]:
         codes, names = parse_annot(data)
-        return ((i, names.get(int(c), "unknown")) for i, c in enumerate(codes))
+        return {"vertex": np.arange(len(codes), dtype=np.int32), "label": np.array([names.get(c, "unknown") for c in codes.tolist()], object)}
 
-    return _decode(_files(spark, path, pattern), rows, "vertex int, label string", ["vertex", "label"]).drop("session_id")
+    return _decode(_files(spark, path, pattern), columns, "vertex int, label string").drop("session_id")
 
 
 def read_faces(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``hemi, a, b, c``."""
-    return _decode(_files(spark, path, pattern), lambda d: (tuple(int(x) for x in f) for f in parse_surface(d)[1]), "a int, b int, c int", ["a", "b", "c"]).drop("session_id")
+    return _decode(_files(spark, path, pattern), lambda d, _: dict(zip("abc", parse_surface(d)[1].astype(np.int32).T)), "a int, b int, c int").drop("session_id")
 
 
 def read_vertices(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``hemi, vertex, x, y, z``."""
-    return _decode(_files(spark, path, pattern), lambda d: ((i, *map(float, p)) for i, p in enumerate(parse_surface(d)[0])), "vertex int, x double, y double, z double", ["vertex", "x", "y", "z"]).drop("session_id")
+
+    def columns(data: bytes, _) -> dict[str, np.ndarray]:
+        points = parse_surface(data)[0]
+        return {"vertex": np.arange(len(points), dtype=np.int32), **dict(zip("xyz", points.T))}
+
+    return _decode(_files(spark, path, pattern), columns, "vertex int, x double, y double, z double").drop("session_id")
+
+
+def make_surface(points: np.ndarray, triangles: np.ndarray) -> bytes:
+    """A triangle surface file."""
+    head = TRIANGLES.to_bytes(3, "big") + b"made here\n\n" + struct.pack(">2i", len(points), len(triangles))
+    return head + np.asarray(points, ">f4").tobytes() + np.asarray(triangles, ">i4").tobytes()
+
+
+def make_annot(codes: np.ndarray, names: dict[int, str]) -> bytes:
+    """A file of vertex labels with a table of their names; a code holds the label's colour."""
+    pairs = np.stack([np.arange(len(codes)), np.asarray(codes)], 1)
+    table = struct.pack(">4i", 1, -2, len(names), 1) + b"\0" + struct.pack(">i", len(names))
+    for i, (code, name) in enumerate(names.items()):
+        text = name.encode() + b"\0"
+        table += struct.pack(">2i", i, len(text)) + text + struct.pack(">4i", code & 255, code >> 8 & 255, code >> 16 & 255, 0)
+    return struct.pack(">i", len(codes)) + pairs.astype(">i4").tobytes() + table
 
 
 def write_volume(values: DataFrame, path: str) -> None:

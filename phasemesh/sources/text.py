@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,13 +91,18 @@ def latest(files: DataFrame, *by: str, column: str = "file") -> DataFrame:
     return files.groupBy(*by).agg(F.max(column).alias(column)) if by else files.agg(F.max(column).alias(column))
 
 
-def save_stage(df: DataFrame, path: str, *by: str) -> DataFrame:
-    """A stage's table, partitioned, reused if it is there already."""
+def save_stage(df: DataFrame, path: str, *by: str, version: str = "1") -> DataFrame:
+    """A stage's table, partitioned, reused if it is there already for the same files, columns and ``version``.
+
+    What else the table depends on, the code that makes it above all, is for ``version`` to tell.
+    """
     spark = df.sparkSession
+    told = "\n".join([version, df.schema.json(), *by, *sorted(df.inputFiles())])
+    path = f"{path.rstrip('/')}/stage-{hashlib.sha256(told.encode()).hexdigest()[:16]}"
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         df.write.mode("overwrite").partitionBy(*by).parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:

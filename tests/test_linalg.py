@@ -90,7 +90,43 @@ def test_dual_and_heavy_ball(planted):
     v = np.linalg.svd(m, full_matrices=False)[2].conj().T[:, :2]
     assert np.allclose(linalg.mcc(linalg.dual_directions(m, 2), v), 1)
     x, q = planted
-    assert linalg.heavy_ball_beta(x, q) > 0
+    rows = x.collect()
+    m = np.array([np.array(r.re) + 1j * np.array(r.im) for r in rows])
+    assert np.allclose(linalg.rayleigh(x, 2 * q), (np.abs(m @ q) ** 2).mean(0))
+    start = linalg.start(12, 3)
+    fit = linalg.heavy_ball(x, start, 20)
+    agree(fit.w[:, :2], q[:, :2], 0.97)  # a centre from the sum of all quotients is high for the last direction
+    assert linalg.rayleigh(x, fit.w).sum() > 2 * linalg.rayleigh(x, start).sum()
+    centres = [t["beta"] for t in fit.trace]
+    assert centres[0] == pytest.approx(linalg.rayleigh(x, start).sum() ** 2 / 4) and len(centres) == 3
+    assert all(any(b == pytest.approx(a * f) for f in (2 / 3, 0.99, 1.01, 1.5)) for a, b in zip(centres, centres[1:]))
+
+
+def test_dual_of_a_distributed_matrix(spark, planted):
+    rng = np.random.default_rng(1)
+    m = rng.standard_normal((6, 40)) + 1j * rng.standard_normal((6, 40))
+    x = spark.createDataFrame([("s", i, r.real.tolist(), r.imag.tolist()) for i, r in enumerate(m)], "session_id string, t int, re array<double>, im array<double>").repartition(3)
+    want = linalg.fix_phase(np.linalg.svd(m, full_matrices=False)[2].conj().T[:, :2])
+    for width in (4096, 7):
+        assert np.allclose(linalg.dual(x, 2, width), want)
+    with pytest.raises(ValueError):
+        linalg.dual(x.limit(0), 2)
+
+
+def test_bad_rows_raise(spark):
+    kind = "session_id string, t int, re array<double>, im array<double>"
+    for bad in ([("s", 0, [1.0] * 3, [1.0] * 3), ("s", 1, [1.0] * 5, [1.0] * 5)], [("s", 0, [1.0, None], [1.0, 2.0])], [("s", 0, None, [1.0])], [("s", 0, [1.0, 2.0], [1.0])]):
+        x = spark.createDataFrame(bad, kind).coalesce(1)
+        with pytest.raises(Exception, match="matrix has rows|unequal length"):
+            linalg.gram_times(x, np.eye(2, dtype=complex))
+
+
+def test_moments(planted):
+    x, q = planted
+    m = np.array([np.array(r.re) + 1j * np.array(r.im) for r in x.collect()])
+    m = np.hstack([m, m @ q])
+    mean, var, n = linalg.moments(x, q)
+    assert n == len(m) and np.allclose(mean, m.mean(0)) and np.allclose(var, m.real.var(0, ddof=1) + m.imag.var(0, ddof=1))
 
 
 def test_restarts_and_scaling(planted):

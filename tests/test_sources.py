@@ -1,10 +1,12 @@
 """Readers on files made here, and the streaming form of displacement."""
 
 import gzip
+import os
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phasemesh.operators import motion
 from phasemesh.sources import binary, text
@@ -54,10 +56,17 @@ def test_visits_config_and_stages(spark, tmp_path):
     assert text.variants(config, "rest") == ["a", "b"] and text.variants(config, "task") == []
     text.write_table(df, str(tmp_path / "t"))
     stage = text.save_stage(df, str(tmp_path / "s"), "id")
-    assert text.save_stage(df.limit(0), str(tmp_path / "s"), "id").count() == stage.count() == 2
+    made = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    assert text.save_stage(df, str(tmp_path / "s"), "id").count() == stage.count() == 2  # found again
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")} == made
+    assert text.save_stage(df.withColumn("n", F.lit(1)), str(tmp_path / "s"), "id").columns == ["id", "series", "n"]  # another schema
+    assert text.save_stage(df.limit(0), str(tmp_path / "s"), "id", version="2").count() == 0
+    (tmp_path / "v2.csv").write_text("Id;Series;Series\n3;a;z\n")
+    other = text.read_visits(spark, str(tmp_path / "v2.csv"), {"Id": "id", "Series.1": "series"}, ["Id", "Series", "Series.1"])
+    assert text.save_stage(other, str(tmp_path / "s"), "id").first().series == "z"  # another input
 
 
-def test_images(spark, tmp_path):
+def test_images(spark, tmp_path, monkeypatch):
     (tmp_path / "s1").mkdir()
     values = np.arange(24, dtype=float).reshape(2, 1, 3, 4)
     affine = np.array([[3, 0, 0, 1], [0, 3, 0, 2], [0, 0, 3, 3], [0, 0, 0, 1.0]])
@@ -71,6 +80,16 @@ def test_images(spark, tmp_path):
     assert sig[1].y == values[1, 0, 0].tolist() and sig[2].y == values[0, 0, 1].tolist()
     with pytest.raises(ValueError):
         binary.parse_nifti(b"\0" * 400)
+    valid = spark.createDataFrame([("lh", 1), ("lh", 4), ("lh", 99), ("rh", 0)], "hemi string, vertex int")
+    for limit in (100, 1):  # in the decoder, and joined after it
+        monkeypatch.setattr(binary, "MASKED", limit)
+        some = binary.read_surface_signal(spark, str(tmp_path), vertices=valid).orderBy("vertex").collect()
+        assert [(r.vertex, r.y) for r in some] == [(r.vertex, r.y) for r in sig if r.vertex in (1, 4)]
+    assert binary.read_surface_signal(spark, str(tmp_path), vertices=valid.limit(0)).count() == 0
+    points, tri = np.eye(3), np.array([[0, 1, 2], [2, 1, 0]])
+    assert [x.tolist() for x in binary.parse_surface(binary.make_surface(points, tri))] == [points.tolist(), tri.tolist()]
+    codes, names = binary.parse_annot(binary.make_annot([5, 0, 70_000], {5: "cortex", 70_000: "x y"}))
+    assert codes.tolist() == [5, 0, 70_000] and names == {5: "cortex", 70_000: "x y"}
 
 
 def test_surface_and_annotation(spark, tmp_path):
@@ -90,7 +109,11 @@ def test_streaming_displacement(spark, tmp_path):
     rows = [(s, t, *[float((t * (i + 1)) % 5) for i in range(6)]) for s in ("a", "b") for t in range(8)]
     schema = "session_id string, t long, p1 double, p2 double, p3 double, p4 double, p5 double, p6 double"
     for k in range(2):
-        spark.createDataFrame([r for r in rows if r[1] // 4 == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame([r for r in rows if r[1] // 4 == k], schema).coalesce(1).write.parquet(str(tmp_path / f"made{k}"))
+        (file,) = (tmp_path / f"made{k}").glob("*.parquet")
+        os.utime(file, (1_600_000_000 + k, 1_600_000_000 + k))  # files come in order of their times
+        (tmp_path / "in").mkdir(exist_ok=True)
+        file.rename(tmp_path / "in" / f"{k}.parquet")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = streaming.framewise_displacement(stream).writeStream.format("memory").queryName("fd").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
@@ -99,6 +122,4 @@ def test_streaming_displacement(spark, tmp_path):
         q.stop()
     got = {(r.session_id, r.t): r.fd for r in spark.table("fd").collect()}
     want = {(r.session_id, r.t): r.fd for r in motion.framewise_displacement(spark.createDataFrame(rows, schema)).collect()}
-    late = {k for k in want if k not in got}  # files may come in either order; what came late is left out
-    assert not late or len(got) >= 6
-    assert all(got[k] == pytest.approx(v) for k, v in want.items() if k in got and k[1] % 4)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
