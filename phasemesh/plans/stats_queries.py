@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evar, linalg, mesh, signal, simulate, stats
 from . import inputs
-from .inputs import EVENTS, FACES, SURFACE
+from .inputs import EVENTS, FACES, RP, SURFACE
 
 
 #: Shuffles of the permutation tests and of the cluster test, its level and least cluster (fixed values, the survey's).
@@ -36,7 +36,7 @@ def wilcoxon_w(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wilcoxon_p(spark: SparkSession, d: str) -> DataFrame:
-    return stats.rank_sum(_values(spark, d), "vertex").select("vertex", "w", "p")
+    return stats.rank_sum(_values(spark, d), "vertex").select("vertex", "w", _r(F.col("p"), 6).alias("p"))
 
 
 def signed_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +49,9 @@ def welch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t_tests(spark: SparkSession, d: str) -> DataFrame:
-    a = stats.welch(_values(spark, d), "vertex").select("vertex", F.lit("welch").alias("test"), "t", "df", "p")
-    return a.unionByName(stats.paired_t(_pairs(spark, d), "vertex").select("vertex", F.lit("paired").alias("test"), "t", "df", "p"))
+    told = [_r(F.col("t"), 7).alias("t"), _r(F.col("df"), 5).alias("df"), _r(F.col("p"), 6).alias("p")]
+    a = stats.welch(_values(spark, d), "vertex").select("vertex", F.lit("welch").alias("test"), *told)
+    return a.unionByName(stats.paired_t(_pairs(spark, d), "vertex").select("vertex", F.lit("paired").alias("test"), *told))
 
 
 def paired_t(spark: SparkSession, d: str) -> DataFrame:
@@ -146,11 +147,11 @@ def _series(spark, d) -> tuple[DataFrame, DataFrame]:
 def nuisance_resid(spark: SparkSession, d: str) -> DataFrame:
     y, m = _series(spark, d)
     z = signal.nuisance(y, m.withColumn("p1", F.col("t") % 5 + 0.0), absolute=False)
-    return z.select("session_id", "vertex", F.posexplode("y").alias("t", "resid"))
+    return z.select("session_id", "vertex", F.posexplode("y").alias("t", "resid")).withColumn("resid", _r(F.col("resid"), 6))
 
 
 def psd_norm(spark: SparkSession, d: str) -> DataFrame:
-    return signal.spectral_norm(_series(spark, d)[0], 0.5)
+    return signal.spectral_norm(_series(spark, d)[0], 0.5).select("session_id", _r(F.col("norm"), 6).alias("norm"))
 
 
 def band_pass(spark: SparkSession, d: str) -> DataFrame:
@@ -283,13 +284,76 @@ _PVALUE = """
 , o AS (SELECT vertex, d FROM m WHERE sim = 0)
 SELECT m.vertex, round(any_value(o.d), 9) + 0.0 diff, round(CAST(count(*) FILTER (sim > 0 AND abs(m.d) >= abs(o.d) - 1e-12) + 1 AS DOUBLE) / count(*), 6) p FROM m JOIN o ON o.vertex = m.vertex GROUP BY m.vertex"""
 
+#: Ranks of values by vertex, and the rank-sum statistic with what its distribution needs.
+_RANKS = """, x AS (SELECT event_type vertex, g, floor(value) v FROM e)
+, r AS (
+  SELECT vertex, g,
+    CAST(rank() OVER (PARTITION BY vertex ORDER BY v) AS DOUBLE) + (CAST(count(*) OVER (PARTITION BY vertex, v) AS DOUBLE) - 1) / 2 rk,
+    CAST(count(*) OVER (PARTITION BY vertex, v) AS DOUBLE) t
+  FROM x)
+, w AS (
+  SELECT vertex, sum(rk) FILTER (g = 0) - CAST(count(*) FILTER (g = 0) AS DOUBLE) * (CAST(count(*) FILTER (g = 0) AS DOUBLE) + 1) / 2 w,
+    count(*) FILTER (g = 0) n0, count(*) FILTER (g = 1) n1, sum(t * t - 1) ties
+  FROM r GROUP BY vertex)"""
+#: Simpson's rule on 4,000 steps: places from 0 to 1 and weights.
+_SIMPSON = """, steps AS (SELECT i / 4000.0 u, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 12000.0 h FROM (SELECT unnest(generate_series(0, 4000)) i))"""
+_WILCOXON_P = f"""WITH {EVENTS}{_RANKS}{_SIMPSON}
+, z AS (SELECT vertex, w, abs(abs(w - n0 * n1 / 2) - 0.5) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - ties / (CAST(n0 + n1 AS DOUBLE) * (n0 + n1 - 1)))) z FROM w)
+SELECT vertex, any_value(w) w, round(1 - sqrt(2 / pi()) * any_value(z) * sum(h * exp(-z * z * u * u / 2)), 6) + 0.0 p FROM z, steps GROUP BY vertex"""
+_T_P = f"""WITH {_PAIRS}{_SIMPSON}
+, s AS (
+  SELECT event_type vertex, avg(floor(value)) FILTER (g = 0) m0, avg(floor(value)) FILTER (g = 1) m1,
+    var_samp(floor(value)) FILTER (g = 0) / count(*) FILTER (g = 0) a, var_samp(floor(value)) FILTER (g = 1) / count(*) FILTER (g = 1) b,
+    count(*) FILTER (g = 0) n0, count(*) FILTER (g = 1) n1
+  FROM e GROUP BY 1)
+, t AS (
+  SELECT vertex, 'welch' test, (m0 - m1) / sqrt(a + b) t, (a + b)**2 / (a * a / (n0 - 1) + b * b / (n1 - 1)) df FROM s
+  UNION ALL SELECT vertex, 'paired', avg(v1 - v2) / (stddev_samp(v1 - v2) / sqrt(count(*))), CAST(count(*) - 1 AS DOUBLE) FROM p GROUP BY vertex)
+, q AS (SELECT *, atan(abs(t) / sqrt(df)) o, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) c FROM t)
+SELECT vertex, test, round(any_value(t), 7) + 0.0 t, round(any_value(df), 5) + 0.0 df, round(1 - 2 * any_value(c * o) * sum(h * cos(o * u) ** (df - 1)), 6) + 0.0 p
+FROM q, steps GROUP BY vertex, test"""
+#: The three series of every supplier, as they are made above.
+_SERIES = RP + """, f AS (SELECT s, CAST(t - 1 AS INTEGER) t, p1, p2, p3, p4, p5, p6 FROM rp)
+, y AS (SELECT s, t, p1 + sin(CAST(t AS DOUBLE)) y0, p2 * 2 y1, p3 - CAST(t AS DOUBLE) / 10 y2 FROM f)"""
+
+
+def _least_squares() -> str:
+    """Residuals of three series on six regressors: each regressor in turn is taken out of all columns that follow it."""
+    x, y = [f"x{i}" for i in range(1, 7)], ["y0", "y1", "y2"]
+    sql = f"WITH {_SERIES}\n, s0 AS (SELECT s, t, CAST(t % 5 AS DOUBLE) x1, " + ", ".join(f"p{i} x{i}" for i in range(2, 7)) + ", y0, y1, y2 FROM f JOIN y USING (s, t))"
+    sql += "\n, s1 AS (SELECT s, t, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY s) {c}" for c in x + y) + " FROM s0)"
+    for k, q in enumerate(x, 1):
+        rest = [f"{c} - {q} * sum({c} * {q}) OVER (PARTITION BY s) / sum({q} * {q}) OVER (PARTITION BY s) {c}" for c in x[k:] + y]
+        sql += f"\n, s{k + 1} AS (SELECT s, t, " + ", ".join(rest) + f" FROM s{k})"
+    parts = [f"SELECT CAST(s AS VARCHAR) session_id, CAST({v} AS INTEGER) vertex, t, round({c}, 6) + 0.0 resid FROM s7" for v, c in enumerate(y)]
+    return sql + "\n" + " UNION ALL ".join(parts)
+
+
+#: A Fourier transform by its definition at the frequencies that count, tapered, padded, smoothed and summed.
+_NORM = f"""WITH {_SERIES}
+, fast AS (SELECT DISTINCT CAST(2**a * 3**b * 5**c AS BIGINT) z FROM (SELECT unnest(generate_series(0, 20)) a), (SELECT unnest(generate_series(0, 13)) b), (SELECT unnest(generate_series(0, 9)) c) WHERE 2**a * 3**b * 5**c < 1000000)
+, n AS (SELECT s, n, CAST(floor(n * 0.1) AS BIGINT) m, (SELECT min(z) FROM fast WHERE z >= n) z FROM (SELECT s, count(*) n FROM y GROUP BY s))
+, v AS (SELECT s, t, 0 v, y0 y FROM y UNION ALL SELECT s, t, 1, y1 FROM y UNION ALL SELECT s, t, 2, y2 FROM y)
+, x AS (
+  SELECT s, v, t, (y - avg(y) OVER (PARTITION BY s, v)) * CASE WHEN least(t, n - 1 - t) < m THEN 0.5 * (1 - cos(pi() * (2 * least(t, n - 1 - t) + 1) / (2 * m))) ELSE 1 END x
+  FROM v JOIN n USING (s))
+, k AS (SELECT s, n, z, z // 2 top, unnest(generate_series(0, least(z // 2, CAST(floor(0.6 * z / 2) AS BIGINT) + 5))) k FROM n)
+, trig AS (SELECT k.s, k.k, t, cos(2 * pi() * k.k * t / z) c, sin(2 * pi() * k.k * t / z) d FROM k JOIN y ON y.s = k.s)
+, p AS (SELECT x.s, v, k, sum(x * c)**2 + sum(x * d)**2 p FROM x JOIN trig g ON g.s = x.s AND g.t = x.t GROUP BY x.s, v, k)
+, o AS (SELECT s, v, k, CASE WHEN k = 0 THEN max(CASE WHEN k = 1 THEN p END) OVER (PARTITION BY s, v) ELSE p END p FROM p)
+, w(j, a) AS (VALUES (-3, 1 / 32.0), (-2, 1 / 8.0), (-1, 7 / 32.0), (0, 1 / 4.0), (1, 7 / 32.0), (2, 1 / 8.0), (3, 1 / 32.0))
+, u AS (
+  SELECT k.s, o.v, sum(a * o.p) / any_value(k.n) / 0.5 / (1 - 5 / 8.0 * 0.1 * 2) q
+  FROM k, w JOIN o ON o.s = k.s AND o.k = abs(k.k + j) WHERE k.k >= 1 AND 0.25 * (k.k - 1) / (top - 1) <= 0.15 GROUP BY k.s, o.v)
+SELECT CAST(s AS VARCHAR) session_id, round(sqrt(avg(q)), 6) + 0.0 norm FROM u GROUP BY s"""
+
 QUERIES = {
-    "wilcoxon_w": (wilcoxon_w, f"WITH {EVENTS}, x AS (SELECT event_type vertex, g, floor(value) v FROM e), r AS (SELECT vertex, g, CAST(rank() OVER (PARTITION BY vertex ORDER BY v) AS DOUBLE) + (CAST(count(*) OVER (PARTITION BY vertex, v) AS DOUBLE) - 1) / 2 rk, CAST(count(*) OVER (PARTITION BY vertex, v) AS DOUBLE) t FROM x) SELECT vertex, sum(rk) FILTER (g = 0) - CAST(count(*) FILTER (g = 0) AS DOUBLE) * (CAST(count(*) FILTER (g = 0) AS DOUBLE) + 1) / 2 w, count(*) FILTER (g = 0) n0, count(*) FILTER (g = 1) n1, sum(t * t - 1) ties FROM r GROUP BY vertex"),
-    "wilcoxon_p": (wilcoxon_p, None),
+    "wilcoxon_w": (wilcoxon_w, f"WITH {EVENTS}{_RANKS} SELECT vertex, w, n0, n1, ties FROM w"),
+    "wilcoxon_p": (wilcoxon_p, _WILCOXON_P),
     "signed_rank": (signed_rank, f"WITH {_PAIRS}, d AS (SELECT vertex, v1 - v2 d FROM p WHERE v1 <> v2), r AS (SELECT vertex, d, CAST(rank() OVER (PARTITION BY vertex ORDER BY abs(d)) AS DOUBLE) + (CAST(count(*) OVER (PARTITION BY vertex, abs(d)) AS DOUBLE) - 1) / 2 rk, CAST(count(*) OVER (PARTITION BY vertex, abs(d)) AS DOUBLE) t FROM d) SELECT vertex, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) v, count(*) n, sum(t * t - 1) ties FROM r GROUP BY vertex"),
     "welch": (welch, f"WITH {EVENTS}, s AS (SELECT event_type vertex, avg(floor(value)) FILTER (g = 0) m0, avg(floor(value)) FILTER (g = 1) m1, var_samp(floor(value)) FILTER (g = 0) / count(*) FILTER (g = 0) a, var_samp(floor(value)) FILTER (g = 1) / count(*) FILTER (g = 1) b, count(*) FILTER (g = 0) n0, count(*) FILTER (g = 1) n1 FROM e GROUP BY 1) SELECT vertex, round((m0 - m1) / sqrt(a + b), 7) + 0.0 t, round((a + b)**2 / (a * a / (n0 - 1) + b * b / (n1 - 1)), 5) df FROM s"),
     "paired_t": (paired_t, f"WITH {_PAIRS} SELECT vertex, round(avg(v1 - v2) / (stddev_samp(v1 - v2) / sqrt(count(*))), 7) + 0.0 t, CAST(count(*) - 1 AS DOUBLE) df FROM p GROUP BY vertex"),
-    "t_tests": (t_tests, None),
+    "t_tests": (t_tests, _T_P),
     "contrast_means": (contrast_means, f"WITH {EVENTS}, k AS (" + " UNION ALL ".join(f"SELECT '{n}' contrast, CASE WHEN {a} THEN 0 WHEN {b} THEN 1 END side, value FROM e" for n, a, b in CONTRASTS) + ") SELECT contrast, round(avg(value) FILTER (side = 0) - avg(value) FILTER (side = 1), 9) + 0.0 diff, count(*) n FROM k WHERE side IS NOT NULL GROUP BY contrast"),
     "permuted_labels": (permuted_labels, "WITH " + EVENTS + _perm("user_id", "g", 3) + " SELECT sim, subject, g FROM k"),
     "perm_p": (perm_p, "WITH " + EVENTS + _perm("user_id", "g", SHUFFLES) + _PVALUE),
@@ -308,8 +372,8 @@ SELECT CASE WHEN c < 32 THEN 'lh' ELSE 'rh' END hemi, count(*) n_clusters, max(m
 FROM z, lim WHERE sim = 0 AND m >= {LEAST} GROUP BY 1""",
     ),
     "ols_resid": (ols_resid, f"WITH {EVENTS}, x AS (SELECT event_id, user_id, value, CAST(event_id % 97 AS DOUBLE) x FROM e), s AS (SELECT user_id, regr_slope(value, x) b, regr_intercept(value, x) a FROM x GROUP BY user_id) SELECT event_id, round(value - a - b * x, 6) + 0.0 resid FROM x JOIN s USING (user_id)"),
-    "nuisance_resid": (nuisance_resid, None),
-    "psd_norm": (psd_norm, None),
+    "nuisance_resid": (nuisance_resid, _least_squares()),
+    "psd_norm": (psd_norm, _NORM),
     "band_pass": (band_pass, None),
     "analytic_signal": (analytic_signal, None),
     "preprocess": (preprocess, None),

@@ -227,3 +227,25 @@ def make_annot(codes: np.ndarray, names: dict[int, str]) -> bytes:
 def write_volume(values: DataFrame, path: str) -> None:
     """A displacement map as a table, by session (images are for viewers; tables are for queries)."""
     values.write.partitionBy("session_id").parquet(path)
+
+
+def write_files(files: DataFrame, base: str) -> int:
+    """Write ``files(path, content)`` below the URI ``base``, each by the task that holds it; returns how many.
+
+    A task that is run again writes the same files again.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, folder = fs.FileSystem.from_uri(base)
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                place = f"{folder}/{path.as_py()}"
+                where.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(place) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

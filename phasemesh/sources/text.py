@@ -18,12 +18,12 @@ def _lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFr
     if pattern:
         reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     files = reader.load(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("t", "line"))
+    lines = files.select("file", F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: ~x.rlike(r"^\s*$"))).alias("t", "line"))
     return lines.select("file", F.regexp_extract("file", SESSION, 1).alias("session_id"), "t", "line")
 
 
 def _numbers(first: int, n: int) -> list[Column]:
-    parts = F.split(F.trim("line"), r"\s+")
+    parts = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+")
     return [F.get(parts, F.lit(first + i)).cast("double").alias(f"p{i + 1}") for i in range(n)]
 
 
@@ -65,11 +65,13 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def read_config(path: str) -> dict:
-    """A YAML file on the driver."""
+    """A YAML file, read by the driver; a path of its own or a URI."""
     import yaml
+    from pyarrow import fs
 
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+    where, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    with where.open_input_file(place) as f:
+        return yaml.safe_load(f.readall()) or {}
 
 
 def variants(config: Mapping, run: str) -> list[str]:
