@@ -175,8 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Model:
         seen = texts.mapInArrow(_collect_features, f"doc_id {dict(docs.dtypes)['doc_id']}, features binary").groupBy("doc_id").agg(F.min("features").alias("features"))
         seen = tmp.save(seen.join(F.broadcast(chosen), "doc_id"), "features")
         held = seen.agg(F.sum(F.length("features"))).first()[0] or 0
-        found = seen.where(hashed < bound * min(1.0, LEARN_BYTES / max(held, 1))).toPandas().sort_values("doc_id")
-    return fit([np.frombuffer(f, "<i4") for f in found["features"]], found["quality"].to_numpy(np.int64))
+        found = seen.where(hashed < bound * min(1.0, LEARN_BYTES / max(held, 1))).toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(f.as_buffer(), "<i4") for f in found.column("features")], found.column("quality").to_numpy())
 
 
 class _Score:
