@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, delete_result
-from . import covertree, langid, minmax, mixing, oracles, packing, quality, rules, store, token_files, tokens, urls, warc
+from . import covertree, langid, minmax, mixing, oracles, packing, pii, quality, rules, store, token_files, tokens, urls, warc
 
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -81,6 +81,10 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         return tmp.result(judged.select(*columns, "alone_docs"))
 
 
+def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_poisson_mix": op2_poisson_mix,
@@ -92,6 +96,7 @@ QUERIES = {
     "op8_cover_tree": op8_cover_tree,
     "op9_url_trie": op9_url_trie,
     "op10_rule_ledger": op10_rule_ledger,
+    "op11_pii_spans": op11_pii_spans,
 }
 
 ORACLES = oracles.SQL
