@@ -91,6 +91,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f LEFT JOIN a ON mask = failed
 """
 
+#: Costs, letters and repaired text of the cheapest way to each state (start, s, u, a), row by row.
+OP12 = r"""
+WITH RECURSIVE crc AS (
+  SELECT [list_reduce(generate_series(0, 7), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT)) FOR b IN generate_series(0, 255)] tab)
+, d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') txt, list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''), lambda x: CAST(ord(x) AS BIGINT)) b
+  FROM conversations)
+, h AS (
+  SELECT conv_id, turn, role, txt, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 k FROM d, crc)
+, g AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END txt,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) copy
+  FROM h WHERE k <> 0)
+, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(txt), copy) i FROM g)
+, q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) seen, regexp_replace(txt, '[\x20\x09-\x0D]+$', '') bare FROM o)
+, r AS (
+  SELECT conv_id, i, turn, role, txt, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(bare, '[.!?]$') THEN 'truncated' ELSE '' END f,
+    substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) pair
+  FROM q)
+, c AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) gaps, count(*) FILTER (f = 'blank') blank, count(*) FILTER (f = 'duplicate') duplicate,
+    count(*) FILTER (f = 'truncated') truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) illegal,
+    list({'n': substr(role, 1, 1), 'x': f IN ('blank', 'duplicate'), 'e': CASE WHEN f = 'truncated' THEN 3 ELSE 0 END, 't': role || ':' || txt, 'p': txt} ORDER BY i) l
+  FROM r GROUP BY conv_id)
+, walk AS (
+  SELECT conv_id, 0 i, {'c': 0, 'a': '', 'r': ''} z, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, r VARCHAR)) s, {'c': 3, 'a': 'I', 'r': chr(10) || 'user:'} u,
+    {'c': 6, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'} a FROM c
+  UNION ALL
+  SELECT conv_id, i, z, s, u, CASE WHEN u IS NULL THEN a ELSE list_min([a, {'c': u.c + 3, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'}]) END
+  FROM (
+    SELECT conv_id, i, z, s, a, list_min([u, CASE WHEN z IS NOT NULL THEN {'c': z.c + 3, 'a': z.a || 'I', 'r': z.r || chr(10) || 'user:'} END,
+      CASE WHEN s IS NOT NULL THEN {'c': s.c + 3, 'a': s.a || 'I', 'r': s.r || chr(10) || 'user:'} END,
+      CASE WHEN a IS NOT NULL THEN {'c': a.c + 3, 'a': a.a || 'I', 'r': a.r || chr(10) || 'user:'} END]) u
+    FROM (
+      SELECT w.conv_id, w.i + 1 i,
+        CASE WHEN z IS NOT NULL THEN {'c': z.c + 4, 'a': z.a || 'D', 'r': z.r} END z,
+        list_min([CASE WHEN s IS NOT NULL THEN {'c': s.c + 4, 'a': s.a || 'D', 'r': s.r} END,
+          CASE WHEN z IS NOT NULL AND NOT y.x AND y.n = 's' THEN {'c': z.c + y.e, 'a': z.a || 'K', 'r': z.r || chr(10) || y.t} END]) s,
+        list_min([CASE WHEN u IS NOT NULL THEN {'c': u.c + 4, 'a': u.a || 'D', 'r': u.r} END,
+          CASE WHEN z IS NOT NULL AND NOT y.x AND y.n = 'u' THEN {'c': z.c + y.e, 'a': z.a || 'K', 'r': z.r || chr(10) || y.t} END,
+          CASE WHEN s IS NOT NULL AND NOT y.x AND y.n = 'u' THEN {'c': s.c + y.e, 'a': s.a || 'K', 'r': s.r || chr(10) || y.t} END,
+          CASE WHEN a IS NOT NULL AND NOT y.x AND y.n = 'u' THEN {'c': a.c + y.e, 'a': a.a || 'K', 'r': a.r || chr(10) || y.t} END,
+          CASE WHEN z IS NOT NULL AND NOT y.x THEN {'c': z.c + 3 + y.e, 'a': z.a || 'R', 'r': z.r || chr(10) || 'user:' || y.p} END,
+          CASE WHEN s IS NOT NULL AND NOT y.x THEN {'c': s.c + 3 + y.e, 'a': s.a || 'R', 'r': s.r || chr(10) || 'user:' || y.p} END,
+          CASE WHEN a IS NOT NULL AND NOT y.x THEN {'c': a.c + 3 + y.e, 'a': a.a || 'R', 'r': a.r || chr(10) || 'user:' || y.p} END]) u,
+        list_min([CASE WHEN a IS NOT NULL THEN {'c': a.c + 4, 'a': a.a || 'D', 'r': a.r} END,
+          CASE WHEN u IS NOT NULL AND NOT y.x AND y.n = 'a' THEN {'c': u.c + y.e, 'a': u.a || 'K', 'r': u.r || chr(10) || y.t} END,
+          CASE WHEN u IS NOT NULL AND NOT y.x THEN {'c': u.c + 3 + y.e, 'a': u.a || 'R', 'r': u.r || chr(10) || 'assistant:' || y.p} END]) a
+      FROM (SELECT walk.*, l[walk.i + 1] y FROM walk JOIN c ON c.conv_id IS NOT DISTINCT FROM walk.conv_id WHERE walk.i < len(l)) w)))
+, best AS (
+  SELECT walk.conv_id, list_min([z, a]) b FROM walk JOIN c ON c.conv_id IS NOT DISTINCT FROM walk.conv_id WHERE walk.i = len(l))
+SELECT k.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') audit, sha256(substr(coalesce(b.r, ''), 2)) repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
 SQL = {
     "op1_warc_zip": OP1,
     "op2_poisson_mix": OP2,
@@ -98,4 +154,5 @@ SQL = {
     "op8_cover_tree": OP8,
     "op9_url_trie": OP9,
     "op10_rule_ledger": OP10,
+    "op12_conversation_repair": OP12,
 }

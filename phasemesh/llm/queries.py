@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, delete_result
-from . import covertree, langid, minmax, mixing, oracles, packing, pii, quality, rules, store, token_files, tokens, urls, warc
+from . import covertree, langid, minmax, mixing, oracles, packing, pii, quality, repair, rules, store, token_files, tokens, urls, warc
 
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -85,6 +85,10 @@ def op11_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.reports(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_poisson_mix": op2_poisson_mix,
@@ -97,6 +101,7 @@ QUERIES = {
     "op9_url_trie": op9_url_trie,
     "op10_rule_ledger": op10_rule_ledger,
     "op11_pii_spans": op11_pii_spans,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES = oracles.SQL
