@@ -1,12 +1,15 @@
 """Tables in the shared folder: they end a lineage, survive lost executors and go when nothing reads them any more.
 
 Everything that one task writes and another reads lies under ``spark.checkpoint.dir``, which is read from the session.
-Where it is unset, a session on one machine (master ``local``) gets a folder of that machine; any other raises, since
-executors that each wrote to a disk of their own would lose rows without an error.
+A path without a scheme belongs to the default file system, as everywhere in Spark.  Where the setting is missing, or
+its path has no scheme and the default file system is the machine's own, a session on one machine (master ``local``) uses
+a folder of that machine; any other raises, since executors that each wrote to a disk of their own would lose rows without
+an error.  A folder named with ``file:`` is taken to be shared, as the setting says so.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,16 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_DIR = "file:///tmp/checkpoints"
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith(("local[", "local-cluster["))
+
+
 def root(spark: SparkSession) -> str:
     """The shared folder of this session as a URI."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if not _one_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = DEFAULT_DIR
-    path = found.rstrip("/")
-    return path if "://" in path else f"file://{path}"
+    if re.match("[A-Za-z][A-Za-z0-9+.-]+:", found):
+        return _uri(found)
+    where = spark._jvm.org.apache.hadoop.fs.Path(found)
+    path = str(where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString())
+    if path.startswith("file:") and not _one_machine(spark):
+        raise ValueError(f"spark.checkpoint.dir is {found} on each machine's own disk; name a shared folder (or say file:{found} if all machines mount it)")
+    return _uri(path)
+
+
+def _uri(path: str) -> str:
+    """With ``//`` after the scheme of a path of this machine, which other readers than Spark's ask for."""
+    return re.sub("^file:/+", "file:///", path.rstrip("/"))
 
 
 def folder(spark: SparkSession, name: str) -> str:

@@ -181,6 +181,56 @@ def test_scratch_is_left_clean(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
+@pytest.mark.parametrize(
+    "said, default, master, want",
+    [
+        ("/shared/x/", "hdfs://store:8020", "yarn", "hdfs://store:8020/shared/x"),
+        ("/shared/x", "file:///", "yarn", None),
+        ("/shared/x", "file:///", "local[4]", "file:///shared/x"),
+        ("file:/shared/x", "hdfs://store:8020", "spark://host:7077", "file:///shared/x"),
+        ("file:///shared/x/", "file:///", "local-cluster[2,1,1024]", "file:///shared/x"),
+        ("hdfs://store/x", "file:///", "yarn", "hdfs://store/x"),
+    ],
+)
+def test_shared_folder(spark, said, default, master, want):
+    """Paths without a scheme belong to the default file system; a machine's own disk is refused on a cluster."""
+
+    class Path:
+        def __init__(self, path):
+            self.path = path
+
+        def getFileSystem(self, conf):
+            return self
+
+        def makeQualified(self, path):
+            made = spark._jvm.org.apache.hadoop.fs.Path(path.path)
+            return made.makeQualified(spark._jvm.java.net.URI(default), spark._jvm.org.apache.hadoop.fs.Path("/"))
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: said)
+
+        class sparkContext:
+            pass
+
+        class _jvm:
+            class org:
+                class apache:
+                    class hadoop:
+                        class fs:
+                            pass
+
+        _jsc = spark._jsc
+
+    Session.sparkContext.master = master
+    Session._jvm.org.apache.hadoop.fs.Path = Path
+    if want is None:
+        with pytest.raises(ValueError):
+            scratch.root(Session)
+    else:
+        assert scratch.root(Session) == want
+
+
 def ring(n=12):
     return [("lh", i, (i + 1) % n, n + i) for i in range(n)] + [("lh", n + i, n + (i + 1) % n, (i + 1) % n) for i in range(n)]
 
