@@ -43,6 +43,7 @@ class Tree:
     """
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray):
+        raw = _shifted(raw)
         unit = _unit(raw)
         order, self.at, self.radius, self.below = [], [], [], []
         # breadth first over lists of points; a node's order of points is fixed once it is split
@@ -174,6 +175,13 @@ def _rows(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+def _shifted(raw: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest modulus to between a half and 1.  No digit of a sum of products
+    changes by that, but none overflows or vanishes, however large or small the vector is.
+    """
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
     scaled = raw / np.abs(raw).max(1, keepdims=True)  # squares of what is left neither vanish nor overflow
     return scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
@@ -289,7 +297,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK
     """One row per row of ``vectors(vec_id, embedding, label)``: ``vec_id, n_links, component_id, kept``.
 
     Two vectors link when their labels are equal and not null, their dimensions are equal and their cosine, in double
-    precision, is at least ``cosine``.  Null, empty and zero vectors and those with null or non-finite components link
+    precision, is at least ``cosine``; their magnitudes, from the smallest to the largest doubles, do not matter.  Null, empty and zero vectors and those with null or non-finite components link
     with nothing, are their own component and kept.  Rows that repeat a vec_id count as vectors of their own; null
     vec_ids take part, but a component is named by its smallest vec_id that is not null (null if there is none; such
     rows are kept).  Other columns are ignored; an empty table gives no rows.

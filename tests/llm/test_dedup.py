@@ -192,6 +192,22 @@ def test_vectors_equal_brute_force(spark):
         covertree.near_duplicates(df, -0.5)
 
 
+@pytest.mark.parametrize("scale", [5e-324, 1e-310, 1e-300, 1e-170, 1e-150, 1.0, 1e150, 1e170, 1e300])
+def test_vectors_of_any_magnitude(spark, scale):
+    """Cosines at the threshold, of doubles so small or large that their products vanish or overflow."""
+    turn = np.array([np.cos(a := np.arccos(0.93) * (1 - 1e-9)), np.sin(a), 0.0])
+    over = np.array([np.cos(a := np.arccos(0.93) * (1 + 1e-9)), 0.0, np.sin(a)])
+    rows = [[1.0, 0.0, 0.0], turn.tolist(), over.tolist(), [-1.0, 0.0, 0.0], (-turn).tolist()]
+    if scale > 1e-300:
+        rows = [[c * scale for c in r] for r in rows]
+    else:  # few digits are left: whole multiples of the smallest number
+        rows = [[scale, 0.0, 0.0], [scale * 3, 0.0, 0.0], [0.0, scale, 0.0], [-scale, 0.0, 0.0], [0.0, 0.0, scale]]
+    rows.append([1.0, 0.0, 0.0])
+    got = [tuple(r) for r in covertree.near_duplicates(spark.createDataFrame([(k, r, 0) for k, r in enumerate(rows)], "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()]
+    want = [(0, 2, 0, True), (1, 2, 0, False), (2, 0, 2, True), (3, 0 if scale <= 1e-300 else 1, 3, True), (4, 0, 4, True) if scale <= 1e-300 else (4, 1, 3, False), (5, 2, 0, False)]
+    assert got == want
+
+
 def test_cover_tree_covers_and_prunes():
     rng = np.random.default_rng(1)
     raw = np.repeat(rng.standard_normal((20, 3)), 25, 0) + rng.standard_normal((500, 3)) * 0.003
