@@ -199,16 +199,37 @@ class _Count:
         yield from drain()
 
 
+def _sample(docs: DataFrame, rows: int) -> DataFrame:
+    """``text, lang``, one row for each of the ``rows`` pairs of a doc_id and its language with the lowest hashes (all, if
+    there are fewer).
+
+    Hashes are looked at in growing shares of all pairs until there are enough, without a look at the texts; ``rows`` of
+    them reach the driver.  Of several texts of a pair the least is taken, so that a doc_id that most rows have counts once.
+    """
+    many = 1_000_003
+    named = docs.where("lang is not null").withColumn("h", F.xxhash64("doc_id", "lang")).withColumn("m", F.pmod("h", F.lit(many)))
+    total = named.count()
+    part, last = 1.0 if total <= rows else 1.25 * rows / total, None
+    while total > rows:
+        lowest = named.where(F.col("m") < int(part * many) + 1).select("m", "h").distinct().orderBy("m", "h").limit(rows).toPandas()
+        if len(lowest) == rows:
+            last = lowest.iloc[-1]
+        if last is not None or part >= 1:
+            break
+        part = min(1.0, 16 * part)
+    if last is not None:
+        named = named.where((F.col("m") < int(last["m"])) | (F.col("m") == int(last["m"])) & (F.col("h") <= int(last["h"])))
+    return named.where("text is not null").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
+
+
 def learn(docs: DataFrame, rows: int = LEARN_ROWS, penalty: float = PENALTY) -> Model:
     """A model from ``docs(doc_id, text, lang)``; rows without text or language are left out.
 
-    About ``rows`` texts are used, those whose doc_id has the lowest hash, whole, and every language that they hold.  What
-    reaches the driver is one number for each language and n-gram bucket heard.
+    ``rows`` whole texts are used at most, one of each doc_id and language (the least, where rows repeat them; rows without
+    a doc_id count as one), those with the lowest hashes, and every language that they hold.  What reaches the driver is one
+    number for each language and n-gram bucket heard.
     """
-    total = docs.where("lang is not null").count()  # without a look at the texts
-    known = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    part = 1.0 if total <= rows else rows / total
-    known = known.where(F.pmod("h", F.lit(1_000_003)) < int(part * 1_000_003) + 1)
+    known = _sample(docs, rows)
     counts = known.select("text", "lang").mapInArrow(_Count(), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
     size = len(ORDERS) * BUCKETS

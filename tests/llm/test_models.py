@@ -25,6 +25,16 @@ def model(spark):
     return langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
+def test_repeated_doc_ids_in_the_sample(spark):
+    """A doc_id of most rows counts as one; the bound holds and is used up, whatever the hashes."""
+    fields = "doc_id long, text string, lang string"
+    one = langid.learn(spark.createDataFrame([(7, f"word{'abcdefgh'[k % 8] * 3}", "en") for k in range(60)], fields), rows=2)
+    assert one.languages == ["en"]
+    rows = [(0 if k < 300 else k, f"text{'abcdefgh'[k % 8]}", f"l{k}") for k in range(400)] + [(None, "none", f"n{k}") for k in range(50)]
+    for n in (1, 5, 60, 449, 450, 1000):
+        assert len(langid.learn(spark.createDataFrame(rows * 2, fields).repartition(3), rows=n).languages) == min(n, 450)
+
+
 def test_scripts():
     cp = np.array([ord(c) for c in "aéЖα中あ한अ5 "])
     names = [langid.SCRIPTS[i][0] if i >= 0 else None for i in langid.script_of(cp)]
