@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cplx
 from . import linalg
+from .quantiles import quantiles
 
 #: Numbers of loadings that are broadcast.
 LOADINGS = 2_000_000
@@ -59,15 +60,17 @@ def cortex(atlas: DataFrame, outside: tuple[str, ...] = MEDIAL_WALL) -> DataFram
 
 def magnitudes(x: DataFrame, *by: str) -> DataFrame:
     """Mean, median and upper quantiles of moduli over all cells of each group."""
-    m = x.select(*by, cplx.mod().alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    return m.groupBy(*by).agg(F.avg("m").alias("mean_mod"), q.alias("q")).select(*by, "mean_mod", F.col("q")[0].alias("median_mod"), F.col("q")[1].alias("q75_mod"), F.col("q")[2].alias("q90_mod"))
+    found = quantiles(x.select(*by, cplx.mod().alias("m")), by, "m", [0.5, 0.75, 0.9])
+    return found.select(*by, F.col("mean").alias("mean_mod"), *[F.col("q")[i].alias(n) for i, n in enumerate(("median_mod", "q75_mod", "q90_mod"))])
 
 
 def magnitude_medians(x: DataFrame, *by: str) -> DataFrame:
     """Medians over variables of each variable's mean, median and upper quantiles."""
+    names = ("mean_mod", "median_mod", "q75_mod", "q90_mod")
     inner = magnitudes(x, *by, "v")
-    return inner.groupBy(*by).agg(*[F.percentile(c, F.lit(0.5)).alias(f"med_{c}") for c in ("mean_mod", "median_mod", "q75_mod", "q90_mod")])
+    long = inner.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(n).alias("m")) for n in names])).alias("_s"))
+    medians = quantiles(long.select(*by, F.col("_s.n").alias("_name"), F.col("_s.m").alias("m")), [*by, "_name"], "m", [0.5])
+    return medians.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("q")[0])).alias(f"med_{n}") for n in names])
 
 
 def gram(x: DataFrame) -> DataFrame:

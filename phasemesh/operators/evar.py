@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def best_run(r2: DataFrame) -> DataFrame:
     """``pc, run, r2``: the run that explains most for each component (ties: smallest run)."""
@@ -42,9 +44,9 @@ def share_over(df: DataFrame, value: str, limits: list[float], *by: str) -> Data
 
 
 def box(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Minimum, quartiles and maximum."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(*by).agg(q.alias("q")).select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    """Minimum, quartiles and maximum; a group without values has no row."""
+    found = quantiles(df, by, value, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return found.select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
 def retest(df: DataFrame, first: str, second: str, group: str) -> DataFrame:

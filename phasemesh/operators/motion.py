@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from .quantiles import few, quantiles
 
 #: Radius in millimetres on which rotations are measured (fixed value of Power's definition).
 RADIUS = 50.0
@@ -128,11 +129,15 @@ def pick_series(df: DataFrame, column: str, variants: Mapping[str, Sequence[str]
     return df.withColumn("series_name", name)
 
 
-def outliers(table: DataFrame, first: str, second: str, level: float = 0.95) -> DataFrame:
-    """Rows with both visits, their mean ``agg``, and ``is_out``: over the interpolated ``level`` quantile of all means."""
+def outliers(table: DataFrame, first: str, second: str, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """Rows with both visits, their mean ``agg``, and ``is_out``: over the interpolated ``level`` quantile of all means, or of
+    those of the row's group of ``by``.
+    """
     both = table.dropna(subset=[first, second]).withColumn("agg", (F.col(first) + F.col(second)) / 2)
-    limit = both.agg(F.percentile("agg", F.lit(float(level))).alias("_limit"))
-    return both.crossJoin(F.broadcast(limit)).withColumn("is_out", F.col("agg") > F.col("_limit")).drop("_limit")  # one row
+    limit = quantiles(both, by, "agg", [float(level)]).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("q")[0].alias("_limit"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    met = both.join(few(limit), same) if by else both.crossJoin(F.broadcast(limit))  # one row
+    return met.withColumn("is_out", F.col("agg") > F.col("_limit")).drop("_limit", *[f"_by{i}" for i in range(len(by))])
 
 
 def without(df: DataFrame, part: str) -> DataFrame:
