@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cplx
@@ -127,28 +127,28 @@ def explained(scores: DataFrame, x: DataFrame, *by: str) -> DataFrame:
     return met.select(*by, "pc", (F.col("score_var") / F.col("total_var")).alias("r2"))
 
 
+def _covariance(a: tuple[str, str], b: tuple[str, str]) -> tuple[Column, Column]:
+    """Aggregates: real and imaginary part of the mean of conj(a) b, both centred; kept centred while it is merged, so that
+    its digits do not depend on how far the means are from 0.
+    """
+    (ar, ai), (br, bi) = a, b
+    return F.covar_pop(ar, br) + F.covar_pop(ai, bi), F.covar_pop(ar, bi) - F.covar_pop(ai, br)
+
+
 def posthoc_slope(y: DataFrame, z: DataFrame) -> DataFrame:
     """``v, pc, re, im``: complex least-squares slope of each variable on each score, both centred, joined on time."""
     a = z.select("session_id", "t", "pc", F.col("re").alias("zr"), F.col("im").alias("zi"))
     met = y.join(a, ["session_id", "t"])
-    n = F.count("*")
-    s = {k: F.sum(F.expr(e)) for k, e in {"zr": "zr", "zi": "zi", "yr": "re", "yi": "im", "zz": "zr * zr + zi * zi", "pr": "zr * re + zi * im", "pi": "zr * im - zi * re"}.items()}
-    den = s["zz"] - (s["zr"] * s["zr"] + s["zi"] * s["zi"]) / n
-    return met.groupBy("v", "pc").agg(
-        ((s["pr"] - (s["zr"] * s["yr"] + s["zi"] * s["yi"]) / n) / den).alias("re"),
-        ((s["pi"] - (s["zr"] * s["yi"] - s["zi"] * s["yr"]) / n) / den).alias("im"),
-    )
+    spread = F.var_pop("zr") + F.var_pop("zi")
+    re, im = _covariance(("zr", "zi"), ("re", "im"))
+    return met.groupBy("v", "pc").agg((re / spread).alias("re"), (im / spread).alias("im"))
 
 
 def complex_correlation(pairs: DataFrame, *by: str) -> DataFrame:
     """Modulus of the complex correlation of ``(ar, ai)`` with ``(br, bi)``: the same whatever the phase of either."""
-    n = F.count("*")
-    s = {k: F.sum(F.expr(e)) for k, e in {"ar": "ar", "ai": "ai", "br": "br", "bi": "bi", "aa": "ar * ar + ai * ai", "bb": "br * br + bi * bi", "pr": "ar * br + ai * bi", "pi": "ai * br - ar * bi"}.items()}
-    va = s["aa"] - (s["ar"] * s["ar"] + s["ai"] * s["ai"]) / n
-    vb = s["bb"] - (s["br"] * s["br"] + s["bi"] * s["bi"]) / n
-    pr = s["pr"] - (s["ar"] * s["br"] + s["ai"] * s["bi"]) / n
-    pi = s["pi"] - (s["ai"] * s["br"] - s["ar"] * s["bi"]) / n
-    return pairs.groupBy(*by).agg((F.sqrt(pr * pr + pi * pi) / F.sqrt(va * vb)).alias("mcc"))
+    re, im = _covariance(("ar", "ai"), ("br", "bi"))
+    spread = F.sqrt((F.var_pop("ar") + F.var_pop("ai")) * (F.var_pop("br") + F.var_pop("bi")))
+    return pairs.groupBy(*by).agg((F.sqrt(re * re + im * im) / spread).alias("mcc"))
 
 
 def adjust_phase(x: DataFrame, phase: str, *by: str, steps: int = 360) -> DataFrame:

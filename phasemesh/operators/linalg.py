@@ -1,8 +1,9 @@
 """Complex principal components of distributed matrices.
 
 A matrix is a DataFrame of rows ``(session_id, t, re[], im[])``.  Everything that touches all rows is one Arrow pass
-that returns sums of ``variables x components`` numbers; the small algebra is done on the driver, whose memory holds
-loadings only.  No variables x variables matrix is made except by ``exact`` for few variables.
+that returns sums of ``variables x components`` numbers, packed and added in a tree (:mod:`.packed`); the small algebra is
+done on the driver, whose memory holds loadings only.  No variables x variables matrix is made except by ``exact`` for few
+variables.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+from . import packed
+
 #: ``exact`` makes a matrix of variables x variables on the driver; more variables need another solver.
 EXACT_VARIABLES = 4000
 
@@ -34,41 +39,36 @@ def _rows(batch) -> np.ndarray:
 
 
 class _Moments:
-    """Sums and sums of squared moduli of a task's rows and of their scores, with the number of rows."""
+    """Means and centred sums of squared moduli of a task's rows and of their scores, batch after batch."""
 
     def __init__(self, weights):
         self.weights = weights
 
     def __call__(self, batches):
-        import pyarrow as pa
-
         w = self.weights.value
-        total, squares, n = None, None, 0
+        held, n = None, 0
         for batch in batches:
             if batch.num_rows:
                 x = _rows(batch)
                 x = np.concatenate([x, x @ w], 1)
-                total = x.sum(0) if total is None else total + x.sum(0)
-                two = (x.real**2 + x.imag**2).sum(0)
-                squares = two if squares is None else squares + two
+                mean = x.mean(0)
+                away = x - mean
+                new = np.stack([mean.real, mean.imag, (away.real**2 + away.imag**2).sum(0)], 1)
+                held = new if held is None else packed.merge_moments(n, held, len(x), new).reshape(-1, 3)
                 n += len(x)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(total))), pa.array(total.real.copy()), pa.array(total.imag.copy()), pa.array(squares), pa.array(np.full(len(total), n))],
-                names=["v", "re", "im", "sq", "n"],
-            )
+        if held is not None:
+            yield from packed.give(held, n)
 
 
 def moments(x: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Means and variances of all variables and then of the scores on ``w``, and the number of rows, in one Arrow pass;
-    what is shuffled is one row for each variable and task.
+    """Means and variances of all variables and then of the scores on ``w``, and the number of rows, in one Arrow pass.
+
+    Centred sums are merged, so variances keep their digits however far the means are from 0.
     """
     sent = x.sparkSession.sparkContext.broadcast(np.asarray(w, np.complex128))
-    made = x.select("re", "im").mapInArrow(_Moments(sent), "v long, re double, im double, sq double, n long")
-    sums = made.groupBy("v").agg(*[F.sum(c).alias(c) for c in ("re", "im", "sq", "n")]).toPandas().sort_values("v")
-    n = int(sums["n"].iloc[0]) if len(sums) else 0
-    total = sums["re"].to_numpy() + 1j * sums["im"].to_numpy()
-    return total / max(n, 1), (sums["sq"].to_numpy() - np.abs(total) ** 2 / max(n, 1)) / max(n - 1, 1), n
+    flat, n = packed.fetch(x.select("re", "im").mapInArrow(_Moments(sent), packed.FIELDS), packed.merge_moments)
+    found = flat.reshape(-1, 3)
+    return found[:, 0] + 1j * found[:, 1], found[:, 2] / max(n - 1, 1), n
 
 
 class _Pass:
@@ -78,8 +78,6 @@ class _Pass:
         self.weights, self.mean = weights, mean
 
     def __call__(self, batches):
-        import pyarrow as pa
-
         w = self.weights.value
         total, n = None, 0
         for batch in batches:
@@ -91,22 +89,14 @@ class _Pass:
                 total = part if total is None else total + part
                 n += len(x)
         if total is not None:
-            p, k = total.shape
-            flat = total.reshape(-1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(p), k)), pa.array(np.tile(np.arange(k), p)), pa.array(flat.real.copy()), pa.array(flat.imag.copy()), pa.array(np.full(p * k, n))],
-                names=["v", "pc", "re", "im", "n"],
-            )
+            yield from packed.give(total, n)
 
 
 def gram_times(x: DataFrame, w: np.ndarray, mean: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-    """``(X^H X) W`` and the number of rows, without ``X^H X``: one pass, sums of variables x components."""
+    """``(X^H X) W`` and the number of rows, without ``X^H X``: one pass, packed sums of variables x components."""
     sent = x.sparkSession.sparkContext.broadcast(np.asarray(w, np.complex128))
-    made = x.select("re", "im").mapInArrow(_Pass(sent, mean), "v long, pc long, re double, im double, n long")
-    sums = made.groupBy("v", "pc").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("n").alias("n")).toPandas()
-    out = np.zeros(w.shape, np.complex128)
-    out[sums["v"].to_numpy(), sums["pc"].to_numpy()] = sums["re"].to_numpy() + 1j * sums["im"].to_numpy()
-    return out, int(sums["n"].iloc[0]) if len(sums) else 0
+    flat, n = packed.fetch(x.select("re", "im").mapInArrow(_Pass(sent, mean), packed.FIELDS))
+    return (flat.view(np.complex128).reshape(w.shape) if n else np.zeros(w.shape, np.complex128)), n
 
 
 class _Score:
@@ -114,8 +104,6 @@ class _Score:
         self.weights, self.conj = weights, conj
 
     def __call__(self, batches):
-        import pyarrow as pa
-
         w = self.weights.value
         for batch in batches:
             if batch.num_rows:
@@ -398,64 +386,68 @@ class _Project:
         self.u = u
 
     def __call__(self, batches):
-        import pyarrow as pa
-
-        total = None
+        total, n = None, 0
         for batch in batches:
             if batch.num_rows:
                 part = _rows(batch).conj().T @ self.u.value[batch.column(batch.schema.get_field_index("i")).to_numpy()]
                 total = part if total is None else total + part
+                n += batch.num_rows
         if total is not None:
-            p, k = total.shape
-            columns = [np.repeat(np.arange(p), k), np.tile(np.arange(k), p), total.real.reshape(-1).copy(), total.imag.reshape(-1).copy()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["v", "pc", "re", "im"])
-
-
-def _partial_gram(n: int):
-    """The product of all rows with each other over one range of variables."""
+            yield from packed.give(total, n)
 
-    def run(table):
-        import pyarrow as pa
 
-        x = np.zeros((n, len(table.column("re")[0])), np.complex128)
-        for batch in table.to_batches():
-            if batch.num_rows:
-                x[batch.column(batch.schema.get_field_index("i")).to_numpy()] = _rows(batch)
-        return pa.table({"group": table.column("group").slice(0, 1), "sum": pa.array([(x @ x.conj().T).tobytes()], pa.binary())})
-
-    return run
-
-
-def _add_grams(table):
-    import pyarrow as pa
-
-    total = sum(np.frombuffer(v.as_py(), np.complex128) for v in table.column("sum"))
-    return pa.table({"group": table.column("group").slice(0, 1), "sum": pa.array([total.tobytes()], pa.binary())})
+class _PartialGram:
+    """Sums, over the ranges of variables of a task, of the products of all rows with each other.  A range's rows come one
+    after the other; one range and one product are held.
+    """
 
+    def __init__(self, n: int):
+        self.n = n
 
-def dual(x: DataFrame, k: int, width: int = 4096) -> np.ndarray:
+    def __call__(self, batches):
+        total, x, now = np.zeros((self.n, self.n), np.complex128), None, None
+        for batch in batches:
+            groups = batch.column(0).to_numpy()
+            for g in np.unique(groups):
+                if g != now:
+                    if x is not None:
+                        total += x @ x.conj().T
+                    now, x = g, None
+                rows = batch.filter(pa.array(groups == g))
+                part = _rows(rows)
+                if x is None:
+                    x = np.zeros((self.n, part.shape[1]), np.complex128)
+                x[rows.column(1).to_numpy()] = part
+        if x is not None:
+            yield from packed.give(total + x @ x.conj().T, self.n)
+
+
+def dual(x: DataFrame, k: int, width: int = 1024) -> np.ndarray:
     """Principal directions of few rows of very many variables, through the product of rows with rows.
 
-    The variables are cut into ranges of ``width``, each range gives a partial product, and these are added in groups; what
-    reaches the driver is rows x rows and variables x components numbers.  ``exact``'s limit holds for the rows.
+    The variables are cut into ranges of ``width``, dealt out over tasks; a task adds the products of its ranges, and these
+    are added in a tree.  Rows are numbered by a broadcast list of their ids.  What reaches the driver is rows x rows and
+    variables x components numbers; ``exact``'s limit holds for the rows.
     """
-    known = x.select("re", "im", F.row_number().over(Window.orderBy(F.xxhash64("session_id", "t"), "session_id", "t")).alias("i"))
-    n = x.count()
-    if n > EXACT_VARIABLES:
-        raise ValueError(f"dual() is for up to {EXACT_VARIABLES} rows, not {n}; use randomised()")
-    if not n:
-        raise ValueError("the matrix has no rows")
-    known = known.withColumn("i", F.col("i") - 1).persist()
-    cut = known.withColumn("group", F.explode(F.expr(f"sequence(0, (size(re) - 1) div {width})")))
-    cut = cut.select("group", "i", *[F.slice(c, F.col("group") * width + 1, F.lit(width)).alias(c) for c in ("re", "im")])
-    parts = cut.groupBy("group").applyInArrow(_partial_gram(n), "group long, sum binary")
-    few = parts.withColumn("group", F.col("group") % 8).groupBy("group").applyInArrow(_add_grams, "group long, sum binary").collect()
-    values, vectors = np.linalg.eigh(sum(np.frombuffer(bytes(r["sum"]), np.complex128) for r in few).reshape(n, n))
-    u = x.sparkSession.sparkContext.broadcast(vectors[:, np.argsort(-values)[:k]])
-    sums = known.select("i", "re", "im").mapInArrow(_Project(u), "v long, pc long, re double, im double").groupBy("v", "pc").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
-    known.unpersist()
-    w = np.zeros((int(sums["v"].max()) + 1, min(k, n)), np.complex128)
-    w[sums["v"].to_numpy(), sums["pc"].to_numpy()] = sums["re"].to_numpy() + 1j * sums["im"].to_numpy()
+    spark = x.sparkSession
+    with Scratch(spark, "dual") as tmp:
+        known = tmp.save(x.select("re", "im").withColumn("id", F.monotonically_increasing_id()), "rows")
+        ids = [r[0] for r in known.select("id").limit(EXACT_VARIABLES + 1).collect()]
+        n = len(ids)
+        if n > EXACT_VARIABLES:
+            raise ValueError(f"dual() is for up to {EXACT_VARIABLES} rows, not more; use randomised()")
+        if not n:
+            raise ValueError("the matrix has no rows")
+        places = spark.createDataFrame(list(zip(sorted(ids), range(n))), "id long, i long")
+        known = known.join(F.broadcast(places), "id")
+        cut = known.withColumn("group", F.explode(F.expr(f"sequence(0, (size(re) - 1) div {width})")))
+        cut = cut.select("group", "i", *[F.slice(c, F.col("group") * width + 1, F.lit(width)).alias(c) for c in ("re", "im")])
+        dealt = cut.repartition(spark.sparkContext.defaultParallelism, "group").sortWithinPartitions("group")
+        flat, _ = packed.fetch(dealt.mapInArrow(_PartialGram(n), packed.FIELDS))
+        values, vectors = np.linalg.eigh(flat.view(np.complex128).reshape(n, n))
+        u = spark.sparkContext.broadcast(vectors[:, np.argsort(-values)[:k]])
+        flat, _ = packed.fetch(known.select("i", "re", "im").mapInArrow(_Project(u), packed.FIELDS))
+    w = flat.view(np.complex128).reshape(-1, min(k, n))
     return fix_phase(w / np.linalg.norm(w, axis=0))
 
 

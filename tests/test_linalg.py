@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from phasemesh.operators import complex_stats as cs
-from phasemesh.operators import linalg, simulate
+from phasemesh.operators import linalg, packed, simulate
 from phasemesh.sources import synthetic
 
 
@@ -129,6 +129,47 @@ def test_moments(planted):
     assert n == len(m) and np.allclose(mean, m.mean(0)) and np.allclose(var, m.real.var(0, ddof=1) + m.imag.var(0, ddof=1))
 
 
+def complex_rows(spark, m, tasks=5):
+    return spark.createDataFrame([("s", i, r.real.tolist(), r.imag.tolist()) for i, r in enumerate(m)], "session_id string, t int, re array<double>, im array<double>").repartition(tasks)
+
+
+def test_moments_far_from_zero(spark):
+    """Variances of values about 1e8, and slopes and correlations of such values."""
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((900, 4)) + 1j * rng.standard_normal((900, 4)) + 1e8
+    x = complex_rows(spark, m, 7)
+    mean, var, n = linalg.moments(x, np.zeros((4, 0)))
+    away = m - m.mean(0)
+    assert n == 900 and np.allclose(mean, m.mean(0), rtol=1e-14) and np.allclose(var, (np.abs(away) ** 2).sum(0) / 899, rtol=1e-9)
+    cells = cs.explode_obs(x)
+    z = cells.where("v = 0").selectExpr("session_id", "t", "0 AS pc", "re", "im")
+    slopes = {r.v: complex(r.re, r.im) for r in cs.posthoc_slope(cells, z).collect()}
+    want = (away[:, :1].conj() * away).sum(0) / (np.abs(away[:, 0]) ** 2).sum()
+    assert all(slopes[v] == pytest.approx(want[v], rel=1e-9, abs=1e-9) for v in range(4))
+    pairs = spark.createDataFrame([(*map(float, (a.real, a.imag, b.real, b.imag)),) for a, b in m[:, :2]], "ar double, ai double, br double, bi double")
+    assert cs.complex_correlation(pairs).first().mcc == pytest.approx(linalg.mcc(m[:, :1], m[:, 1:2])[0], rel=1e-7)
+
+
+def test_packed_blocks(spark, monkeypatch):
+    """Sums in blocks of a few rows and groups of a few tasks; what is shuffled is one row a block and task."""
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((300, 23)) + 1j * rng.standard_normal((300, 23))
+    w = rng.standard_normal((23, 3)) + 1j * rng.standard_normal((23, 3))
+    x = complex_rows(spark, m, 9)
+    for fan in (16, 2):
+        monkeypatch.setattr(packed, "FAN", fan)
+        g, n = linalg.gram_times(x, w)
+        assert n == 300 and np.allclose(g, m.conj().T @ (m @ w))
+    assert packed.rows_of(6) * 48 <= packed.BLOCK_BYTES < (packed.rows_of(6) + 1) * 48
+    made = x.mapInArrow(lambda batches: packed.give(np.ones((packed.rows_of(1) * 2 + 5, 1)), sum(b.num_rows for b in batches)), packed.FIELDS)
+    assert made.count() == 9 * 3
+    total, n = packed.fetch(made)
+    assert n == 300 and len(total) == packed.rows_of(1) * 2 + 5 and (total == 9).all()
+    assert packed.fetch(made.limit(0))[1] == 0
+    none = linalg.gram_times(x.limit(0), w)
+    assert none[1] == 0 and not none[0].any()
+
+
 def test_restarts_and_scaling(planted):
     x, _ = planted
     runs = linalg.restarts(x, lambda r: linalg.pim(x, linalg.start(12, 2, r), 2, 0.0, seed=r), 2)
