@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import packed
+from . import packed, qr
 
 #: ``exact`` makes a matrix of variables x variables on the driver; more variables need another solver.
 EXACT_VARIABLES = 4000
 
 
-def _rows(batch) -> np.ndarray:
+def rows(batch) -> np.ndarray:
     """Complex matrix of a batch with columns re[], im[]; rows of unequal lengths, or with nulls, raise."""
     parts = []
     for name in ("re", "im"):
@@ -49,7 +49,7 @@ class _Moments:
         held, n = None, 0
         for batch in batches:
             if batch.num_rows:
-                x = _rows(batch)
+                x = rows(batch)
                 x = np.concatenate([x, x @ w], 1)
                 mean = x.mean(0)
                 away = x - mean
@@ -82,7 +82,7 @@ class _Pass:
         total, n = None, 0
         for batch in batches:
             if batch.num_rows:
-                x = _rows(batch)
+                x = rows(batch)
                 if self.mean is not None:
                     x = x - self.mean
                 part = x.conj().T @ (x @ w)
@@ -107,7 +107,7 @@ class _Score:
         w = self.weights.value
         for batch in batches:
             if batch.num_rows:
-                x = _rows(batch)[:, : len(w)]
+                x = rows(batch)[:, : len(w)]
                 z = (x.conj() if self.conj else x) @ w[: x.shape[1]]
                 k = z.shape[1]
                 yield pa.RecordBatch.from_arrays(
@@ -183,11 +183,17 @@ def randomised(x: DataFrame, k: int, over: int = 10, passes: int = 2, seed: int
 
 
 def sample_start(x: DataFrame, k: int, size: int, seed: int = 0) -> np.ndarray:
-    """Start from the singular vectors of exactly ``size`` rows, taken by hash order (``size`` bounds what is collected)."""
+    """Start from the singular vectors of exactly ``size`` rows, taken by hash order.
+
+    The rows' keys reach the driver, the rows do not: they are factored by a tree over ranges of their variables.
+    """
     order = F.xxhash64(F.col("session_id"), F.col("t"), F.lit(seed))
-    rows = x.select("re", "im", order.alias("h"), "session_id", "t").orderBy("h", "session_id", "t").limit(size).collect()
-    m = np.array([np.array(r["re"]) + 1j * np.array(r["im"]) for r in rows])
-    return np.linalg.svd(m, full_matrices=False)[2].conj().T[:, :k]
+    keys = x.select("session_id", "t", order.alias("h")).orderBy("h", "session_id", "t").limit(size).collect()
+    if not keys:
+        raise ValueError("the matrix has no rows")
+    kinds = dict(x.dtypes)
+    places = x.sparkSession.createDataFrame([(r["session_id"], r["t"], i) for i, r in enumerate(keys)], f"session_id {kinds['session_id']}, t {kinds['t']}, i long")
+    return qr.singular_of_few(x, places, ["session_id", "t"], len(keys), k)[1]
 
 
 # --- schedules --------------------------------------------------------------------------------------------------------
@@ -256,17 +262,33 @@ def _stacked(new: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return new @ inv, old @ inv
 
 
-def _batch(blocked: DataFrame, blocks: int, take: int, rng) -> DataFrame:
-    chosen = sorted(rng.choice(blocks, size=min(take, blocks), replace=False).tolist())
-    return blocked.where(F.col("block").isin(chosen))
+class Blocks:
+    """Blocks of rows of which mini-batches are made: rows of a DataFrame, dealt by hash and cached, or the stored blocks of
+    a tiled matrix (:mod:`..sources.tiles`), of which a batch opens its own files only.
+    """
+
+    def __init__(self, x, blocks: int, seed: int):
+        self.tiled = None if isinstance(x, DataFrame) else x
+        self.all = x if self.tiled is None else x.matrix()
+        self.count = blocks if self.tiled is None else x.row_blocks
+        self.dealt = with_blocks(x, blocks, seed).persist() if self.tiled is None else None
+
+    def batch(self, take: int, rng) -> DataFrame:
+        chosen = sorted(rng.choice(self.count, size=min(take, self.count), replace=False).tolist())
+        return self.tiled.blocks(chosen) if self.dealt is None else self.dealt.where(F.col("block").isin(chosen))
+
+    def close(self) -> None:
+        if self.dealt is not None:
+            self.dealt.unpersist()
 
 
 def pim(x: DataFrame, w: np.ndarray, iterations: int, beta: float | Sequence[float] = 0.0, blocks: int = 10, take: int = 5, seed: int = 0, reference: np.ndarray | None = None) -> Fit:
-    """Mini-batch power iteration with momentum."""
-    blocked = with_blocks(x, blocks, seed).persist()
+    """Mini-batch power iteration with momentum.  ``x``, here and below: rows, or a tiled matrix with blocks of its own."""
+    blocked = Blocks(x, blocks, seed)
+    x = blocked.all
     rng, old, fit, betas = np.random.default_rng(seed), np.zeros_like(w), Fit(w), schedule(beta, 1, iterations)[0]
     for i in range(iterations):
-        g, n = gram_times(_batch(blocked, blocks, take, rng), w)
+        g, n = gram_times(blocked.batch(take, rng), w)
         if not n:
             continue
         scaled = _stacked(g / n - betas[i] * old, w)
@@ -275,7 +297,7 @@ def pim(x: DataFrame, w: np.ndarray, iterations: int, beta: float | Sequence[flo
             break
         w, old = scaled
         fit.trace.append({"iteration": i, "mcc": None if reference is None else mcc(reference, w).tolist()})
-    blocked.unpersist()
+    blocked.close()
     fit.w = fix_phase(_rotate(x, np.linalg.qr(w)[0]))
     return fit
 
@@ -297,7 +319,8 @@ def pimvr(
     estimate what differs from the anchor.  Averages are over rows; ``compat_alpha`` takes the conjugate transpose of the
     projection on the anchor; ``center_batches`` subtracts each mini-batch's mean.
     """
-    blocked = with_blocks(x, blocks, seed).persist()
+    blocked = Blocks(x, blocks, seed)
+    x = blocked.all
     rng, old, fit, betas = np.random.default_rng(seed), np.zeros_like(w), Fit(w), schedule(beta, epochs, iterations)
     for e in range(epochs):
         anchor = np.linalg.qr(w)[0]
@@ -305,7 +328,7 @@ def pimvr(
         full /= n
         for i in range(iterations):
             alpha = w.conj().T @ anchor if compat_alpha else anchor.conj().T @ w
-            part = _batch(blocked, blocks, take, rng)
+            part = blocked.batch(take, rng)
             mean = None
             if center_batches:
                 mean = moments(part, np.zeros((len(w), 0)))[0]
@@ -321,7 +344,7 @@ def pimvr(
             fit.trace.append({"epoch": e, "iteration": i, "mcc": None if reference is None else mcc(reference, w).tolist()})
         if fit.status != "done":
             break
-    blocked.unpersist()
+    blocked.close()
     fit.w = fix_phase(_rotate(x, np.linalg.qr(w)[0]))
     return fit
 
@@ -338,13 +361,14 @@ def heavy_ball(x: DataFrame, w: np.ndarray, iterations: int, every: int = 10, fa
     gives the next centre.  All runs share each pass, as columns of one matrix; the best one is returned, and ``trace``
     tells the centres.
     """
-    blocked = with_blocks(x, blocks, seed).persist()
+    blocked = Blocks(x, blocks, seed)
+    x = blocked.all
     rng, k = np.random.default_rng(seed), w.shape[1]
     centre = float(rayleigh(x, w).sum() ** 2 / 4)
     runs = [(w, np.zeros_like(w)) for _ in factors]
     fit = Fit(w, [{"iteration": 0, "beta": centre}])
     for i in range(1, iterations + 1):
-        g, n = gram_times(_batch(blocked, blocks, take, rng), np.hstack([now for now, _ in runs]))
+        g, n = gram_times(blocked.batch(take, rng), np.hstack([now for now, _ in runs]))
         if n:
             scaled = [_stacked(g[:, j * k : (j + 1) * k] / n - f * centre * old, now) for j, (f, (now, old)) in enumerate(zip(factors, runs))]
             runs = [made or run for made, run in zip(scaled, runs)]  # a run whose basis became singular stays where it was
@@ -352,21 +376,22 @@ def heavy_ball(x: DataFrame, w: np.ndarray, iterations: int, every: int = 10, fa
             best = int(np.argmax(rayleigh(x, np.hstack([np.linalg.qr(now)[0] for now, _ in runs])).reshape(len(runs), k).sum(1)))
             fit.w, centre = runs[best][0], factors[best] * centre
             fit.trace.append({"iteration": i, "beta": centre})
-    blocked.unpersist()
+    blocked.close()
     fit.w = fix_phase(_rotate(x, np.linalg.qr(fit.w)[0]))
     return fit
 
 
 def oja(x: DataFrame, w: np.ndarray, iterations: int, rate: float | Sequence[float], blocks: int = 10, take: int = 1, seed: int = 0) -> Fit:
     """Oja's rule on blocks: ``W <- Q factor of W + rate * mean of x^H (x W)``."""
-    blocked = with_blocks(x, blocks, seed).persist()
+    blocked = Blocks(x, blocks, seed)
+    x = blocked.all
     rng, fit, rates = np.random.default_rng(seed), Fit(w), schedule(rate, 1, iterations)[0]
     for i in range(iterations):
-        g, n = gram_times(_batch(blocked, blocks, take, rng), w)
+        g, n = gram_times(blocked.batch(take, rng), w)
         if n:
             w = np.linalg.qr(w + rates[i] * g / n)[0]
         fit.trace.append({"iteration": i})
-    blocked.unpersist()
+    blocked.close()
     fit.w = fix_phase(_rotate(x, w))
     return fit
 
@@ -389,13 +414,32 @@ class _Project:
         total, n = None, 0
         for batch in batches:
             if batch.num_rows:
-                part = _rows(batch).conj().T @ self.u.value[batch.column(batch.schema.get_field_index("i")).to_numpy()]
+                part = rows(batch).conj().T @ self.u.value[batch.column(batch.schema.get_field_index("i")).to_numpy()]
                 total = part if total is None else total + part
                 n += batch.num_rows
         if total is not None:
             yield from packed.give(total, n)
 
 
+def ranges(batches, n: int):
+    """Whole ranges of variables of n rows, of batches ``group, i, re[], im[]`` in the order of ``group``."""
+    x, now = None, None
+    for batch in batches:
+        groups = batch.column(0).to_numpy()
+        for g in np.unique(groups):
+            if g != now and x is not None:
+                yield x
+                x = None
+            now = g
+            part = batch.filter(pa.array(groups == g))
+            values = rows(part)
+            if x is None:
+                x = np.zeros((n, values.shape[1]), np.complex128)
+            x[part.column(1).to_numpy()] = values
+    if x is not None:
+        yield x
+
+
 class _PartialGram:
     """Sums, over the ranges of variables of a task, of the products of all rows with each other.  A range's rows come one
     after the other; one range and one product are held.
@@ -405,21 +449,26 @@ class _PartialGram:
         self.n = n
 
     def __call__(self, batches):
-        total, x, now = np.zeros((self.n, self.n), np.complex128), None, None
-        for batch in batches:
-            groups = batch.column(0).to_numpy()
-            for g in np.unique(groups):
-                if g != now:
-                    if x is not None:
-                        total += x @ x.conj().T
-                    now, x = g, None
-                rows = batch.filter(pa.array(groups == g))
-                part = _rows(rows)
-                if x is None:
-                    x = np.zeros((self.n, part.shape[1]), np.complex128)
-                x[rows.column(1).to_numpy()] = part
-        if x is not None:
-            yield from packed.give(total + x @ x.conj().T, self.n)
+        total = None
+        for x in ranges(batches, self.n):
+            part = x @ x.conj().T
+            total = part if total is None else total + part
+        if total is not None:
+            yield from packed.give(total, self.n)
+
+
+def cut_ranges(known: DataFrame, width: int) -> DataFrame:
+    """``known(i, re[], im[])`` cut into ranges of ``width`` variables, the rows of a range together in one task."""
+    cut = known.withColumn("group", F.explode(F.expr(f"sequence(0, (size(re) - 1) div {width})")))
+    cut = cut.select("group", "i", *[F.slice(c, F.col("group") * width + 1, F.lit(width)).alias(c) for c in ("re", "im")])
+    return cut.repartition(known.sparkSession.sparkContext.defaultParallelism, "group").sortWithinPartitions("group")
+
+
+def project(known: DataFrame, u: np.ndarray) -> np.ndarray:
+    """``X^H u`` of the rows ``known(i, re[], im[])``."""
+    sent = known.sparkSession.sparkContext.broadcast(u)
+    flat, _ = packed.fetch(known.select("i", "re", "im").mapInArrow(_Project(sent), packed.FIELDS))
+    return flat.view(np.complex128).reshape(-1, u.shape[1]).copy()
 
 
 def dual(x: DataFrame, k: int, width: int = 1024) -> np.ndarray:
@@ -440,14 +489,9 @@ def dual(x: DataFrame, k: int, width: int = 1024) -> np.ndarray:
             raise ValueError("the matrix has no rows")
         places = spark.createDataFrame(list(zip(sorted(ids), range(n))), "id long, i long")
         known = known.join(F.broadcast(places), "id")
-        cut = known.withColumn("group", F.explode(F.expr(f"sequence(0, (size(re) - 1) div {width})")))
-        cut = cut.select("group", "i", *[F.slice(c, F.col("group") * width + 1, F.lit(width)).alias(c) for c in ("re", "im")])
-        dealt = cut.repartition(spark.sparkContext.defaultParallelism, "group").sortWithinPartitions("group")
-        flat, _ = packed.fetch(dealt.mapInArrow(_PartialGram(n), packed.FIELDS))
+        flat, _ = packed.fetch(cut_ranges(known, width).mapInArrow(_PartialGram(n), packed.FIELDS))
         values, vectors = np.linalg.eigh(flat.view(np.complex128).reshape(n, n))
-        u = spark.sparkContext.broadcast(vectors[:, np.argsort(-values)[:k]])
-        flat, _ = packed.fetch(known.select("i", "re", "im").mapInArrow(_Project(u), packed.FIELDS))
-    w = flat.view(np.complex128).reshape(-1, min(k, n))
+        w = project(known, vectors[:, np.argsort(-values)[:k]])
     return fix_phase(w / np.linalg.norm(w, axis=0))
 
 

@@ -4,16 +4,54 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
+
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "row", parts: int | None = None, sums: Mapping[str, str] | None = None) -> DataFrame:
+    """``df`` with ``name``: each row's number, from 0, in a total order; and for every ``sums[new] = column`` a column with
+    the sum of this column over all rows before.
+
+    Rows are dealt to ranges of the order and sorted within each; what is counted and summed in the ranges before is then
+    added.  So no task sees all rows, and the driver one short row for each range.  Rows that the order does not tell apart
+    are in the order of a hash of their plain columns.  Nulls come first; a null adds nothing to a sum.
+    """
+    spark, sums = df.sparkSession, dict(sums or {})
+    parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    if plain := [c for c, kind in df.dtypes if not kind.startswith(("array", "map", "struct"))]:
+        by.append(F.xxhash64(*plain))
+    with Scratch(spark, "numbered") as tmp:
+        # ids of rows ascend within a range and from one range to the next
+        ranged = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(by)])
+        keys = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(by))]
+        ranged = ranged.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop(*[f"_o{i}" for i in range(len(by))])
+        ranged = tmp.save(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranged").withColumn("_range", F.shiftright("_id", 33))
+        totals = ranged.groupBy("_range").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"s{i}") for i, c in enumerate(sums.values())]).orderBy("_range").collect()
+        before, said = [0] * (1 + len(sums)), []
+        for t in totals:
+            said.append((t["_range"], *before))
+            before = [b + t[1 + i] for i, b in enumerate(before)]
+        kinds = [dict(ranged.dtypes)[c] for c in sums.values()]
+        kinds = ["double" if k in ("double", "float") else "long" for k in kinds]
+        fields = ", ".join(["_range long", "_n long", *[f"_s{i} {k}" for i, k in enumerate(kinds)]])
+        said = [(r, n, *[float(v) if k == "double" else int(v) for v, k in zip(vs, kinds)]) for r, n, *vs in said]
+        met = ranged.join(F.broadcast(spark.createDataFrame(said, fields)), "_range")  # one row a range
+        out = met.withColumn(name, F.col("_n") + F.col("_id") - F.shiftleft("_range", 33))
+        inside = Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+        for i, (new, c) in enumerate(sums.items()):
+            out = out.withColumn(new, F.col(f"_s{i}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+        return tmp.result(out.select(*df.columns, name, *sums))
+
 
 def offsets(sizes: DataFrame, order: str, size: str = "n") -> DataFrame:
     """Rows before each session in a stated order."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
+    return numbered(sizes, [order], "_row", sums={"offset": size}).drop("_row").withColumn("offset", F.col("offset").cast("long"))
 
 
 def overlapping_blocks(sizes: DataFrame, blocks: int, length: int, size: str = "n") -> DataFrame:
@@ -35,8 +73,8 @@ def hash_order(*parts) -> Column:
 
 def block_ids(df: DataFrame, key: str, blocks: int, epoch: int) -> DataFrame:
     """Block 1..blocks of every row, dealt anew each epoch."""
-    order = Window.orderBy(hash_order(epoch, F.col(key)), key)
-    return df.withColumn("block", (F.row_number().over(order) % blocks + 1).cast("long"))
+    known = numbered(df, [hash_order(epoch, F.col(key)), key], "_row")
+    return known.withColumn("block", ((F.col("_row") + 1) % blocks + 1).cast("long")).drop("_row")
 
 
 def exact_sample(df: DataFrame, key: str, size: int, seed: int, *by: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes of a block, and groups in which blocks are combined first.
 BLOCK_BYTES, FAN = 4 << 20, 16
 FIELDS = "block long, part long, n long, data binary"
-_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
 Merge = Callable[[int, np.ndarray, int, np.ndarray], np.ndarray]
 
@@ -27,7 +27,7 @@ def rows_of(width: int) -> int:
     return max(1, BLOCK_BYTES // (8 * max(width, 1)))
 
 
-def _task() -> int:
+def task() -> int:
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -37,9 +37,9 @@ def _task() -> int:
 def give(total: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     """A task's array, of doubles or complex numbers, as blocks; ``n``: the rows it was made of."""
     flat = np.ascontiguousarray(total).view(np.float64).reshape(len(total), -1)
-    size, part = rows_of(flat.shape[1]), _task()
+    size, part = rows_of(flat.shape[1]), task()
     for block, at in enumerate(range(0, len(flat), size)):
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([n]), pa.array([flat[at : at + size].tobytes()], pa.binary())], schema=_SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([n]), pa.array([flat[at : at + size].tobytes()], pa.binary())], schema=SCHEMA)
 
 
 def add(_: int, a: np.ndarray, __: int, b: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def _combine(merge: Merge):
                 new = np.frombuffer(batch.column(3)[row].as_buffer(), np.float64)
                 held, n = (new.copy(), m) if held is None else (merge(n, held, m, new), n + m)
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([n]), pa.array([held.tobytes()], pa.binary())], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([n]), pa.array([held.tobytes()], pa.binary())], schema=SCHEMA)
 
     return run
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import motion
 from ..scratch import Scratch
-from ..sources import binary, text
+from ..sources import binary, text, tiles
 from . import inputs
-from .inputs import FD, RP
+from .inputs import CELLS, FD, RP
 
 PARAMS = ["p1", "p2", "p3", "p4", "p5", "p6"]
 
@@ -167,7 +167,24 @@ def set_members(spark: SparkSession, d: str) -> DataFrame:
 _IMAGES = """e AS (SELECT label, embedding x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 t FROM embeddings WHERE label IS NOT NULL)
 , c AS (SELECT label, t, p, CAST(x[p + 1] AS DOUBLE) v FROM (SELECT label, x, t, unnest(generate_series(0, 63)) p FROM e))"""
 
+def tile_window(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings stored as tiles of 64 x 10, one tile replaced, and a window of them read."""
+    with Scratch(spark, "tile-window") as tmp:
+        t = tiles.write(inputs.obs(spark, d), tmp.place("matrix"), ["t"], 64, 10)
+        old = t.window((64, 128), (20, 30))
+        double = F.transform("re", lambda v: v * 2).alias("re")
+        t.replace(64, 20, old.select((F.col("row") - 64).alias("row"), double, F.transform("im", lambda v: -v).alias("im")))
+        found = t.window((50, 140), (15, 27)).select("row", F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
+        return tmp.result(found.select("row", (F.col("k") + 15).alias("col"), F.round("z.re", 8).alias("re"), F.round("z.im", 8).alias("im")))
+
+
+_TILES = f"""WITH {CELLS}
+, n AS (SELECT vec_id t, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings)
+, w AS (SELECT i, v, re, im, i BETWEEN 64 AND 127 AND v BETWEEN 20 AND 29 AS changed FROM c JOIN n ON n.t = c.t WHERE i BETWEEN 50 AND 139 AND v BETWEEN 15 AND 26)
+SELECT i AS "row", v AS col, round(CASE WHEN changed THEN re * 2 ELSE re END, 8) + 0.0 re, round(CASE WHEN changed THEN -im ELSE im END, 8) + 0.0 im FROM w"""
+
 QUERIES = {
+    "tile_window": (tile_window, _TILES),
     "motion_files": (
         motion_files,
         f"""WITH {RP}
