@@ -10,10 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import images
 from .text import SESSION
 
-#: NIfTI-1 data type codes (fixed values of the format).
-NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 #: Valid vertices that are broadcast to a decoder.
 MASKED = 5_000_000
 #: Magic numbers of surface files (fixed value of the format).
@@ -21,42 +20,12 @@ TRIANGLES = 0xFFFFFE
 
 
 def parse_nifti(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled values in file order (first index fastest) and the 4 x 4 affine."""
+    """Scaled values in file order (first index fastest) and the 4 x 4 affine of a whole small file."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
-    order = "<" if struct.unpack_from("<i", data)[0] == 348 else ">"
-    if struct.unpack_from(f"{order}i", data)[0] != 348 or data[344:347] not in (b"n+1", b"ni1"):
-        raise ValueError("not a NIfTI-1 file")
-    dims = struct.unpack_from(f"{order}8h", data, 40)
-    shape = [max(1, d) for d in dims[1 : dims[0] + 1]]
-    code = struct.unpack_from(f"{order}h", data, 70)[0]
-    if code not in NIFTI_TYPES:
-        raise ValueError(f"NIfTI data type {code} is not supported")
-    pixdim = struct.unpack_from(f"{order}8f", data, 76)
-    at, slope, inter = struct.unpack_from(f"{order}3f", data, 108)
-    values = np.frombuffer(data, np.dtype(NIFTI_TYPES[code]).newbyteorder(order), int(np.prod(shape)), int(at)).astype(np.float64)
-    if slope not in (0.0,) and np.isfinite(slope):
-        values = values * slope + inter
-    qform, sform = struct.unpack_from(f"{order}2h", data, 252)
-    affine = np.eye(4)
-    if sform > 0:
-        affine[:3] = np.array(struct.unpack_from(f"{order}12f", data, 280)).reshape(3, 4)
-    elif qform > 0:
-        b, c, d, x, y, z = struct.unpack_from(f"{order}6f", data, 256)
-        a = np.sqrt(max(0.0, 1 - b * b - c * c - d * d))
-        turn = np.array(
-            [
-                [a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)],
-                [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)],
-                [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c],
-            ]
-        )
-        size = np.array(pixdim[1:4])
-        size[2] *= -1 if pixdim[0] < 0 else 1
-        affine[:3, :3], affine[:3, 3] = turn * size, (x, y, z)
-    else:
-        affine[[0, 1, 2], [0, 1, 2]] = pixdim[1:4]
-    return values.reshape(shape, order="F"), affine
+    head = images.parse_header(data)
+    values = np.frombuffer(data, np.dtype(head.dtype), int(np.prod(head.shape)), head.at).astype(np.float64) * head.slope + head.inter
+    return values.reshape(head.shape, order="F"), head.affine
 
 
 def make_nifti(values: np.ndarray, affine: np.ndarray) -> bytes:
@@ -145,7 +114,7 @@ def _decode(files: DataFrame, columns: Callable[[bytes, str | None], dict[str, n
 
 
 def read_surface_signal(spark: SparkSession, path: str, pattern: str = "*.nii*", vertices: DataFrame | None = None) -> DataFrame:
-    """``session_id, hemi, vertex, y[]``: one row for each vertex, its last dimension being time.
+    """``session_id, hemi, vertex, y[]``: one row for each vertex, its last dimension being time; read by slabs.
 
     ``vertices(hemi, vertex)``: only these are made into rows.  They are broadcast to the decoder, a surface's worth of
     numbers; more than MASKED are joined after it instead.
@@ -153,34 +122,15 @@ def read_surface_signal(spark: SparkSession, path: str, pattern: str = "*.nii*",
     rows = vertices.select("hemi", "vertex").distinct().limit(MASKED + 1).collect() if vertices is not None else []
     if len(rows) > MASKED:
         return read_surface_signal(spark, path, pattern).join(vertices.select("hemi", "vertex"), ["hemi", "vertex"], "left_semi").select("session_id", "hemi", "vertex", "y")
-    sent = None
+    wanted = None
     if vertices is not None:
-        sent = spark.sparkContext.broadcast({h: np.sort(np.array([r["vertex"] for r in rows if r["hemi"] == h], np.int64)) for h in {r["hemi"] for r in rows}})
-
-    def columns(data: bytes, hemi: str | None) -> dict[str, np.ndarray]:
-        values, _ = parse_nifti(data)
-        flat = values.reshape(-1, values.shape[-1], order="F")
-        at = np.arange(len(flat))
-        if sent is not None:
-            at = sent.value.get(hemi, at[:0])
-            at = at[(at >= 0) & (at < len(flat))]
-        return {"vertex": at.astype(np.int32), "y": flat[at]}
-
-    return _decode(_files(spark, path, pattern), columns, "vertex int, y array<double>")
+        wanted = spark.sparkContext.broadcast({h: np.sort(np.array([r["vertex"] for r in rows if r["hemi"] == h], np.int64)) for h in {r["hemi"] for r in rows}})
+    return images.read(spark, path, pattern, True, wanted)
 
 
 def read_volume(spark: SparkSession, path: str, pattern: str = "*.nii*") -> DataFrame:
-    """``session_id, i, j, k, y[], affine[]`` of 4-D images."""
-
-    def columns(data: bytes, _) -> dict[str, np.ndarray]:
-        values, affine = parse_nifti(data)
-        if values.ndim == 3:
-            values = values[..., None]
-        place = np.indices(values.shape[:3], np.int32).reshape(3, -1)
-        y = values.reshape(-1, values.shape[3])
-        return {"i": place[0], "j": place[1], "k": place[2], "y": y, "affine": np.broadcast_to(affine.reshape(1, -1), (len(y), 16))}
-
-    return _decode(_files(spark, path, pattern), columns, "i int, j int, k int, y array<double>, affine array<double>").drop("hemi")
+    """``session_id, i, j, k, y[], affine[]`` of images of 3 dimensions or more (further ones are frames); read by slabs."""
+    return images.read(spark, path, pattern, False)
 
 
 def read_annotation(spark: SparkSession, path: str, pattern: str = "*.annot") -> DataFrame:

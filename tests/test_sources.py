@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phasemesh.operators import motion
-from phasemesh.sources import binary, text
+from phasemesh.sources import binary, images, text
 from phasemesh.streaming import motion as streaming
 
 
@@ -92,6 +92,51 @@ def test_images(spark, tmp_path, monkeypatch):
     assert codes.tolist() == [5, 0, 70_000] and names == {5: "cortex", 70_000: "x y"}
 
 
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("voxels", [1, 5, 7, 1000])
+def test_slabs(spark, tmp_path, packed, voxels):
+    """Slabs smaller than a frame, of scaled integers in either byte order and of doubles, plain and packed."""
+    rng = np.random.default_rng(voxels)
+    shape, whole = (3, 4, 2, 6), {}
+    for name, (order, code, kind, slope) in {"a b": (">", 4, "i2", 0.5), "c": ("<", 512, "u2", 0.0), "d": ("<", 64, "f8", 2.0)}.items():
+        values = rng.integers(0, 900, shape).astype(np.dtype(kind).newbyteorder(order))
+        data = bytearray(binary.make_nifti(np.zeros(shape), np.eye(4))[:352])
+        if order == ">":
+            data[0:4], data[40:56] = struct.pack(">i", 348), struct.pack(">8h", 4, *shape, 1, 1, 1)
+            data[252:256], data[280:328] = struct.pack(">2h", 0, 1), np.arange(12, dtype=">f4").tobytes()
+        struct.pack_into(f"{order}2h", data, 70, code, 8 * values.itemsize)
+        struct.pack_into(f"{order}3f", data, 108, 352, slope, 7)
+        content = bytes(data) + values.tobytes(order="F")
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"lh.f.nii{'.gz' if packed else ''}").write_bytes(gzip.compress(content) if packed else content)
+        whole[name] = values * slope + 7.0 if slope else values.astype(float)
+    found = images.plan(images.files(spark, str(tmp_path), "*.nii*"), False, voxels * 6 * 8)
+    slabs = found.collect()
+    assert len(slabs) == 3 * -(-24 // -(-24 // -(-24 // voxels))) and all(r.last - r.first <= voxels for r in slabs) and sum(r.last - r.first for r in slabs) == 72
+    rows = images.read(spark, str(tmp_path), "*.nii*", False, slab_bytes=voxels * 6 * 8).collect()
+    assert len({(r.session_id, r.i, r.j, r.k) for r in rows}) == len(rows) == 72
+    for r in rows:
+        assert r.y == whole[r.session_id][r.i, r.j, r.k].tolist()
+    assert {tuple(r.affine[:4]) for r in rows if r.session_id == "a b"} == {(0.0, 1.0, 2.0, 3.0)}
+    want = spark.sparkContext.broadcast({"lh": np.array([2, 3, 17])})
+    some = images.read(spark, str(tmp_path), "*.nii*", True, want, voxels * 6 * 8).where("session_id = 'd'").orderBy("vertex").collect()
+    assert [(r.hemi, r.vertex, r.y) for r in some] == [("lh", v, whole["d"].reshape(-1, 6, order="F")[v].tolist()) for v in (2, 3, 17)]
+
+
+def test_bad_images(spark, tmp_path):
+    """A file that is no image, and one that ends too early, are named; a folder without images has no rows."""
+    (tmp_path / "none").mkdir()
+    assert images.read(spark, str(tmp_path / "none"), "*.nii", False).count() == 0
+    (tmp_path / "s").mkdir()
+    whole = binary.make_nifti(np.zeros((2, 2, 2, 3)), np.eye(4))
+    for bad, said in ((b"\0" * 400, "not a NIfTI-1 file"), (b"\0" * 40, "ends before"), (whole[:-8], "ends before"), (gzip.compress(whole)[:-40], "ends before|Error")):
+        (tmp_path / "s" / "x.nii").write_bytes(bad)
+        with pytest.raises(Exception, match=said):
+            binary.read_volume(spark, str(tmp_path / "s")).count()
+    (tmp_path / "s" / "x.nii").write_bytes(binary.make_nifti(np.ones((2, 2, 2)), np.eye(4)))
+    assert [r.y for r in binary.read_volume(spark, str(tmp_path / "s")).collect()] == [[1.0]] * 8
+
+
 def test_surface_and_annotation(spark, tmp_path):
     pts = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0]], ">f4")
     surf = b"\xff\xff\xfecreated\n\n" + struct.pack(">2i", 3, 1) + pts.tobytes() + np.array([[0, 1, 2]], ">i4").tobytes()
