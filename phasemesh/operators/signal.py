@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -151,6 +152,51 @@ def resample(y: np.ndarray, fs: float, fs_new: float, n: int | None = None) -> n
     return y[:, lo] * (1 - w) + y[:, np.minimum(lo + 1, y.shape[1] - 1)] * w
 
 
+#: Rejection in dB and roll-off, as a share of the cut-off, of the filter of rational resampling (fixed values).
+REJECTION, ROLL_OFF = 60.0, 0.1
+
+
+def resampling_filter(p: int, q: int) -> np.ndarray:
+    """A low-pass of odd length under a Kaiser window for resampling by p/q: it cuts at the lower of both Nyquist
+    frequencies, and its taps sum to p.
+    """
+    cut = 1 / (2 * max(p, q))
+    half = math.ceil((REJECTION - 8) / (28.714 * cut * ROLL_OFF))
+    t = np.arange(-half, half + 1)
+    return np.kaiser(len(t), 0.1102 * (REJECTION - 8.7)) * 2 * p * cut * np.sinc(2 * cut * t)
+
+
+def polyphase(y: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Rows resampled by p/q: as if p - 1 zeros were put after each value, filtered, and each q-th value kept.
+
+    A phase (the place of an output between two inputs) sees every p-th tap only, so all outputs of one phase are one
+    product of windows of the rows with these taps.  Rows are 0 beyond their ends; there are ceil(n p / q) outputs.
+    """
+    if p < 1 or q < 1:
+        raise ValueError("p and q are positive")
+    p, q = p // math.gcd(p, q), q // math.gcd(p, q)
+    n = y.shape[1]
+    if p == q or not n:
+        return y.copy()
+    taps = resampling_filter(p, q)
+    half = len(taps) // 2
+    outputs = -(-n * p // q)
+    out = np.empty((len(y), outputs))
+    reach = half // p + 1  # inputs on either side that an output sees
+    wide = np.pad(y, ((0, 0), (reach, reach)))
+    windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1, axis=1)
+    place = np.arange(outputs) * q  # on the grid of the input with zeros between
+    for phase in range(min(p, outputs)):
+        mine = np.arange(phase, outputs, p)  # q and p have no common factor: each p-th output has the same phase
+        first = place[mine] // p
+        at = half + place[mine[0]] - (first[0] + np.arange(-reach, reach + 1)) * p
+        weight = np.where((at >= 0) & (at < len(taps)), taps[np.clip(at, 0, len(taps) - 1)], 0.0)
+        inside = first < n
+        out[:, mine[inside]] = windows[:, first[inside]] @ weight
+        out[:, mine[~inside]] = 0.0
+    return out
+
+
 def _padded(y: np.ndarray, n: int, edge: bool) -> np.ndarray:
     n = min(n, y.shape[1] - (0 if edge else 1))
     if edge:
@@ -159,8 +205,8 @@ def _padded(y: np.ndarray, n: int, edge: bool) -> np.ndarray:
 
 
 def band_pass_rows(rows: list[np.ndarray], fs: float, fs_dec: float = GRID_HZ, passband=PASSBAND, stopband=STOPBAND, ripple: float = RIPPLE, loss: float = LOSS, pad: float = PAD) -> list[np.ndarray]:
-    """Zero-phase Butterworth band-pass on a coarser grid, put back on the first one.  Frequencies in Hz; ``pad * fs``
-    samples of the coarser grid are mirrored at either end.
+    """Zero-phase Butterworth band-pass on a coarser grid, put back on the first one by a polyphase filter.  Frequencies in
+    Hz; ``pad * fs`` samples of the coarser grid are mirrored at either end.
 
     Rows of any lengths are filtered side by side: a filter only looks back, so what stands after a row's end does not
     matter, and the way back runs over rows turned about their own ends.  Rows of less than two values stay as they are.
@@ -168,7 +214,7 @@ def band_pass_rows(rows: list[np.ndarray], fs: float, fs_dec: float = GRID_HZ, p
     if any(len(y) < 2 for y in rows):
         done = iter(band_pass_rows([y for y in rows if len(y) > 1], fs, fs_dec, passband, stopband, ripple, loss, pad))
         return [next(done) if len(y) > 1 else y for y in rows]
-    nyquist = fs_dec / 2
+    nyquist, ratio = fs_dec / 2, Fraction(fs / fs_dec).limit_denominator(1000)
     order, edges = band_order(tuple(p / nyquist for p in passband), tuple(s / nyquist for s in stopband), ripple, loss)
     sections = butter_band(order, edges)
     wide, used = [], []
@@ -189,7 +235,8 @@ def band_pass_rows(rows: list[np.ndarray], fs: float, fs_dec: float = GRID_HZ, p
     twice = filter_rows(sections, turned([once[i, :n] for i, n in enumerate(sizes)]))
     out = []
     for i, (y, n, u) in enumerate(zip(rows, sizes, used)):
-        out.append(resample(twice[i, :n][::-1][None, u : n - u], fs_dec, fs, len(y))[0])
+        back = polyphase(twice[i, :n][::-1][None, u : n - u], ratio.numerator, ratio.denominator)[0, : len(y)]
+        out.append(np.pad(back, (0, len(y) - len(back))))
     return out
 
 
@@ -275,42 +322,71 @@ def _map(df: DataFrame, kernel: Callable[[list[np.ndarray]], list[np.ndarray]])
 MOTION = [f"p{i}" for i in range(1, 7)]
 
 
-def _with_motion(signal: DataFrame, motion: DataFrame) -> DataFrame:
-    """Every series with its session's motion parameters as arrays in order of frames."""
-    packed = motion.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", *MOTION))).alias("_m"))
-    return signal.join(packed.select("session_id", *[F.col("_m")[p].alias(f"_{p}") for p in MOTION]), "session_id").select(*signal.columns, *[f"_{p}" for p in MOTION])
-
-
-def _residuals(b, absolute: bool) -> list[np.ndarray | None]:
-    """Residuals of a batch's series on their sessions' parameters; None where either holds a null."""
-    out, known = [], {}
-    regs = [_lists(b, f"_{p}") for p in MOTION]
-    names = b.column(b.schema.get_field_index("session_id")).to_pylist()
-    for i, row in enumerate(_lists(b, "y")):
-        if row is None or any(r[i] is None for r in regs):
-            out.append(None)
-            continue
-        if names[i] not in known:  # one basis for all of a session's series in the batch
-            x = np.column_stack([r[i] for r in regs])
-            known[names[i]] = basis(np.column_stack([x, np.abs(x)]) if absolute else x)
-        q = known[names[i]]
-        out.append(row - q @ (q.T @ row))
-    return out
+#: Motion parameters (frames of all sessions x 6) whose bases are broadcast; more are joined to the series.
+MOTION_NUMBERS = 6_000_000
+
+
+def _basis_of(x: np.ndarray, absolute: bool) -> np.ndarray:
+    return basis(np.column_stack([x, np.abs(x)]) if absolute else x)
+
+
+class _Fit:
+    """Residuals of batches of series on their sessions' motion, whose bases are broadcast, or arrays beside each series."""
+
+    def __init__(self, sent, absolute: bool):
+        self.sent, self.absolute = sent, absolute
+
+    def __call__(self, b) -> list[np.ndarray | None]:
+        """None where the series or its session's parameters hold a null."""
+        out, known = [], {} if self.sent is None else self.sent.value
+        regs = [_lists(b, f"_{p}") for p in MOTION] if self.sent is None else []
+        names = b.column(b.schema.get_field_index("session_id")).to_pylist()
+        for i, row in enumerate(_lists(b, "y")):
+            if self.sent is None and names[i] not in known:  # one basis for all of a session's series in the batch
+                x = [r[i] for r in regs]
+                known[names[i]] = None if any(r is None for r in x) else _basis_of(np.column_stack(x), self.absolute)
+            q = known[names[i]]
+            out.append(None if row is None or q is None else row - q @ (q.T @ row))
+        return out
+
+
+def _with_motion(signal: DataFrame, motion: DataFrame, absolute: bool) -> tuple[DataFrame, _Fit]:
+    """The series of sessions with motion, and what fits them.  Rows are counted first: the bases of a few thousand
+    sessions (tens of MB) are broadcast, and the series are neither moved nor widened; more are joined to every series as
+    arrays in order of frames.
+    """
+    rows = motion.select("session_id", "t", *MOTION).where("session_id is not null")
+    if rows.limit(MOTION_NUMBERS // len(MOTION) + 1).count() * len(MOTION) <= MOTION_NUMBERS:
+        table = rows.toArrow().sort_by([("session_id", "ascending"), ("t", "ascending")])
+        names = table.column("session_id").to_pylist()
+        ends = [i for i in range(1, len(names) + 1) if i == len(names) or names[i] != names[i - 1]]
+        x = np.column_stack([table.column(p).to_numpy().astype(np.float64) for p in MOTION])  # nulls are NaN
+        bases, at = {}, 0
+        for end in ends:
+            part = x[at:end]
+            bases[names[at]] = None if np.isnan(part).any() else _basis_of(part, absolute)
+            at = end
+        known = signal.sparkSession.createDataFrame([(n,) for n in bases], f"session_id {dict(motion.dtypes)['session_id']}")
+        return signal.join(F.broadcast(known), "session_id", "left_semi").select(signal.columns), _Fit(signal.sparkSession.sparkContext.broadcast(bases), absolute)
+    packed = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("t", *MOTION))).alias("_m"))
+    joined = signal.join(packed.select("session_id", *[F.col("_m")[p].alias(f"_{p}") for p in MOTION]), "session_id")
+    return joined.select(*signal.columns, *[f"_{p}" for p in MOTION]), _Fit(None, absolute)
 
 
 def nuisance(signal: DataFrame, motion: DataFrame, absolute: bool = False) -> DataFrame:
     """Residuals of every series on its session's motion parameters (and, if asked for, their absolute values).
 
-    A session's parameters are one row of arrays and are joined to its series, so nothing is grouped in one task.  A
-    series with nulls, or of a session whose parameters hold one, comes back null.
+    Nothing is grouped in one task.  A series with nulls, or of a session whose parameters hold one, comes back null; one of
+    a session without parameters is left out.
     """
-    columns = list(signal.columns)
+    columns, kept = list(signal.columns), signal.schema
+    series, fit = _with_motion(signal, motion, absolute)
 
     def run(batches):
         for b in _slices(batches):
-            yield b.set_column(b.schema.get_field_index("y"), "y", _column(_residuals(b, absolute))).select(columns)
+            yield b.set_column(b.schema.get_field_index("y"), "y", _column(fit(b))).select(columns)
 
-    return _with_motion(signal, motion).mapInArrow(run, signal.schema)
+    return series.mapInArrow(run, kept)
 
 
 def spectra(signal: DataFrame, fs: float) -> DataFrame:
@@ -360,6 +436,11 @@ def resampled(signal: DataFrame, fs: float, fs_new: float) -> DataFrame:
     return _map(signal, lambda rows: _by_length(rows, lambda y: resample(y, fs, fs_new)))
 
 
+def resampled_by(signal: DataFrame, p: int, q: int) -> DataFrame:
+    """Series resampled by p/q through :func:`polyphase`; one of less than two values stays as it is."""
+    return _map(signal, lambda rows: _by_length(rows, lambda y: polyphase(y, p, q)))
+
+
 def _complex(rows: list[np.ndarray | None], fs: float) -> list:
     """Real and imaginary parts of the analytic signal as two list columns."""
     z = _known(rows, lambda some: _by_length(some, lambda y: analytic(y, fs)))
@@ -391,6 +472,7 @@ def prepared(signal: DataFrame, motion: DataFrame, vertices: DataFrame, fs: floa
     import pyarrow as pa
 
     kept = signal.join(vertices.select("hemi", "vertex"), ["hemi", "vertex"], "left_semi").select("session_id", "hemi", "vertex", "y")
+    series, fit = _with_motion(kept, motion, absolute)
 
     def power(rows: list[np.ndarray]) -> list[float | None]:
         found = _by_length(rows, lambda y: band_power(y, fs) if y.shape[1] > 8 else y[:, 0])
@@ -398,13 +480,13 @@ def prepared(signal: DataFrame, motion: DataFrame, vertices: DataFrame, fs: floa
 
     def run(batches):
         for b in _slices(batches):
-            clean = _residuals(b, absolute)
+            clean = fit(b)
             up = _known(clean, lambda rows: _by_length(rows, lambda y: resample(y, fs, fs_up)))
             smooth = _known(up, lambda rows: band_pass_rows(rows, fs_up))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *_complex(smooth, fs_up), pa.array(_known(clean, power), pa.float64())], names=["session_id", "hemi", "vertex", "re", "im", "power"])
 
     kinds = ", ".join(f"{k} {t}" for k, t in kept.dtypes[:3])
-    return _with_motion(kept, motion).mapInArrow(run, f"{kinds}, re array<double>, im array<double>, power double")
+    return series.mapInArrow(run, f"{kinds}, re array<double>, im array<double>, power double")
 
 
 def preprocess(signal: DataFrame, motion: DataFrame, vertices: DataFrame, fs: float, fs_up: float, absolute: bool = False, tmp: Scratch | None = None) -> DataFrame:

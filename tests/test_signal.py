@@ -19,6 +19,55 @@ def test_band_keeps_and_removes():
     assert z[1][inner].std() < 0.05 * y[1].std()
 
 
+@pytest.mark.parametrize("p, q", [(2, 1), (1, 2), (3, 2), (2, 3), (6, 4), (1, 5), (7, 3)])
+def test_polyphase(p, q):
+    """Against the definition; sines under both Nyquist frequencies are kept, those over the new one are 40 dB down."""
+    rng = np.random.default_rng(p)
+    y = rng.standard_normal((3, 61))
+    h, g = signal.resampling_filter(p // np.gcd(p, q), q // np.gcd(p, q)), np.gcd(p, q)
+    up = np.zeros((3, 61 * (p // g)))
+    up[:, :: p // g] = y
+    want = np.array([np.convolve(r, h)[len(h) // 2 :] for r in up])[:, : up.shape[1]][:, :: q // g]
+    got = signal.polyphase(y, p, q)
+    assert got.shape == (3, -(-61 * p // q)) and np.allclose(got, want)
+    n = 4000
+    t, at = np.arange(n), np.arange(-(-n * p // q)) * q / p
+    low = min(1, p / q)  # the lower Nyquist frequency, in halves of the input's rate
+    inner = slice(len(at) // 4, -(len(at) // 4))
+    slow = signal.polyphase(np.sin(np.pi * 0.8 * low * t)[None, :], p, q)[0]
+    assert np.abs(slow[inner] - np.sin(np.pi * 0.8 * low * at[inner])).max() < 0.01
+    if low < 1:
+        fast = signal.polyphase(np.sin(np.pi * (low + 0.15 * low) * t)[None, :], p, q)[0]
+        assert np.abs(fast[inner]).max() < 0.01
+    assert signal.polyphase(np.zeros((2, 0)), p, q).shape == (2, 0) or p == q
+
+
+def test_resampled_by(spark):
+    rows = [("a", [float(v) for v in np.sin(np.arange(50) / 5)]), ("b", [1.0]), ("c", None), ("d", [1.0, None, 2.0])]
+    got = {r.session_id: r.y for r in signal.resampled_by(spark.createDataFrame(rows, "session_id string, y array<double>"), 3, 2).collect()}
+    assert np.allclose(got["a"], signal.polyphase(np.array([rows[0][1]]), 3, 2)[0]) and got["b"] == [1.0] and got["c"] is got["d"] is None
+
+
+def test_motion_beside_series_or_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    fields = ", ".join(f"p{i} double" for i in range(1, 7))
+    motion = [(s, t, *rng.standard_normal(6).tolist()) for s in ("a", "b", "c") for t in range(30)] + [(None, 0, *[1.0] * 6)]
+    motion[40] = (*motion[40][:4], None, *motion[40][5:])
+    sig = [(s, "lh", v, rng.standard_normal(30).tolist()) for s in ("a", "b", "c", "none") for v in range(4)] + [("a", "lh", 9, None), ("c", "lh", 9, [None] * 30)]
+    sig = spark.createDataFrame(sig, "session_id string, hemi string, vertex int, y array<double>")
+    motion = spark.createDataFrame(motion, f"session_id string, t int, {fields}").repartition(3)
+    found = []
+    for most in (6_000_000, 10):
+        monkeypatch.setattr(signal, "MOTION_NUMBERS", most)
+        made = signal.nuisance(sig, motion, absolute=True)
+        found.append({(r.session_id, r.vertex): r.y for r in made.collect()})
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan or "collect_list" in plan) == (most == 10)
+    one, two = found
+    assert one.keys() == two.keys() == {(s, v) for s in "abc" for v in range(4)} | {("a", 9), ("c", 9)}
+    assert all((one[k] is None and two[k] is None) or np.allclose(one[k], two[k]) for k in one) and one["b", 0] is None and one["a", 0] is not None
+
+
 def test_butterworth_design():
     order, edges = signal.band_order((0.02, 0.4), (0.004, 0.56), 3, 20)
     s = signal.butter_band(order, edges)
