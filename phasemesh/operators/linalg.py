@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import packed, qr
+from . import ordered, packed, qr
 
 #: ``exact`` makes a matrix of variables x variables on the driver; more variables need another solver.
 EXACT_VARIABLES = 4000
@@ -396,6 +396,64 @@ def oja(x: DataFrame, w: np.ndarray, iterations: int, rate: float | Sequence[flo
     return fit
 
 
+class _RowByRow:
+    """Oja's rule on one row after the other, in the order in which they come; the basis is what is given at the end."""
+
+    def __init__(self, w, rate: float):
+        self.w, self.rate = w, rate
+
+    def __call__(self, batches):
+        w, n = self.w.value, 0
+        for batch in batches:
+            for x in rows(batch) if batch.num_rows else ():
+                w = np.linalg.qr(w + self.rate * np.outer(x.conj(), x @ w))[0]
+                n += 1
+        if n:
+            yield from packed.give(w, n)
+
+
+def oja_rows(x: DataFrame, w: np.ndarray, iterations: int, rate: float | Sequence[float], size: int, seed: int = 0) -> Fit:
+    """Oja's rule row by row: each iteration draws ``size`` rows anew by hash and updates with each of them, in this order.
+
+    Such updates follow one another by definition, so an iteration's rows stream through one task, which holds a batch of
+    them and the basis: ``size`` bounds the work of an iteration, not the rows of ``x``.
+    """
+    fit, rates, p = Fit(w), schedule(rate, 1, iterations)[0], len(w)
+    kinds, spark = dict(x.dtypes), x.sparkSession
+    for i in range(iterations):
+        order = F.xxhash64(F.col("session_id"), F.col("t"), F.lit(seed), F.lit(i))
+        keys = x.select("session_id", "t", order.alias("h")).orderBy("h", "session_id", "t").limit(size).collect()
+        places = spark.createDataFrame([(r["session_id"], r["t"], k) for k, r in enumerate(keys)], f"session_id {kinds['session_id']}, t {kinds['t']}, i long")
+        drawn = x.join(F.broadcast(places), ["session_id", "t"]).repartition(1).sortWithinPartitions("i").select("re", "im")
+        flat, n = packed.fetch(drawn.mapInArrow(_RowByRow(spark.sparkContext.broadcast(w), float(rates[i])), packed.FIELDS))
+        w = flat.view(np.complex128).reshape(p, -1).copy() if n else w
+        fit.trace.append({"iteration": i, "rows": n})
+    fit.w = fix_phase(_rotate(x, w))
+    return fit
+
+
+def oja_sessions(x: DataFrame, w: np.ndarray, epochs: int, rate: float | Sequence[float], length: int, seed: int = 0) -> Fit:
+    """Oja's rule on batches that hold a contiguous block of each session (:func:`.ordered.epoch_blocks`); in an epoch every
+    row takes part once.  ``rate``: one for all, or one for each epoch.
+    """
+    spark = x.sparkSession
+    with Scratch(spark, "oja") as tmp:
+        at = F.row_number().over(Window.partitionBy("session_id").orderBy("t")) - 1
+        known = tmp.save(x.select("session_id", "t", "re", "im", F.floor(at / length).cast("long").alias("block")), "rows")
+        sizes = known.groupBy("session_id").agg(F.count("*").alias("n"))
+        plan = tmp.save(ordered.epoch_blocks(sizes, length, epochs, seed), "plan")
+        fit, rates = Fit(w), schedule(rate, epochs, 1)[:, 0]
+        batches = {r["epoch"]: r["n"] for r in plan.groupBy("epoch").agg(F.max("batch").alias("n")).collect()}
+        for e in range(epochs):
+            for b in range(1, batches.get(e + 1, 0) + 1):
+                chosen = plan.where((F.col("epoch") == e + 1) & (F.col("batch") == b)).select("session_id", "block")
+                g, n = gram_times(known.join(F.broadcast(chosen), ["session_id", "block"], "left_semi"), w)  # a row a session
+                w = np.linalg.qr(w + rates[e] * g / n)[0]
+                fit.trace.append({"epoch": e, "batch": b, "rows": n})
+        fit.w = fix_phase(_rotate(known, w))
+    return fit
+
+
 def dual_directions(m: np.ndarray, k: int) -> np.ndarray:
     """Directions of a small matrix with fewer rows than variables, through its rows x rows product."""
     values, vectors = np.linalg.eigh(m @ m.conj().T)
@@ -511,6 +569,72 @@ def explained(x: DataFrame, w: np.ndarray) -> np.ndarray:
     return var[p:] / var[:p].sum() if len(var) else np.zeros(w.shape[1])
 
 
+class _Weighted:
+    """``X^H D X W`` for several draws at once: columns of W in as many blocks as draws, D a row's squared factor in a draw;
+    below it, one row with each draw's sum of squared moduli.
+    """
+
+    def __init__(self, w, squares: dict, draws: int):
+        self.w, self.squares, self.draws = w, squares, draws
+
+    def __call__(self, batches):
+        w, total, n = self.w.value, None, 0
+        ones = np.ones(self.draws)
+        for batch in batches:
+            if batch.num_rows:
+                x = rows(batch)
+                by = np.array([self.squares.get(s, ones) for s in batch.column(0).to_pylist()])
+                part = x.conj().T @ ((x @ w) * np.repeat(by, w.shape[1] // self.draws, 1))
+                power = np.zeros((1, w.shape[1]), np.complex128)
+                power[0, : self.draws] = (x.real**2 + x.imag**2).sum(1) @ by
+                part = np.vstack([part, power])
+                total = part if total is None else total + part
+                n += len(x)
+        if total is not None:
+            yield from packed.give(total, n)
+
+
+def magnitude_draws(sessions: Sequence, draws: int = 10, sizes: Sequence[int] = (1, 2, 3), factors: Sequence[float] = (2, 5, 10), seed: int = 0) -> list[dict]:
+    """Sessions to be scaled and their factors, for each draw: so many sessions, each with another factor."""
+    rng, known, out = np.random.default_rng(seed), sorted(sessions), []
+    for _ in range(draws):
+        n = min(int(rng.choice(sizes)), len(known), len(factors))
+        chosen = rng.choice(len(known), n, replace=False)
+        out.append({known[i]: float(f) for i, f in zip(chosen, rng.choice(factors, n, replace=False))})
+    return out
+
+
+def magnitude_experiment(x: DataFrame, k: int, draws: Sequence[dict], over: int = 10, passes: int = 2, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each draw, the directions of the matrix whose sessions are scaled by the draw's factors, and their shares of its
+    sum of squared moduli.
+
+    A factor multiplies a session's part of ``X^H X W`` by its square, so all draws share each pass, however many there are.
+    """
+    p, d = _variables(x), len(draws)
+    squares: dict = {}
+    for i, draw in enumerate(draws):
+        for s, f in draw.items():
+            squares.setdefault(s, np.ones(d))[i] = f * f
+    width = min(p, k + over)
+
+    def products(qs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        sent = x.sparkSession.sparkContext.broadcast(np.hstack(qs))
+        flat, _ = packed.fetch(x.select("session_id", "re", "im").mapInArrow(_Weighted(sent, squares, d), packed.FIELDS))
+        whole = flat.view(np.complex128).reshape(p + 1, -1)
+        return [whole[:p, i * width : (i + 1) * width] for i in range(d)], whole[p, :d].real
+
+    qs = [start(p, width, seed)] * d
+    for _ in range(passes + 1):
+        qs = [np.linalg.qr(g)[0] for g in products(qs)[0]]
+    out = []
+    for q, g, power in zip(qs, *products(qs)):
+        small = q.conj().T @ g
+        values, vectors = np.linalg.eigh((small + small.conj().T) / 2)
+        top = np.argsort(-values)[:k]
+        out.append((fix_phase(q @ vectors[:, top]), values[top] / power))
+    return out
+
+
 def scale_sessions(x: DataFrame, factors: dict[str, float]) -> DataFrame:
     """Rows of the given sessions multiplied by a factor: for experiments on what magnitudes do to a fit."""
     f = F.lit(1.0)

@@ -62,6 +62,18 @@ def overlapping_blocks(sizes: DataFrame, blocks: int, length: int, size: str = "
     return block.withColumn("first", first).withColumn("last", F.least(first + length, F.col(size)).cast("long") - 1)
 
 
+def epoch_blocks(sizes: DataFrame, length: int, epochs: int, seed: int = 0, key: str = "session_id", size: str = "n") -> DataFrame:
+    """``key, epoch, batch, block, first, last``: every session cut into contiguous blocks of ``length`` rows, dealt to
+    batches anew each epoch by hash.  A batch has one block of every session that has blocks left, and in an epoch each
+    block comes once.
+    """
+    block = sizes.where(F.col(size) > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    block = block.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(size) - 1) / length).cast("long"))))
+    order = Window.partitionBy(key, "epoch").orderBy(hash_order(seed, F.col("epoch"), F.col(key), F.col("block")), "block")
+    out = block.withColumn("batch", F.row_number().over(order)).withColumn("first", F.col("block") * length)
+    return out.select(key, "epoch", "batch", "block", "first", (F.least(F.col("first") + length, F.col(size)) - 1).cast("long").alias("last"))
+
+
 def disjoint_block(position: Column, length: int) -> Column:
     return F.floor(position / length).cast("long")
 

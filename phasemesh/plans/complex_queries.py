@@ -245,6 +245,18 @@ def stratified_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.join(chosen.select("user_id", "block"), ["user_id", "block"]).select("user_id", "block", "event_id")
 
 
+def epoch_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Two epochs of batches with a contiguous block of 20 rows of each label."""
+    sizes = inputs.table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return ordered.epoch_blocks(sizes, 20, 2, 9, "label")
+
+
+_EPOCHS = """WITH s AS (SELECT label, count(*) n FROM embeddings GROUP BY label)
+, b AS (SELECT label, n, epoch, unnest(generate_series(0, (n - 1) // 20)) block FROM s, (SELECT CAST(unnest([1, 2]) AS INTEGER) epoch))
+SELECT label, epoch, CAST(row_number() OVER (PARTITION BY label, epoch ORDER BY md5('9:' || epoch || ':' || label || ':' || block), block) AS INTEGER) batch,
+  CAST(block AS BIGINT) block, CAST(block * 20 AS BIGINT) AS "first", CAST(least(block * 20 + 20, n) - 1 AS BIGINT) AS "last" FROM b"""
+
+
 def block_ids(spark: SparkSession, d: str) -> DataFrame:
     return ordered.block_ids(inputs.table(spark, d, "embeddings").select("vec_id"), "vec_id", 10, 4)
 
@@ -285,6 +297,7 @@ _R2 = "r AS (SELECT CAST(user_id % 3 AS INTEGER) run, event_type pc, avg(value)
 _TWO_PI = "6.283185307179586"
 
 QUERIES = {
+    "epoch_blocks": (epoch_blocks, _EPOCHS),
     "complex_var": (complex_var, f"WITH {CELLS} SELECT v, round(avg(re), 8) + 0.0 mean_re, round(avg(im), 8) + 0.0 mean_im, round(var_samp(re) + var_samp(im), 8) \"var\" FROM c GROUP BY v"),
     "total_variance": (total_variance, f"WITH {CELLS} SELECT round(sum(s), 8) total_var FROM (SELECT var_samp(re) + var_samp(im) s FROM c GROUP BY v)"),
     "center_scale": (center_scale, f"WITH {CELLS}, s AS (SELECT v, avg(re) a, avg(im) b, var_samp(re) + var_samp(im) q FROM c GROUP BY v) SELECT t, v, round((re - a) / CASE WHEN q > 1e-9 THEN sqrt(q) ELSE 1 END, 7) + 0.0 re, round((im - b) / CASE WHEN q > 1e-9 THEN sqrt(q) ELSE 1 END, 7) + 0.0 im FROM c JOIN s USING (v)"),

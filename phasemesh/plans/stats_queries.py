@@ -217,14 +217,13 @@ def cpca_restarts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def magnitude_experiment(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the first component explained in a session whose rows are scaled, by factor."""
+    """Ten draws of one to three sessions that are scaled by 2, 5 or 10: how many, their largest factor, and the shares of
+    the matrix that its first components then have.
+    """
     x = _matrix(spark, d)
-    rows = []
-    for f in (1.0, 5.0):
-        y = linalg.scale_sessions(x, {"0": f})
-        w = linalg.randomised(y, 1, passes=1)
-        rows.append((f, float(linalg.explained(y.where("session_id = '0'"), w)[0])))
-    return spark.createDataFrame(rows, "factor double, r2 double")
+    draws = linalg.magnitude_draws([r[0] for r in x.select("session_id").distinct().collect() if r[0] is not None])
+    rows = [(i, len(c), max(c.values()), pc, float(v)) for i, (c, (_, share)) in enumerate(zip(draws, linalg.magnitude_experiment(x, K, draws))) for pc, v in enumerate(share)]
+    return spark.createDataFrame(rows, "draw int, n_scaled int, factor double, pc int, r2 double")
 
 
 def solver_simulation(spark: SparkSession, d: str) -> DataFrame:

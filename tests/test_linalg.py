@@ -47,6 +47,45 @@ def test_oja(planted):
     agree(linalg.oja(x, linalg.sample_start(x, 3, 100), 6, linalg.log_linear(0.5, 0.05, 6), take=5).w, q, 0.9)
 
 
+def test_oja_row_by_row_and_by_sessions(planted, spark):
+    x, q = planted
+    start = linalg.sample_start(x, 3, 100)
+    fit = linalg.oja_rows(x, start, 4, linalg.log_linear(0.02, 0.002, 4), 400)
+    assert np.all(linalg.mcc(q, fit.w) > 0.95) and [t["rows"] for t in fit.trace] == [400] * 4
+    fit = linalg.oja_sessions(x, start, 2, [0.5, 0.1], 40)
+    assert np.all(linalg.mcc(q, fit.w) > 0.95)
+    assert sum(t["rows"] for t in fit.trace if t["epoch"] == 0) == x.count() == sum(t["rows"] for t in fit.trace if t["epoch"] == 1)
+    # one row after the other, in the order drawn
+    few = complex_rows(spark, np.array([[1, 2j, 0], [0, 1, 1j], [3, 0, 1]]), 2)
+    w = np.linalg.qr(np.array([[1.0, 0], [0, 1], [1, 1]]) + 0j)[0]
+    made = linalg.oja_rows(few, w, 1, 0.1, 3, seed=5)
+    order = few.selectExpr("t", "re", "im", "xxhash64(session_id, t, 5, 0) h").orderBy("h").collect()
+    for r in order:
+        v = np.array(r.re) + 1j * np.array(r.im)
+        w = np.linalg.qr(w + 0.1 * np.outer(v.conj(), v @ w))[0]
+    assert np.allclose(made.w, linalg.fix_phase(linalg._rotate(few, w)))
+
+
+def test_magnitude_experiment(spark, monkeypatch):
+    """Ten draws against the scaled matrices one by one; passes do not grow with draws."""
+    rng = np.random.default_rng(8)
+    m = (rng.standard_normal((600, 9)) + 1j * rng.standard_normal((600, 9))) * np.array([5, 4, 3, 1, 1, 1, 1, 1, 1.0])
+    names = np.array([f"s{i}" for i in rng.integers(0, 6, 600)])
+    x = spark.createDataFrame([(str(s), i, r.real.tolist(), r.imag.tolist()) for i, (s, r) in enumerate(zip(names, m))], "session_id string, t int, re array<double>, im array<double>").repartition(4)
+    draws = linalg.magnitude_draws(sorted(set(names)), 10, seed=1)
+    assert len(draws) == 10 and all(1 <= len(c) <= 3 and set(c.values()) <= {2.0, 5.0, 10.0} and len(set(c.values())) == len(c) for c in draws)
+    calls, fetch = [], packed.fetch
+    monkeypatch.setattr(packed, "fetch", lambda *a: calls.append(1) or fetch(*a))
+    for some in (draws, draws[:1]):
+        calls.clear()
+        got = linalg.magnitude_experiment(x, 2, some)
+        assert len(calls) == 4
+        for c, (w, share) in zip(some, got):
+            scaled = m * np.array([c.get(s, 1.0) for s in names])[:, None]
+            _, s, vh = np.linalg.svd(scaled, full_matrices=False)
+            assert np.allclose(share, s[:2] ** 2 / (s**2).sum(), rtol=1e-6) and np.allclose(linalg.mcc(w, vh.conj().T[:, :2]), 1, atol=1e-4)
+
+
 def test_explained_adds_up(planted):
     x, _ = planted
     share = linalg.explained(x, np.eye(12, dtype=complex))
