@@ -5,13 +5,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from .ordered import average_rank, hash_order
+from ..scratch import Scratch, delete_result
+from .ordered import average_rank, hash_order, numbered
 
 #: Labels (subjects x simulations) that are broadcast as one matrix, and keys whose sums meet it at a time.
 MATRIX_CELLS, KEYS = 20_000_000, 512
@@ -222,15 +225,120 @@ def significant(x: DataFrame, labels: DataFrame, alpha: float, *by: str, key: st
     """``by..., sim``: where the two-sided rank-sum test of group 0 against group 1 gives p < alpha under each relabelling.
 
     Ranks do not depend on labels, so they are taken once and summed by subject; each relabelling then picks its sums, as
-    in :func:`permutation_p`.  A label matrix over MATRIX_CELLS is refused: run the simulations in parts.
+    in :func:`permutation_p`.  A label matrix over MATRIX_CELLS is cut into tiles, see :func:`_tiled`.  No labels raise.
     """
     made = _matrix(labels, key)
     if made is None:
-        raise ValueError("no labels, or more than MATRIX_CELLS of them: run the simulations in parts")
+        if labels.isEmpty():
+            raise ValueError("there are no labels")
+        return _tiled(x, labels, alpha, by, key)
     index, matrix = made
-    known = x.where(F.col("value").isNotNull()).join(F.broadcast(index), F.col(key) == F.col("k"))
-    ranked = known.withColumn("_rk", average_rank("value", *by)).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "value")).cast("double"))
-    sums = ranked.groupBy(*by, "ix").agg(F.sum("_rk").alias("s"), F.count("*").alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("t"))
-    cells = sums.groupBy(*by).agg(F.sum("t").alias("_ties"), F.collect_list(F.struct("ix", "s", "n")).alias("_c"))
+    cells = _rank_sums(x, F.broadcast(index), by, key).groupBy(*by).agg(F.sum("t").alias("_ties"), F.collect_list(F.struct("ix", "s", "n")).alias("_c"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in cells.dtypes[:-2])
     return cells.mapInArrow(_Significant(x.sparkSession.sparkContext.broadcast(matrix), alpha), f"{kinds}, sim int")
+
+
+def _rank_sums(x: DataFrame, index: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """``by..., ix, s, n, t``: each subject's sum of ranks, their number, and its share in the correction for ties."""
+    known = x.where(F.col("value").isNotNull()).join(index, F.col(key) == F.col("k"))
+    ranked = known.withColumn("_rk", average_rank("value", *by)).withColumn("_t", F.count("*").over(Window.partitionBy(*by, "value")).cast("double"))
+    return ranked.groupBy(*by, "ix").agg(F.sum("_rk").alias("s"), F.count("*").alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("t"))
+
+
+#: Keys, subjects and simulations of a tile.
+TILE = (256, 4096, 256)
+
+
+def _tiled(x: DataFrame, labels: DataFrame, alpha: float, by: Sequence[str], key: str) -> DataFrame:
+    """:func:`significant` for any number of labels, as a product of tiles.
+
+    Rank sums [keys x subjects] and labels [subjects x simulations] are cut into tiles that meet by their range of
+    subjects; a product is a key's rank sums in group 1 over a range of subjects for a range of simulations, and these are
+    added by key and range of simulations.  A task holds one tile of each kind and their product.
+    """
+    keys, subjects, sims = TILE
+    spark, names = x.sparkSession, [f"_b{i}" for i in range(len(by))]
+    if "keys" in labels.columns:
+        labels = labels.select("sim", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("sim", F.col("x.keys").alias("k"), F.col("x.labels").alias("g"))
+    else:
+        labels = labels.select("sim", F.col(key).alias("k"), "g")
+    with Scratch(spark, "tiled") as tmp:
+        labels = tmp.save(labels.where("k is not null and g is not null").select("sim", "k", F.col("g").cast("int").alias("g")), "labels")
+        index = numbered(labels.select("k").distinct(), ["k"], "ix")
+        sums = tmp.save(_rank_sums(x, index, by, key).select(*[F.col(c).alias(n) for c, n in zip(by, names)], "ix", "s", "n", "t"), "sums")
+        known = numbered(sums.select(*names).distinct(), names, "kid")
+        met = sums.join(known.select(*[F.col(n).alias(f"{n}k") for n in names], "kid"), [F.col(n).eqNullSafe(F.col(f"{n}k")) for n in names]) if by else sums.crossJoin(F.broadcast(known))
+        met = tmp.save(met.select("kid", "ix", "s", F.col("n").cast("double").alias("n"), "t"), "numbered")
+        ties = met.groupBy("kid").agg(F.sum("t").alias("ties"))
+        st, kb = F.floor(F.col("ix") / subjects).cast("long").alias("st"), F.floor(F.col("kid") / keys).cast("long").alias("kb")
+        left = met.groupBy(st, kb).agg(F.collect_list(F.struct((F.col("kid") % keys).cast("int").alias("k"), (F.col("ix") % subjects).cast("int").alias("i"), "s", "n")).alias("cells"))
+        right = labels.join(index, "k").groupBy(st, F.floor(F.col("sim") / sims).cast("long").alias("sb"))
+        right = right.agg(F.collect_list(F.struct((F.col("ix") % subjects).cast("int").alias("i"), (F.col("sim") % sims).cast("int").alias("j"), F.col("g").cast("tinyint").alias("g"))).alias("labels"))
+        left, right = tmp.save(left, "left"), tmp.save(right, "right")
+        parts = left.join(right, "st").select("kb", "sb", "cells", "labels").mapInArrow(_Product(keys, subjects, sims), "kid long, sb long, data binary")
+        total = parts.groupBy("kid", "sb").applyInArrow(_added, "kid long, sb long, data binary").join(ties, "kid")
+        found = total.select("kid", "sb", "ties", "data").mapInArrow(_TileTest(sims, alpha), "kid long, sim int")
+        drawn = labels.select("sim").distinct()  # the last range has numbers that no simulation has
+        out = found.join(F.broadcast(drawn), "sim", "left_semi").join(known, "kid")
+        done = tmp.result(out.select(*[F.col(n).alias(c) for c, n in zip(by, names)], "sim"))
+        delete_result(index)
+        delete_result(known)
+        return done
+
+
+class _Product:
+    """Products of pairs of tiles, one row a key: its rank sum and number of values in all, then those in group 1 by
+    simulation.
+    """
+
+    def __init__(self, keys: int, subjects: int, sims: int):
+        self.shape = keys, subjects, sims
+
+    def __call__(self, batches) -> Iterator[pa.RecordBatch]:
+        keys, subjects, sims = self.shape
+        for batch in batches:
+            for row in range(batch.num_rows):
+                kb, sb = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                cells, labels = batch.column(2)[row].values, batch.column(3)[row].values
+                k, i, s, n = (cells.field(c).to_numpy(zero_copy_only=False) for c in range(4))
+                li, lj, g = (labels.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                one = np.zeros((subjects, sims))
+                one[li[g == 1], lj[g == 1]] = 1.0
+                sums, counts = np.zeros((2, keys, subjects))
+                sums[k, i], counts[k, i] = s, n
+                held = np.unique(k)
+                made = np.hstack([sums[held].sum(1, keepdims=True), counts[held].sum(1, keepdims=True), sums[held] @ one, counts[held] @ one])
+                yield pa.RecordBatch.from_arrays([pa.array(kb * keys + held.astype(np.int64)), pa.array([sb] * len(held), pa.int64()), pa.array([r.tobytes() for r in made], pa.binary())], names=["kid", "sb", "data"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of a key's partial sums over all ranges of subjects."""
+    total, head = None, None
+    for batch in batches:
+        for row in range(batch.num_rows):
+            head = batch.slice(row, 1)
+            part = np.frombuffer(batch.column(2)[row].as_buffer(), np.float64)
+            total = part.copy() if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([head.column(0), head.column(1), pa.array([total.tobytes()], pa.binary())], names=["kid", "sb", "data"])
+
+
+class _TileTest:
+    """The simulations of a range under which a key is significant."""
+
+    def __init__(self, sims: int, alpha: float):
+        self.sims, self.alpha = sims, alpha
+
+    def __call__(self, batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made = np.array([np.frombuffer(v.as_buffer(), np.float64) for v in batch.column(3)])
+            ranks, counts = made[:, :1], made[:, 1:2]
+            r1, n1 = made[:, 2 : 2 + self.sims], made[:, 2 + self.sims :]
+            n0 = counts - n1
+            w = ranks - r1 - n0 * (n0 + 1) / 2
+            ties = np.broadcast_to(batch.column(2).to_numpy()[:, None], w.shape)
+            at, sim = np.nonzero(special.rank_sum_below(w, n0, n1, ties, self.alpha))
+            first = batch.column(1).to_numpy()[at] * self.sims
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array((first + sim).astype(np.int32))], names=["kid", "sim"])

@@ -111,8 +111,22 @@ def test_matrix_and_join_give_the_same_p(noise, monkeypatch):
     assert {r.vertex: (r.diff, r.p) for r in stats.permutation_p(x, one_row_each, "vertex").collect()} == fast
     monkeypatch.setattr(stats, "MATRIX_CELLS", 10)
     assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in slow)
+
+
+@pytest.mark.parametrize("tile", [(256, 4096, 256), (7, 5, 3), (1, 100, 2)])
+def test_tiled_labels_give_the_same(spark, noise, monkeypatch, tile):
+    """Above the limit labels are cut into tiles: the same keys and simulations, with ties, missing values and null keys."""
+    x = noise.where("vertex < 30 and not (vertex = 3 and subject = 'p4')").selectExpr("nullif(vertex, 0) vertex", "vertex % 2 side", "subject", "round(value, 1) value")
+    labels = stats.permuted_labels(noise.select("subject", "g"), 20)
+    want = sorted(map(str, stats.significant(x, labels, 0.1, "side", "vertex").collect()))
+    assert len(want) > 20
+    monkeypatch.setattr(stats, "MATRIX_CELLS", 100)
+    monkeypatch.setattr(stats, "TILE", tile)
+    assert sorted(map(str, stats.significant(x, labels, 0.1, "side", "vertex").select("side", "vertex", "sim").collect())) == want
+    one_row_each = stats.shuffles(noise.select("subject", "g"), 20)
+    assert sorted(map(str, stats.significant(x, one_row_each, 0.1, "side", "vertex").collect())) == want
     with pytest.raises(ValueError):
-        stats.significant(x, labels, 0.05, "vertex")
+        stats.significant(x, labels.limit(0), 0.05, "vertex")
 
 
 def test_p_is_uniform_without_effect(noise):
