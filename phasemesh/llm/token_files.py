@@ -16,6 +16,7 @@ import itertools
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -266,6 +267,11 @@ def _sum_counts(batches):
     yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64()), "width": pa.array(np.full(len(used), width, np.int32))})
 
 
+#: Packed bytes of ids of a shard, about, where there are more of them than shuffle partitions, and documents that are
+#: given at a time.
+SHARD_BYTES, GIVEN = 128 << 20, 16_384
+
+
 class _Code:
     """Codes one sorted partition into a shard as its documents come."""
 
@@ -279,14 +285,14 @@ class _Code:
         head = next(rows, None)
         if head is None:
             return
-        docs: tuple[list[int], list[bool], list[int]] = ([], [], [])
+        docs = (array("q"), bytearray(), array("q"))
 
         def pieces() -> Iterator[np.ndarray]:
             for some in itertools.chain([head], rows):
                 coded = some.column(2).to_pylist()
                 known = some.column(0)
                 docs[0].extend(known.fill_null(0).to_pylist())
-                docs[1].extend(known.is_null().to_pylist())
+                docs[1].extend(map(int, known.is_null().to_pylist()))
                 docs[2].extend([len(c) // self.width for c in coded])
                 yield np.frombuffer(b"".join(coded), f"<u{self.width}").astype(np.uint32)
 
@@ -326,6 +332,9 @@ def write(docs: DataFrame, base: str, tokenizer: str, end_id: int | None = 0, sh
         counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
         book = spark.sparkContext.broadcast(zlib.compress(code_lengths(counts, limit).tobytes(), 6))
         ids = made.where("counts is null").select("doc_id", "row", "ids")
+        held = int(str(made._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if not shards and -(-held // SHARD_BYTES) > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            shards = -(-held // SHARD_BYTES)
         ids = ids.repartitionByRange(shards, "doc_id", "row") if shards else ids.repartitionByRange("doc_id", "row")
         coded = ids.sortWithinPartitions("doc_id", "row").mapInArrow(
             _Code(base, book, int(found["width"].max()) if len(found) else 4), "shard string, n_docs long, n_tokens long, first_doc long, first_row long"
@@ -341,12 +350,17 @@ class _Read:
             for row in batch.to_pylist():
                 shard = Shard(*store.filesystem(row["shard"]))
                 out, start = [], row["start"]
+
+                def rows(out):
+                    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
                 for doc, ids in shard.documents():
                     out.append((doc, start, len(ids), store.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
+                    if len(out) == GIVEN:
+                        yield rows(out)
+                        out = []
+                yield rows(out)
 
 
 class _ReadIds:
