@@ -211,9 +211,9 @@ def _sample(docs: DataFrame, rows: int) -> DataFrame:
     total = named.count()
     part, last = 1.0 if total <= rows else 1.25 * rows / total, None
     while total > rows:
-        lowest = named.where(F.col("m") < int(part * many) + 1).select("m", "h").distinct().orderBy("m", "h").limit(rows).toPandas()
+        lowest = named.where(F.col("m") < int(part * many) + 1).select("m", "h").distinct().orderBy("m", "h").limit(rows).collect()
         if len(lowest) == rows:
-            last = lowest.iloc[-1]
+            last = lowest[-1]
         if last is not None or part >= 1:
             break
         part = min(1.0, 16 * part)
@@ -231,11 +231,20 @@ def learn(docs: DataFrame, rows: int = LEARN_ROWS, penalty: float = PENALTY) ->
     """
     known = _sample(docs, rows)
     counts = known.select("text", "lang").mapInArrow(_Count(), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
+    found = counts.toArrow()
     size = len(ORDERS) * BUCKETS
-    languages = sorted(found.loc[found["slot"] < size, "lang"].unique().tolist())
-    found = found.assign(lang=found["lang"].map({x: i for i, x in enumerate(languages)}).astype(np.int64)).sort_values(["slot", "lang"])
-    lang, slot, n = (found[c].to_numpy(np.int64) for c in ("lang", "slot", "n"))
+    code = found.column("lang").combine_chunks().dictionary_encode()
+    slot, n = (found.column(c).to_numpy().astype(np.int64) for c in ("slot", "n"))
+    names = code.dictionary.to_pylist()
+    which = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    del found, code
+    languages = sorted(names[i] for i in np.unique(which[slot < size]))
+    place = {x: i for i, x in enumerate(languages)}
+    lang = np.array([place[x] for x in names], np.int64)[which] if names else which
+    order = np.lexsort((lang, slot))
+    lang, slot, n = lang[order], slot[order], n[order]
+    del which, order
+    store.give_back()
     grams = slot < size
     heard = np.bincount(slot[grams] // BUCKETS * len(languages) + lang[grams], n[grams], len(ORDERS) * len(languages)).reshape(len(ORDERS), len(languages))
     base = np.log(SMOOTHING / (heard + SMOOTHING * BUCKETS))

@@ -176,7 +176,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Model:
         seen = tmp.save(seen.join(F.broadcast(chosen), "doc_id"), "features")
         held = seen.agg(F.sum(F.length("features"))).first()[0] or 0
         found = seen.where(hashed < bound * min(1.0, LEARN_BYTES / max(held, 1))).toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(f.as_buffer(), "<i4") for f in found.column("features")], found.column("quality").to_numpy())
+    model = fit([np.frombuffer(f.as_buffer(), "<i4") for f in found.column("features")], found.column("quality").to_numpy())
+    del found
+    store.give_back()
+    return model
 
 
 class _Score:

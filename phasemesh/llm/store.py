@@ -35,10 +35,10 @@ def claim(name: str, clear: Callable[[], None]) -> None:
             if other != name:
                 empty()
         _OWNER[:] = [name]
-        _give_back()
+        give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory of this process to the system, where its C library can."""
     import ctypes
 
