@@ -25,6 +25,13 @@ def agreement(spark: SparkSession, solve: Solver, runs: int, n: int, p: int, spr
     return spark.createDataFrame(rows, "run int, pc int, mcc double")
 
 
+def agreement_on(x: DataFrame, solve: Solver, k: int, runs: int) -> DataFrame:
+    """The same for several runs of a solver on one matrix."""
+    want = linalg.exact(x, k)
+    rows = [(run, pc, float(m)) for run in range(runs) for pc, m in enumerate(linalg.mcc(want, solve(x, k, run)))]
+    return x.sparkSession.createDataFrame(rows, "run int, pc int, mcc double")
+
+
 def by_oja(x: DataFrame, k: int, run: int) -> np.ndarray:
     p = len(x.first()["re"])
     return linalg.oja(x, linalg.start(p, k, run), 6, linalg.log_linear(1.0, 0.1, 6), take=5, seed=run).w

@@ -134,14 +134,26 @@ def surface_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def config_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of a configuration file and their variants, in order; a run that is not listed has none."""
+    """A configuration file is written whose runs are the first words of parts' types and whose variants are the brands that
+    parts of such types have; every part then looks up its place among the variants of its run.
+    """
+    parts = inputs.table(spark, d, "part").select("p_partkey", F.split("p_type", " ")[0].alias("run"), "p_brand")
+    runs = parts.groupBy("run").agg(F.sort_array(F.collect_set("p_brand")).alias("brands"))  # words and brands are few
+    lines = F.concat(F.lit("  "), "run", F.lit(": ["), F.array_join("brands", ", "), F.lit("]"))
+    whole = runs.where("run <> 'ECONOMY'").agg(F.concat(F.lit("runs:\n"), F.array_join(F.sort_array(F.collect_list(lines)), "\n"), F.lit("\n")).alias("text"))
     with Scratch(spark, "config") as tmp:
-        files = spark.createDataFrame([("c.yaml", bytearray(b"runs:\n  rest: [rest_a, rest b]\n  task: []\n"))], "path string, content binary")
         place = tmp.place("config")
-        binary.write_files(files, place)
+        binary.write_files(whole.select(F.lit("c.yaml").alias("path"), F.col("text").cast("binary").alias("content")), place)
         config = text.read_config(f"{place}/c.yaml")
-    rows = [(run, k, v) for run in ("rest", "task", "none") for k, v in enumerate(text.variants(config, run))]
-    return spark.createDataFrame(rows, "run string, k int, variant string")
+    names = [r[0] for r in runs.select("run").collect()]
+    known = spark.createDataFrame([(run, text.variants(config, run)) for run in names], "run string, variants array<string>")
+    at = F.array_position("variants", F.col("p_brand"))
+    return parts.join(F.broadcast(known), "run").select("p_partkey", "run", F.when(at > 0, at).alias("k"), F.size("variants").cast("long").alias("n_variants"))
+
+
+_VARIANTS = """WITH p AS (SELECT p_partkey, split_part(p_type, ' ', 1) run, p_brand FROM part)
+, v AS (SELECT run, p_brand, row_number() OVER (PARTITION BY run ORDER BY p_brand) k, count(*) OVER (PARTITION BY run) n FROM (SELECT DISTINCT run, p_brand FROM p WHERE run <> 'ECONOMY'))
+SELECT p_partkey, p.run, CAST(k AS BIGINT) k, CAST(coalesce(n, 0) AS BIGINT) n_variants FROM p LEFT JOIN v ON v.run = p.run AND v.p_brand = p.p_brand"""
 
 
 def stage_table(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +227,7 @@ SELECT 'label' kind, CASE WHEN p % 10 < 8 THEN 'region ' || (p % 10) ELSE 'unkno
 UNION ALL SELECT 'first', CAST(a AS VARCHAR), count(*) FROM lineitem JOIN p ON s = l_suppkey AND p = l_partkey GROUP BY a
 UNION ALL SELECT 'point', CAST(p AS VARCHAR), count(*) FROM p GROUP BY p""",
     ),
-    "config_variants": (config_variants, "SELECT run, CAST(k AS INTEGER) k, variant FROM (VALUES ('rest', 0, 'rest_a'), ('rest', 1, 'rest b')) v(run, k, variant)"),
+    "config_variants": (config_variants, _VARIANTS),
     "stage_table": (stage_table, "SELECT c_mktsegment, count(*) n, round(sum(c_acctbal), 2) balance FROM customer GROUP BY c_mktsegment"),
     "set_members": (
         set_members,
