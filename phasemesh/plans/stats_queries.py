@@ -160,7 +160,8 @@ def band_pass(spark: SparkSession, d: str) -> DataFrame:
 
 def analytic_signal(spark: SparkSession, d: str) -> DataFrame:
     z = signal.analytic_signal(_series(spark, d)[0], 0.5)
-    return z.select("session_id", "vertex", F.posexplode(F.arrays_zip("re", "im")).alias("t", "z")).select("session_id", "vertex", "t", "z.re", "z.im")
+    found = z.select("session_id", "vertex", F.posexplode(F.arrays_zip("re", "im")).alias("t", "z"))
+    return found.select("session_id", "vertex", "t", _r(F.col("z.re"), 5).alias("re"), _r(F.col("z.im"), 5).alias("im"))
 
 
 def preprocess(spark: SparkSession, d: str) -> DataFrame:
@@ -390,6 +391,21 @@ _NORM = f"""WITH {_SERIES}
   FROM k, w JOIN o ON o.s = k.s AND o.k = abs(k.k + j) WHERE k.k >= 1 AND 0.25 * (k.k - 1) / (top - 1) <= 0.15 GROUP BY k.s, o.v)
 SELECT CAST(s AS VARCHAR) session_id, round(sqrt(avg(q)), 6) + 0.0 norm FROM u GROUP BY s"""
 
+#: Five values are mirrored at either end; the imaginary part is a sum with the kernel that dropping the negative
+#: frequencies of n values amounts to.
+_ANALYTIC = f"""WITH {_SERIES}
+, v AS (SELECT s, t, 0 v, y0 y FROM y UNION ALL SELECT s, t, 1, y1 FROM y UNION ALL SELECT s, t, 2, y2 FROM y)
+, l AS (SELECT s, v, count(*) n, count(*) + 10 z, list(y ORDER BY t) y FROM v GROUP BY s, v)
+, w AS (SELECT s, v, n, z, y, list_concat(list_concat(list_reverse(y[1:5]), y), list_reverse(y[n - 4:n])) wide FROM l)
+, k AS (
+  SELECT z, list(CASE WHEN d = 0 THEN 0.0
+    WHEN z % 2 = 0 THEN (1 - cos(pi() * d)) * cos(pi() * d / z) / sin(pi() * d / z) / z
+    ELSE (cos(pi() * d / z) - cos(pi() * d)) / sin(pi() * d / z) / z END ORDER BY d DESC) k
+  FROM (SELECT z, unnest(generate_series(1 - z, z - 1)) d FROM (SELECT DISTINCT z FROM l)) GROUP BY z)
+, t AS (SELECT w.*, unnest(generate_series(0, n - 1)) t FROM w)
+SELECT CAST(s AS VARCHAR) session_id, CAST(v AS INTEGER) vertex, CAST(t AS INTEGER) t, round(y[t + 1], 5) + 0.0 re, round(list_dot_product(wide, k[t.z - t - 5:2 * t.z - t - 6]), 5) + 0.0 im
+FROM t JOIN k ON k.z = t.z"""
+
 QUERIES = {
     "wilcoxon_w": (wilcoxon_w, f"WITH {EVENTS}{_RANKS} SELECT vertex, w, n0, n1, ties FROM w"),
     "wilcoxon_p": (wilcoxon_p, _WILCOXON_P),
@@ -418,7 +434,7 @@ FROM z, lim WHERE sim = 0 AND m >= {LEAST} GROUP BY 1""",
     "nuisance_resid": (nuisance_resid, _least_squares()),
     "psd_norm": (psd_norm, _NORM),
     "band_pass": (band_pass, None),
-    "analytic_signal": (analytic_signal, None),
+    "analytic_signal": (analytic_signal, _ANALYTIC),
     "preprocess": (preprocess, None),
     "cpca_exact": (cpca_exact, _principal(K) + " FROM w JOIN r ON r.pc = w.pc"),
     "cpca_dual": (cpca_dual, _principal(K) + " FROM w JOIN r ON r.pc = w.pc"),
