@@ -157,7 +157,11 @@ def start(p: int, k: int, seed: int = 0) -> np.ndarray:
 
 def _rotate(x: DataFrame, q: np.ndarray) -> np.ndarray:
     """Principal directions within the span of q, largest first."""
-    gq, _ = gram_times(x, q)
+    return _turned(q, gram_times(x, q)[0])
+
+
+def _turned(q: np.ndarray, gq: np.ndarray) -> np.ndarray:
+    """The same, with the product of the Gram matrix and q known."""
     small = q.conj().T @ gq
     values, vectors = np.linalg.eigh((small + small.conj().T) / 2)
     return q @ vectors[:, np.argsort(-values)]
@@ -182,13 +186,17 @@ def randomised(x: DataFrame, k: int, over: int = 10, passes: int = 2, seed: int
     return fix_phase(_rotate(x, q)[:, :k])
 
 
+def _hash(seed: int):
+    """A row's hash, which SQL engines know too."""
+    return F.md5(F.concat_ws(":", F.col("session_id").cast("string"), F.col("t").cast("string"), F.lit(str(seed))))
+
+
 def sample_start(x: DataFrame, k: int, size: int, seed: int = 0) -> np.ndarray:
     """Start from the singular vectors of exactly ``size`` rows, taken by hash order.
 
     The rows' keys reach the driver, the rows do not: they are factored by a tree over ranges of their variables.
     """
-    order = F.xxhash64(F.col("session_id"), F.col("t"), F.lit(seed))
-    keys = x.select("session_id", "t", order.alias("h")).orderBy("h", "session_id", "t").limit(size).collect()
+    keys = x.select("session_id", "t", _hash(seed).alias("h")).orderBy("h", "session_id", "t").limit(size).collect()
     if not keys:
         raise ValueError("the matrix has no rows")
     kinds = dict(x.dtypes)
@@ -250,7 +258,12 @@ class Fit:
 
 def with_blocks(x: DataFrame, blocks: int, seed: int = 0) -> DataFrame:
     """Rows dealt to ``blocks`` by hash; a mini-batch is a set of blocks."""
-    return x.withColumn("block", F.pmod(F.xxhash64(F.col("session_id"), F.col("t"), F.lit(seed)), F.lit(blocks)).cast("int"))
+    return x.withColumn("block", (F.conv(F.substring(_hash(seed), 1, 8), 16, 10).cast("long") % blocks).cast("int"))
+
+
+def drawn(count: int, take: int, rng) -> list[int]:
+    """Blocks of the next mini-batch."""
+    return sorted(rng.choice(count, size=min(take, count), replace=False).tolist())
 
 
 def _stacked(new: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -274,8 +287,13 @@ class Blocks:
         self.dealt = with_blocks(x, blocks, seed).persist() if self.tiled is None else None
 
     def batch(self, take: int, rng) -> DataFrame:
-        chosen = sorted(rng.choice(self.count, size=min(take, self.count), replace=False).tolist())
-        return self.tiled.blocks(chosen) if self.dealt is None else self.dealt.where(F.col("block").isin(chosen))
+        return self.of(drawn(self.count, take, rng))
+
+    def of(self, chosen: Sequence[int]) -> DataFrame:
+        """Rows of some blocks, with their ``block``."""
+        if self.dealt is None:
+            return self.tiled.blocks(chosen).withColumn("block", F.floor(F.col("row") / self.tiled.rows).cast("int"))
+        return self.dealt.where(F.col("block").isin([int(b) for b in chosen]))
 
     def close(self) -> None:
         if self.dealt is not None:
@@ -349,6 +367,107 @@ def pimvr(
     return fit
 
 
+class _Chosen:
+    """``X^H (X W)`` of several runs at once: each has its own columns of W and takes the rows of its own blocks only; below
+    it, one row with the number of rows that each took.
+    """
+
+    def __init__(self, w, takes: dict, runs: int):
+        self.w, self.takes, self.runs = w, takes, runs
+
+    def __call__(self, batches):
+        w, total, n = self.w.value, None, 0
+        none = np.zeros(self.runs)
+        for batch in batches:
+            if batch.num_rows:
+                x = rows(batch)
+                by = np.array([self.takes.get(b, none) for b in batch.column(0).to_pylist()])
+                part = x.conj().T @ ((x @ w) * np.repeat(by, w.shape[1] // self.runs, 1))
+                counts = np.zeros((1, w.shape[1]), np.complex128)
+                counts[0, : self.runs] = by.sum(0)
+                part = np.vstack([part, counts])
+                total = part if total is None else total + part
+                n += len(x)
+        if total is not None:
+            yield from packed.give(total, n)
+
+
+def gram_times_of(blocked: Blocks, ws: Sequence[np.ndarray], chosen: Sequence[Sequence[int]]) -> list[tuple[np.ndarray, int]]:
+    """``(X_j^H X_j) W_j`` and the number of rows, for runs j that each take blocks of their own: one pass over all blocks
+    that any of them takes.
+    """
+    (p, k), runs = ws[0].shape, len(ws)
+    takes = {b: np.array([float(b in c) for c in chosen]) for b in sorted(set().union(*chosen))}
+    x = blocked.of(list(takes)).select("block", "re", "im")
+    sent = x.sparkSession.sparkContext.broadcast(np.hstack(ws))
+    flat, n = packed.fetch(x.mapInArrow(_Chosen(sent, takes, runs), packed.FIELDS))
+    if not n:
+        return [(np.zeros((p, k), np.complex128), 0)] * runs
+    whole = flat.view(np.complex128).reshape(p + 1, -1)
+    return [(whole[:p, j * k : (j + 1) * k], int(whole[p, j].real)) for j in range(runs)]
+
+
+def pimvr_restarts(
+    x: DataFrame,
+    starts: Sequence[np.ndarray],
+    epochs: int,
+    iterations: int,
+    beta: float | Sequence[float] = 0.0,
+    blocks: int = 10,
+    take: int = 5,
+    seed: int = 0,
+    compat_alpha: bool = False,
+) -> list[tuple[int, Fit, np.ndarray]]:
+    """:func:`pimvr` from several starts of one shape side by side: (run, fit, explained shares), best total first.
+
+    Run j draws its own mini-batches, with ``seed + j``; rows are dealt to blocks once.  All runs share each pass (over the
+    rows for anchors, over the blocks that any run drew for mini-batches), as columns of one matrix, and so do the final
+    rotations and the variances.  A run whose basis becomes singular stops, the others go on.  Where every run's mini-batch
+    is empty the iteration changes nothing; without rows the matrix raises.
+    """
+    if len({w.shape for w in starts}) != 1:
+        raise ValueError("restarts need at least one start, all of one shape")
+    blocked, (p, k) = Blocks(x, blocks, seed), starts[0].shape
+    x, betas = blocked.all, schedule(beta, epochs, iterations)
+    rngs = [np.random.default_rng(seed + j) for j in range(len(starts))]
+    fits, olds = [Fit(w) for w in starts], [np.zeros_like(w) for w in starts]
+
+    def cut(whole: np.ndarray) -> list[np.ndarray]:
+        return [whole[:, j * k : (j + 1) * k] for j in range(len(starts))]
+
+    try:
+        for e in range(epochs):
+            anchors = [np.linalg.qr(f.w)[0] for f in fits]
+            whole, n = gram_times(x, np.hstack(anchors))
+            if not n:
+                raise ValueError("the matrix has no rows")
+            full = cut(whole / n)
+            for i in range(iterations):
+                live = [j for j, f in enumerate(fits) if f.status == "done"]
+                if not live:
+                    break
+                alphas = {j: fits[j].w.conj().T @ anchors[j] if compat_alpha else anchors[j].conj().T @ fits[j].w for j in live}
+                chosen = [drawn(blocked.count, take, rngs[j]) for j in live]
+                parts = gram_times_of(blocked, [fits[j].w - anchors[j] @ alphas[j] for j in live], chosen)
+                for j, (g, m) in zip(live, parts):
+                    if not m:
+                        continue
+                    scaled = _stacked(g / m + full[j] @ alphas[j] - betas[e, i] * olds[j], fits[j].w)
+                    if scaled is None:
+                        fits[j].status = f"stopped at epoch {e}, iteration {i}: the basis became singular"
+                        continue
+                    fits[j].w, olds[j] = scaled
+                    fits[j].trace.append({"epoch": e, "iteration": i, "rows": m})
+    finally:
+        blocked.close()
+    qs = [np.linalg.qr(f.w)[0] for f in fits]
+    for f, q, g in zip(fits, qs, cut(gram_times(x, np.hstack(qs))[0])):
+        f.w = fix_phase(_turned(q, g))
+    var = moments(x, np.hstack([f.w for f in fits]))[1]
+    shares = [var[p + j * k : p + (j + 1) * k] / var[:p].sum() for j in range(len(fits))]
+    return sorted(((j, f, s) for j, (f, s) in enumerate(zip(fits, shares))), key=lambda r: (-r[2].sum(), r[0]))
+
+
 def rayleigh(x: DataFrame, w: np.ndarray) -> np.ndarray:
     """Mean squared modulus of the rows' scores on each direction, brought to unit length; one pass."""
     g, n = gram_times(x, w)

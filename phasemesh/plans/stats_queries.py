@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evar, linalg, qr, mesh, signal, simulate, stats
-from . import inputs
+from . import inputs, solver_sql
 from .inputs import CELLS, EVENTS, FACES, RP, SURFACE
 
 
@@ -174,6 +174,8 @@ def preprocess(spark: SparkSession, d: str) -> DataFrame:
 # --- decompositions ---------------------------------------------------------------------------------------------------
 
 K = 3
+#: Rows of a start, momentum, and Oja's rates of learning.
+START_ROWS, BETA, RATES = 100, 1e-5, linalg.log_linear(5.0, 0.5, 5)
 
 
 def _matrix(spark, d) -> DataFrame:
@@ -211,28 +213,30 @@ def cpca_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def cpca_rsvd(spark: SparkSession, d: str) -> DataFrame:
     x = _matrix(spark, d)
-    return _result(spark, x, linalg.randomised(x, K))
+    return _rounded(_result(spark, x, linalg.randomised(x, K)))
 
 
 def cpca_pim(spark: SparkSession, d: str) -> DataFrame:
     x = _matrix(spark, d)
-    return _result(spark, x, linalg.pim(x, linalg.sample_start(x, K, 100), 4, 1e-5).w)
+    return _rounded(_result(spark, x, linalg.pim(x, linalg.sample_start(x, K, START_ROWS), 4, BETA).w))
 
 
 def cpca_pimvr(spark: SparkSession, d: str) -> DataFrame:
     x = _matrix(spark, d)
-    return _result(spark, x, linalg.pimvr(x, linalg.sample_start(x, K, 100), 2, 3, 1e-5).w)
+    return _rounded(_result(spark, x, linalg.pimvr(x, linalg.sample_start(x, K, START_ROWS), 2, 3, BETA).w))
 
 
 def cpca_oja(spark: SparkSession, d: str) -> DataFrame:
     x = _matrix(spark, d)
-    return _result(spark, x, linalg.oja(x, linalg.start(inputs.VARIABLES, K), 5, linalg.log_linear(5.0, 0.5, 5)).w)
+    return _rounded(_result(spark, x, linalg.oja(x, linalg.start(inputs.VARIABLES, K), len(RATES), RATES).w))
 
 
 def cpca_restarts(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs with reduced variance side by side, each from rows and with mini-batches of its own."""
     x = _matrix(spark, d)
-    fits = linalg.restarts(x, lambda run: linalg.pim(x, linalg.start(inputs.VARIABLES, K, run), 2, 0.0, seed=run), 2)
-    return spark.createDataFrame([(run, pc, float(r)) for run, _, r2 in fits for pc, r in enumerate(r2)], "run int, pc int, r2 double")
+    fits = linalg.pimvr_restarts(x, [linalg.sample_start(x, K, START_ROWS, run) for run in range(2)], 2, 3, BETA)
+    found = spark.createDataFrame([(run, pc, float(r)) for run, _, r2 in fits for pc, r in enumerate(r2)], "run int, pc int, r2 double")
+    return found.select("run", "pc", _r(F.col("r2"), 8).alias("r2"))
 
 
 def magnitude_experiment(spark: SparkSession, d: str) -> DataFrame:
@@ -251,32 +255,6 @@ def solver_simulation(spark: SparkSession, d: str) -> DataFrame:
     return evar.share_over(m, "mcc", [0.95, 0.975], "pc")
 
 
-def _principal(k: int, squarings: int = 13) -> str:
-    """The first directions of the matrix of embeddings: the product X^H X is squared until one direction is left, which is
-    then taken out of it, and so on.
-    """
-    sql = f"""WITH {CELLS}
-, g0 AS MATERIALIZED (SELECT a.v i, b.v j, sum(a.re * b.re + a.im * b.im) re, sum(a.re * b.im - a.im * b.re) im FROM c a JOIN c b ON a.t = b.t GROUP BY a.v, b.v)"""
-    for pc in range(k):
-        sql += f"\n, s{pc}_0 AS MATERIALIZED (SELECT i, j, re / (SELECT sum(re) FROM g{pc} WHERE i = j) re, im / (SELECT sum(re) FROM g{pc} WHERE i = j) im FROM g{pc})"
-        for n in range(squarings):
-            sql += f"""
-, t{pc}_{n} AS MATERIALIZED (SELECT a.i, b.j, sum(a.re * b.re - a.im * b.im) re, sum(a.re * b.im + a.im * b.re) im FROM s{pc}_{n} a JOIN s{pc}_{n} b ON a.j = b.i GROUP BY a.i, b.j)
-, s{pc}_{n + 1} AS MATERIALIZED (SELECT i, j, re / (SELECT sum(re) FROM t{pc}_{n} WHERE i = j) re, im / (SELECT sum(re) FROM t{pc}_{n} WHERE i = j) im FROM t{pc}_{n})"""
-        last = f"s{pc}_{squarings}"
-        sql += f"""
-, l{pc} AS MATERIALIZED (SELECT sum(g.re * p.re - g.im * p.im) l FROM g{pc} g JOIN {last} p ON g.j = p.i AND g.i = p.j)
-, g{pc + 1} AS MATERIALIZED (SELECT g.i, g.j, g.re - l * p.re re, g.im - l * p.im im FROM g{pc} g JOIN {last} p ON g.i = p.i AND g.j = p.j, l{pc})"""
-    parts = " UNION ALL ".join(f"SELECT CAST({pc} AS INTEGER) pc, i, j, re, im, l FROM s{pc}_{squarings}, l{pc}" for pc in range(k))
-    return sql + f"""
-, p AS ({parts})
-, top AS (SELECT pc, i m, re q FROM p WHERE i = j QUALIFY row_number() OVER (PARTITION BY pc ORDER BY re DESC) = 1)
-, w AS (SELECT p.pc, p.i vertex, p.re / sqrt(q) re, p.im / sqrt(q) im, sqrt(l) singular FROM p JOIN top ON top.pc = p.pc AND p.j = m)
-, z AS (SELECT c.t, pc, sum(c.re * w.re - c.im * w.im) re, sum(c.re * w.im + c.im * w.re) im FROM c JOIN w ON c.v = w.vertex GROUP BY c.t, pc)
-, r AS (SELECT pc, (var_samp(re) + var_samp(im)) / (SELECT sum(q) FROM (SELECT var_samp(re) + var_samp(im) q FROM c GROUP BY v)) r2 FROM z GROUP BY pc)
-SELECT w.pc, vertex, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im, round(r2, 8) + 0.0 r2"""
-
-
 _PAIRS = EVENTS + ", p AS (SELECT event_type vertex, user_id, floor(avg(value) FILTER (visit = 'V1')) v1, floor(avg(value) FILTER (visit = 'V2')) v2 FROM e GROUP BY ALL HAVING v1 IS NOT NULL AND v2 IS NOT NULL)"
 _MESH = FACES + """, n AS (SELECT DISTINCT src, dst FROM (SELECT a src, b dst FROM f UNION ALL SELECT b, a FROM f UNION ALL SELECT a, c FROM f UNION ALL SELECT c, a FROM f UNION ALL SELECT b, c FROM f UNION ALL SELECT c, b FROM f))"""
 _Z = _MESH + """, g AS (SELECT avg(l_quantity) mu, stddev_samp(l_quantity) sd FROM f)
@@ -436,14 +414,14 @@ FROM z, lim WHERE sim = 0 AND m >= {LEAST} GROUP BY 1""",
     "band_pass": (band_pass, None),
     "analytic_signal": (analytic_signal, _ANALYTIC),
     "preprocess": (preprocess, None),
-    "cpca_exact": (cpca_exact, _principal(K) + " FROM w JOIN r ON r.pc = w.pc"),
-    "cpca_dual": (cpca_dual, _principal(K) + " FROM w JOIN r ON r.pc = w.pc"),
-    "cpca_tree": (cpca_tree, _principal(K) + ", round(singular, 7) singular FROM w JOIN r ON r.pc = w.pc"),
-    "cpca_rsvd": (cpca_rsvd, None),
-    "cpca_pim": (cpca_pim, None),
-    "cpca_pimvr": (cpca_pimvr, None),
-    "cpca_oja": (cpca_oja, None),
-    "cpca_restarts": (cpca_restarts, None),
+    "cpca_exact": (cpca_exact, solver_sql.exact(K)),
+    "cpca_dual": (cpca_dual, solver_sql.exact(K)),
+    "cpca_tree": (cpca_tree, solver_sql.exact(K, singular=True)),
+    "cpca_rsvd": (cpca_rsvd, solver_sql.randomised(K)),
+    "cpca_pim": (cpca_pim, solver_sql.pim(K, START_ROWS, 4, BETA)),
+    "cpca_pimvr": (cpca_pimvr, solver_sql.pimvr(K, START_ROWS, 2, 3, BETA)),
+    "cpca_oja": (cpca_oja, solver_sql.oja(K, RATES)),
+    "cpca_restarts": (cpca_restarts, solver_sql.restarts(K, START_ROWS, 2, 3, BETA, 2)),
     "magnitude_experiment": (magnitude_experiment, None),
     "solver_simulation": (solver_simulation, None),
 }

@@ -219,6 +219,39 @@ def test_restarts_and_scaling(planted):
     assert w.shape == (12, 1)
 
 
+def test_restarts_share_passes(planted, monkeypatch):
+    x, q = planted
+    starts = [linalg.start(12, 3, j) for j in range(3)]
+    passes = []
+    monkeypatch.setattr(linalg.packed, "fetch", lambda *a, _fetch=packed.fetch: (passes.append(1), _fetch(*a))[1])
+    found = linalg.pimvr_restarts(x, starts, 2, 3, 1e-3)
+    assert len(passes) == 2 + 2 * 3 + 1 + 1  # anchors, mini-batches, rotation and variances, whatever the number of runs
+    assert sorted(run for run, _, _ in found) == [0, 1, 2]
+    assert [s.sum() for _, _, s in found] == sorted((s.sum() for _, _, s in found), reverse=True)
+    for run, fit, share in found:
+        agree(fit.w, q, 0.97)
+        assert fit.status == "done" and len(fit.trace) == 6 and np.allclose(share, linalg.explained(x, fit.w))
+    alone = linalg.pimvr(x, starts[0], 2, 3, 1e-3)
+    assert np.allclose(dict((run, fit.w) for run, fit, _ in found)[0], alone.w, atol=1e-9)
+    whole = linalg.pimvr_restarts(x, starts[:1], 1, 2, compat_alpha=True)
+    assert np.allclose(whole[0][1].w, linalg.pimvr(x, starts[0], 1, 2, compat_alpha=True).w, atol=1e-9)
+
+
+def test_restarts_that_stop_and_bad_starts(planted):
+    x, q = planted
+    flat = np.zeros((12, 3), np.complex128)
+    flat[:, 0] = 1
+    found = {run: fit for run, fit, _ in linalg.pimvr_restarts(x, [flat, linalg.start(12, 3)], 2, 3)}
+    assert found[0].status == "stopped at epoch 0, iteration 0: the basis became singular" and not found[0].trace
+    assert found[1].status == "done" and len(found[1].trace) == 6
+    agree(found[1].w, q, 0.97)
+    for starts in ([], [linalg.start(12, 3), linalg.start(12, 2)]):
+        with pytest.raises(ValueError):
+            linalg.pimvr_restarts(x, starts, 1, 1)
+    with pytest.raises(ValueError):
+        linalg.pimvr_restarts(x.limit(0), [linalg.start(12, 3)], 1, 1)
+
+
 def test_too_many_variables(spark, monkeypatch, planted):
     monkeypatch.setattr(linalg, "EXACT_VARIABLES", 4)
     with pytest.raises(ValueError):

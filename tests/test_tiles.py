@@ -97,3 +97,6 @@ def test_solvers_read_their_blocks(spark, tmp_path):
     start = linalg.start(12, 3)
     for fit in (linalg.pim(t, start, 8, 1e-3), linalg.pimvr(t, start, 3, 4, 1e-3), linalg.oja(t, start, 8, linalg.log_linear(0.5, 0.05, 8), take=5)):
         assert np.all(np.abs((fit.w.conj() * q).sum(0)) > 0.9)
+    starts = [linalg.start(12, 3, j) for j in range(2)]
+    for run, fit, _ in linalg.pimvr_restarts(t, starts, 1, 3, take=3):  # stored blocks are the same for all runs
+        assert np.allclose(fit.w, linalg.pimvr(t, starts[run], 1, 3, take=3, seed=run).w, atol=1e-9)
