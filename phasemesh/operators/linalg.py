@@ -8,6 +8,7 @@ variables.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -713,13 +714,20 @@ class _Weighted:
             yield from packed.give(total, n)
 
 
+def magnitude_factors(draws: int = 10, sizes: Sequence[int] = (1, 2, 3), factors: Sequence[float] = (2, 5, 10), seed: int = 0) -> list[list[float]]:
+    """The factors of each draw, all different."""
+    rng = np.random.default_rng(seed)
+    return [[float(f) for f in rng.choice(factors, min(int(rng.choice(sizes)), len(factors)), replace=False)] for _ in range(draws)]
+
+
 def magnitude_draws(sessions: Sequence, draws: int = 10, sizes: Sequence[int] = (1, 2, 3), factors: Sequence[float] = (2, 5, 10), seed: int = 0) -> list[dict]:
-    """Sessions to be scaled and their factors, for each draw: so many sessions, each with another factor."""
-    rng, known, out = np.random.default_rng(seed), sorted(sessions), []
-    for _ in range(draws):
-        n = min(int(rng.choice(sizes)), len(known), len(factors))
-        chosen = rng.choice(len(known), n, replace=False)
-        out.append({known[i]: float(f) for i, f in zip(chosen, rng.choice(factors, n, replace=False))})
+    """Sessions to be scaled and their factors, for each draw: so many sessions, the first in the order of a hash (fewer if
+    there are fewer), each with another factor.
+    """
+    out = []
+    for i, chosen in enumerate(magnitude_factors(draws, sizes, factors, seed)):
+        order = sorted(sessions, key=lambda s: (hashlib.md5(f"{seed}:{i}:{s}".encode()).hexdigest(), str(s)))
+        out.append(dict(zip(order, chosen)))
     return out
 
 

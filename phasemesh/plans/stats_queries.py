@@ -246,7 +246,8 @@ def magnitude_experiment(spark: SparkSession, d: str) -> DataFrame:
     x = _matrix(spark, d)
     draws = linalg.magnitude_draws([r[0] for r in x.select("session_id").distinct().collect() if r[0] is not None])
     rows = [(i, len(c), max(c.values()), pc, float(v)) for i, (c, (_, share)) in enumerate(zip(draws, linalg.magnitude_experiment(x, K, draws))) for pc, v in enumerate(share)]
-    return spark.createDataFrame(rows, "draw int, n_scaled int, factor double, pc int, r2 double")
+    found = spark.createDataFrame(rows, "draw int, n_scaled int, factor double, pc int, r2 double")
+    return found.select("draw", "n_scaled", "factor", "pc", _r(F.col("r2"), 8).alias("r2"))
 
 
 def solver_simulation(spark: SparkSession, d: str) -> DataFrame:
@@ -422,6 +423,6 @@ FROM z, lim WHERE sim = 0 AND m >= {LEAST} GROUP BY 1""",
     "cpca_pimvr": (cpca_pimvr, solver_sql.pimvr(K, START_ROWS, 2, 3, BETA)),
     "cpca_oja": (cpca_oja, solver_sql.oja(K, RATES)),
     "cpca_restarts": (cpca_restarts, solver_sql.restarts(K, START_ROWS, 2, 3, BETA, 2)),
-    "magnitude_experiment": (magnitude_experiment, None),
-    "solver_simulation": (solver_simulation, None),
+    "magnitude_experiment": (magnitude_experiment, solver_sql.magnitudes(K)),
+    "solver_simulation": (solver_simulation, solver_sql.simulation(K, START_ROWS, 3, 1e-3, 5)),
 }
