@@ -155,7 +155,8 @@ def psd_norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def band_pass(spark: SparkSession, d: str) -> DataFrame:
-    return signal.band_passed(_series(spark, d)[0], 0.5).select("session_id", "vertex", F.posexplode("y").alias("t", "y"))
+    found = signal.band_passed(_series(spark, d)[0], 0.5).select("session_id", "vertex", F.posexplode("y").alias("t", "y"))
+    return found.withColumn("y", _r(F.col("y"), 5))
 
 
 def analytic_signal(spark: SparkSession, d: str) -> DataFrame:
@@ -370,6 +371,40 @@ _NORM = f"""WITH {_SERIES}
   FROM k, w JOIN o ON o.s = k.s AND o.k = abs(k.k + j) WHERE k.k >= 1 AND 0.25 * (k.k - 1) / (top - 1) <= 0.15 GROUP BY k.s, o.v)
 SELECT CAST(s AS VARCHAR) session_id, round(sqrt(avg(q)), 6) + 0.0 norm FROM u GROUP BY s"""
 
+
+def _filtered(name: str, source: str, sections: np.ndarray) -> str:
+    """Recurrences of all sections, value after value: each section keeps two numbers, and what it gives is the next one's
+    input; all start at rest on the first value.
+    """
+    n = len(sections)
+    kept = [f"{c}{k}" for k in range(1, n + 1) for c in "pq"]
+    step = f"SELECT f.*, wide[t + 2] - wide[1] x0 FROM {name} f JOIN {source} USING (s, v) WHERE t + 1 < len(wide)"
+    new = []
+    for k, (b0, _, b2, a1, a2) in enumerate(sections.tolist(), 1):
+        step = f"SELECT *, {b0!r} * x{k - 1} + p{k} x{k} FROM ({step})"
+        new += [f"{-a1!r} * x{k} + q{k}", f"{b2!r} * x{k - 1} - {a2!r} * x{k}"]
+    return f"""{name}(s, v, t, y, {", ".join(kept)}) AS (
+  SELECT s, v, 0, {", ".join(["CAST(0 AS DOUBLE)"] * (2 * n + 1))} FROM {source}
+  UNION ALL SELECT s, v, t + 1, x{n}, {", ".join(new)} FROM ({step}))"""
+
+
+def _band_pass() -> str:
+    """On a grid as fine as the filter's: seven seconds' values are mirrored at either end, and the filter runs forth and back."""
+    nyquist = signal.GRID_HZ / 2
+    bands = (tuple(f / nyquist for f in band) for band in (signal.PASSBAND, signal.STOPBAND))
+    sections = signal.butter_band(*signal.band_order(*bands, signal.RIPPLE, signal.LOSS))
+    pad = int(signal.PAD * signal.GRID_HZ)
+    return f"""WITH RECURSIVE {_SERIES}
+, v AS (SELECT s, t, 0 v, y0 y FROM y UNION ALL SELECT s, t, 1, y1 FROM y UNION ALL SELECT s, t, 2, y2 FROM y)
+, l AS (SELECT s, v, count(*) n, least({pad}, count(*) - 1) m, list(y ORDER BY t) y FROM v GROUP BY s, v)
+, w AS MATERIALIZED (SELECT s, v, n, m, list_concat(list_concat(list_reverse(y[2:m + 1]), y), list_reverse(y[n - m:n - 1])) wide FROM l)
+, {_filtered("forth", "w", sections)}
+, w2 AS MATERIALIZED (SELECT s, v, list(y ORDER BY t DESC) wide FROM forth GROUP BY s, v)
+, {_filtered("back", "w2", sections)}
+SELECT CAST(s AS VARCHAR) session_id, CAST(v AS INTEGER) vertex, CAST(n + m - 1 - back.t AS INTEGER) t, round(back.y, 5) + 0.0 y
+FROM back JOIN w USING (s, v) WHERE n + m - 1 - back.t BETWEEN 0 AND n - 1"""
+
+
 #: Five values are mirrored at either end; the imaginary part is a sum with the kernel that dropping the negative
 #: frequencies of n values amounts to.
 _ANALYTIC = f"""WITH {_SERIES}
@@ -412,7 +447,7 @@ FROM z, lim WHERE sim = 0 AND m >= {LEAST} GROUP BY 1""",
     "ols_resid": (ols_resid, f"WITH {EVENTS}, x AS (SELECT event_id, user_id, value, CAST(event_id % 97 AS DOUBLE) x FROM e), s AS (SELECT user_id, regr_slope(value, x) b, regr_intercept(value, x) a FROM x GROUP BY user_id) SELECT event_id, round(value - a - b * x, 6) + 0.0 resid FROM x JOIN s USING (user_id)"),
     "nuisance_resid": (nuisance_resid, _least_squares()),
     "psd_norm": (psd_norm, _NORM),
-    "band_pass": (band_pass, None),
+    "band_pass": (band_pass, _band_pass()),
     "analytic_signal": (analytic_signal, _ANALYTIC),
     "preprocess": (preprocess, None),
     "cpca_exact": (cpca_exact, solver_sql.exact(K)),
