@@ -169,7 +169,7 @@ def preprocess(spark: SparkSession, d: str) -> DataFrame:
     y, m = _series(spark, d)
     valid = spark.createDataFrame([("lh", 0), ("lh", 2)], "hemi string, vertex int")
     obs = signal.preprocess_obs(y, m, valid, 0.5, 1.0, absolute=True)
-    return obs.select("session_id", "t", F.col("re")[0].alias("re0"), F.col("im")[0].alias("im0"), F.size("re").alias("n"))
+    return obs.select("session_id", "t", _r(F.col("re")[0], 5).alias("re0"), _r(F.col("im")[0], 5).alias("im0"), F.size("re").alias("n"))
 
 
 # --- decompositions ---------------------------------------------------------------------------------------------------
@@ -341,23 +341,27 @@ _SERIES = RP + """, f AS (SELECT s, CAST(t - 1 AS INTEGER) t, p1, p2, p3, p4, p5
 , y AS (SELECT s, t, p1 + sin(CAST(t AS DOUBLE)) y0, p2 * 2 y1, p3 - CAST(t AS DOUBLE) / 10 y2 FROM f)"""
 
 
-def _least_squares() -> str:
-    """Residuals of three series on six regressors: each regressor in turn is taken out of all columns that follow it."""
+def _residuals(first: str) -> str:
+    """``s7(s, t, y0, y1, y2)``: residuals of three series on six regressors, of which ``first`` is the first; each regressor
+    in turn is taken out of all columns that follow it.
+    """
     x, y = [f"x{i}" for i in range(1, 7)], ["y0", "y1", "y2"]
-    sql = f"WITH {_SERIES}\n, s0 AS (SELECT s, t, CAST(t % 5 AS DOUBLE) x1, " + ", ".join(f"p{i} x{i}" for i in range(2, 7)) + ", y0, y1, y2 FROM f JOIN y USING (s, t))"
+    sql = f"{_SERIES}\n, s0 AS (SELECT s, t, {first} x1, " + ", ".join(f"p{i} x{i}" for i in range(2, 7)) + ", y0, y1, y2 FROM f JOIN y USING (s, t))"
     sql += "\n, s1 AS (SELECT s, t, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY s) {c}" for c in x + y) + " FROM s0)"
     for k, q in enumerate(x, 1):
         rest = [f"{c} - {q} * sum({c} * {q}) OVER (PARTITION BY s) / sum({q} * {q}) OVER (PARTITION BY s) {c}" for c in x[k:] + y]
         sql += f"\n, s{k + 1} AS (SELECT s, t, " + ", ".join(rest) + f" FROM s{k})"
-    parts = [f"SELECT CAST(s AS VARCHAR) session_id, CAST({v} AS INTEGER) vertex, t, round({c}, 6) + 0.0 resid FROM s7" for v, c in enumerate(y)]
-    return sql + "\n" + " UNION ALL ".join(parts)
+    return sql
+
+
+def _least_squares() -> str:
+    parts = [f"SELECT CAST(s AS VARCHAR) session_id, CAST({v} AS INTEGER) vertex, t, round(y{v}, 6) + 0.0 resid FROM s7" for v in range(3)]
+    return f"WITH {_residuals('CAST(t % 5 AS DOUBLE)')}\n" + " UNION ALL ".join(parts)
 
 
 #: A Fourier transform by its definition at the frequencies that count, tapered, padded, smoothed and summed.
-_NORM = f"""WITH {_SERIES}
-, fast AS (SELECT DISTINCT CAST(2**a * 3**b * 5**c AS BIGINT) z FROM (SELECT unnest(generate_series(0, 20)) a), (SELECT unnest(generate_series(0, 13)) b), (SELECT unnest(generate_series(0, 9)) c) WHERE 2**a * 3**b * 5**c < 1000000)
+_SPECTRUM = """fast AS (SELECT DISTINCT CAST(2**a * 3**b * 5**c AS BIGINT) z FROM (SELECT unnest(generate_series(0, 20)) a), (SELECT unnest(generate_series(0, 13)) b), (SELECT unnest(generate_series(0, 9)) c) WHERE 2**a * 3**b * 5**c < 1000000)
 , n AS (SELECT s, n, CAST(floor(n * 0.1) AS BIGINT) m, (SELECT min(z) FROM fast WHERE z >= n) z FROM (SELECT s, count(*) n FROM y GROUP BY s))
-, v AS (SELECT s, t, 0 v, y0 y FROM y UNION ALL SELECT s, t, 1, y1 FROM y UNION ALL SELECT s, t, 2, y2 FROM y)
 , x AS (
   SELECT s, v, t, (y - avg(y) OVER (PARTITION BY s, v)) * CASE WHEN least(t, n - 1 - t) < m THEN 0.5 * (1 - cos(pi() * (2 * least(t, n - 1 - t) + 1) / (2 * m))) ELSE 1 END x
   FROM v JOIN n USING (s))
@@ -368,7 +372,11 @@ _NORM = f"""WITH {_SERIES}
 , w(j, a) AS (VALUES (-3, 1 / 32.0), (-2, 1 / 8.0), (-1, 7 / 32.0), (0, 1 / 4.0), (1, 7 / 32.0), (2, 1 / 8.0), (3, 1 / 32.0))
 , u AS (
   SELECT k.s, o.v, sum(a * o.p) / any_value(k.n) / 0.5 / (1 - 5 / 8.0 * 0.1 * 2) q
-  FROM k, w JOIN o ON o.s = k.s AND o.k = abs(k.k + j) WHERE k.k >= 1 AND 0.25 * (k.k - 1) / (top - 1) <= 0.15 GROUP BY k.s, o.v)
+  FROM k, w JOIN o ON o.s = k.s AND o.k = abs(k.k + j) WHERE k.k >= 1 AND 0.25 * (k.k - 1) / (top - 1) <= 0.15 GROUP BY k.s, o.v)"""
+_LONG = "v AS (SELECT s, t, 0 v, y0 y FROM y UNION ALL SELECT s, t, 1, y1 FROM y UNION ALL SELECT s, t, 2, y2 FROM y)"
+_NORM = f"""WITH {_SERIES}
+, {_LONG}
+, {_SPECTRUM}
 SELECT CAST(s AS VARCHAR) session_id, round(sqrt(avg(q)), 6) + 0.0 norm FROM u GROUP BY s"""
 
 
@@ -388,37 +396,70 @@ def _filtered(name: str, source: str, sections: np.ndarray) -> str:
   UNION ALL SELECT s, v, t + 1, x{n}, {", ".join(new)} FROM ({step}))"""
 
 
-def _band_pass() -> str:
-    """On a grid as fine as the filter's: seven seconds' values are mirrored at either end, and the filter runs forth and back."""
+def _smooth(fs: float) -> str:
+    """``smooth(s, v, n, t, y)`` of ``v(s, t, v, y)`` on the filter's grid: values of so many samples are mirrored at either
+    end, and the filter runs forth and back.
+    """
     nyquist = signal.GRID_HZ / 2
     bands = (tuple(f / nyquist for f in band) for band in (signal.PASSBAND, signal.STOPBAND))
     sections = signal.butter_band(*signal.band_order(*bands, signal.RIPPLE, signal.LOSS))
-    pad = int(signal.PAD * signal.GRID_HZ)
-    return f"""WITH RECURSIVE {_SERIES}
-, v AS (SELECT s, t, 0 v, y0 y FROM y UNION ALL SELECT s, t, 1, y1 FROM y UNION ALL SELECT s, t, 2, y2 FROM y)
-, l AS (SELECT s, v, count(*) n, least({pad}, count(*) - 1) m, list(y ORDER BY t) y FROM v GROUP BY s, v)
-, w AS MATERIALIZED (SELECT s, v, n, m, list_concat(list_concat(list_reverse(y[2:m + 1]), y), list_reverse(y[n - m:n - 1])) wide FROM l)
-, {_filtered("forth", "w", sections)}
+    pad = int(signal.PAD * fs)
+    return f"""l AS (SELECT s, v, count(*) n, least({pad}, count(*) - 1) m, list(y ORDER BY t) y FROM v GROUP BY s, v)
+, w1 AS MATERIALIZED (SELECT s, v, n, m, list_concat(list_concat(list_reverse(y[2:m + 1]), y), list_reverse(y[n - m:n - 1])) wide FROM l)
+, {_filtered("forth", "w1", sections)}
 , w2 AS MATERIALIZED (SELECT s, v, list(y ORDER BY t DESC) wide FROM forth GROUP BY s, v)
 , {_filtered("back", "w2", sections)}
-SELECT CAST(s AS VARCHAR) session_id, CAST(v AS INTEGER) vertex, CAST(n + m - 1 - back.t AS INTEGER) t, round(back.y, 5) + 0.0 y
-FROM back JOIN w USING (s, v) WHERE n + m - 1 - back.t BETWEEN 0 AND n - 1"""
+, smooth AS (SELECT s, v, n, n + m - 1 - back.t t, back.y FROM back JOIN w1 USING (s, v) WHERE n + m - 1 - back.t BETWEEN 0 AND n - 1)"""
 
 
-#: Five values are mirrored at either end; the imaginary part is a sum with the kernel that dropping the negative
-#: frequencies of n values amounts to.
-_ANALYTIC = f"""WITH {_SERIES}
-, v AS (SELECT s, t, 0 v, y0 y FROM y UNION ALL SELECT s, t, 1, y1 FROM y UNION ALL SELECT s, t, 2, y2 FROM y)
-, l AS (SELECT s, v, count(*) n, count(*) + 10 z, list(y ORDER BY t) y FROM v GROUP BY s, v)
-, w AS (SELECT s, v, n, z, y, list_concat(list_concat(list_reverse(y[1:5]), y), list_reverse(y[n - 4:n])) wide FROM l)
-, k AS (
+def _band_pass() -> str:
+    return f"""WITH RECURSIVE {_SERIES}
+, {_LONG}
+, {_smooth(signal.GRID_HZ)}
+SELECT CAST(s AS VARCHAR) session_id, CAST(v AS INTEGER) vertex, CAST(t AS INTEGER) t, round(y, 5) + 0.0 y FROM smooth"""
+
+
+def _analytic(pad: int) -> str:
+    """``analytic(s, v, t, re, im)`` of ``la(s, v, n, y[])``: so many values are mirrored at either end; the imaginary part is
+    a sum with the kernel that dropping the negative frequencies of n values amounts to.
+    """
+    return f"""wa AS (SELECT s, v, n, n + {2 * pad} z, y, list_concat(list_concat(list_reverse(y[1:{pad}]), y), list_reverse(y[n - {pad - 1}:n])) wide FROM la)
+, ka AS (
   SELECT z, list(CASE WHEN d = 0 THEN 0.0
     WHEN z % 2 = 0 THEN (1 - cos(pi() * d)) * cos(pi() * d / z) / sin(pi() * d / z) / z
     ELSE (cos(pi() * d / z) - cos(pi() * d)) / sin(pi() * d / z) / z END ORDER BY d DESC) k
-  FROM (SELECT z, unnest(generate_series(1 - z, z - 1)) d FROM (SELECT DISTINCT z FROM l)) GROUP BY z)
-, t AS (SELECT w.*, unnest(generate_series(0, n - 1)) t FROM w)
-SELECT CAST(s AS VARCHAR) session_id, CAST(v AS INTEGER) vertex, CAST(t AS INTEGER) t, round(y[t + 1], 5) + 0.0 re, round(list_dot_product(wide, k[t.z - t - 5:2 * t.z - t - 6]), 5) + 0.0 im
-FROM t JOIN k ON k.z = t.z"""
+  FROM (SELECT z, unnest(generate_series(1 - z, z - 1)) d FROM (SELECT DISTINCT z FROM wa)) GROUP BY z)
+, ta AS (SELECT wa.*, unnest(generate_series(0, n - 1)) t FROM wa)
+, analytic AS (
+  SELECT s, v, t, y[t + 1] re, list_dot_product(wide, k[ta.z - t - {pad}:2 * ta.z - t - {pad + 1}]) im FROM ta JOIN ka ON ka.z = ta.z)"""
+
+
+_ANALYTIC = f"""WITH {_SERIES}
+, {_LONG}
+, la AS (SELECT s, v, count(*) n, list(y ORDER BY t) y FROM v GROUP BY s, v)
+, {_analytic(5)}
+SELECT CAST(s AS VARCHAR) session_id, CAST(v AS INTEGER) vertex, CAST(t AS INTEGER) t, round(re, 5) + 0.0 re, round(im, 5) + 0.0 im FROM analytic"""
+
+
+def _preprocess() -> str:
+    """Residuals, their norm, the band-pass on the filter's grid (which is the series' own), twice as many values by a
+    filter over values with zeros between them, and the analytic signal.  Parameters are not negative, so their moduli add
+    no regressors.
+    """
+    taps = signal.resampling_filter(2, 1).tolist()
+    half = len(taps) // 2
+    return f"""WITH RECURSIVE {_residuals("p1")}
+, v AS MATERIALIZED (SELECT s, t, 0 v, y0 y FROM s7 UNION ALL SELECT s, t, 2, y2 FROM s7)
+, {_SPECTRUM}
+, norm AS MATERIALIZED (SELECT s, sqrt(avg(q)) norm FROM u GROUP BY s)
+, {_smooth(1.0)}
+, between AS (SELECT s, v, n, list_concat(list_concat(list_resize(CAST([] AS DOUBLE[]), {half}, CAST(0 AS DOUBLE)), flatten(list([y, 0] ORDER BY t))), list_resize(CAST([] AS DOUBLE[]), {half}, CAST(0 AS DOUBLE))) x FROM smooth GROUP BY s, v, n)
+, up AS (SELECT s, v, n, unnest(generate_series(0, 2 * n - 1)) t, x FROM between)
+, la AS MATERIALIZED (SELECT s, v, 2 * n n, list(list_dot_product(x[t + 1:t + {len(taps)}], CAST({taps} AS DOUBLE[])) ORDER BY t) y FROM up GROUP BY s, v, n)
+, {_analytic(10)}
+SELECT CAST(s AS VARCHAR) session_id, CAST(t AS INTEGER) t, round(re / norm, 5) + 0.0 re0, round(im / norm, 5) + 0.0 im0, 2 n
+FROM analytic JOIN norm USING (s) WHERE v = 0"""
+
 
 QUERIES = {
     "wilcoxon_w": (wilcoxon_w, f"WITH {EVENTS}{_RANKS} SELECT vertex, w, n0, n1, ties FROM w"),
@@ -449,7 +490,7 @@ FROM z, lim WHERE sim = 0 AND m >= {LEAST} GROUP BY 1""",
     "psd_norm": (psd_norm, _NORM),
     "band_pass": (band_pass, _band_pass()),
     "analytic_signal": (analytic_signal, _ANALYTIC),
-    "preprocess": (preprocess, None),
+    "preprocess": (preprocess, _preprocess()),
     "cpca_exact": (cpca_exact, solver_sql.exact(K)),
     "cpca_dual": (cpca_dual, solver_sql.exact(K)),
     "cpca_tree": (cpca_tree, solver_sql.exact(K, singular=True)),
