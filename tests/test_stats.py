@@ -245,6 +245,30 @@ def test_shared_folder(spark, said, default, master, want):
         assert scratch.root(Session) == want
 
 
+def test_shared_folder_of_a_cluster_is_tried(spark, tmp_path, monkeypatch):
+    """A plain path that all machines mount is taken on a cluster, also below the warehouse; one where rows are lost raises."""
+
+    class Session:
+        def __init__(self, **said):
+            self.conf = self
+            self.get = lambda name, default=None: said.get(name.split(".")[-2])
+            self.sparkContext = self
+            self.getConf = lambda: self
+            self.master, self.applicationId, self.defaultParallelism = "spark://host:7077", str(tmp_path), 4
+            self.range, self._jvm, self._jsc = spark.range, spark._jvm, spark._jsc
+
+    assert scratch.root(Session(checkpoint=f"{tmp_path}/shared")) == f"file://{tmp_path}/shared"
+    assert scratch.root(Session(warehouse=f"file:{tmp_path}/house")) == f"file://{tmp_path}/house/checkpoints"
+    assert not [p for p in tmp_path.rglob("tried-*") if p.is_dir()]
+    (tmp_path / "file").write_text("")
+    with pytest.raises(ValueError, match="cannot share"):
+        scratch.root(Session(checkpoint=f"{tmp_path}/file"))
+    monkeypatch.setattr(scratch, "save", lambda df, path: df.limit(1))
+    assert scratch.root(Session(checkpoint=f"{tmp_path}/shared")) == f"file://{tmp_path}/shared"  # tried once
+    with pytest.raises(ValueError, match="own disk"):
+        scratch.root(Session(checkpoint=f"{tmp_path}/own"))
+
+
 def ring(n=12):
     return [("lh", i, (i + 1) % n, n + i) for i in range(n)] + [("lh", n + i, n + (i + 1) % n, (i + 1) % n) for i in range(n)]
 
