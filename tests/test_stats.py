@@ -273,6 +273,14 @@ def ring(n=12):
     return [("lh", i, (i + 1) % n, n + i) for i in range(n)] + [("lh", n + i, n + (i + 1) % n, (i + 1) % n) for i in range(n)]
 
 
+def test_triangle_with_a_vertex_twice(spark):
+    edges = mesh.neighbours(spark.createDataFrame([(1, 1, 2), (2, 3, 4)], "a int, b int, c int"))
+    assert {(r.src, r.dst) for r in edges.where("src < 3").collect()} == {(1, 1), (1, 2), (2, 1), (2, 3), (2, 4)}
+    assert {r.vertex: r.neighbours for r in mesh.neighbour_lists(edges).collect()}[1] == [1, 2]
+    found = mesh.components(spark.createDataFrame([(1,), (2,), (4,)], "vertex int"), edges)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (4, 1)]
+
+
 def test_clusters_on_a_ring(spark):
     faces = spark.createDataFrame(ring(), "hemi string, a int, b int, c int")
     edges = mesh.neighbours(faces)
