@@ -74,6 +74,27 @@ def test_session_names(spark):
     assert spark.range(1).select(keys.padded(F.lit(1234567)).alias("x"), keys.padded(F.lit(7)).alias("y")).first() == ("1234567", "00007")
 
 
+def test_sessions_of_long_numbers(spark, tmp_path):
+    """Numbers over 99999: all fields are there, names have five digits, and sets hold the whole numbers."""
+    import duckdb
+
+    from phasemesh.plans import catalog
+
+    row = spark.createDataFrame([("ESO_P123456_20200101_1200_1",)], "n string").select(*[c.alias(k) for k, c in keys.session_fields("n").items()]).first()
+    assert tuple(row) == ("p", "P123456", 1)
+    numbers = [6, 12, 100128, 100130, 100132, 700002, 900000, 900001, 2700018]
+    spark.createDataFrame([(n,) for n in numbers], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(n, 10 * n + k) for n in numbers for k in (1, 2)], "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("session_keys", "session_sets", "set_members"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(catalog.ORACLES[name])
+        at = [df.columns.index(c[0]) for c in want.description]
+        assert sorted(tuple(r[i] for i in at) for r in df.collect()) == sorted(want.fetchall()), name
+
+
 def test_series_pick_and_missing_run(spark):
     df = spark.createDataFrame([("a, REST_run1  b",), ("c",)], "s string")
     v = {"rest": ["rest"]}
