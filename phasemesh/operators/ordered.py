@@ -49,6 +49,17 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "row", pa
         return tmp.result(out.select(*df.columns, name, *sums))
 
 
+def ordered_means(df: DataFrame, by: Sequence[str], column: str, *order: str) -> DataFrame:
+    """``by..., mean`` of the values that are not null, added one after the other in a stated order.
+
+    A sum of doubles depends on the order of its terms, and ``avg`` adds in whatever order tasks end; here a mean is the
+    same in each run, however the rows lie.  The running sum needs no array of a group's values.
+    """
+    rows = Window.partitionBy(*by).orderBy(*order, column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = df.where(F.col(column).isNotNull()).select(*by, F.sum(column).over(rows).alias("_sum"), F.count(column).over(rows).alias("_n"))
+    return told.groupBy(*by).agg(F.max_by("_sum", "_n").alias("_sum"), F.max("_n").alias("_n")).select(*by, (F.col("_sum") / F.col("_n")).alias("mean"))
+
+
 def offsets(sizes: DataFrame, order: str, size: str = "n") -> DataFrame:
     """Rows before each session in a stated order."""
     return numbered(sizes, [order], "_row", sums={"offset": size}).drop("_row").withColumn("offset", F.col("offset").cast("long"))

@@ -273,6 +273,20 @@ def ring(n=12):
     return [("lh", i, (i + 1) % n, n + i) for i in range(n)] + [("lh", n + i, n + (i + 1) % n, (i + 1) % n) for i in range(n)]
 
 
+def test_pairs_do_not_depend_on_where_rows_lie(spark, tmp_path):
+    """Values that give 0 added in order of events, and 3 in the order of the second file."""
+    import datetime
+
+    from phasemesh.plans import stats_queries
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [(1, day(3), 7, "view", 1e17), (2, day(4), 7, "view", 3.0), (3, day(5), 7, "view", -1e17), (4, day(6), 7, "view", None), (5, day(20), 7, "view", 2.5)]
+    for name, order in (("a", (0, 1, 2, 3, 4)), ("b", (0, 2, 4, 3, 1))):
+        df = spark.createDataFrame([rows[i] for i in order], "event_id long, ts timestamp, user_id long, event_type string, value double")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        assert [tuple(r) for r in stats_queries._pairs(spark, f"{tmp_path}/{name}").collect()] == [(7, "view", 0.0, 2.0)]
+
+
 def test_triangle_with_a_vertex_twice(spark):
     edges = mesh.neighbours(spark.createDataFrame([(1, 1, 2), (2, 3, 4)], "a int, b int, c int"))
     assert {(r.src, r.dst) for r in edges.where("src < 3").collect()} == {(1, 1), (1, 2), (2, 1), (2, 3), (2, 4)}
