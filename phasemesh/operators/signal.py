@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .quantiles import few
 
 #: Band-pass design in Hz and dB, and the grid it works on (fixed values, for results that can be compared).
 PASSBAND, STOPBAND, RIPPLE, LOSS, GRID_HZ = (0.005, 0.1), (0.001, 0.14), 3.0, 20.0, 0.5
@@ -471,7 +472,8 @@ def prepared(signal: DataFrame, motion: DataFrame, vertices: DataFrame, fs: floa
     """
     import pyarrow as pa
 
-    kept = signal.join(vertices.select("hemi", "vertex"), ["hemi", "vertex"], "left_semi").select("session_id", "hemi", "vertex", "y")
+    # series stay where they are: a shuffle by vertex would give a task all sessions' series of one
+    kept = signal.join(few(vertices.select("hemi", "vertex")), ["hemi", "vertex"], "left_semi").select("session_id", "hemi", "vertex", "y")
     series, fit = _with_motion(kept, motion, absolute)
 
     def power(rows: list[np.ndarray]) -> list[float | None]:

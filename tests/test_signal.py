@@ -1,5 +1,7 @@
 """Kernels against known series, and operators against kernels."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -180,3 +182,25 @@ def test_padding_and_resampling(spark):
     row = df.select(ordered.mirror_pad("y", 2, False).alias("a"), ordered.mirror_pad("y", 2, True).alias("b"), ordered.resample_linear("y", 1.0, 2.0).alias("c")).first()
     assert row.a == [3, 2, 1, 2, 3, 4, 3, 2] and row.b == [2, 1, 1, 2, 3, 4, 4, 3]
     assert row.c == [1, 1.5, 2, 2.5, 3, 3.5, 4, None]
+
+
+def test_preprocess_shuffles_the_frames_of_a_session_once(spark, tiny, monkeypatch):
+    """Series and parameters come from one shuffle by session, and valid vertices are broadcast; then series are turned."""
+    from phasemesh.plans import stats_queries
+
+    monkeypatch.setattr(signal, "MOTION_NUMBERS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = stats_queries.preprocess(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 4 and "vertex" not in "".join(shuffles)  # two of them are the same, one by block, one by frame
+    read = [line.split("FileScan parquet")[1] for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(read) == 2 and len({sorted_names(r) for r in read}) == 1
+
+
+def sorted_names(scan):
+    """Columns that a scan reads, without their numbers."""
+    return tuple(sorted(re.findall(r"l_[a-z]+", scan.split("]")[0])))
