@@ -203,9 +203,13 @@ class Encoder:
         lines = piece.split("\n")
         if self.mode == "drop":
             return b"".join([self._piece(x, self.memo, "") for x in lines])
-        if not all(x and not _spacy(x[0]) and not _spacy(x[-1]) for x in lines):
+        # the same parts without any white space: none stands at a line's end; only then are single characters looked at
+        if (piece.split() != lines or not piece.isascii()) and not all(x and not _spacy(x[0]) and not _spacy(x[-1]) for x in lines):
             return None
-        return self.newline.join([self._piece(lines[0], self.memo, self.lead), *(self._piece(x, self.bare, "") for x in lines[1:])])
+        bare = self.bare
+        ids = [self.memo.get(lines[0]) or self._piece(lines[0], self.memo, self.lead)]
+        ids += [bare.get(x) or self._piece(x, bare, "") for x in lines[1:]]
+        return self.newline.join(ids)
 
     def _piece(self, piece: str, memo: dict[str, bytes], lead: str) -> bytes:
         """Ids of one piece that stands after a space (``lead``) or at the beginning of a line or text."""

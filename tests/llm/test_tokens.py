@@ -215,3 +215,13 @@ def test_pack(spark, docs):
         assert at <= 64
     assert len(bins) <= -(-sum(r.length for r in rows) // 64) + 1
     assert packing.pack(docs(*texts).limit(0), WORD, 64).count() == 0
+
+
+def test_pieces_with_line_ends_are_the_librarys():
+    """White space of any kind beside a line end or within a line, also such as a split does not know."""
+    encode = tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    ends = ["", "\t", "​", "﻿", "᠎", " ", "\x0b", "\x1c", "\r", "b", "é."]
+    for a in ends:
+        for b in ends:
+            text = f"one two{a}\n{b}three,\nfour x{a}{b}y\nend five"
+            assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, (a, b)
