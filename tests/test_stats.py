@@ -287,6 +287,22 @@ def test_pairs_do_not_depend_on_where_rows_lie(spark, tmp_path):
         assert [tuple(r) for r in stats_queries._pairs(spark, f"{tmp_path}/{name}").collect()] == [(7, "view", 0.0, 2.0)]
 
 
+def test_neighbors_of_keys_that_meet(spark, tmp_path):
+    """Orders over 1,000,000, and parts over 1,000,000, share numbers with parts and suppliers; the rows are those of the SQL."""
+    import duckdb
+
+    from phasemesh.plans import stats_queries
+
+    lines = [(5, 1, 2, 3.0), (1_000_007, 7, 2, 1.0), (8, 1_000_004, 4, 2.0), (2_000_009, 3, 9, 4.0), (2_000_006, 1_000_006, 6, 5.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    query, sql = stats_queries.QUERIES["neighbors"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = {tuple(r) for r in query(spark, str(tmp_path)).select("src", "n", "least", "most").collect()}
+    assert got == set(con.execute(f"SELECT src, n, least, most FROM ({sql})").fetchall())
+    assert {(2_000_006, 1, 2_000_006, 2_000_006), (2_000_004, 2, 8, 2_000_004)} <= got
+
+
 def test_triangle_with_a_vertex_twice(spark):
     edges = mesh.neighbours(spark.createDataFrame([(1, 1, 2), (2, 3, 4)], "a int, b int, c int"))
     assert {(r.src, r.dst) for r in edges.where("src < 3").collect()} == {(1, 1), (1, 2), (2, 1), (2, 3), (2, 4)}
