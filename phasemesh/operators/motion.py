@@ -49,7 +49,8 @@ def voxel_displacement(voxels: DataFrame, motion: DataFrame, affine: Sequence[fl
     rotation of (point - translation).  The previous frame's parameters are put beside each frame's before the join, so
     there is a window over frames only, not over voxels times frames; voxels meet frames of their own session.  Where a
     session has more than SPREAD voxels (they are counted first), its frames are copied for each SPREAD of them, so that
-    it is not one task.
+    it is not one task.  Frames, which lie by session, meet at most SPREAD voxels at a time; the voxels of all sessions are
+    not broadcast, though their table may look small enough for it.
     """
     order = Window.partitionBy("session_id").orderBy("t")
     frames = motion.select("session_id", "t", *[F.col(p).alias(f"n{i}") for i, p in enumerate(PARAMS)], *[F.lag(p).over(order).alias(f"o{i}") for i, p in enumerate(PARAMS)])
@@ -69,9 +70,9 @@ def voxel_displacement(voxels: DataFrame, motion: DataFrame, affine: Sequence[fl
     if (salts.agg(F.max("_salts")).first()[0] or 0) > 1:
         points = points.join(salts, "session_id").withColumn("_salt", F.expr("cast(pmod(hash(i, j, k), _salts) as int)"))
         turned = turned.join(salts, "session_id").withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)")))
-        met = points.drop("_salts").join(turned.drop("_salts"), ["session_id", "_salt"])
+        met = turned.drop("_salts").join(points.drop("_salts").hint("merge"), ["session_id", "_salt"])
     else:
-        met = points.join(turned, "session_id")
+        met = turned.join(points.hint("merge"), "session_id")
     squares = [F.pow(place("n", a) - place("o", a), F.lit(2.0)) for a in range(3)]
     return met.select("session_id", "i", "j", "k", "t", F.coalesce(F.sqrt(squares[0] + squares[1] + squares[2]), F.lit(0.0)).alias("fd"))
 

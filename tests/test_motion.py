@@ -100,3 +100,19 @@ def test_series_pick_and_missing_run(spark):
     v = {"rest": ["rest"]}
     assert [r.series_name for r in motion.pick_series(df, "s", v, "rest").collect()] == ["REST_run1", None]
     assert [r.series_name for r in motion.pick_series(df, "s", v, "task").collect()] == [None, None]
+
+
+def test_tasks_of_voxels_hold_as_much_of_any_table(spark, tiny, same_as_sql, monkeypatch):
+    """There is a task for each so many frames, and the voxels of all sessions are not broadcast to it."""
+    from phasemesh.plans import inputs, motion_queries
+
+    monkeypatch.setattr(inputs, "FRAMES", 100)
+    rows = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
+    for name in ("roi_mean", "voxel_fd"):
+        query, sql = motion_queries.QUERIES[name]
+        df = query(spark, tiny)
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+        same_as_sql(query, sql)
+    held = motion_queries._voxels(spark, tiny).groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("session_id", "t").alias("n"))
+    assert sum(r.n for r in held.collect()) == rows
+    assert motion_queries._voxels(spark, tiny).rdd.getNumPartitions() == -(-rows // 100)
