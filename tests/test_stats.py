@@ -303,6 +303,22 @@ def test_neighbors_of_keys_that_meet(spark, tmp_path):
     assert {(2_000_006, 1, 2_000_006, 2_000_006), (2_000_004, 2, 8, 2_000_004)} <= got
 
 
+def test_neighbors_of_missing_keys(spark, tmp_path):
+    """A missing key is a vertex that is counted like any other, as in the SQL; it is neither the least nor the most."""
+    import duckdb
+
+    from phasemesh.plans import stats_queries
+
+    lines = [(5, None, 2, 3.0), (None, 7, 2, 1.0), (5, 1, None, 2.0), (None, None, None, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    query, sql = stats_queries.QUERIES["neighbors"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = {tuple(r) for r in query(spark, str(tmp_path)).select("src", "n", "least", "most").collect()}
+    assert got == set(con.execute(f"SELECT src, n, least, most FROM ({sql})").fetchall())
+    assert {(5, 3, 1_000_001, 2_000_002), (None, 5, 5, 2_000_002)} <= got
+
+
 def test_triangle_with_a_vertex_twice(spark):
     edges = mesh.neighbours(spark.createDataFrame([(1, 1, 2), (2, 3, 4)], "a int, b int, c int"))
     assert {(r.src, r.dst) for r in edges.where("src < 3").collect()} == {(1, 1), (1, 2), (2, 1), (2, 3), (2, 4)}
