@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..scratch import Scratch, delete_result
-from .ordered import average_rank, hash_order, numbered
+from .ordered import average_rank, numbered
 
 #: Labels (subjects x simulations) that are broadcast as one matrix, and keys whose sums meet it at a time.
 MATRIX_CELLS, KEYS = 20_000_000, 512
+#: Simulations whose hashes one task orders.
+DRAWN = 16
 
 
 def rank_sum(x: DataFrame, *by: str, p: bool = True) -> DataFrame:
@@ -107,33 +110,57 @@ def permuted_labels(subjects: DataFrame, sims: int, key: str = "subject", label:
 def shuffles(subjects: DataFrame, sims: int, key: str = "subject", label: str = "g", seed: int = 0) -> DataFrame:
     """The same with one row for each simulation: ``sim, keys[], labels[]``, the subjects in the same order in each."""
     known = subjects.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("g"))
-    cohort = known.agg(F.sort_array(F.collect_list(F.struct("k", "g"))).alias("s")).where(F.size("s") > 0)
-    drawn = subjects.sparkSession.range(sims + 1).select(F.col("id").cast("int").alias("sim")).crossJoin(F.broadcast(cohort))  # one row
-    order = F.when(F.col("sim") == 0, F.lit(""))
-    mixed = F.sort_array(F.transform("s", lambda x: F.struct(order.otherwise(hash_order(seed, F.col("sim"), x["k"])).alias("h"), x["k"].alias("k"), x["g"].alias("g"))))
-    return drawn.select("sim", F.col("s.k").alias("keys"), mixed["g"].alias("labels"))
+    cohort = known.agg(F.sort_array(F.collect_list(F.struct("k", F.col("k").cast("string").alias("name"), "g"))).alias("s")).where(F.size("s") > 0)
+    cohort = cohort.select(F.col("s.k").alias("keys"), F.col("s.name").alias("names"), F.col("s.g").alias("g"))
+    some = subjects.sparkSession.range(0, sims + 1, DRAWN, -(-(sims + 1) // DRAWN)).select(F.sequence("id", F.least(F.col("id") + DRAWN - 1, F.lit(sims))).cast("array<int>").alias("sims"))
+    order = some.crossJoin(F.broadcast(cohort.select("names"))).mapInArrow(_Orders(seed), "sim int, places array<int>")  # one row
+    dealt = order.crossJoin(F.broadcast(cohort.select("keys", "g")))
+    return dealt.select("sim", "keys", F.transform("places", lambda i: F.get("g", i)).alias("labels"))
 
 
-def _matrix(labels: DataFrame, key: str):
-    """``(subjects as a table of k and its column ix, labels [sim, column])``, or None where that is over MATRIX_CELLS.
-
-    ``labels``: as of :func:`shuffles` or :func:`permuted_labels`.
+class _Orders:
+    """Places of the subjects, which come in the order of their keys, in the order of each simulation's hash: md5 of seed,
+    simulation and key.  Simulation 0 leaves them as they are.
     """
-    if "keys" in labels.columns:
-        known = labels.select("sim", "keys", F.transform("labels", lambda g: g.cast("tinyint")).alias("labels")).persist()
-    else:
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sims, names in zip(*batch.columns):
+                names = [n.encode() for n in names.as_py()]
+                for sim in sims.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([sim], pa.int32()), pa.array([self._places(sim, names)], pa.list_(pa.int32()))], names=["sim", "places"])
+
+    def _places(self, sim: int, names: list[bytes]) -> np.ndarray:
+        if not sim:
+            return np.arange(len(names), dtype=np.int32)
+        head = f"{self.seed}:{sim}:".encode()
+        digests = b"".join([hashlib.md5(head + n, usedforsecurity=False).digest() for n in names])
+        high, low = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T
+        return np.lexsort((low, high)).astype(np.int32)
+
+
+def _known(labels: DataFrame, key: str) -> DataFrame:
+    """``sim, keys[], labels[]``, the keys with simulation 0 only; ``labels``: as of :func:`shuffles` or :func:`permuted_labels`."""
+    if "keys" not in labels.columns:
         whole = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("g").cast("tinyint").alias("g"))))
-        known = labels.groupBy("sim").agg(whole.alias("s")).select("sim", F.col("s.k").alias("keys"), F.col("s.g").alias("labels")).persist()
-    try:
-        cells = known.agg(F.sum(F.size("labels"))).first()[0] or 0
-        if not 0 < cells <= MATRIX_CELLS:
-            return None
-        keys = known.where("sim = 0").select("keys").toArrow().column("keys").combine_chunks().flatten()
-        found = known.select("sim", "labels").toArrow().sort_by("sim").column("labels").combine_chunks()
-    finally:
-        known.unpersist()
+        labels = labels.groupBy("sim").agg(whole.alias("s")).select("sim", F.col("s.k").alias("keys"), F.col("s.g").alias("labels"))
+    return labels.select("sim", F.when(F.col("sim") == 0, F.col("keys")).alias("keys"), F.transform("labels", lambda g: g.cast("tinyint")).alias("labels"))
+
+
+def _matrix(known: DataFrame):
+    """``(subjects as a table of k and its column ix, labels [sim, column])`` of :func:`_known`, or None where that is over
+    MATRIX_CELLS.
+    """
+    cells = known.agg(F.sum(F.size("labels"))).first()[0] or 0
+    if not 0 < cells <= MATRIX_CELLS:
+        return None
+    keys = known.where("sim = 0").select("keys").toArrow().column("keys").combine_chunks().flatten()
+    found = known.select("sim", "labels").toArrow().sort_by("sim").column("labels").combine_chunks()
     index = pa.table({"k": keys, "ix": pa.array(np.arange(len(keys), dtype=np.int32))})
-    return labels.sparkSession.createDataFrame(index), found.flatten().to_numpy().reshape(len(found), -1)
+    return known.sparkSession.createDataFrame(index), found.flatten().to_numpy().reshape(len(found), -1)
 
 
 def _per_subject(cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,33 +205,23 @@ def permutation_p(x: DataFrame, labels: DataFrame, *by: str, key: str = "subject
     counted: ``(1 + hits) / (sims + 1)``.
 
     Values are summed by subject first.  The labels meet them as one matrix, [simulation, subject], that is broadcast
-    after its size is checked; beyond MATRIX_CELLS they meet by a join.  Rows of subjects without labels are left out.
+    after its size is checked; beyond MATRIX_CELLS they meet as tiles, see :func:`_tiled_p`.  Rows of subjects without
+    labels are left out.
     """
-    sums = x.groupBy(*by, key).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
-    made = _matrix(labels, key)
-    if made is None:
-        if "keys" in labels.columns:
-            labels = labels.select("sim", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("sim", F.col("x.keys").alias(key), F.col("x.labels").alias("g"))
-        return _joined_p(sums.join(labels, key), *by)
+    sums = x.groupBy(*by, key).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("s"), F.count("value").alias("n"))
+    known = _known(labels, key).persist()
+    try:
+        made = _matrix(known)
+        if made is None:
+            return _tiled_p(sums, known if "keys" in labels.columns else labels, by, key)
+    finally:
+        known.unpersist()
     index, matrix = made
-    cells = sums.join(F.broadcast(index), F.col(key) == F.col("k")).groupBy(*by).agg(F.collect_list(F.struct("ix", F.coalesce("s", F.lit(0.0)).alias("s"), "n")).alias("_c"))
+    cells = sums.join(F.broadcast(index), F.col(key) == F.col("k")).groupBy(*by).agg(F.collect_list(F.struct("ix", "s", "n")).alias("_c"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in cells.dtypes[:-1])
     return cells.mapInArrow(_Differences(x.sparkSession.sparkContext.broadcast(matrix)), f"{kinds}, diff double, p double")
 
 
-def _joined_p(met: DataFrame, *by: str) -> DataFrame:
-    """The same from sums joined with labels by subject."""
-
-    def avg(g: int) -> Column:
-        return F.sum(F.when(F.col("g") == g, F.col("s"))) / F.sum(F.when(F.col("g") == g, F.col("n")))
-
-    d = met.groupBy(*by, "sim").agg(F.abs(avg(0) - avg(1)).alias("d"), (avg(0) - avg(1)).alias("signed"))
-    w = Window.partitionBy(*by)
-    seen = d.withColumn("obs", F.max(F.when(F.col("sim") == 0, F.col("d"))).over(w)).withColumn("diff", F.max(F.when(F.col("sim") == 0, F.col("signed"))).over(w))
-    hits = F.count_if((F.col("sim") > 0) & (F.col("d") >= F.col("obs") - 1e-12))
-    return seen.groupBy(*by).agg(F.first("diff").alias("diff"), ((hits + 1).cast("double") / F.count("*")).alias("p"))
-
-
 class _Significant(_Kernel):
     def __init__(self, labels, alpha: float):
         super().__init__(labels)
@@ -227,7 +244,11 @@ def significant(x: DataFrame, labels: DataFrame, alpha: float, *by: str, key: st
     Ranks do not depend on labels, so they are taken once and summed by subject; each relabelling then picks its sums, as
     in :func:`permutation_p`.  A label matrix over MATRIX_CELLS is cut into tiles, see :func:`_tiled`.  No labels raise.
     """
-    made = _matrix(labels, key)
+    known = _known(labels, key).persist()
+    try:
+        made = _matrix(known)
+    finally:
+        known.unpersist()
     if made is None:
         if labels.isEmpty():
             raise ValueError("there are no labels")
@@ -249,6 +270,21 @@ def _rank_sums(x: DataFrame, index: DataFrame, by: Sequence[str], key: str) -> D
 TILE = (256, 4096, 256)
 
 
+def _numbered_keys(tmp: Scratch, sums: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The keys ``names...`` with their numbers ``kid``, and ``sums`` with ``kid`` in place of them."""
+    sums = tmp.save(sums, "sums")
+    known = numbered(sums.select(*names).distinct(), names, "kid")
+    met = sums.join(known.select(*[F.col(n).alias(f"{n}k") for n in names], "kid"), [F.col(n).eqNullSafe(F.col(f"{n}k")) for n in names]) if names else sums.crossJoin(F.broadcast(known))
+    return known, tmp.save(met.drop(*names, *[f"{n}k" for n in names]).withColumn("n", F.col("n").cast("double")), "numbered")
+
+
+def _cells(met: DataFrame) -> DataFrame:
+    """``st, kb, cells``: sums by number of key and of subject (``kid, ix, s, n``) as tiles."""
+    keys, subjects, _ = TILE
+    st, kb = F.floor(F.col("ix") / subjects).cast("long").alias("st"), F.floor(F.col("kid") / keys).cast("long").alias("kb")
+    return met.groupBy(st, kb).agg(F.collect_list(F.struct((F.col("kid") % keys).cast("int").alias("k"), (F.col("ix") % subjects).cast("int").alias("i"), "s", "n")).alias("cells"))
+
+
 def _tiled(x: DataFrame, labels: DataFrame, alpha: float, by: Sequence[str], key: str) -> DataFrame:
     """:func:`significant` for any number of labels, as a product of tiles.
 
@@ -265,13 +301,10 @@ def _tiled(x: DataFrame, labels: DataFrame, alpha: float, by: Sequence[str], key
     with Scratch(spark, "tiled") as tmp:
         labels = tmp.save(labels.where("k is not null and g is not null").select("sim", "k", F.col("g").cast("int").alias("g")), "labels")
         index = numbered(labels.select("k").distinct(), ["k"], "ix")
-        sums = tmp.save(_rank_sums(x, index, by, key).select(*[F.col(c).alias(n) for c, n in zip(by, names)], "ix", "s", "n", "t"), "sums")
-        known = numbered(sums.select(*names).distinct(), names, "kid")
-        met = sums.join(known.select(*[F.col(n).alias(f"{n}k") for n in names], "kid"), [F.col(n).eqNullSafe(F.col(f"{n}k")) for n in names]) if by else sums.crossJoin(F.broadcast(known))
-        met = tmp.save(met.select("kid", "ix", "s", F.col("n").cast("double").alias("n"), "t"), "numbered")
+        known, met = _numbered_keys(tmp, _rank_sums(x, index, by, key).select(*[F.col(c).alias(n) for c, n in zip(by, names)], "ix", "s", "n", "t"), names)
         ties = met.groupBy("kid").agg(F.sum("t").alias("ties"))
-        st, kb = F.floor(F.col("ix") / subjects).cast("long").alias("st"), F.floor(F.col("kid") / keys).cast("long").alias("kb")
-        left = met.groupBy(st, kb).agg(F.collect_list(F.struct((F.col("kid") % keys).cast("int").alias("k"), (F.col("ix") % subjects).cast("int").alias("i"), "s", "n")).alias("cells"))
+        st = F.floor(F.col("ix") / subjects).cast("long").alias("st")
+        left = _cells(met)
         right = labels.join(index, "k").groupBy(st, F.floor(F.col("sim") / sims).cast("long").alias("sb"))
         right = right.agg(F.collect_list(F.struct((F.col("ix") % subjects).cast("int").alias("i"), (F.col("sim") % sims).cast("int").alias("j"), F.col("g").cast("tinyint").alias("g"))).alias("labels"))
         left, right = tmp.save(left, "left"), tmp.save(right, "right")
@@ -342,3 +375,125 @@ class _TileTest:
             at, sim = np.nonzero(special.rank_sum_below(w, n0, n1, ties, self.alpha))
             first = batch.column(1).to_numpy()[at] * self.sims
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array((first + sim).astype(np.int32))], names=["kid", "sim"])
+
+
+def _tiled_p(sums: DataFrame, labels: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """:func:`permutation_p` for any number of labels, as a product of tiles.
+
+    ``sums``: ``by..., key, s, n``; ``labels``: of :func:`_known`, or one row for each label.  Each simulation's labels are
+    cut into ranges of subjects, a byte a label, and so are the sums; a tile of sums [keys x subjects] meets the labels of
+    its range [subjects x simulations], those of simulation 0 with every range of simulations.  A product is a key's sums
+    and counts in either group, and these are added by key and range of simulations, in the order of the ranges of
+    subjects.  No label is a row by itself, and a task holds one tile of each kind and their product.
+    """
+    keys, subjects, sims = TILE
+    spark, names = sums.sparkSession, [f"_b{i}" for i in range(len(by))]
+    with Scratch(spark, "tiled") as tmp:
+        if "keys" in labels.columns:
+            index = tmp.save(labels.where("sim = 0").select(F.posexplode("keys").alias("ix", "k")), "index")
+            cut = labels.select("sim", "labels").mapInArrow(_Cut(subjects), "sim int, st long, data binary")
+        else:
+            labels = tmp.save(labels.select("sim", F.col(key).alias("k"), F.col("g").cast("tinyint").alias("g")).where("k is not null and g is not null"), "labels")
+            index = numbered(labels.select("k").distinct(), ["k"], "ix")
+            st = F.floor(F.col("ix") / subjects).cast("long").alias("st")
+            some = labels.join(index.hint("merge"), "k").groupBy("sim", st).agg(F.collect_list(F.struct((F.col("ix") % subjects).cast("int").alias("i"), "g")).alias("labels"))
+            cut = some.mapInArrow(_Laid(subjects), "sim int, st long, data binary")
+        cut = tmp.save(cut, "cut")
+        last = (cut.agg(F.max("sim")).first()[0] or 0) // sims
+        sb = F.when(F.col("sim") == 0, F.sequence(F.lit(0), F.lit(last))).otherwise(F.array(F.floor(F.col("sim") / sims).cast("int")))
+        right = cut.withColumn("sb", F.explode(sb.cast("array<long>"))).groupBy("st", "sb").agg(F.collect_list(F.struct("sim", "data")).alias("labels"))
+        # joins are never of a size that is guessed: what is exploded has more rows than Spark believes
+        held = sums.join(index.hint("merge"), F.col(key) == F.col("k")).select(*[F.col(c).alias(n) for c, n in zip(by, names)], "ix", "s", "n")
+        known, met = _numbered_keys(tmp, held, names)
+        met = _cells(met).join(right.hint("merge"), "st").select("kb", "sb", "st", "cells", "labels")
+        parts = met.mapInArrow(_Sides(keys, subjects, sims), "kid long, sb long, st long, data binary")
+        hits = parts.repartition("kid", "sb").sortWithinPartitions("kid", "sb", "st").mapInArrow(_added_hits, "kid long, sb long, diff double, hits long, n long")
+        total = hits.groupBy("kid").agg(F.max(F.when(F.col("sb") == 0, F.col("diff"))).alias("diff"), ((F.sum("hits") + 1).cast("double") / F.sum("n")).alias("p"))
+        done = tmp.result(total.join(known, "kid").select(*[F.col(n).alias(c) for c, n in zip(by, names)], "diff", "p"))
+        delete_result(index)
+        delete_result(known)
+        return done
+
+
+class _Cut:
+    """The labels of whole simulations in ranges of subjects, a byte a label."""
+
+    def __init__(self, subjects: int):
+        self.subjects = subjects
+
+    def __call__(self, batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sim, labels in zip(*batch.columns):
+                g = labels.values.to_numpy().astype(np.int8)
+                made = [g[at : at + self.subjects].tobytes() for at in range(0, len(g), self.subjects)]
+                yield pa.RecordBatch.from_arrays([pa.array([sim.as_py()] * len(made), pa.int32()), pa.array(np.arange(len(made), dtype=np.int64)), pa.array(made, pa.binary())], names=["sim", "st", "data"])
+
+
+class _Laid:
+    """The same from lists of places and labels; -1 where a simulation has no label."""
+
+    def __init__(self, subjects: int):
+        self.subjects = subjects
+
+    def __call__(self, batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for labels in batch.column(2):
+                g = np.full(self.subjects, -1, np.int8)
+                g[labels.values.field(0).to_numpy()] = labels.values.field(1).to_numpy()
+                made.append(g.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], names=["sim", "st", "data"])
+
+
+class _Sides:
+    """Products of pairs of tiles, one row a key: by simulation, the first of them 0, its sums and numbers of values in group
+    0 and in group 1, and how many of its subjects have a label.
+    """
+
+    def __init__(self, keys: int, subjects: int, sims: int):
+        self.shape = keys, subjects, sims
+
+    def __call__(self, batches) -> Iterator[pa.RecordBatch]:
+        keys, subjects, sims = self.shape
+        for batch in batches:
+            for row in range(batch.num_rows):
+                kb, sb, st = (batch.column(c)[row].as_py() for c in range(3))
+                cells, labels = batch.column(3)[row].values, batch.column(4)[row].values
+                k, i, s, n = (cells.field(c).to_numpy(zero_copy_only=False) for c in range(4))
+                g = np.full((1 + sims, subjects), -1, np.int8)
+                for sim, data in zip(labels.field(0).to_pylist(), labels.field(1)):
+                    here = np.frombuffer(data.as_buffer(), np.int8)
+                    g[1 + sim - sb * sims if sim else 0, : len(here)] = here
+                held, k = np.unique(k, return_inverse=True)
+                there, values, counts = np.zeros((3, len(held), subjects))
+                there[k, i], values[k, i], counts[k, i] = 1.0, s, n
+                zero, one = (np.ascontiguousarray((g == label).T, np.float64) for label in (0, 1))
+                made = np.stack([values @ zero, counts @ zero, values @ one, counts @ one, there @ (g >= 0).T.astype(np.float64)], 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kb * keys + held.astype(np.int64)), *(pa.array([v] * len(held), pa.int64()) for v in (sb, st)), pa.array([r.tobytes() for r in made], pa.binary())], names=["kid", "sb", "st", "data"]
+                )
+
+
+def _added_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a key's products over all ranges of subjects, which come one after the other: its observed difference, and
+    of a range of simulations how many there are and how many differ as much.
+    """
+
+    def told(place: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        s0, n0, s1, n1, there = total.reshape(5, -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = s0 / n0 - s1 / n1
+        hits = int((np.abs(d[1:]) >= np.abs(d[0]) - 1e-12).sum())
+        n = int((there[1:] > 0).sum()) + int(place[1] == 0 and there[0] > 0)
+        row = (*place, None if np.isnan(d[0]) else float(d[0]), hits, n)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["kid", "sb", "diff", "hits", "n"])
+
+    now, total = None, None
+    for batch in batches:
+        for kid, sb, data in zip(*(batch.column(c) for c in (0, 1, 3))):
+            place, part = (kid.as_py(), sb.as_py()), np.frombuffer(data.as_buffer(), np.float64)
+            if place != now and now is not None:
+                yield told(now, total)
+            now, total = place, (total + part if place == now else part)
+    if now is not None:
+        yield told(now, total)

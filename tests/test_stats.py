@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phasemesh.functions import special
 from phasemesh import scratch
 from phasemesh.operators import encode, evar, graph, mesh, ordered, stats
+from phasemesh.plans import catalog
 
 
 def test_t_distribution():
@@ -113,6 +114,33 @@ def test_matrix_and_join_give_the_same_p(noise, monkeypatch):
     assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in slow)
 
 
+@pytest.mark.parametrize("name", ["perm_p_paired"])
+def test_permutations_beyond_the_limit_equal_sql(spark, tiny, same_as_sql, monkeypatch, name):
+    """Labels that are too many for one matrix are no rows that a join sends to the driver."""
+    monkeypatch.setattr(stats, "MATRIX_CELLS", 10)
+    plans = []
+
+    def query(spark, d):
+        found = catalog.QUERIES[name](spark, d)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    same_as_sql(query, catalog.ORACLES[name])
+    assert not any(word in plans[0] for word in ("Broadcast", "explode"))
+
+
+def test_permutations_of_uneven_labels(spark, monkeypatch):
+    """A simulation without a subject's label leaves the subject out, and one without any of a key's subjects does not count."""
+    x = spark.createDataFrame([(0, "a", 1.0), (0, "b", 4.0), (0, "c", 2.0), (1, "a", 3.0), (1, "b", None)], "vertex int, subject string, value double")
+    rows = [(0, "a", 0), (0, "b", 1), (0, "c", 0), (1, "a", 1), (1, "b", 0), (2, "c", 1), (2, "b", 0), (3, "c", 0), (3, "z", 1)]
+    labels = spark.createDataFrame(rows, "sim int, subject string, g int")
+    monkeypatch.setattr(stats, "MATRIX_CELLS", 5)
+    for tile in ((256, 4096, 256), (1, 2, 2)):
+        monkeypatch.setattr(stats, "TILE", tile)
+        found = {r.vertex: (r.diff, r.p) for r in stats.permutation_p(x, labels, "vertex").collect()}
+        assert found == {0: (-2.5, 0.5), 1: (None, pytest.approx(1 / 3))}
+
+
 @pytest.mark.parametrize("tile", [(256, 4096, 256), (7, 5, 3), (1, 100, 2)])
 def test_tiled_labels_give_the_same(spark, noise, monkeypatch, tile):
     """Above the limit labels are cut into tiles: the same keys and simulations, with ties, missing values and null keys."""
