@@ -8,7 +8,6 @@ file has no ranges: each of its slabs streams it up to the slab's last byte, so
 from __future__ import annotations
 
 import gzip
-import re
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .files import place_of
 from .text import SESSION
 
 #: NIfTI-1 data type codes (fixed values of the format).
@@ -77,14 +77,7 @@ def parse_header(data: bytes) -> Header:
 
 def _open(path: str):
     """A readable file, unpacked if it is packed, and whether it was."""
-    from pyarrow import fs
-
-    scheme, host, rest = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?(/.*)", path).groups()
-    if scheme == "file":
-        where, place = fs.LocalFileSystem(), rest
-    else:
-        where, base = fs.FileSystem.from_uri(f"{scheme}:{host or '//'}/")
-        place = f"{base.rstrip('/')}{rest}"
+    where, place = place_of(path)
     raw = where.open_input_file(place)
     packed = raw.read(2) == b"\x1f\x8b"
     raw.seek(0)

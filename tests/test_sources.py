@@ -3,13 +3,14 @@
 import gzip
 import os
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from phasemesh.operators import motion
-from phasemesh.sources import binary, images, text
+from phasemesh.sources import binary, files, images, text
 from phasemesh.streaming import motion as streaming
 
 
@@ -168,3 +169,22 @@ def test_streaming_displacement(spark, tmp_path):
     got = {(r.session_id, r.t): r.fd for r in spark.table("fd").collect()}
     want = {(r.session_id, r.t): r.fd for r in motion.framewise_displacement(spark.createDataFrame(rows, schema)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_files_of_very_many_folders_are_listed_by_tasks(spark, tmp_path):
+    """The same files as Spark's reader lists, and no list of them in the plan; unpacked, hidden ones left out."""
+    for i in range(40):
+        for name in (f"a/s{i}/rp x.txt", f"a/_not/s{i}/rp.txt", f"a/s{i}/.rp.txt", f"_k=1/s{i}/deep/rp.txt", f"s{i}.txt"):
+            (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name).write_text(f"\n  {i} 1 2 3\t4 5 \r\n\n{i + 1}\n")
+    (tmp_path / "a" / "rp.txt.gz").write_bytes(gzip.compress(b"7 8"))
+    (tmp_path / "a" / "empty.txt").write_text("")
+    for pattern in ("*.txt", "{rp,s1}*.t?t", "*.gz"):
+        found = files.listed(spark, str(tmp_path), pattern)
+        want = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(str(tmp_path)).where("length > 0")
+        assert sorted(r.path.replace("file:///", "file:/") for r in found.collect()) == sorted(r.path for r in want.collect())
+    lines = text.read_realignment(spark, str(tmp_path), "rp*")
+    assert lines.inputFiles() == []  # each file was held by the driver
+    got = Counter((r.session_id, r.t, r.p1, r.p6) for r in lines.collect())
+    assert got == Counter([(s, t, float(i + t), None if t else 5.0) for i in range(40) for s in (f"s{i}", "deep") for t in (0, 1)] + [("a", 0, 7.0, None)])
+    assert files.listed(spark, str(tmp_path / "s1.txt"), "*") is None and files.listed(spark, f"{tmp_path}/s*", "*") is None
