@@ -188,3 +188,18 @@ def test_files_of_very_many_folders_are_listed_by_tasks(spark, tmp_path):
     got = Counter((r.session_id, r.t, r.p1, r.p6) for r in lines.collect())
     assert got == Counter([(s, t, float(i + t), None if t else 5.0) for i in range(40) for s in (f"s{i}", "deep") for t in (0, 1)] + [("a", 0, 7.0, None)])
     assert files.listed(spark, str(tmp_path / "s1.txt"), "*") is None and files.listed(spark, f"{tmp_path}/s*", "*") is None
+
+
+def test_surfaces_are_listed_by_tasks(spark, tmp_path):
+    """Surfaces and annotations of many folders: the driver has no list of the files, which it had of each."""
+    for i in range(30):
+        (tmp_path / f"s{i}").mkdir()
+        (tmp_path / f"s{i}" / "lh.white").write_bytes(binary.make_surface(np.eye(3) * i, np.array([[0, 1, 2], [2, 1, 0]])))
+        (tmp_path / f"s{i}" / "rh.aparc.annot").write_bytes(binary.make_annot(np.array([1, 2, 9]), {1: "one", 2: "two"}))
+    faces, points, labels = binary.read_faces(spark, str(tmp_path), "*.white"), binary.read_vertices(spark, str(tmp_path), "*.white"), binary.read_annotation(spark, str(tmp_path))
+    assert all(df.inputFiles() == [] for df in (faces, points, labels))
+    assert Counter(map(tuple, faces.collect())) == Counter([("lh", 0, 1, 2), ("lh", 2, 1, 0)] * 30)
+    assert Counter(r.x for r in points.collect()) == Counter([0.0] * 60 + [float(i) for i in range(30)])
+    assert Counter((r.hemi, r.label) for r in labels.collect()) == Counter({("rh", "one"): 30, ("rh", "two"): 30, ("rh", "unknown"): 30})
+    one = binary.read_faces(spark, f"{tmp_path}/s[3]", "*.white")  # by Spark's reader
+    assert sorted(map(tuple, one.collect())) == [("lh", 0, 1, 2), ("lh", 2, 1, 0)]
