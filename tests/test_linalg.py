@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from phasemesh.operators import complex_stats as cs
-from phasemesh.operators import linalg, packed, simulate
+from phasemesh.operators import linalg, packed, qr, simulate
 from phasemesh.sources import synthetic
 
 
@@ -152,6 +152,17 @@ def test_dual_of_a_distributed_matrix(spark, planted):
         linalg.dual(x.limit(0), 2)
 
 
+def test_dual_of_many_rows(planted, monkeypatch):
+    """More rows than the limit are brought to as many as there are variables; more of both raise."""
+    x, _ = planted
+    want = linalg.exact(x, 3)
+    monkeypatch.setattr(linalg, "EXACT_VARIABLES", 100)
+    assert np.allclose(linalg.dual(x, 3), want)
+    monkeypatch.setattr(qr, "WIDEST", 11)
+    with pytest.raises(ValueError, match="more of both"):
+        linalg.dual(x, 3)
+
+
 def test_bad_rows_raise(spark):
     kind = "session_id string, t int, re array<double>, im array<double>"
     for bad in ([("s", 0, [1.0] * 3, [1.0] * 3), ("s", 1, [1.0] * 5, [1.0] * 5)], [("s", 0, [1.0, None], [1.0, 2.0])], [("s", 0, None, [1.0])], [("s", 0, [1.0, 2.0], [1.0])]):
