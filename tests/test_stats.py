@@ -114,7 +114,7 @@ def test_matrix_and_join_give_the_same_p(noise, monkeypatch):
     assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k]) for k in slow)
 
 
-@pytest.mark.parametrize("name", ["perm_p_paired"])
+@pytest.mark.parametrize("name", ["perm_p", "perm_p_paired"])
 def test_permutations_beyond_the_limit_equal_sql(spark, tiny, same_as_sql, monkeypatch, name):
     """Labels that are too many for one matrix are no rows that a join sends to the driver."""
     monkeypatch.setattr(stats, "MATRIX_CELLS", 10)
